@@ -6,14 +6,16 @@ from orderloom.llm.decontam import OP9_SQL, op9_decontaminate
 from orderloom.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from orderloom.llm.licences import op6_license_scan
 from orderloom.llm.mixing import op3_mix_sources
+from orderloom.llm.substring import OP7_SQL, op7_substring_dedup
 from orderloom.llm.tokens import op8_token_output
 
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_license_scan": op6_license_scan,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_token_output": op8_token_output,
     "op9_decontaminate": op9_decontaminate,
 }
 
-ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op9_decontaminate": OP9_SQL}
+ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL}

@@ -7,9 +7,11 @@ from orderloom.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from orderloom.llm.licences import op6_license_scan
 from orderloom.llm.mixing import op3_mix_sources
 from orderloom.llm.substring import OP7_SQL, op7_substring_dedup
+from orderloom.llm.suffix import op2_suffix_dedup
 from orderloom.llm.tokens import op8_token_output
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_license_scan": op6_license_scan,

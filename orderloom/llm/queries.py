@@ -6,6 +6,7 @@ from orderloom.llm.decontam import OP9_SQL, op9_decontaminate
 from orderloom.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from orderloom.llm.licences import op6_license_scan
 from orderloom.llm.mixing import op3_mix_sources
+from orderloom.llm.neardup import op10_near_dedup
 from orderloom.llm.substring import OP7_SQL, op7_substring_dedup
 from orderloom.llm.suffix import op2_suffix_dedup
 from orderloom.llm.tokens import op8_token_output
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_output": op8_token_output,
     "op9_decontaminate": op9_decontaminate,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL}

@@ -7,14 +7,18 @@ from orderloom.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from orderloom.llm.licences import op6_license_scan
 from orderloom.llm.mixing import op3_mix_sources
 from orderloom.llm.neardup import op10_near_dedup
+from orderloom.llm.quality import op5_quality_classifier
 from orderloom.llm.substring import OP7_SQL, op7_substring_dedup
 from orderloom.llm.suffix import op2_suffix_dedup
 from orderloom.llm.tokens import op8_token_output
+from orderloom.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_license_scan": op6_license_scan,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_output": op8_token_output,

@@ -11,9 +11,11 @@ all files before it.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,9 @@ from orderloom.llm.common import checkpoint_dir, columns, slices, table, utf8
 
 END_ID = 1
 FILE_BYTES = 48 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+#: Words that the tokenizer splits into their letters and the full stops or commas after them.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f\u0430-\u044f]+([.,]+)?")
 
 
 def tokenizer_path() -> str:
@@ -52,22 +56,44 @@ class WordEncoder:
         self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
-        parts = [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)]
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
-        self.flat = np.concatenate([self.flat, *parts])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(p) for p in parts], dtype=np.int64)])
+        texts = [w.decode("utf-8") for w in words]
+        # words whose parts are sure go many to a text and are told apart by the numbers of their parts
+        parts = [0] * len(texts)
+        for i, w in enumerate(texts):
+            if m := PLAIN.fullmatch(w):
+                parts[i] = 2 if m[1] else 1
+        plain = [i for i, k in enumerate(parts) if k]
+        rest = [i for i, k in enumerate(parts) if not k]
+        order, ids, sizes = [], [], []
+        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        coded = self.tokenizer.encode_batch([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)
+        for g, e in zip(groups, coded, strict=True):
+            owner = np.repeat(np.arange(len(g)), [parts[i] for i in g])
+            at = np.asarray(e.word_ids, np.int64)
+            if not len(at) or at[-1] + 1 != len(owner):
+                rest += g
+                continue
+            order += g
+            ids.append(np.asarray(e.ids, np.uint32))
+            sizes.append(np.bincount(owner[at], minlength=len(g)))
+        for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            ids.append(np.asarray(e.ids, np.uint32))
+            sizes.append(np.array([len(ids[-1])]))
+            order.append(i)
+        self.index.update(zip([words[i] for i in order], range(len(self.index), len(self.index) + len(order)), strict=True))
+        self.flat = np.concatenate([self.flat, *ids])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]), dtype=np.int64)])
 
     def encode(self, texts: list[bytes], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end id after each; number of ids of each)."""
         if len(self.index) > CACHE_WORDS:
             self.reset()
         split = [t.split() for t in texts]
-        new = sorted({w for words in split for w in words} - self.index.keys())
+        new = sorted(set(chain.from_iterable(split)) - self.index.keys())
         if new:
             self.learn(new)
         n_words = np.fromiter(map(len, split), np.int64, len(split))
-        get = self.index.__getitem__
-        which = np.fromiter((get(w) for words in split for w in words), np.int64, int(n_words.sum()))
+        which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(n_words.sum()))
         # the end id acts as one more word, at the back of the vocabulary
         bounds = np.append(self.bounds, self.bounds[-1] + 1)
         flat = np.append(self.flat, np.uint32(end_id))

@@ -28,7 +28,7 @@ END_ID = 1
 FILE_BYTES = 48 << 20
 CACHE_WORDS = 600_000
 #: Words that the tokenizer splits into their letters and the full stops or commas after them.
-PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f\u0430-\u044f]+([.,]+)?")
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f\u0430-\u044f]+)([.,]+)?")
 
 
 def tokenizer_path() -> str:
@@ -52,37 +52,48 @@ class WordEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index: dict[bytes, int] = {}  # word -> its number in flat / bounds
         self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8") for w in words]
-        # words whose parts are sure go many to a text and are told apart by the numbers of their parts
-        parts = [0] * len(texts)
-        for i, w in enumerate(texts):
-            if m := PLAIN.fullmatch(w):
-                parts[i] = 2 if m[1] else 1
-        plain = [i for i, k in enumerate(parts) if k]
-        rest = [i for i, k in enumerate(parts) if not k]
-        order, ids, sizes = [], [], []
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        coded = self.tokenizer.encode_batch([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)
-        for g, e in zip(groups, coded, strict=True):
-            owner = np.repeat(np.arange(len(g)), [parts[i] for i in g])
+    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, bounds) of texts that are one part each to the tokenizer."""
+        groups = [texts[i : i + 256] for i in range(0, len(texts), 256)]
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for g, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             at = np.asarray(e.word_ids, np.int64)
-            if not len(at) or at[-1] + 1 != len(owner):
-                rest += g
-                continue
-            order += g
-            ids.append(np.asarray(e.ids, np.uint32))
-            sizes.append(np.bincount(owner[at], minlength=len(g)))
-        for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            if at[-1] + 1 != len(g):
+                raise ValueError("a word that was taken for one part is several")
             ids.append(np.asarray(e.ids, np.uint32))
-            sizes.append(np.array([len(ids[-1])]))
-            order.append(i)
-        self.index.update(zip([words[i] for i in order], range(len(self.index), len(self.index) + len(order)), strict=True))
-        self.flat = np.concatenate([self.flat, *ids])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]), dtype=np.int64)])
+            sizes.append(np.bincount(at, minlength=len(g)))
+        return np.concatenate(ids), np.append(0, np.cumsum(np.concatenate(sizes)))
+
+    def learn(self, words: list[bytes]) -> None:
+        """Adds words: letters (with full stops or commas) by their parts, others each by itself."""
+        parts: dict[str, int] = {}
+        stem, tail = np.zeros(len(words), np.int64), np.full(len(words), -1)
+        odd, n = [], 0
+        for i, raw in enumerate(words):
+            if m := PLAIN.fullmatch(w := raw.decode("utf-8")):
+                stem[i] = parts.setdefault(m[1].lower(), len(parts))
+                if m[2]:
+                    tail[i] = parts.setdefault(m[2], len(parts))
+            else:
+                odd.append(i)
+                stem[i] = -2 - n
+                n += 1
+        flat, bounds = self.pieces(list(parts))
+        more = [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([words[i].decode("utf-8") for i in odd], add_special_tokens=False)]
+        size = np.append(np.diff(bounds), [len(x) for x in more]).astype(np.int64)
+        flat = np.concatenate([flat, *more])
+        begin = np.cumsum(size) - size
+        # two pieces a word; a missing second one has size zero
+        stem = np.where(stem <= -2, len(parts) - 2 - stem, stem)
+        two = np.stack([stem, np.where(tail < 0, len(size), tail)], axis=1)
+        size, begin = np.append(size, 0)[two.ravel()], np.append(begin, 0)[two.ravel()]
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - begin, size)
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
+        self.flat = np.concatenate([self.flat, flat[at]])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(size[::2] + size[1::2])])
 
     def encode(self, texts: list[bytes], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end id after each; number of ids of each)."""
@@ -93,16 +104,17 @@ class WordEncoder:
         if new:
             self.learn(new)
         n_words = np.fromiter(map(len, split), np.int64, len(split))
-        which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(n_words.sum()))
+        which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int32, int(n_words.sum()))
         # the end id acts as one more word, at the back of the vocabulary
-        bounds = np.append(self.bounds, self.bounds[-1] + 1)
+        size = np.append(np.diff(self.bounds), 1).astype(np.int32)
+        begin = self.bounds.astype(np.int32)
         flat = np.append(self.flat, np.uint32(end_id))
-        which = np.insert(which, np.cumsum(n_words), len(bounds) - 2)
-        n = (bounds[1:] - bounds[:-1])[which]
-        ends = np.cumsum(n)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - bounds[which], n)]
+        which = np.insert(which, np.cumsum(n_words), len(size) - 1)
+        n = size[which]
+        ends = np.cumsum(n, dtype=np.int32)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(begin[which] - ends + n, n)]
         last = np.cumsum(n_words + 1) - 1
-        return ids, np.diff(ends[last], prepend=0)
+        return ids, np.diff(ends[last].astype(np.int64), prepend=0)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -116,7 +116,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that contain no item, all their columns kept."""
     bad = written(contaminated(docs, benchmark, percent).select("doc_id").distinct(), "bench-bad")
-    return docs.join(bad.hint("merge"), "doc_id", "left_anti")
+    return docs.join(bad.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

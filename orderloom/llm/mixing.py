@@ -182,6 +182,36 @@ def mix_sources(
     return pieces, placed.select("doc_id", "source", "rank", "place", "size", "source_size", "target")
 
 
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix as documents: a row, with all columns, for each copy that is taken.
+
+    A copy taken in part (where a source's target falls: one document a source) has
+    its first words, joined by one space, and their ``n_chars``. Rows that repeat a
+    doc_id are told apart by number; rows without an id stay if they are taken.
+    """
+    pieces, places = mix_sources(docs, **how)
+    took = pieces.groupBy("rank", "place", "copy").agg(F.sum("n_words").alias("n"))
+    mine = places.filter("size > 0").select("doc_id", "rank", "place", "size").join(took.hint("merge"), ["rank", "place"])
+    ids = columns(docs, "doc_id")
+    repeats = ids.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count() > 0
+    rows = docs.withColumnRenamed("doc_id", "__id").withColumn("__size", word_count(F.col("text")))
+    mine = mine.select(F.col("doc_id").alias("__id2"), F.col("size").alias("__size2"), "place", "rank", "copy", F.col("n").alias("__take"))
+    same = F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__size") == F.col("__size2"))
+    if repeats:
+        source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+        rows = rows.withColumn("__no", F.row_number().over(Window.partitionBy("__id", "__size", source).orderBy("text")))
+        rows = rows.withColumn("__rank_of", source)
+        names = places.select("rank", "source").distinct()
+        mine = mine.withColumn("__no2", F.dense_rank().over(Window.partitionBy("__id2", "__size2", "rank").orderBy("place")))
+        mine = mine.join(names.hint("merge"), "rank").withColumnRenamed("source", "__source2")
+        same = same & (F.col("__no") == F.col("__no2")) & F.col("__rank_of").eqNullSafe(F.col("__source2"))
+    out = rows.join(mine.hint("merge"), same)
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORDS), 0), 1, F.col("__take").cast("int")), " ")
+    out = out.withColumn("__text", F.when(F.col("__take") < F.col("__size"), cut).otherwise(F.col("text")))
+    fixed = {"doc_id": F.col("__id"), "text": F.col("__text"), "n_chars": F.when(F.col("__take") < F.col("__size"), F.length("__text").cast("long")).otherwise(F.col("n_chars") if "n_chars" in docs.columns else None)}
+    return out.select(*[fixed[c].alias(c) if c in fixed else F.col(f"`{c}`") for c in docs.columns])
+
+
 def mix_report(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document."""
     pieces, places = mix_sources(docs, **how)

@@ -136,13 +136,14 @@ class Voters:
 
     @staticmethod
     def disguised(t: Texts) -> Iterator[tuple[int, str]]:
-        """Words in which a digit or sign stands between letters, with letters put back."""
+        """Words in which one or two digits or signs stand between letters, with letters put back."""
         d = t.data
         letter = ((d >= 65) & (d <= 90)) | ((d >= 97) & (d <= 122))
         sign = np.isin(d, np.frombuffer(b"013457@$!", np.uint8))
-        if len(d) < 3:
+        if len(d) < 4:
             return
-        for i in np.flatnonzero(letter[:-2] & sign[1:-1] & letter[2:]).tolist():
+        after = letter[2:] | (sign[2:] & np.append(letter[3:], False))
+        for i in np.flatnonzero(letter[:-2] & sign[1:-1] & after).tolist():
             a, b = i, i + 3
             while a > 0 and i - a < 16 and (letter[a - 1] or sign[a - 1]):
                 a -= 1

@@ -15,7 +15,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -100,11 +100,14 @@ class WordEncoder:
         if len(self.index) > CACHE_WORDS:
             self.reset()
         split = [t.split() for t in texts]
-        new = sorted(set(chain.from_iterable(split)) - self.index.keys())
-        if new:
-            self.learn(new)
         n_words = np.fromiter(map(len, split), np.int64, len(split))
-        which = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int32, int(n_words.sum()))
+        words = list(chain.from_iterable(split))
+        which = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            unseen = [words[i] for i in new.tolist()]
+            self.learn(list(dict.fromkeys(unseen)))
+            which[new] = np.fromiter(map(self.index.__getitem__, unseen), np.int32, len(unseen))
         # the end id acts as one more word, at the back of the vocabulary
         size = np.append(np.diff(self.bounds), 1).astype(np.int32)
         begin = self.bounds.astype(np.int32)

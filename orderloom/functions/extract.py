@@ -69,7 +69,8 @@ def extract_district(c: Column, strict_compat: bool = False) -> Column:
 
 
 def extract_ward(c: Column) -> Column:
-    """Ward with its canonical type."""
+    """Ward with its canonical type. As in the patterns' own order, the type of a
+    written-out ``Xã`` is cut after its first letter (``Xã ã Vĩnh Thái``)."""
     raw = F.trim(_first(c, WARD))
     name = F.trim(F.regexp_replace(raw, f"(?iU){WARD_TYPE}", ""))
     low = F.lower(raw)

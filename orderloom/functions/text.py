@@ -58,12 +58,15 @@ def nfkc(c: Column) -> Column:
     return F.translate(c, *_compat_table())
 
 
-@F.pandas_udf("string")
-def nfkc_exact(s: pd.Series) -> pd.Series:
-    """Full NFKC, with composition and expansion; send only rows that need it."""
+def _full_nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 
 
+def nfkc_exact(c: Column) -> Column:
+    """Full NFKC, with composition and expansion, in Arrow batches; send only rows that need it."""
+    return F.pandas_udf(_full_nfkc, "string")(c)
+
+
 def needs_exact(c: Column) -> Column:
     """Rows on which nfkc() may differ from full NFKC: combining marks or characters that expand."""
     return F.coalesce(c.rlike(r"[\p{M}ᄀ-ᇿ‥-…¼-¾⅐-⅟ﬀ-ﭏ℀-⅏㌀-㏿㈀-㋿⑴-⒵ĲĳĿŀŉǄ-ǌǱ-ǳẚﷺ]"), F.lit(False))

@@ -12,6 +12,7 @@ from orderloom.functions.text import compact_text
 from orderloom.operators.dataset import expected_order, render_order, synth_fields
 from orderloom.operators.resolve import infer_province, resolve_records, unique_municipalities
 from orderloom.sources.io import nest_admin
+from orderloom.sources.staging import staged
 
 # Sample names for the administrative table that is derived from the star schema.
 PROVINCES = ("Thành phố Hà Nội", "Thành phố Hồ Chí Minh", "Tỉnh Thái Bình", "Tỉnh Nghệ An", "Tỉnh Lâm Đồng")
@@ -100,19 +101,21 @@ def parse_messages(msgs: DataFrame, records: DataFrame, replies: DataFrame | Non
     empty = F.lit(None).cast(EMPTY_ORDER)
     ruled = ruled.join(replies, "msg_id", "left") if replies is not None else ruled.withColumn("model", empty)
     blank = "named_struct('province', cast(null as string), 'district_hint', cast(null as string), 'ward', cast(null as string), 'street', cast(null as string), 'house_number', cast(null as string))"
-    ruled = ruled.persist()
+    ruled = staged(ruled, "ruled")
     merged = apply_precedence(ruled.filter("is_order")).withColumn("phone", normalize_phone(F.col("phone")))
-    merged = merged.withColumn("address", fix_address_parts(merge_hints(F.coalesce(F.col("model.address"), F.expr(blank)), F.col("hints"))))
+    merged = merged.withColumn("address", merge_hints(F.coalesce(F.col("model.address"), F.expr(blank)), F.col("hints")))
+    merged = staged(merged.select("msg_id", "phone", "name", "note", F.col("model.address_raw").alias("said"), "address"), "merged")
+    fixed = staged(merged.withColumn("address", fix_address_parts(F.col("address"))), "fixed")
     a = F.col("address")
     raw = format_address(join_street(a["house_number"], a["street"]), a["ward"], a["district_hint"], a["province"])
-    # persisting keeps the optimizer from inlining the repaired parts into every later use
-    merged = merged.select("msg_id", "phone", "name", "note", "model", "address").persist()
-    merged = merged.withColumn("address_raw", F.coalesce(F.nullif(F.col("model.address_raw"), F.lit("")), raw)).drop("model")
-    resolved = resolve_records(merged.select("*", "address.*"), records, threshold).select(*merged.columns, "resolved")
-    trusted = trust_resolved(resolved)
+    fixed = fixed.withColumn("address_raw", F.coalesce(F.nullif("said", F.lit("")), raw)).drop("said")
+    keys = fixed.select("address.province", "address.district_hint", "address.ward", "address.street", "address.house_number", "msg_id")
+    resolved = staged(resolve_records(keys, records, threshold).select("msg_id", "resolved"), "resolved")
+    resolved = fixed.join(resolved.hint("merge"), "msg_id")
+    trusted = staged(trust_resolved(resolved), "trusted")
     unique = unique_municipalities(records)
     trusted = infer_province(trusted, "sub_region", unique, "inferred_region")
     trusted = infer_province(trusted, "municipality", unique, "inferred_municipality")
-    done = project_order(repair_region(trusted))
+    done = project_order(staged(repair_region(trusted), "repaired"))
     rest = ruled.filter("not is_order").select("msg_id")
     return done.unionByName(rest, allowMissingColumns=True)

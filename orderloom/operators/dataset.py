@@ -66,8 +66,8 @@ def split_groups(df: DataFrame, ratio: float = 0.8, seed: int = 1, exact: bool =
 def split_stats(train: DataFrame, valid: DataFrame) -> DataFrame:
     """Ratios of the split and records found on both sides."""
     sides = train.select(canonical_key(train).alias("k"), F.lit(0).alias("v")).unionByName(valid.select(canonical_key(valid).alias("k"), F.lit(1).alias("v")))
-    keys = sides.groupBy(F.sha2("k", 256).alias("k")).agg(F.count_if("v = 0").alias("t"), F.count_if("v = 1").alias("v"))
-    out = keys.agg(F.sum("t").alias("t"), F.sum("v").alias("v"), F.count_if("t > 0 and v > 0").alias("cross_split_overlap"))
+    keys = sides.groupBy(F.sha2("k", 256).alias("k")).agg(F.count_if(F.col("v") == 0).alias("t"), F.count_if(F.col("v") == 1).alias("v"))
+    out = keys.agg(F.sum("t").alias("t"), F.sum("v").alias("v"), F.count_if((F.col("t") > 0) & (F.col("v") > 0)).alias("cross_split_overlap"))
     return out.select(F.round(F.col("t") / (F.col("t") + F.col("v")), 4).alias("train_ratio"), F.round(F.col("v") / (F.col("t") + F.col("v")), 4).alias("valid_ratio"), "cross_split_overlap")
 
 

@@ -36,7 +36,8 @@ def read_merger_map(spark: SparkSession, path: str) -> DataFrame:
     """(province_code, old_province_key) from code -> list of old provinces."""
     text = spark.read.text(path, wholetext=True)
     lists = text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("province_code", "names"))
-    return lists.select("province_code", place_name(F.explode("names")).alias("old_province_key"))
+    names = lists.select("province_code", F.explode("names").alias("name"))
+    return names.select("province_code", place_name(F.col("name")).alias("old_province_key"))
 
 
 def read_units(spark: SparkSession, path: str) -> DataFrame:

@@ -23,10 +23,11 @@ def parse_stream(messages: DataFrame, records: DataFrame, path: str, checkpoint:
 
 def dedupe_stream(messages: DataFrame, within: str = "1 hour", ts: str = "ts") -> DataFrame:
     """The first of equal texts within the watermark."""
-    return messages.withColumn("input_hash", F.sha2("text", 256)).withWatermark(ts, within).dropDuplicatesWithinWatermark(["input_hash"])
+    return messages.withColumns({"input_hash": F.sha2("text", 256), ts: F.col(ts).cast("timestamp")}).withWatermark(ts, within).dropDuplicatesWithinWatermark(["input_hash"])
 
 
 def orders_per_minute(orders: DataFrame, every: str = "1 minute", late: str = "5 minutes", ts: str = "ts") -> DataFrame:
     """Orders in each tumbling window."""
-    counted = orders.withWatermark(ts, late).groupBy(F.window(ts, every)).agg(F.count(F.lit(1)).alias("orders"))
+    # watermarks need a timestamp with zone; one without is read in the session's
+    counted = orders.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, every)).agg(F.count(F.lit(1)).alias("orders"))
     return counted.select(F.col("window.start").alias("minute"), "orders")

@@ -41,8 +41,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return known
 
 
-def written(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
-    """``df`` written to the shared folder and read back.
+def written(df: DataFrame, name: str, fmt: str = "parquet", parts: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back; ``parts`` merges its partitions
+    to so many, for results much smaller than what they are made of.
 
     Cuts the lineage, so that a lost executor costs a re-read and not a
     recomputation, and lets Spark drop the shuffle files of the steps before.
@@ -52,7 +53,7 @@ def written(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.format(fmt).option("compression", "zstd").save(path)
+        (df.coalesce(parts) if parts else df).write.format(fmt).option("compression", "zstd").save(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).format(fmt).load(path)

@@ -14,6 +14,8 @@ of its nodes, and nodes whose documents are all connected by then are done. In a
 large node only the documents outside its largest class are compared with the
 others, in blocks. Of the candidates found, each document's likeliest are confirmed
 first, and candidates within one class are dropped before the rest are confirmed.
+Large nodes are then compared again for more candidates of each document, and last
+for all that still lie between two classes, so that none stays unconfirmed.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ MAX_LEVELS = 5
 SETS_PER_TASK = 50_000
 #: Candidates of each document, likeliest first, that are confirmed before classes are looked at again.
 LIKELIEST = 3
+#: Candidates of each document and block of a large node that a round confirms; the last round takes all.
+ROUNDS = (8, 128, None)
 #: Differing bits of two 128-bit sketches: 12.8 expected at similarity 0.8, deviation 3.4; more than this in one pair of 50,000.
 SKETCH_BITS = 28
 _A = np.random.Generator(np.random.PCG64(97)).integers(1, 1 << 63, (TOKENS, 2), dtype=np.uint64) | U(1)
@@ -164,14 +168,27 @@ def between(pairs: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
     return written(two.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"), "near-between", parts=parts)
 
 
-def block_candidates(known: DataFrame, nodes: DataFrame, percent: int, block: int = BLOCK, few: int = FEW) -> DataFrame:
+def classed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with a ``doc`` and the class of each by now."""
+    return rows.join(roots.select(F.col("node").alias("doc"), "root").hint("merge"), "doc", "left").select(*rows.columns, F.coalesce("root", "doc").alias("class"))
+
+
+def mixed_nodes(known: DataFrame) -> DataFrame:
+    """Nodes (node, c, main, outside) with documents of several classes: size, largest class, documents outside it."""
+    per = known.groupBy("node", "class").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(
+        F.sum("k").alias("c"), F.max(F.struct("k", "class")).alias("m")
+    )
+    return per.filter("c > m.k").select("node", "c", F.col("m.class").alias("main"), (F.col("c") - F.col("m.k")).alias("outside"))
+
+
+def block_candidates(rows: DataFrame, percent: int, most: int | None, block: int = BLOCK, few: int = FEW) -> DataFrame:
     """Candidates (u, v, d) of the documents outside a large node's largest class.
 
-    Documents outside meet all the node's documents, in blocks of bounded size
-    that are spread over tasks. Each document keeps its eight likeliest
-    candidates of a block and the likeliest of each class, since one link to a class is enough.
+    ``rows``: the documents of large nodes with their class and node. Documents outside
+    meet all the node's documents, in blocks of bounded size that are spread over tasks.
+    Each document keeps its ``most`` likeliest candidates of a block and the likeliest
+    of each class; all between two classes if ``most`` is None.
     """
-    rows = known.join(nodes.hint("merge"), "node")
     blocks, fews = F.ceil(F.col("c") / block).cast("int"), F.ceil(F.col("outside") / few).cast("int")
     at = F.pmod(F.xxhash64("doc"), blocks).cast("int")
     some = F.pmod(F.xxhash64(F.lit(1), "doc"), fews).cast("int")
@@ -183,17 +200,18 @@ def block_candidates(known: DataFrame, nodes: DataFrame, percent: int, block: in
         asks = group.column("asks").to_numpy(zero_copy_only=False).astype(bool)
         doc, n, s1, s2, kind = (group.column(c).to_numpy() for c in ("doc", "n", "s1", "s2", "class"))
         ref = np.flatnonzero(~asks)
-        out: list[tuple[int, int, int]] = []
+        out = [np.zeros((3, 0), np.int64)]
         for q in np.flatnonzero(asks).tolist():
             d = np.bitwise_count((s1[ref] ^ s1[q]).view(np.uint64)).astype(np.int64) + np.bitwise_count((s2[ref] ^ s2[q]).view(np.uint64))
             ok = (d <= SKETCH_BITS) & (kind[ref] != kind[q]) & (100 * np.minimum(n[ref], n[q]) >= percent * np.maximum(n[ref], n[q]))
             hit = np.flatnonzero(ok)
-            hit = hit[np.lexsort((doc[ref[hit]], d[hit]))]
-            _, first = np.unique(kind[ref[hit]], return_index=True)
-            for i in np.union1d(np.arange(min(8, len(hit))), first).tolist():
-                a, b = int(doc[q]), int(doc[ref[hit[i]]])
-                out.append((max(a, b), min(a, b), int(d[hit[i]])))
-        u, v, d = (np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+            if most is not None and len(hit) > most:
+                hit = hit[np.lexsort((doc[ref[hit]], d[hit]))]
+                _, first = np.unique(kind[ref[hit]], return_index=True)
+                hit = hit[np.union1d(np.arange(most), first)]
+            other = doc[ref[hit]]
+            out.append(np.stack([np.maximum(other, doc[q]), np.minimum(other, doc[q]), d[hit]]))
+        u, v, d = np.concatenate(out, axis=1)
         return pa.table({"u": u, "v": v, "d": d.astype(np.int32)})
 
     return asked.unionByName(held).groupBy("node", "f", "b").applyInArrow(compare, "u long, v long, d int")
@@ -262,21 +280,20 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = PERCENT, tre
     roots = written(components(star, parts), "near-roots", parts=parts)
 
     # 2. candidates between classes: small nodes exhaustively, large ones in blocks or branched again
-    found, deep = None, 0
+    found, large, deep = None, None, 0
     while True:
-        known = nodes.join(roots.hint("merge"), nodes["doc"] == roots["node"], "left").select(nodes["*"], F.coalesce("root", "doc").alias("class"))
-        known = written(known, "near-known")
-        per = known.groupBy("node", "class").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(
-            F.sum("k").alias("c"), F.max(F.struct("k", "class")).alias("m")
-        )
-        mixed = written(per.filter("c > m.k").select("node", "c", F.col("m.class").alias("main"), (F.col("c") - F.col("m.k")).alias("outside")), "near-mixed")
+        known = written(classed(nodes, roots), "near-known")
+        mixed = written(mixed_nodes(known), "near-mixed")
         last = deep >= MAX_LEVELS
         small = known.join(mixed.filter(f"c <= {small_node}").select("node").hint("merge"), "node", "left_semi")
         pairs = small.alias("a").hint("merge").join(small.alias("b"), "node").filter(F.expr("a.doc > b.doc and a.class <> b.class") & alike("a", "b", percent))
         pairs = pairs.select(F.col("a.doc").alias("u"), F.col("b.doc").alias("v"), distance("a", "b").alias("d"))
         blocks = mixed.filter(f"c > {small_node}" if last else f"c > {small_node} and outside <= {FEW}")
         if not blocks.isEmpty():
-            pairs = pairs.unionByName(block_candidates(known, blocks, percent))
+            rows = written(known.join(blocks.hint("merge"), "node"), "near-large")
+            pairs = pairs.unionByName(block_candidates(rows, percent, ROUNDS[0]))
+            rows = rows.select(*nodes.columns)
+            large = rows if large is None else large.unionByName(rows)
         pairs = written(pairs.distinct(), "near-pairs", parts=parts)
         found = pairs if found is None else found.unionByName(pairs)
         big = mixed.filter(f"c > {small_node} and outside > {FEW}").select("node")
@@ -299,6 +316,18 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = PERCENT, tre
         roots = written(components(links, parts), "near-roots", parts=parts)
         links = links.unionByName(confirm(between(rest, roots, parts), texts, words, percent, parts))
 
+    # 4. large nodes again: further candidates that lie between classes by now, in the end all of them
+    tried = left.select("u", "v")
+    for most in ROUNDS[1:] if large is not None else ():
+        roots = written(components(links.distinct(), parts), "near-roots", parts=parts)
+        rows = written(classed(large, roots), "near-open")
+        rows = rows.join(mixed_nodes(rows).hint("merge"), "node")
+        more = written(block_candidates(rows, percent, most).select("u", "v").distinct().join(tried.hint("merge"), ["u", "v"], "left_anti"), "near-more")
+        count = more.count()
+        if count:
+            links = links.unionByName(confirm(more, texts, words, percent, max(parts, count // SETS_PER_TASK)))
+            tried = tried.unionByName(more)
+
     final = components(links.distinct(), parts)
     of = reps.join(final.hint("merge"), reps["doc"] == final["node"], "left").select("sig1", "sig2", F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component"))
     out = meta.join(of.hint("merge"), ["sig1", "sig2", "n_shingles"], "left")

@@ -56,6 +56,27 @@ def test_chains_and_large_nodes_find_all_links(spark):
     assert {k: r.component_id for k, r in got.items()} == {k: c for k, (_, c) in brute(rows, 2).items()}
 
 
+def test_large_class_whose_nearest_sketches_fail(spark):
+    """Documents at 0.80 from one member of a large class and 0.79 from the others, of which some have nearer sketches."""
+    rng, rows = random.Random(3), []
+    core = [f"c{i}" for i in range(400)]
+    for i in range(400):
+        w = list(core)
+        for k in range(15):
+            w[k * 3] = f"m{i}_{k}"
+        rows.append((i, " ".join(w), None, None, None))
+    for q in range(40):
+        w = rows[rng.randrange(400)][1].split()
+        for k in range(2, 15):
+            w[k * 3] = f"q{q}_{k}"
+        for k in range(9):
+            w[48 + k * 3] = f"r{q}_{k}"
+        rows.append((1000 + q, " ".join(w), None, None, None))
+    want = {k: c for k, (_, c) in brute(rows, 2).items()}
+    assert set(want.values()) == {0}
+    assert {k: r.component_id for k, r in as_dict(near_components(frame(spark, rows), words=2, small_node=4)).items()} == want
+
+
 def test_edges_of_input(spark):
     assert near_components(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(None, "a b c", None, None, None), (1, "A B c", None, None, None), (2, None, None, None, None), (3, "a b C", None, None, None), (3, "a b C", None, None, None), (4, "a", None, None, None), (5, "a", None, None, None)]

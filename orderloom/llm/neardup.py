@@ -4,7 +4,9 @@ Each set of word shingles is embedded as minwise tokens. A tree of the chosen-pa
 join branches documents by tokens: at a node every token is chosen with probability
 1 / (similarity * tokens), by a hash of the node and the token, so that similar sets
 choose alike; a document goes to one child for each of its chosen tokens, and none
-if it has none. Trees are independent and repeated until the target recall. Nodes
+if it has none. Trees are independent and as many as the target recall needs at the
+depth of the input; the first nodes that branch again do so several times over, for
+the target at the deepest nodes. Nodes
 with few documents are compared exhaustively, on one-bit sketches first; larger
 ones branch again. Candidates are confirmed on the full sets.
 
@@ -21,7 +23,7 @@ for all that still lie between two classes, so that none stays unconfirmed.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,10 @@ from orderloom.llm.common import LOWER, NOT_SPACE, U, columns, drop_written, mix
 from orderloom.llm.graph import components
 
 TOKENS = 64
+#: Least number of trees; deeper inputs take more.
 TREES = 20
+#: Chance that a pair at the threshold shares a node at the common depth, and at the deepest.
+SHARED, RECALL = 0.995, 0.99
 PERCENT = 80
 SMALL_NODE = 256
 #: A large node is compared in blocks once so few of its documents lie outside its largest class.
@@ -124,8 +129,37 @@ def children(node: np.ndarray, elements: np.ndarray, percent: int) -> tuple[np.n
     return row, mix(draw[row, col])
 
 
+def recall(trees: int, levels: int, copies: int, deeper: int, percent: int = PERCENT) -> float:
+    """Chance that two sets at the threshold share a node ``deeper`` levels under depth ``levels``.
+
+    Two sets share a binomial number of tokens, in all trees the same; a shared node
+    passes each shared token on with the chance that it is chosen. Nodes at depth
+    ``levels`` branch ``copies`` times over, all others once.
+    """
+    s, total = percent / 100, 0.0
+    chosen = 1 / (s * TOKENS)
+    for shared in range(TOKENS + 1):
+        gone = 0.0
+        for level in range(levels + deeper):
+            gone = gone**copies if level == deeper and deeper else gone
+            gone = (1 - chosen + chosen * gone) ** shared
+        total += comb(TOKENS, shared) * s**shared * (1 - s) ** (TOKENS - shared) * (1 - gone**trees)
+    return total
+
+
+def plan_trees(levels: int, percent: int = PERCENT, least: int = TREES) -> tuple[int, int]:
+    """(trees, copies): trees for SHARED at depth ``levels``, copies of its nodes for RECALL at MAX_LEVELS below."""
+    trees = least
+    while recall(trees, levels, 1, 0, percent) < SHARED:
+        trees += 1
+    copies = 1
+    while recall(trees, levels, copies, MAX_LEVELS, percent) < RECALL:
+        copies += 1
+    return trees, copies
+
+
 def branch(rows: DataFrame, levels: int, trees: int, percent: int) -> DataFrame:
-    """Rows (doc, n, s1, s2, mins [, node]) to their nodes ``levels`` further down."""
+    """Rows (doc, n, s1, s2, mins [, node]) to their nodes ``levels`` further down, ``trees`` times over."""
     rooted = "node" not in rows.columns
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +171,8 @@ def branch(rows: DataFrame, levels: int, trees: int, percent: int) -> DataFrame:
                 if rooted:
                     starts = [(np.arange(p.num_rows), np.full(p.num_rows, int(mix(np.array([t + 1], U))[0]), U)) for t in range(trees)]
                 else:
-                    starts = [(np.arange(p.num_rows), p.column("node").to_numpy().view(np.uint64))]
+                    node = p.column("node").to_numpy().view(np.uint64)
+                    starts = [(np.arange(p.num_rows), mix(node + U(t)) if t else node) for t in range(trees)]
                 for row, node in starts:
                     for _ in range(levels):
                         at, node = children(node, elements[row], percent)
@@ -265,6 +300,7 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = PERCENT, tre
     n = reps.count()
     parts = max(6, n // SETS_PER_TASK)
     levels = max(1, ceil(log(max(1, n / 64)) / log(16)))
+    trees, copies = plan_trees(levels, percent, trees)
     texts = columns(docs, "doc_id", "text").filter("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
     if n < meta.count():  # texts of representatives only; a repeated doc_id keeps its longest text's row apart
         texts = texts.join(reps.select("doc").hint("merge"), "doc", "left_semi")
@@ -301,7 +337,7 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = PERCENT, tre
             break
         split = known.drop("class").join(big.hint("merge"), "node", "left_semi").select("node", "doc")
         split = split.hint("merge").join(reps.drop("sig1", "sig2"), "doc")
-        deeper = written(branch(split, 1, trees, percent), "near-nodes")
+        deeper = written(branch(split, 1, 1 if deep else copies, percent), "near-nodes")
         drop_written(nodes, known, mixed)
         nodes, deep = deeper, deep + 1
     left = written(found.distinct(), "near-found", parts=parts)

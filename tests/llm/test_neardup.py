@@ -1,8 +1,10 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from orderloom.llm.graph import components
-from orderloom.llm.neardup import drop_near_copies, near_components
+from orderloom.llm.neardup import MAX_LEVELS, TOKENS, branch, drop_near_copies, near_components, plan_trees, recall
 from tests.llm.helpers import DOCS, as_dict, corpus, frame, words
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -77,6 +79,28 @@ def test_large_class_whose_nearest_sketches_fail(spark):
     assert {k: r.component_id for k, r in as_dict(near_components(frame(spark, rows), words=2, small_node=4)).items()} == want
 
 
+def test_trees_follow_depth():
+    assert round(recall(20, 8, 1, 0), 3) == 0.974 and round(recall(20, 3, 1, 5), 3) == 0.974
+    for levels in range(1, 11):
+        trees, copies = plan_trees(levels)
+        assert recall(trees, levels, copies, MAX_LEVELS) >= 0.99, levels
+
+
+def test_recall_at_the_deepest_nodes(spark):
+    """Pairs at the threshold, followed down by ``branch`` to the deepest setting."""
+    rng, pairs, levels = np.random.default_rng(4), 800, 3
+    one = rng.integers(1, 1 << 32, (pairs, TOKENS), dtype=np.uint32)
+    two = np.where(rng.random((pairs, TOKENS)) < 0.8, one, rng.integers(1, 1 << 32, (pairs, TOKENS), dtype=np.uint32))
+    rows = [(2 * i + k, 1, 0, 0, m[i].tobytes()) for i in range(pairs) for k, m in enumerate((one, two))]
+    docs = spark.createDataFrame(rows, "doc long, n long, s1 long, s2 long, mins binary")
+    trees, copies = plan_trees(levels)
+    nodes = branch(docs, levels, trees, 80)
+    for deep in range(MAX_LEVELS):
+        nodes = branch(nodes.join(docs.select("doc", "mins"), "doc"), 1, 1 if deep else copies, 80)
+    both = nodes.selectExpr("node", "doc", "doc div 2 as pair").distinct().groupBy("pair", "node").count().filter("count = 2")
+    assert both.select("pair").distinct().count() >= 0.985 * pairs  # 0.974 of them with 20 trees alone
+
+
 def test_edges_of_input(spark):
     assert near_components(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(None, "a b c", None, None, None), (1, "A B c", None, None, None), (2, None, None, None, None), (3, "a b C", None, None, None), (3, "a b C", None, None, None), (4, "a", None, None, None), (5, "a", None, None, None)]

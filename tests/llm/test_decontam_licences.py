@@ -73,3 +73,77 @@ def test_licence_rules(spark):
     got = {(r.doc_id, r.rule, r.matches) for r in scan_licences(frame(spark, rows)).collect()}
     assert got == {(1, "mit-short", 1), (2, "bsd3-full", 1), (2, "bsd2-full", 1), (7, "apache2-short", 1), (8, "mit-short", 2)}
     assert scan_licences(spark.createDataFrame([], DOCS)).count() == 0
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+"""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+GPL2 = GPL3.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2")
+BSD3 = """Copyright (c) 2020, Some One. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_whole_licence_texts(spark):
+    texts = {
+        "apache": (APACHE, {"apache2-short", "apache2-header"}), "mit": (MIT, {"mit-full"}), "gpl3": (GPL3, {"gpl3-header"}),
+        "gpl2": (GPL2, {"gpl2-header"}), "bsd": (BSD3, {"reserved-short", "bsd3-full", "bsd2-full"}),
+    }
+    rows, want = [], set()
+    for k, (text, rules) in enumerate(texts.values()):
+        plain = re.sub(r"(?<!\n)\n(?!\n)[ ]*", " ", text)  # a paragraph a line
+        forms = [text, plain, text.replace("\n", "\r\n"), re.sub("(?m)^", " * ", text), re.sub("(?m)^", "// ", text), re.sub(r"(?<!\n)[ ]+", "\n", text.replace("\n\n", "\n"))]
+        rows += [(100 * k + i, f, None, None, None) for i, f in enumerate(forms)]
+        want |= {(100 * k + i, r, 1) for i in range(len(forms)) for r in rules}
+    assert {(r.doc_id, r.rule, r.matches) for r in scan_licences(frame(spark, rows)).collect()} == want

@@ -187,6 +187,12 @@ def x1_extract_name(spark, sf_dir):
     return m.select("msg_id", extract.extract_name(F.col("text")).alias("name"))
 
 
+@query()
+def x1_extract_name_all(spark, sf_dir):
+    """All messages; the SQL of x1_extract_name covers the first template alone."""
+    return plan.messages(spark, sf_dir).select("msg_id", extract.extract_name(F.col("text")).alias("name"))
+
+
 @query(f"""WITH {SQL_PLACES} SELECT i AS msg_id,
   CASE WHEN old_province_name LIKE '%Hà Nội%' THEN 'Hà Nội' WHEN old_province_name LIKE '%Hồ Chí Minh%' THEN 'Hồ Chí Minh' ELSE replace(old_province_name, 'Tỉnh ', '') END AS province FROM msg""")
 def x2_extract_province(spark, sf_dir):

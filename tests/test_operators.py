@@ -1,12 +1,15 @@
 """Table operators against brute force on small inputs."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from orderloom.functions import extract
 from orderloom.functions.fuzzy import ratio
 from orderloom.operators import admin, dataset, resolve, score
 from orderloom.plans import orders as plan
+from orderloom.plans import queries
 from orderloom.sources import io
 from orderloom.streaming import stream
 
@@ -159,3 +162,15 @@ def test_entry():
 
     names = set(e.queries())
     assert set(e.oracle_sql()) <= names and len(names) > 80
+
+
+def test_names_of_all_templates(spark, data):
+    got = {r.msg_id: r.name for r in queries.QUERIES["x1_extract_name_all"](spark, data).collect()}
+    rows = plan.messages(spark, data).select("msg_id", "idx", "text", "fields.name").collect()
+    assert len(got) == len(rows) == plan.read(spark, data, "orders").count() and {r.idx % 8 for r in rows} == set(range(8))
+    for r in rows:
+        found = re.search(extract.NAME, r.text, re.IGNORECASE)
+        want = f"{found[1]} {found[2]}" if found else None
+        assert got[r.msg_id] == want, r.text
+        if " " in r.name:
+            assert got[r.msg_id] == r.name, r.text

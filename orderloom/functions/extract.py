@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from orderloom.functions.text import let
+
 # The extraction patterns.
 NAME = r"\b(anh|chị|chi|cô|co|chú|chu|bạn|ban|b|c)\s+([A-ZÀ-Ỵ][\wÀ-ỹ]+)"
 NUMBER = r"[0-9]+[a-zA-Z]?(?:/[0-9]+[a-zA-Z]?)?"
@@ -34,9 +36,8 @@ DISTRICT_TYPE = r"^(quận|quan|huyện|huyen|thị xã|thi xa|q\.?|h\.?|tx\.?)\
 
 
 def _first(c: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match, null without a match."""
-    text = F.coalesce(c, F.lit(""))
-    return F.when(text.rlike(f"(?iU){pattern}"), F.regexp_extract(text, f"(?iU){pattern}", group))
+    """The group of the first match, null without a match; no pattern's group can match nothing."""
+    return F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), f"(?iU){pattern}", group), F.lit(""))
 
 
 def _ends(c: Column) -> Column:
@@ -45,8 +46,7 @@ def _ends(c: Column) -> Column:
 
 def extract_name(c: Column) -> Column:
     """Form of address and the word after it."""
-    prefix = _first(c, NAME, 1)
-    return F.when(prefix.isNotNull(), F.concat(prefix, F.lit(" "), _first(c, NAME, 2)))
+    return let(_first(c, NAME, 1), lambda form: F.when(form.isNotNull(), F.concat(form, F.lit(" "), _first(c, NAME, 2))))
 
 
 def extract_province(c: Column) -> Column:
@@ -59,30 +59,34 @@ def extract_province(c: Column) -> Column:
 def extract_district(c: Column, strict_compat: bool = False) -> Column:
     """District with its canonical type. ``h`` without a dot is a Huyện; with
     strict_compat it is labelled Thị xã."""
-    raw = F.trim(_first(c, DISTRICT))
-    name = F.trim(F.regexp_replace(raw, f"(?iU){DISTRICT_TYPE}", ""))
-    low = F.lower(raw)
-    rural = low.startswith("h.") | low.startswith("huyện") | low.startswith("huyen")
-    rural = rural if strict_compat else rural | low.rlike(r"(?U)^h\s")
-    kind = F.when(low.startswith("q"), F.lit("Quận ")).when(rural, F.lit("Huyện ")).otherwise(F.lit("Thị xã "))
-    return F.when(raw.isNotNull(), F.concat(kind, name))
+
+    def typed(raw: Column) -> Column:
+        low = F.lower(raw)
+        rural = low.startswith("h.") | low.startswith("huyện") | low.startswith("huyen")
+        rural = rural if strict_compat else rural | low.rlike(r"(?U)^h\s")
+        kind = F.when(low.startswith("q"), F.lit("Quận ")).when(rural, F.lit("Huyện ")).otherwise(F.lit("Thị xã "))
+        return F.concat(kind, F.trim(F.regexp_replace(raw, f"(?iU){DISTRICT_TYPE}", "")))
+
+    return let(F.trim(_first(c, DISTRICT)), typed)
 
 
 def extract_ward(c: Column) -> Column:
     """Ward with its canonical type. As in the patterns' own order, the type of a
     written-out ``Xã`` is cut after its first letter (``Xã ã Vĩnh Thái``)."""
-    raw = F.trim(_first(c, WARD))
-    name = F.trim(F.regexp_replace(raw, f"(?iU){WARD_TYPE}", ""))
-    low = F.lower(raw)
-    rural = low.startswith("x.") | low.startswith("x ") | low.startswith("xã") | low.startswith("xa")
-    kind = F.when(low.startswith("p"), F.lit("Phường ")).when(rural, F.lit("Xã ")).otherwise(F.lit("Thị trấn "))
-    return F.when(raw.isNotNull(), F.concat(kind, name))
+
+    def typed(raw: Column) -> Column:
+        low = F.lower(raw)
+        rural = low.startswith("x.") | low.startswith("x ") | low.startswith("xã") | low.startswith("xa")
+        kind = F.when(low.startswith("p"), F.lit("Phường ")).when(rural, F.lit("Xã ")).otherwise(F.lit("Thị trấn "))
+        return F.concat(kind, F.trim(F.regexp_replace(raw, f"(?iU){WARD_TYPE}", "")))
+
+    return let(F.trim(_first(c, WARD)), typed)
 
 
 def extract_street(c: Column) -> Column:
     """Optional alley part, then the street."""
     alley, street = F.trim(_first(c, STREET, 1)), F.trim(_first(c, STREET, 2))
-    return F.when(street.isNotNull(), F.trim(F.concat_ws(" ", F.nullif(alley, F.lit("")), street)))
+    return F.nullif(F.trim(F.concat_ws(" ", alley, street)), F.lit(""))
 
 
 def extract_house_number(c: Column) -> Column:
@@ -101,17 +105,19 @@ def extract_note(c: Column) -> Column:
     return F.coalesce(labelled, F.when(F.size(once) > 0, F.array_join(once, ", ")))
 
 
-def rule_hints(c: Column) -> Column:
-    """Name and address hints as one struct."""
+def address_hints(c: Column) -> Column:
+    """The five address parts that the rules find, as a struct."""
     return F.struct(
-        extract_name(c).alias("name"),
-        F.struct(
-            extract_province(c).alias("province"), extract_district(c).alias("district_hint"), extract_ward(c).alias("ward"),
-            extract_street(c).alias("street"), extract_house_number(c).alias("house_number"),
-        ).alias("address"),
+        extract_province(c).alias("province"), extract_district(c).alias("district_hint"), extract_ward(c).alias("ward"),
+        extract_street(c).alias("street"), extract_house_number(c).alias("house_number"),
     )
 
 
+def rule_hints(c: Column) -> Column:
+    """Name and address hints as one struct."""
+    return F.struct(extract_name(c).alias("name"), address_hints(c).alias("address"))
+
+
 def is_likely_order(text: Column, phone: Column, addr: Column) -> Column:
     """A phone, an address hint or an order word; such rows are parsed, others stay empty."""
     hints = addr["province"].isNotNull() | addr["ward"].isNotNull() | addr["street"].isNotNull()

@@ -1,15 +1,13 @@
 """Text canonicalisation as native Column functions (ids T1-T14).
 
-Character tables are generated from ``unicodedata`` once per process; everything
-runs inside whole-stage code generation except ``nfkc_exact``.
+Everything runs in the JVM; Unicode normal forms come from the Unicode library
+that Spark ships.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from functools import cache
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,44 +30,30 @@ SHORT_FORMS = (
 )
 
 
-@cache
-def _accent_table() -> tuple[str, str]:
-    source, target = [], []
-    for code in range(0x80, 0x10000):
-        ch = chr(code)
-        if 0xD800 <= code < 0xE000:
-            continue
-        bare = "".join(x for x in unicodedata.normalize("NFD", ch) if unicodedata.category(x) != "Mn")
-        if len(bare) == 1 and bare != ch:
-            source.append(ch)
-            target.append(bare)
-    return "".join([*source, "đ", "Đ"]), "".join([*target, "d", "D"])
+#: Blocks whose letters no compatibility normalisation changes; other characters need a look.
+_SETTLED = r"[^\x00-\x7F\u00C0-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0180-\u01C3\u01CD-\u01F0\u01F4-\u024F\u0400-\u0481\u048A-\u052F\u1E00-\u1E99\u1EA0-\u1EFF]"
 
 
-@cache
-def _compat_table() -> tuple[str, str]:
-    pairs = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
-    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def nfkc(c: Column) -> Column:
-    """NFKC of characters that map to one character; sequences stay as they are."""
-    return F.translate(c, *_compat_table())
-
-
-def _full_nfkc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFKC")
+def needs_exact(c: Column) -> Column:
+    """Rows with a character outside the settled blocks, which normalisation may change."""
+    return F.coalesce(c.rlike(_SETTLED), F.lit(False))
 
 
-def nfkc_exact(c: Column) -> Column:
-    """Full NFKC, with composition and expansion, in Arrow batches; send only rows that need it."""
-    return F.pandas_udf(_full_nfkc, "string")(c)
+def nfkc(c: Column) -> Column:
+    """Full NFKC, with composition and expansion, by the JVM's Unicode library; null stays null."""
+    exact = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    return F.when(needs_exact(c), exact).otherwise(c)
 
 
-def needs_exact(c: Column) -> Column:
-    """Rows on which nfkc() may differ from full NFKC: combining marks or characters that expand."""
-    return F.coalesce(c.rlike(r"[\p{M}ᄀ-ᇿ‥-…¼-¾⅐-⅟ﬀ-ﭏ℀-⅏㌀-㏿㈀-㋿⑴-⒵ĲĳĿŀŉǄ-ǌǱ-ǳẚﷺ]"), F.lit(False))
+def _nfd(c: Column) -> Column:
+    """Canonical decomposition of rows with other than ASCII characters."""
+    apart = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), c, F.lit(False))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), apart).otherwise(c)
 
 
 def collapse_ws(c: Column) -> Column:
@@ -84,16 +68,17 @@ def compact_text(c: Column) -> Column:
 
 def strip_accents(c: Column) -> Column:
     """Marks removed, đ to d; null becomes empty. Composed and decomposed text agree."""
-    return F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), *_accent_table()), r"\p{Mn}+", "")
+    return F.translate(F.regexp_replace(_nfd(F.coalesce(c, F.lit(""))), r"\p{Mn}+", ""), "đĐ", "dD")
 
 
 def _key(low: Column, remove_admin_prefix: bool) -> Column:
-    key = collapse_ws(F.regexp_replace(low, r"(?U)[^\w\s]", " "))
+    key = F.trim(F.regexp_replace(low, r"(?U)\W+", " "))
     if not remove_admin_prefix:
         return key
-    longest_first = "|".join(sorted(ADMIN_PREFIXES, key=len, reverse=True))
-    key = collapse_ws(F.regexp_replace(key, rf"(?U)\b(?:{longest_first})\b", " "))
-    return F.array_join(F.filter(F.split(key, " "), lambda p: ~p.isin(*ADMIN_PREFIXES) & (p != "")), " ")
+    # the prefixes of two words by a pattern; those of one word, like empty words, by the words
+    pairs = "|".join(p for p in ADMIN_PREFIXES if " " in p)
+    words = F.split(F.regexp_replace(key, rf"(?U)\b(?:{pairs})\b", " "), " ")
+    return F.array_join(F.filter(words, lambda w: ~w.isin(*ADMIN_PREFIXES, "")), " ")
 
 
 def normalize_key(c: Column, remove_admin_prefix: bool = True) -> Column:

@@ -87,8 +87,10 @@ def profile(df: DataFrame) -> DataFrame:
     counts += [F.count_if(r[f].isNull()).alias(f"{f}_null") for f in ("recipient_name", "note", "address_raw")]
     counts += [F.count_if(_has(rf"\b{x}(?:\.|\s)")).alias(f"{x}_dot_or_space_inputs") for x in "xhpq"]
     counts += [F.count_if(r["address_info"][f].isNull()).alias(f"{f}_null") for f in INFO]
-    key = F.sha2(canonical_key(df), 256)
-    return df.agg(*counts, F.count_distinct(key).alias("unique_records")).withColumn("duplicate_rows", F.col("records") - F.col("unique_records"))
+    # counted by record first, so that a record's key is made once and the distinct count needs no second copy of each row
+    per = df.groupBy(F.sha2(canonical_key(df), 256).alias("key")).agg(*counts)
+    total = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in per.columns[1:]], F.count(F.lit(1)).alias("unique_records"))
+    return total.withColumn("duplicate_rows", F.col("records") - F.col("unique_records"))
 
 
 def profile_extended(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderloom.functions.text import export_text, score_text
+from orderloom.functions.text import export_text, let, score_text
 
 # The scored fields and the paths of their public form.
 FIELDS = {
@@ -44,10 +44,12 @@ def exact(e: Column, p: Column) -> Column:
 
 def confusion(df: DataFrame, *by: str) -> DataFrame:
     """Exact, tp, fp, fn and total of each group; a mismatch can be both fp and fn."""
-    same, e, p = exact(F.col("expected"), F.col("predicted")), score_text(F.col("expected")) != "", score_text(F.col("predicted")) != ""
-    return df.groupBy(*by).agg(
+    # both sides are normalised once, in a step of their own, and only then compared
+    sides = df.select(*by, score_text(F.col("expected")).alias("e"), score_text(F.col("predicted")).alias("p"))
+    same, e, p = F.col("e") == F.col("p"), F.col("e") != "", F.col("p") != ""
+    return sides.groupBy(*by).agg(
         F.count_if(same).alias("exact_count"), F.count_if(same & e).alias("tp"), F.count_if(~same & p).alias("fp"), F.count_if(~same & e).alias("fn"),
-        F.count(F.lit(1)).alias("total"), F.avg(token_f1(F.col("expected"), F.col("predicted"))).alias("token_f1_avg"),
+        F.count(F.lit(1)).alias("total"), F.avg(F.when(same, 1.0).otherwise(_word_f1(F.col("e"), F.col("p")))).alias("token_f1_avg"),
     )
 
 
@@ -61,15 +63,22 @@ def prf(tp: Column, fp: Column, fn: Column) -> Column:
     return F.struct(p.alias("precision"), r.alias("recall"), _rate(2 * p * r, p + r).alias("f1"))
 
 
+def _numbered(text: Column) -> Column:
+    """The words of a text, each followed by how often it has occurred before: a multiset as a set."""
+    words = F.array_sort(F.filter(F.split(text, " "), lambda t: t != ""))
+    return let(words, lambda ws: F.transform(ws, lambda w, i: F.concat(w, F.lit(" "), (i + 1 - F.array_position(ws, w)).cast("string"))))
+
+
+def _word_f1(e: Column, p: Column) -> Column:
+    def f1(s: Column) -> Column:
+        return 2.0 * F.size(F.array_intersect(s["e"], s["p"])) / (F.size(s["e"]) + F.size(s["p"]))
+
+    return F.when((e == "") & (p == ""), 1.0).when((e == "") | (p == ""), 0.0).otherwise(let(F.struct(_numbered(e).alias("e"), _numbered(p).alias("p")), f1))
+
+
 def token_f1(e: Column, p: Column) -> Column:
     """F1 of token multisets; both empty 1, one empty 0."""
-    a = F.filter(F.split(score_text(e), " "), lambda t: t != "")
-    b = F.filter(F.split(score_text(p), " "), lambda t: t != "")
-    shared = F.aggregate(
-        F.array_distinct(a), F.lit(0), lambda acc, t: acc + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t)))
-    )
-    both = 2.0 * shared / (F.size(a) + F.size(b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both)
+    return let(F.struct(score_text(e).alias("e"), score_text(p).alias("p")), lambda s: _word_f1(s["e"], s["p"]))
 
 
 def field_metrics(preds: DataFrame) -> DataFrame:

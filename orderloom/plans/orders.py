@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.functions.extract import extract_note, is_likely_order, rule_hints
+from orderloom.functions.extract import address_hints, extract_name, extract_note, is_likely_order
 from orderloom.functions.merge import apply_precedence, fix_address_parts, format_address, join_street, merge_hints, project_order, repair_region, trust_resolved
 from orderloom.functions.phone import extract_phone, mask_phone, normalize_phone
 from orderloom.functions.text import compact_text
@@ -83,13 +83,17 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_pass(msgs: DataFrame) -> DataFrame:
-    """Canonical text, rule hints, masked text and the gate: msg_id, cleaned, rule, hints, masked, is_order."""
-    cleaned = msgs.withColumn("cleaned", compact_text(F.col("text")))
-    hinted = cleaned.withColumns({"phone0": extract_phone(F.col("cleaned")), "hints0": rule_hints(F.col("cleaned")), "note0": extract_note(F.col("cleaned"))})
-    return hinted.select(
-        "msg_id", "cleaned", F.struct(F.col("phone0").alias("phone"), F.col("hints0.name").alias("name"), F.col("note0").alias("note")).alias("rule"),
-        F.col("hints0.address").alias("hints"), compact_text(mask_phone(F.col("cleaned"))).alias("masked"),
-        is_likely_order(F.col("cleaned"), F.col("phone0"), F.col("hints0.address")).alias("is_order"),
+    """Canonical text, rule hints, masked text and the gate: msg_id, cleaned, rule, hints, masked, is_order.
+
+    Each step reads columns of the step before, which Spark computes once; a filter on
+    ``is_order`` right behind it would be pushed below all steps and compute them again.
+    """
+    cleaned = msgs.select("msg_id", compact_text(F.col("text")).alias("cleaned"))
+    c = F.col("cleaned")
+    found = cleaned.withColumns({"phone0": extract_phone(c), "name0": extract_name(c), "note0": extract_note(c), "hints": address_hints(c), "masked": compact_text(mask_phone(c))})
+    return found.select(
+        "msg_id", "cleaned", F.struct(F.col("phone0").alias("phone"), F.col("name0").alias("name"), F.col("note0").alias("note")).alias("rule"),
+        "hints", "masked", is_likely_order(c, F.col("phone0"), F.col("hints")).alias("is_order"),
     )
 
 

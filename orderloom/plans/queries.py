@@ -69,10 +69,10 @@ def _text(name: str, sql: str):
 @query()
 def entry_orders_by_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phone, name, note and address parts of every message, counted by ward."""
-    ruled = plan.rule_pass(plan.messages(spark, sf_dir))
-    return ruled.filter("is_order").groupBy(F.col("hints.ward").alias("ward")).agg(
-        F.count(F.lit(1)).alias("orders"), F.count("rule.phone").alias("with_phone"), F.count("rule.note").alias("with_note"), F.count("hints.house_number").alias("with_house_number")
-    )
+    ruled = plan.rule_pass(plan.messages(spark, sf_dir)).select("is_order", F.col("hints.ward").alias("ward"), "rule.phone", "rule.note", F.col("hints.house_number").alias("house"))
+    of = {"orders": F.lit(1), "with_phone": F.col("phone"), "with_note": F.col("note"), "with_house_number": F.col("house")}
+    counts = ruled.groupBy("ward").agg(*[F.count(F.when(F.col("is_order"), c)).alias(n) for n, c in of.items()])
+    return counts.filter("orders > 0")
 
 
 # ---------------------------------------------------------------- text

@@ -41,7 +41,7 @@ def test_keys(spark):
 
 def test_text_forms(spark):
     rows = [" a\t\nb  c ", None, "ｆｕｌｌ　width", "Chị Lan nhé", "anh ơi", "b", "Nguyễn Đức"]
-    got = values(spark, rows, text.compact_text(F.col("s")), text.recipient_name(F.col("s")), text.ward_code(F.col("s"), F.lit("")), text.nfkc_exact(F.col("s")))
+    got = values(spark, rows, text.compact_text(F.col("s")), text.recipient_name(F.col("s")), text.ward_code(F.col("s"), F.lit("")), text.nfkc(F.col("s")))
     assert [g[0] for g in got][:3] == ["a b c", "", "full width"]
     assert [g[1] for g in got][3:] == ["Lan", "ơi", None, "Nguyễn Đức"]
     assert got[6][2] == "W_NGUYEN_UC" and got[2][3] == "full width"
@@ -122,3 +122,45 @@ def test_ratio_and_its_bound(spark):
         assert abs(r.r - want) < 1e-9
         assert r.m or want < 72
         assert not a or b or r.s == 0
+
+
+def test_decomposed_messages_parse_like_composed_ones(spark):
+    import unicodedata
+
+    from orderloom.plans.orders import rule_pass
+
+    said = ["giao phường Tân Phú, quận 7, gọi anh Đức 0912 345 678, ghi chú: giao giờ hành chính", "ｓｈｉｐ sn ⅷ x. Vĩnh Thái, h. Quỳnh Phụ, tỉnh Thái Bình"]
+    forms = [(i, f, unicodedata.normalize(f, t)) for i, t in enumerate(said) for f in ("NFC", "NFD", "NFKD")]
+    got = rule_pass(spark.createDataFrame([(f"{i}{f}", t) for i, f, t in forms], "msg_id string, text string")).collect()
+    by = {r["msg_id"]: r.asDict(recursive=True) for r in got}
+    for i, f, t in forms:
+        assert {**by[f"{i}{f}"], "msg_id": 0} == {**by[f"{i}NFC"], "msg_id": 0}
+        assert by[f"{i}{f}"]["cleaned"] == " ".join(unicodedata.normalize("NFKC", t).split())
+    assert by["0NFD"]["hints"]["ward"] == "Phường Tân Phú" and by["0NFD"]["hints"]["district_hint"] == "Quận 7"
+
+
+def test_normal_forms_equal_pythons(spark):
+    import unicodedata
+
+    # blocks that all Unicode versions in use agree on
+    rows = [chr(c) for a, b in ((1, 0x530), (0x1E00, 0x20A0), (0x2100, 0x2190), (0x3041, 0x3100), (0xAC00, 0xAD00), (0xFF01, 0xFFEF)) for c in range(a, b) if unicodedata.category(chr(c)) != "Cn"]
+    rows += ["a" + chr(c) + "b" + chr(0x323) for c in range(0x300, 0x370)]
+    df = spark.createDataFrame([(r,) for r in rows], "s string")
+    for r in df.select("s", text.nfkc(F.col("s")).alias("k"), text.strip_accents(F.col("s")).alias("b")).collect():
+        assert r["k"] == unicodedata.normalize("NFKC", r["s"])
+        bare = "".join(x for x in unicodedata.normalize("NFD", r["s"]) if unicodedata.category(x) != "Mn").replace("đ", "d").replace("Đ", "D")
+        assert r["b"] == bare
+
+
+def test_token_f1_counts_repeats(spark):
+    from collections import Counter
+
+    from orderloom.operators.score import token_f1
+
+    rows = [("a b b c", "b b b d"), ("", ""), (None, "a"), ("x", None), ("A  a b", "a A b"), ("a 1 a 2", "a 2 1 a")]
+    got = spark.createDataFrame(rows, "e string, p string").select(token_f1(F.col("e"), F.col("p")).alias("f")).collect()
+    for (e, p), r in zip(rows, got, strict=True):
+        a, b = Counter((e or "").lower().split()), Counter((p or "").lower().split())
+        shared = sum((a & b).values())
+        want = 1.0 if not a and not b else 2 * shared / (a.total() + b.total())
+        assert abs(r["f"] - want) < 1e-12

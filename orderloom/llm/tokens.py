@@ -10,15 +10,15 @@ all files before it.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +26,18 @@ from orderloom.llm.common import checkpoint_dir, columns, slices, table, utf8
 
 END_ID = 1
 FILE_BYTES = 48 << 20
-CACHE_WORDS = 600_000
-#: Words that the tokenizer splits into their letters and the full stops or commas after them.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f\u0430-\u044f]+)([.,]+)?")
+#: Text that is encoded at once, and parts of words that a worker remembers.
+ENCODE_BYTES, CACHE_PARTS = 8 << 20, 500_000
+#: Words that the tokenizer splits into their letters and the signs after them (no apostrophe, which may begin
+#: an ending, and no <, which may begin a special token).
+PLAIN = (
+    "^(?P<stem>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f\u0430-\u044f]+)"
+    r"(?P<tail>[!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)$"
+)
+WORD_END = "</w>"
+# The definition under which a text's ids are those of its words, and a word's those of its parts.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 def tokenizer_path() -> str:
@@ -37,87 +46,113 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def word_by_word(definition: dict) -> bool:
+    """Whether a tokenizer (its JSON) encodes words apart as ``WordEncoder`` cuts them."""
+    model, cut = definition["model"], (definition.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return (
+        model.get("type") == "BPE" and model.get("end_of_word_suffix") == WORD_END and not model.get("dropout") and definition.get("normalizer") == NORMALIZER
+        and [c.get("type") for c in cut] == ["Split", "ByteLevel"] and cut[0]["pattern"] == {"Regex": SPLIT} and cut[0]["invert"] and not cut[1]["add_prefix_space"]
+        and not definition.get("truncation") and not definition.get("padding")
+        and all(t["content"].startswith("<") and " " not in t["content"] and not t["lstrip"] and not t["rstrip"] for t in definition["added_tokens"])
+    )
+
+
 class WordEncoder:
-    """Encodes texts word by word, each distinct word once.
+    """Encodes texts by the distinct parts of their words, each once.
 
-    The tokenizer drops white space and no merge or normalisation of it spans an
-    ASCII space, so a text's ids are those of its words in order. The cache starts
-    afresh when it holds ``CACHE_WORDS`` words, which bounds its memory.
+    With a tokenizer that ``word_by_word`` knows, a text's ids are those of its words in
+    order, and those of a word of letters and signs are its letters' and its signs'.
+    Parts are remembered; beyond ``CACHE_PARTS`` those that the last texts used stay.
+    Texts go whole to any other tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.index: dict[bytes, int] = {}  # word -> its number in flat / bounds
-        self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids one after the other, bounds) of texts that are one part each to the tokenizer."""
-        groups = [texts[i : i + 256] for i in range(0, len(texts), 256)]
-        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for g, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            at = np.asarray(e.word_ids, np.int64)
-            if at[-1] + 1 != len(g):
-                raise ValueError("a word that was taken for one part is several")
-            ids.append(np.asarray(e.ids, np.uint32))
-            sizes.append(np.bincount(at, minlength=len(g)))
-        return np.concatenate(ids), np.append(0, np.cumsum(np.concatenate(sizes)))
-
-    def learn(self, words: list[bytes]) -> None:
-        """Adds words: letters (with full stops or commas) by their parts, others each by itself."""
-        parts: dict[str, int] = {}
-        stem, tail = np.zeros(len(words), np.int64), np.full(len(words), -1)
-        odd, n = [], 0
-        for i, raw in enumerate(words):
-            if m := PLAIN.fullmatch(w := raw.decode("utf-8")):
-                stem[i] = parts.setdefault(m[1].lower(), len(parts))
-                if m[2]:
-                    tail[i] = parts.setdefault(m[2], len(parts))
-            else:
-                odd.append(i)
-                stem[i] = -2 - n
-                n += 1
-        flat, bounds = self.pieces(list(parts))
-        more = [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([words[i].decode("utf-8") for i in odd], add_special_tokens=False)]
-        size = np.append(np.diff(bounds), [len(x) for x in more]).astype(np.int64)
-        flat = np.concatenate([flat, *more])
+        self.cuts = word_by_word(json.loads(self.tokenizer.to_str()))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.known = {"": 0}  # part -> its number in begin, size
+        self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.used = np.zeros(1, np.int64)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def remember(self, parts: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
+        self.begin = np.append(self.begin, len(self.flat) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.flat = np.append(self.flat, ids)
+
+    def learn(self, parts: list[str], together: bool) -> None:
+        """``together``: each is one part to the tokenizer, so many go in one text and word ends tell them apart."""
+        if together:
+            ids = np.concatenate(self.ids([" ".join(parts[i : i + 256]) for i in range(0, len(parts), 256)]))
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(parts):
+                raise ValueError("a part that was taken for one is several")
+            self.remember(parts, ids, np.diff(last, prepend=-1))
+        else:
+            each = self.ids(parts)
+            self.remember(parts, np.concatenate(each), np.array([len(x) for x in each], np.int64))
+
+    def forget(self) -> None:
+        """Keeps the parts that the last texts used."""
+        names, keep = list(self.known), np.union1d(self.used, [0])
+        self.known = {names[k]: i for i, k in enumerate(keep.tolist())}
+        size = self.size[keep]
         begin = np.cumsum(size) - size
-        # two pieces a word; a missing second one has size zero
-        stem = np.where(stem <= -2, len(parts) - 2 - stem, stem)
-        two = np.stack([stem, np.where(tail < 0, len(size), tail)], axis=1)
-        size, begin = np.append(size, 0)[two.ravel()], np.append(begin, 0)[two.ravel()]
-        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - begin, size)
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
-        self.flat = np.concatenate([self.flat, flat[at]])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(size[::2] + size[1::2])])
-
-    def encode(self, texts: list[bytes], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        self.flat = self.flat[np.arange(int(size.sum())) + np.repeat(self.begin[keep] - begin, size)]
+        self.begin, self.size = begin, size
+
+    def numbers(self, parts: pa.Array, together: bool) -> np.ndarray:
+        """The number of each part, new ones learned."""
+        coded = parts.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        new = [p for p in names if p not in self.known]
+        if new:
+            self.learn(new, together)
+        self.used = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        return self.used[coded.indices.to_numpy()]
+
+    def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end id after each; number of ids of each)."""
-        if len(self.index) > CACHE_WORDS:
-            self.reset()
-        split = [t.split() for t in texts]
-        n_words = np.fromiter(map(len, split), np.int64, len(split))
-        words = list(chain.from_iterable(split))
-        which = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
-        new = np.flatnonzero(which < 0)
-        if len(new):
-            unseen = [words[i] for i in new.tolist()]
-            self.learn(list(dict.fromkeys(unseen)))
-            which[new] = np.fromiter(map(self.index.__getitem__, unseen), np.int32, len(unseen))
-        # the end id acts as one more word, at the back of the vocabulary
-        size = np.append(np.diff(self.bounds), 1).astype(np.int32)
-        begin = self.bounds.astype(np.int32)
-        flat = np.append(self.flat, np.uint32(end_id))
-        which = np.insert(which, np.cumsum(n_words), len(size) - 1)
+        if not self.cuts:
+            each = [np.append(x, np.uint32(end_id)) for x in self.ids(texts.to_pylist())]
+            return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(x) for x in each], np.int64)
+        if len(self.known) > CACHE_PARTS:
+            self.forget()
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        cut = pc.extract_regex(coded.dictionary, PLAIN)
+        plain = pc.is_valid(cut)
+        flat = cut.filter(plain)
+        n = len(flat)
+        halves = self.numbers(pa.concat_arrays([pc.utf8_lower(flat.field("stem")), flat.field("tail")]), True)
+        used = self.used
+        odd = self.numbers(coded.dictionary.filter(pc.invert(plain)), False)
+        self.used = np.append(used, self.used)
+        # the two parts of each distinct word, and the ids that they have one after the other
+        plain = plain.to_numpy(zero_copy_only=False)
+        parts = np.zeros((len(plain), 2), np.int64)
+        parts[plain] = np.stack([halves[:n], halves[n:]], axis=1)
+        parts[~plain, 0] = odd
+        size = self.size[parts]
+        each, two = size.sum(axis=1), size.ravel()
+        at = np.arange(int(two.sum()), dtype=np.int64) + np.repeat(self.begin[parts].ravel() - np.cumsum(two) + two, two)
+        # the end id acts as one more word behind each text
+        ids = np.append(self.flat[at], np.uint32(end_id))
+        size = np.append(each, 1).astype(np.int32)
+        begin = (np.cumsum(size) - size).astype(np.int32)
+        n_words = split.value_lengths().to_numpy()
+        which = np.insert(coded.indices.to_numpy(), np.cumsum(n_words), len(size) - 1)
         n = size[which]
         ends = np.cumsum(n, dtype=np.int32)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(begin[which] - ends + n, n)]
-        last = np.cumsum(n_words + 1) - 1
-        return ids, np.diff(ends[last].astype(np.int64), prepend=0)
+        out = ids[np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(begin[which] - ends + n, n)]
+        return out, np.diff(ends[np.cumsum(n_words + 1) - 1].astype(np.int64), prepend=0)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -146,10 +181,10 @@ def write_tokens(
             _ENCODERS[tokenizer] = WordEncoder(tokenizer)
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            raw = data.tobytes()
-            for a, b in slices(offsets):
-                ids, n = _ENCODERS[tokenizer].encode([raw[offsets[i] : offsets[i + 1]] for i in range(a, b)], end_id)
+            texts = batch.column("text").fill_null("")
+            _, offsets = utf8(texts)
+            for a, b in slices(offsets, ENCODE_BYTES):
+                ids, n = _ENCODERS[tokenizer].encode(texts.slice(a, b - a), end_id)
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from orderloom.llm.tokens import WordEncoder, find_document, ids_digest, read_tokens, tokenizer_path, write_tokens
@@ -28,14 +29,31 @@ def test_round_trip(spark, tmp_path):
     assert all(a.last_id <= b.first_id for a, b in zip(files, files[1:], strict=False))
 
 
-def test_cache_that_starts_afresh(monkeypatch):
+SIGNS = ["heat*** A$$$ x|> a|b c<d e<|endoftext|> don't. rock'n'roll ,,, ### (a) [b] a-b- x\u0338 =\u0338", "WORD... word... Word! wörter?! ſt. ÿŸ"]
+
+
+def test_cache_that_forgets(monkeypatch):
     from orderloom.llm import tokens
 
-    monkeypatch.setattr(tokens, "CACHE_WORDS", 5)
+    monkeypatch.setattr(tokens, "CACHE_PARTS", 5)
     enc, plain = WordEncoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
-    for text in [*ODD, "some other words here", "", "and more of them again"]:
-        ids, n = enc.encode([text.encode(), b""])
+    assert enc.cuts
+    for text in [*ODD, *SIGNS, "some other words here", "", "and more of them again", *SIGNS]:
+        ids, n = enc.encode(pa.array([text, "", "x"]).slice(0, 2))
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids + [1, 1] and n.tolist() == [len(ids) - 1, 1]
+    assert enc.encode(pa.array([], pa.string()))[0].tolist() == []
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, plain = WordEncoder(path), Tokenizer.from_file(path)
+    assert not enc.cuts
+    texts = [*ODD, *SIGNS, ""]
+    ids, n = enc.encode(pa.array(texts), 7)
+    want = [plain.encode(t, add_special_tokens=False).ids + [7] for t in texts]
+    assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
 
 
 def test_empty_table_and_repeated_ids(spark, tmp_path):

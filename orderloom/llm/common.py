@@ -80,6 +80,11 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") if n in have else F.lit(None).cast("string").alias(n) for n in names])
 
 
+def quoted(df: DataFrame) -> list:
+    """All columns of ``df``, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def held_out(col: str = "doc_id"):
     """The fold rule of the contracts: crc32 of the id as text, remainder 2 of 4."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -13,11 +13,12 @@ ones branch again. Candidates are confirmed on the full sets.
 Only classes matter, so work that cannot change them is left out: equal sets are
 one document throughout; each document is first tried against the least document
 of its nodes, and nodes whose documents are all connected by then are done. In a
-large node only the documents outside its largest class are compared with the
-others, in blocks. Of the candidates found, each document's likeliest are confirmed
-first, and candidates within one class are dropped before the rest are confirmed.
-Large nodes are then compared again for more candidates of each document, and last
-for all that still lie between two classes, so that none stays unconfirmed.
+large node that does not branch on, only the documents outside its largest class are
+compared with the others: large nodes with one largest class are taken together, and
+the full sets are compared in blocks of bounded size by their common shingles, so that
+every link is exact at once and each block returns only links that join classes.
+Of the candidates of small nodes, those still between two classes are confirmed on the
+full sets, each document's likeliest first, then all that are left.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import LOWER, NOT_SPACE, U, columns, drop_written, mix, row_bounds, slices, table, utf8, word_hashes, written
+from orderloom.llm.common import LOWER, NOT_SPACE, U, columns, drop_written, mix, quoted, row_bounds, slices, table, utf8, word_hashes, written
 from orderloom.llm.graph import components
 
 TOKENS = 64
@@ -42,14 +43,15 @@ PERCENT = 80
 SMALL_NODE = 256
 #: A large node is compared in blocks once so few of its documents lie outside its largest class.
 FEW = 512
-BLOCK = 4096
+#: Shingles of a block's documents, and of the documents that are compared with a block at once.
+BLOCK_SHINGLES, ASKED_SHINGLES = 1 << 21, 1 << 18
 MAX_LEVELS = 5
-#: Distinct sets for each task that makes a table of candidates or links, which are few.
-SETS_PER_TASK = 50_000
+#: Distinct sets for each task that makes a table of numbers that are few, one of sets, and one that joins texts.
+SETS_PER_TASK, ROWS_PER_TASK, TEXTS_PER_TASK = 50_000, 20_000, 5_000
+#: Rows of two or three numbers up to which a counted table is broadcast.
+BROADCAST_ROWS = 300_000
 #: Candidates of each document, likeliest first, that are confirmed before classes are looked at again.
 LIKELIEST = 3
-#: Candidates of each document and block of a large node that a round confirms; the last round takes all.
-ROUNDS = (8, 128, None)
 #: Differing bits of two 128-bit sketches: 12.8 expected at similarity 0.8, deviation 3.4; more than this in one pair of 50,000.
 SKETCH_BITS = 28
 _A = np.random.Generator(np.random.PCG64(97)).integers(1, 1 << 63, (TOKENS, 2), dtype=np.uint64) | U(1)
@@ -195,17 +197,23 @@ def distance(a: str, b: str):
     return F.expr(f"cast(bit_count({a}.s1 ^ {b}.s1) + bit_count({a}.s2 ^ {b}.s2) as int)")
 
 
+def hinted(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with its join strategy set by its counted rows."""
+    return df.hint("broadcast" if rows <= BROADCAST_ROWS else "merge")
+
+
 def between(pairs: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
-    """The pairs (u, v) whose documents are not of one class yet."""
-    r = roots.select("node", "root")
-    one = pairs.join(r.select(F.col("node").alias("u"), F.col("root").alias("ru")).hint("merge"), "u", "left")
-    two = one.join(r.select(F.col("node").alias("v"), F.col("root").alias("rv")).hint("merge"), "v", "left")
-    return written(two.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"), "near-between", parts=parts)
+    """The pairs (u, v, ...) whose documents are not of one class yet."""
+    r = hinted(roots.select("node", "root"), roots.count())
+    one = pairs.join(r.withColumnsRenamed({"node": "u", "root": "ru"}), "u", "left")
+    two = one.join(r.withColumnsRenamed({"node": "v", "root": "rv"}), "v", "left")
+    return written(two.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select(*pairs.columns), "near-between", parts=parts)
 
 
-def classed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+def classed(rows: DataFrame, roots: DataFrame, n_roots: int) -> DataFrame:
     """Rows with a ``doc`` and the class of each by now."""
-    return rows.join(roots.select(F.col("node").alias("doc"), "root").hint("merge"), "doc", "left").select(*rows.columns, F.coalesce("root", "doc").alias("class"))
+    known = hinted(roots.select(F.col("node").alias("doc"), "root"), n_roots)
+    return rows.join(known, "doc", "left").select(*rows.columns, F.coalesce("root", "doc").alias("class"))
 
 
 def mixed_nodes(known: DataFrame) -> DataFrame:
@@ -216,47 +224,75 @@ def mixed_nodes(known: DataFrame) -> DataFrame:
     return per.filter("c > m.k").select("node", "c", F.col("m.class").alias("main"), (F.col("c") - F.col("m.k")).alias("outside"))
 
 
-def block_candidates(rows: DataFrame, percent: int, most: int | None, block: int = BLOCK, few: int = FEW) -> DataFrame:
-    """Candidates (u, v, d) of the documents outside a large node's largest class.
+def set_rows(texts: DataFrame, words: int) -> DataFrame:
+    """(doc, shingles) of rows (doc, text): the sorted distinct shingle hashes as 8-byte numbers."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            data, offsets = utf8(part.column("text"))
+            for a, b in slices(offsets, 1 << 20):
+                sets, bounds = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+                each = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(bounds * 8), pa.py_buffer(sets)])
+                yield pa.RecordBatch.from_arrays([part.column("doc").slice(a, b - a), each.cast(pa.binary())], ["doc", "shingles"])
 
-    ``rows``: the documents of large nodes with their class and node. Documents outside
-    meet all the node's documents, in blocks of bounded size that are spread over tasks.
-    Each document keeps its ``most`` likeliest candidates of a block and the likeliest
-    of each class; all between two classes if ``most`` is None.
+    return texts.mapInArrow(run, "doc long, shingles binary")
+
+
+def block_links(rows: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK_SHINGLES, asked: int = ASKED_SHINGLES) -> DataFrame:
+    """Links (u, v) of the documents outside a group's main class with the others of the group.
+
+    ``rows``: (main, doc, n, class), a document once in a group; ``sets``: (doc, shingles).
+    Documents outside (in parts of about ``asked`` shingles) meet all of the group's (in
+    blocks of about ``block``), spread over tasks. All pairs of a part and a block are
+    compared exactly; of their links those that join two classes are returned.
     """
-    blocks, fews = F.ceil(F.col("c") / block).cast("int"), F.ceil(F.col("outside") / few).cast("int")
-    at = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-    some = F.pmod(F.xxhash64(F.lit(1), "doc"), fews).cast("int")
-    cols = ("node", "doc", "n", "s1", "s2", "class")
-    asked = rows.filter("class <> main").select(*cols, some.alias("f"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b"), F.lit(True).alias("asks"))
-    held = rows.select(*cols, F.explode(F.sequence(F.lit(0), fews - 1)).alias("f"), at.alias("b"), F.lit(False).alias("asks"))
+    out = F.col("class") != F.col("main")
+    size = rows.groupBy("main").agg(F.sum("n").alias("all"), F.sum(F.when(out, F.col("n")).otherwise(0)).alias("few"))
+    size = size.select("main", F.ceil(F.col("all") / block).cast("int").alias("blocks"), F.ceil(F.col("few") / asked).cast("int").alias("fews"))
+    full = rows.join(hinted(size, size.count()), "main").join(sets.hint("merge"), "doc")
+    cols = ("main", "doc", "class", "shingles")
+    asks = full.filter(out).select(*cols, F.pmod(F.xxhash64(F.lit(1), "doc"), "fews").cast("int").alias("f"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.lit(True).alias("asks"))
+    held = full.select(*cols, F.explode(F.sequence(F.lit(0), F.col("fews") - 1)).alias("f"), F.pmod(F.xxhash64("doc"), "blocks").cast("int").alias("b"), F.lit(False).alias("asks"))
 
     def compare(group: pa.Table) -> pa.Table:
         asks = group.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        doc, n, s1, s2, kind = (group.column(c).to_numpy() for c in ("doc", "n", "s1", "s2", "class"))
+        doc = group.column("doc").to_numpy()
+        _, kind = np.unique(group.column("class").to_numpy(), return_inverse=True)
+        data, offsets = utf8(group.column("shingles").combine_chunks())
+        sets, bounds = data.view(U), offsets // 8
         ref = np.flatnonzero(~asks)
-        out = [np.zeros((3, 0), np.int64)]
+        size = np.diff(bounds)
+        owner = np.repeat(np.arange(len(ref)), size[ref])
+        begin = np.cumsum(size[ref]) - size[ref]
+        keys = sets[np.arange(len(owner)) + np.repeat(bounds[:-1][ref] - begin, size[ref])]
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        label = np.arange(kind.max() + 1 if len(kind) else 0)  # of each class, as links of this block join them
+        links = [np.zeros((2, 0), np.int64)]
         for q in np.flatnonzero(asks).tolist():
-            d = np.bitwise_count((s1[ref] ^ s1[q]).view(np.uint64)).astype(np.int64) + np.bitwise_count((s2[ref] ^ s2[q]).view(np.uint64))
-            ok = (d <= SKETCH_BITS) & (kind[ref] != kind[q]) & (100 * np.minimum(n[ref], n[q]) >= percent * np.maximum(n[ref], n[q]))
-            hit = np.flatnonzero(ok)
-            if most is not None and len(hit) > most:
-                hit = hit[np.lexsort((doc[ref[hit]], d[hit]))]
-                _, first = np.unique(kind[ref[hit]], return_index=True)
-                hit = hit[np.union1d(np.arange(most), first)]
-            other = doc[ref[hit]]
-            out.append(np.stack([np.maximum(other, doc[q]), np.minimum(other, doc[q]), d[hit]]))
-        u, v, d = np.concatenate(out, axis=1)
-        return pa.table({"u": u, "v": v, "d": d.astype(np.int32)})
-
-    return asked.unionByName(held).groupBy("node", "f", "b").applyInArrow(compare, "u long, v long, d int")
+            own = sets[bounds[q] : bounds[q + 1]]
+            lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            n = hi - lo
+            at = np.arange(int(n.sum())) + np.repeat(lo - np.cumsum(n) + n, n)
+            same = np.bincount(owner[at], minlength=len(ref))
+            mine = label[kind[q]]
+            hit = np.flatnonzero((100 * same >= percent * (len(own) + size[ref] - same)) & (label[kind[ref]] != mine))
+            theirs, first = np.unique(label[kind[ref[hit]]], return_index=True)
+            if len(theirs):
+                other = doc[ref[hit[first]]]
+                links.append(np.stack([np.maximum(other, doc[q]), np.minimum(other, doc[q])]))
+                label[np.isin(label, theirs)] = mine
+        u, v = np.concatenate(links, axis=1)
+        return pa.table({"u": u, "v": v})
+
+    return asks.unionByName(held).groupBy("main", "f", "b").applyInArrow(compare, "u long, v long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
     """The pairs (u, v) whose full sets reach the similarity; ``docs``: (doc, text) with one row a doc."""
-    sides = [pairs.select(F.col(side).alias("doc")).distinct() for side in ("u", "v")]
+    sides = [pairs.select(F.col(side).alias("doc")) for side in ("u", "v")]
     ids = written(sides[0].unionByName(sides[1]).distinct(), "confirm-ids", parts=parts)
-    texts = docs.join(ids.hint("merge"), "doc", "left_semi")
+    texts = docs.join(hinted(ids, ids.count()), "doc", "left_semi")
     one = pairs.hint("merge").join(texts.select(F.col("doc").alias("u"), F.col("text").alias("tu")), "u")
     two = one.hint("merge").join(texts.select(F.col("doc").alias("v"), F.col("text").alias("tv")), "v")
 
@@ -287,24 +323,34 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = PERCENT, tre
     are linked when 100 * intersection >= percent * union of their sets of distinct
     ``words``-word shingles; words are runs outside the ASCII spaces, A-Z lowered. A
     shorter text is one shingle; null and empty texts have none and link with
-    nothing. Rows with a null doc_id are kept and link with nothing; rows that
-    repeat a doc_id count as one document in links. An empty table gives no rows;
-    extra columns are ignored. Links are exact; a link at the threshold is found
+    nothing. Rows with a null doc_id have no class and link with nothing (their kept is
+    true); of rows that repeat a doc_id the longest text (on ties the greatest) stands
+    for the document, and all have its class. An empty table gives no rows; extra columns
+    are ignored. Links are exact; a link at the threshold is found
     with probability over 0.99 (higher similarity: more), and usually there are
     several ways to connect a class.
     """
+    docs = columns(docs, "doc_id", "text")
+    ids = docs.select("doc_id").filter("doc_id is not null")
+    if ids.count() > ids.distinct().count():
+        longest = F.max(F.struct(F.octet_length("text").alias("size"), "text")).alias("t")
+        stands = written(docs.filter("doc_id is not null").groupBy("doc_id").agg(longest).select("doc_id", "t.text"), "near-texts")
+        of = near_components(stands, words, percent, trees, small_node).select("doc_id", "component_id")
+        every = describe(docs, words).select("doc_id", "n_shingles")
+        out = every.join(written(of, "near-of").hint("merge"), "doc_id", "left")
+        return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     meta = written(describe(docs, words), "near-meta")
+    n_rows = meta.count()
     keyed = meta.filter("doc_id is not null and n_shingles > 0")
     least = keyed.groupBy("sig1", "sig2", "n_shingles").agg(F.min(F.struct("doc_id", "mins", "s1", "s2")).alias("r"))
-    reps = written(least.select(F.col("r.doc_id").alias("doc"), F.col("n_shingles").alias("n"), "r.s1", "r.s2", "r.mins", "sig1", "sig2"), "near-reps")
+    reps = written(
+        least.select(F.col("r.doc_id").alias("doc"), F.col("n_shingles").alias("n"), "r.s1", "r.s2", "r.mins", "sig1", "sig2"), "near-reps", parts=max(6, n_rows // ROWS_PER_TASK)
+    )
     n = reps.count()
-    parts = max(6, n // SETS_PER_TASK)
+    parts, text_parts = max(6, n // SETS_PER_TASK), max(6, n // TEXTS_PER_TASK)
     levels = max(1, ceil(log(max(1, n / 64)) / log(16)))
     trees, copies = plan_trees(levels, percent, trees)
-    texts = columns(docs, "doc_id", "text").filter("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
-    if n < meta.count():  # texts of representatives only; a repeated doc_id keeps its longest text's row apart
-        texts = texts.join(reps.select("doc").hint("merge"), "doc", "left_semi")
-    texts = texts.dropDuplicates(["doc"]) if keyed.count() > keyed.select("doc_id").distinct().count() else texts
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
 
     nodes = written(branch(reps.drop("sig1", "sig2"), levels, trees, percent), "near-nodes")
 
@@ -312,61 +358,56 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = PERCENT, tre
     heads = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "n", "s1", "s2")).alias("p")).filter("c > 1")
     heads = heads.select("node", "p.*").withColumnRenamed("doc", "head")
     first = nodes.alias("a").join(heads.hint("merge").alias("b"), "node").filter(F.expr("a.doc > b.head") & alike("a", "b", percent))
-    star = confirm(written(first.groupBy(F.col("a.doc").alias("u")).agg(F.min("b.head").alias("v")), "near-star", parts=parts), texts, words, percent, parts)
+    star = confirm(written(first.groupBy(F.col("a.doc").alias("u")).agg(F.min("b.head").alias("v")), "near-star", parts=parts), texts, words, percent, text_parts)
     roots = written(components(star, parts), "near-roots", parts=parts)
+    n_roots = roots.count()
 
-    # 2. candidates between classes: small nodes exhaustively, large ones in blocks or branched again
+    # 2. nodes with several classes: small ones give candidates, large ones branch again or are kept for step 3
     found, large, deep = None, None, 0
     while True:
-        known = written(classed(nodes, roots), "near-known")
-        mixed = written(mixed_nodes(known), "near-mixed")
+        mixed = written(mixed_nodes(classed(nodes, roots, n_roots)), "near-mixed", parts=parts)
+        open_ = written(classed(nodes.join(mixed.hint("merge"), "node"), roots, n_roots), "near-open")
         last = deep >= MAX_LEVELS
-        small = known.join(mixed.filter(f"c <= {small_node}").select("node").hint("merge"), "node", "left_semi")
+        small = open_.filter(f"c <= {small_node}")
         pairs = small.alias("a").hint("merge").join(small.alias("b"), "node").filter(F.expr("a.doc > b.doc and a.class <> b.class") & alike("a", "b", percent))
-        pairs = pairs.select(F.col("a.doc").alias("u"), F.col("b.doc").alias("v"), distance("a", "b").alias("d"))
-        blocks = mixed.filter(f"c > {small_node}" if last else f"c > {small_node} and outside <= {FEW}")
-        if not blocks.isEmpty():
-            rows = written(known.join(blocks.hint("merge"), "node"), "near-large")
-            pairs = pairs.unionByName(block_candidates(rows, percent, ROUNDS[0]))
-            rows = rows.select(*nodes.columns)
-            large = rows if large is None else large.unionByName(rows)
-        pairs = written(pairs.distinct(), "near-pairs", parts=parts)
+        pairs = written(pairs.select(F.col("a.doc").alias("u"), F.col("b.doc").alias("v"), distance("a", "b").alias("d")).distinct(), "near-pairs", parts=parts)
         found = pairs if found is None else found.unionByName(pairs)
-        big = mixed.filter(f"c > {small_node} and outside > {FEW}").select("node")
-        if last or big.isEmpty():
+        kept = open_.filter(f"c > {small_node}" if last else f"c > {small_node} and outside <= {FEW}").select("main", "doc", "n", "class").distinct()
+        kept = written(kept, "near-large", parts=parts)
+        large = kept if large is None else large.unionByName(kept)
+        big = open_.filter(f"c > {small_node} and outside > {FEW}").select("node", "doc")
+        done = last or big.isEmpty()
+        if not done:
+            deeper = written(branch(big.hint("merge").join(reps.drop("sig1", "sig2"), "doc"), 1, 1 if deep else copies, percent), "near-nodes")
+        drop_written(nodes, mixed, open_)
+        if done:
             break
-        split = known.drop("class").join(big.hint("merge"), "node", "left_semi").select("node", "doc")
-        split = split.hint("merge").join(reps.drop("sig1", "sig2"), "doc")
-        deeper = written(branch(split, 1, 1 if deep else copies, percent), "near-nodes")
-        drop_written(nodes, known, mixed)
         nodes, deep = deeper, deep + 1
-    left = written(found.distinct(), "near-found", parts=parts)
 
-    # 3. confirm: each document's likeliest candidates first, then what still lies between classes
+    # 3. large nodes, those of one main class together, on their full sets
+    links = star
+    large = written(large.distinct(), "near-groups", parts=parts)
+    if not large.isEmpty():
+        ids = written(large.select("doc").distinct(), "near-ids", parts=parts)
+        sets = written(set_rows(texts.join(hinted(ids, ids.count()), "doc", "left_semi"), words), "near-sets")
+        more = written(block_links(large, sets, percent).distinct(), "links", parts=parts)
+        drop_written(sets, ids)
+        links = links.unionByName(more)
+        roots = written(components(links, parts), "near-roots", parts=parts)
+
+    # 4. candidates of small nodes: each document's likeliest first, then all that still lie between two classes
     order = Window.partitionBy("u").orderBy("d", "v")
-    ranked = left.withColumn("place", F.row_number().over(order))
-    likeliest = written(ranked.filter(f"place <= {LIKELIEST}").select("u", "v"), "near-likeliest", parts=parts)
-    rest = written(ranked.filter(f"place > {LIKELIEST}").select("u", "v"), "near-rest", parts=parts)
-    links = star.unionByName(confirm(likeliest, texts, words, percent, parts))
+    left = between(found.groupBy("u", "v").agg(F.min("d").alias("d")), roots, parts)
+    ranked = written(left.withColumn("place", F.row_number().over(order)), "near-ranked", parts=parts)
+    links = links.unionByName(confirm(ranked.filter(f"place <= {LIKELIEST}").select("u", "v"), texts, words, percent, text_parts))
+    rest = ranked.filter(f"place > {LIKELIEST}").select("u", "v")
     if not rest.isEmpty():
         roots = written(components(links, parts), "near-roots", parts=parts)
-        links = links.unionByName(confirm(between(rest, roots, parts), texts, words, percent, parts))
-
-    # 4. large nodes again: further candidates that lie between classes by now, in the end all of them
-    tried = left.select("u", "v")
-    for most in ROUNDS[1:] if large is not None else ():
-        roots = written(components(links.distinct(), parts), "near-roots", parts=parts)
-        rows = written(classed(large, roots), "near-open")
-        rows = rows.join(mixed_nodes(rows).hint("merge"), "node")
-        more = written(block_candidates(rows, percent, most).select("u", "v").distinct().join(tried.hint("merge"), ["u", "v"], "left_anti"), "near-more")
-        count = more.count()
-        if count:
-            links = links.unionByName(confirm(more, texts, words, percent, max(parts, count // SETS_PER_TASK)))
-            tried = tried.unionByName(more)
+        links = links.unionByName(confirm(between(rest, roots, parts), texts, words, percent, text_parts))
 
     final = components(links.distinct(), parts)
     of = reps.join(final.hint("merge"), reps["doc"] == final["node"], "left").select("sig1", "sig2", F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component"))
-    out = meta.join(of.hint("merge"), ["sig1", "sig2", "n_shingles"], "left")
+    out = meta.drop("mins").join(of.hint("merge"), ["sig1", "sig2", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -375,10 +416,11 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = PERCENT, tre
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = PERCENT) -> DataFrame:
     """The documents that are least in their class, all their columns kept.
 
-    Documents without words or without an id stay.
+    Documents without words or without an id stay, and so do all rows of a repeated id
+    whose document stays. Extra columns of any name are kept; an empty table gives no rows.
     """
     gone = written(near_components(docs, words, percent).filter("not kept").select("doc_id").distinct(), "near-gone")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(hinted(gone, gone.count()), "doc_id", "left_anti").select(*quoted(docs))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,59 +105,84 @@ def flags(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
 
 
-def read_answers(answers: pa.Table, keys: np.ndarray, bits: int) -> np.ndarray:
+def read_answers(answers: pa.Table, keys: np.ndarray, bits: int, column: str = "mask") -> np.ndarray:
     """The answer for each of a batch's sorted short keys."""
     out = np.zeros(len(keys), bool)
-    got = dict(zip(answers.column("bucket").to_pylist(), answers.column("mask").to_pylist(), strict=True))
+    got = dict(zip(answers.column("bucket").to_pylist(), answers.column(column).to_pylist(), strict=True))
     for bucket, a, b in by_bucket(keys, bits):
-        if bucket in got:
+        if got.get(bucket) is not None:
             out[a:b] = flags(got[bucket], b - a)
     return out
 
 
-def repeated_keys(keyed: DataFrame) -> DataFrame:
+def repeated_keys(keyed: DataFrame, hot: int | None = None) -> DataFrame:
     """Answers for rows (bucket, batch_id, keys, twice): which keys two batches hold,
     or one batch holds twice by its own account (``twice``). Keys are fixed-width
-    and sorted; the width follows from their type name in ``width``."""
+    and sorted; the width follows from their type name in ``width``.
+
+    With ``hot``, rows are of COUNTED_SCHEMA (heavy: the places of keys that a batch holds
+    ``HEAVY`` times or more; counts: how often) and answers have one more column, hot: the
+    keys that all batches together hold so often, or null for none. Keys that a batch holds
+    less often count once there, so a key is hot by ``HEAVY * hot`` occurrences at the latest.
+    """
 
     def merge(group: pa.Table) -> pa.Table:
         width = group.column("width")[0].as_py()
         keys = [np.frombuffer(k, np.dtype(f"u{width}")) for k in group.column("keys").to_pylist()]
         twice = [flags(t, len(k)) for t, k in zip(group.column("twice").to_pylist(), keys, strict=True)]
         every, weight = np.concatenate(keys), np.concatenate(twice) + np.int64(1)
+        ends = np.cumsum([len(k) for k in keys])
         order = np.argsort(every)
         ordered = every[order]
         head = np.append(True, ordered[1:] != ordered[:-1])
         first = np.flatnonzero(head)
-        many = np.add.reduceat(weight[order], first) >= 2
-        mask = np.zeros(len(every), bool)
-        mask[order] = many[np.cumsum(head) - 1]
-        ends = np.cumsum([len(k) for k in keys])
-        parts = np.split(mask, ends[:-1])
-        keep = [i for i, p in enumerate(parts) if p.any()]
-        return pa.table({
+        each = np.cumsum(head) - 1
+
+        def parts(chosen: np.ndarray) -> list[np.ndarray]:
+            mask = np.zeros(len(every), bool)
+            mask[order] = chosen[each]
+            return np.split(mask, ends[:-1])
+
+        many = parts(np.add.reduceat(weight[order], first) >= 2)
+        keep = [i for i, p in enumerate(many) if p.any()]
+        out = {
             "batch_id": group.column("batch_id").take(pa.array(keep, pa.int64())),
             "bucket": pa.array([group.column("bucket")[0].as_py()] * len(keep), pa.int32()),
-            "mask": pa.array([bits_of(parts[i]) for i in keep], pa.binary()),
-        })
+            "mask": pa.array([bits_of(many[i]) for i in keep], pa.binary()),
+        }
+        if hot is not None:
+            total = np.ones(len(every), np.int64)
+            for end, k, at, n in zip(ends.tolist(), keys, group.column("heavy").to_pylist(), group.column("counts").to_pylist(), strict=True):
+                total[end - len(k) + np.frombuffer(at, np.uint32).astype(np.int64)] = np.frombuffer(n, np.uint32)
+            often = parts(np.add.reduceat(total[order], first) >= hot)
+            out["hot"] = pa.array([bits_of(often[i]) if often[i].any() else None for i in keep], pa.binary())
+        return pa.table(out)
 
-    return keyed.groupBy("bucket").applyInArrow(merge, ANSWER_SCHEMA)
+    return keyed.groupBy("bucket").applyInArrow(merge, ANSWER_SCHEMA if hot is None else ANSWER_SCHEMA + ", hot binary")
 
 
 KEY_SCHEMA = "bucket int, batch_id long, width int, keys binary, twice binary"
 
 
-def key_rows(batch_id: int, keys: np.ndarray, twice: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows of KEY_SCHEMA for sorted distinct short keys."""
+COUNTED_SCHEMA = KEY_SCHEMA + ", heavy binary, counts binary"
+#: Occurrences of a key in one batch from which on they are counted.
+HEAVY = 8
+
+
+def counted_key_rows(batch_id: int, keys: np.ndarray, twice: np.ndarray, count: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows of COUNTED_SCHEMA for sorted distinct short keys that occur ``count`` times."""
     cuts = list(by_bucket(keys, bits))
     if cuts:
         sent = low(keys)
+        heavy = [np.flatnonzero(count[a:b] >= HEAVY) for _, a, b in cuts]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([c[0] for c in cuts], pa.int32()), pa.array([batch_id] * len(cuts), pa.int64()), pa.array([4] * len(cuts), pa.int32()),
                 pa.array([sent[a:b].tobytes() for _, a, b in cuts], pa.binary()), pa.array([bits_of(twice[a:b]) for _, a, b in cuts], pa.binary()),
+                pa.array([h.astype(np.uint32).tobytes() for h in heavy], pa.binary()),
+                pa.array([count[a:b][h].astype(np.uint32).tobytes() for h, (_, a, b) in zip(heavy, cuts, strict=True)], pa.binary()),
             ],
-            ["bucket", "batch_id", "width", "keys", "twice"],
+            ["bucket", "batch_id", "width", "keys", "twice", "heavy", "counts"],
         )
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.llm.batches import (
-    ANSWER_SCHEMA, KEY_SCHEMA, Batch, batch_rows, bits_of, bucket_bits, by_bucket, flags, key_rows, low, make_batches,
+    ANSWER_SCHEMA, KEY_SCHEMA, Batch, batch_rows, bits_of, bucket_bits, by_bucket, flags, low, make_batches,
     read_answers, repeated_keys, short, total_bytes, with_answers,
 )
 from orderloom.llm.common import NOT_SPACE, U, powers, range_hash, row_bounds, table, word_hashes, written

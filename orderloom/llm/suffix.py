@@ -10,7 +10,9 @@ settled by its least document. For the rest the shard sorts all suffixes of its
 distinct slices (Larsson-Sadakane refinement in numpy), finds equal windows from
 Kasai's common prefixes, and gives each window its least document. A shard too
 large for one array is cut into several whose sorted windows are merged by binary
-search. Each batch then removes the windows that start in a smaller document.
+search. The windows around an anchor that very many slices have (a phrase that a third
+of all documents hold) go to shards by their own hashes instead. Each batch then
+removes the windows that start in a smaller document.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.llm.batches import (
-    KEY_SCHEMA, Batch, batch_rows, bucket_bits, key_rows, make_batches, read_answers, repeated_keys, short, total_bytes, with_answers,
+    COUNTED_SCHEMA, Batch, batch_rows, bucket_bits, counted_key_rows, make_batches, read_answers, repeated_keys, short, total_bytes, with_answers,
 )
 from orderloom.llm.common import U, byte_values, mix, powers, prefix_sums, range_hash, table, written
 
@@ -31,7 +33,9 @@ LENGTH = 50
 GRAM = 20
 BLOCK = 1 << 18
 #: Bytes of slices in one suffix array.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 2 << 20
+#: Slices around one anchor from which on their windows go to shards of their own.
+HOT_SLICES = 1 << 17
 #: Bytes of slices that a shard is planned for.
 SHARD_BYTES = 8 << 20
 POSITION_BITS = 20  # of a block-relative position packed under a hash
@@ -91,9 +95,9 @@ class Slices:
         self.batch, self.length = batch, length
         self.key, self.first, self.windows, self.row = anchor_slices(batch.data, batch.offsets, length, gram)
         known = batch.known[self.row]
-        if not known.all():
-            self.key, self.first, self.windows, self.row = (x[known] for x in (self.key, self.first, self.windows, self.row))
         self.doc = batch.ids[self.row]
+        if not known.all():
+            self.select(known)
 
     def anchors(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(distinct short keys, index of each slice's, whether two documents of the batch have it)."""
@@ -103,9 +107,27 @@ class Slices:
         np.maximum.at(most, which, self.doc)
         return keys, which, least != most
 
-    def keep(self, chosen: np.ndarray) -> None:
-        """Keep the chosen slices and number their distinct contents by (anchor, content)."""
+    def scatter(self, hot: np.ndarray) -> None:
+        """Makes each window of the hot slices a slice whose key is the window's own hash, so that one anchor fills many shards."""
+        if not hot.any():
+            return
+        at = np.flatnonzero(hot)
+        n = self.windows[at]
+        first = np.arange(int(n.sum())) + np.repeat(self.first[at] - np.cumsum(n) + n, n)
+        key = mix(content_hashes(self.batch.data, first, first + self.length) + U(1))
+        row, doc = np.repeat(self.row[at], n), np.repeat(self.doc[at], n)
+        rest = ~hot
+        first = np.append(self.first[rest], first)
+        order = np.argsort(first, kind="stable")
+        self.first = first[order]
+        self.key, self.row, self.doc = (np.append(x[rest], y)[order] for x, y in ((self.key, key), (self.row, row), (self.doc, doc)))
+        self.windows = np.append(self.windows[rest], np.ones(len(key), np.int64))[order]
+
+    def select(self, chosen: np.ndarray) -> None:
         self.key, self.first, self.windows, self.row, self.doc = (x[chosen] for x in (self.key, self.first, self.windows, self.row, self.doc))
+
+    def number(self) -> None:
+        """Numbers the distinct contents by (key, content)."""
         self.content = content_hashes(self.batch.data, self.first, self.first + self.windows + self.length - 1)
         order = np.lexsort((self.content, self.key))
         k, c = self.key[order], self.content[order]
@@ -177,7 +199,11 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         h *= 2
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 2048) -> np.ndarray:
+#: The least numbers of one byte, two bytes and so on.
+BYTE_STEPS = U(1) << np.arange(0, 64, 8, dtype=np.uint64)
+
+
+def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 8192) -> np.ndarray:
     """Common prefix of each suffix with the one before it in order, up to ``cap``.
 
     Kasai's recurrence - a suffix shares with its predecessor at least one byte less
@@ -207,9 +233,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 204
         live = np.flatnonzero(h < most)
         while len(live):
             x = word[i[live] + h[live]] ^ word[j[live] + h[live]]
-            same = np.full(len(live), 8)
-            for k in range(8):  # equal leading bytes of two words
-                np.minimum(same, np.where(x >> U(56 - 8 * k) != 0, k, 8), out=same)
+            same = 8 - np.searchsorted(BYTE_STEPS, x, side="right")  # equal leading bytes of two words
             h[live] = np.minimum(h[live] + same, most[live])
             live = live[(same == 8) & (h[live] < most[live])]
         out[rank[i]] = h
@@ -234,50 +258,32 @@ def least_by_window(text: np.ndarray, begin: np.ndarray, windows: np.ndarray, le
     return place, group, low
 
 
-def window_columns(text: np.ndarray, place: np.ndarray, length: int) -> list[np.ndarray]:
-    """Windows as big-endian words, the last one overlapping the one before it."""
-    word = words8(text)
-    return [word[place + min(k, length - 8)] for k in range(0, length, 8)]
+def window_strings(text: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """Windows as fixed-width byte strings, which compare byte by byte."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, length)[place]).view(f"S{length}")[:, 0]
 
 
-def find_sorted(have: list[np.ndarray], want: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Binary search of ``want`` in the sorted ``have`` (word columns): (insert place, whether equal)."""
-    n, m = len(have[0]), len(want[0])
-    lo, hi = np.zeros(m, np.int64), np.full(m, n, np.int64)
-    while True:
-        live = np.flatnonzero(lo < hi)
-        if not len(live):
-            break
-        mid = (lo[live] + hi[live]) // 2
-        less, tied = np.zeros(len(live), bool), np.ones(len(live), bool)
-        for h, w in zip(have, want, strict=True):
-            a, b = h[mid], w[live]
-            less |= tied & (a < b)
-            tied &= a == b
-        lo[live] = np.where(less, mid + 1, lo[live])
-        hi[live] = np.where(less, hi[live], mid)
-    same = lo < n
-    at = np.minimum(lo, max(n - 1, 0))
-    for h, w in zip(have, want, strict=True):
-        same &= (h[at] == w) if n else False
-    return lo, same
-
-
-def merge_arrays(parts: list[tuple[list[np.ndarray], np.ndarray]]) -> list[np.ndarray]:
+def find_sorted(have: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search of ``want`` in the sorted ``have``: (insert place, whether equal)."""
+    at = np.searchsorted(have, want)
+    same = at < len(have)
+    same[same] = have[at[same]] == want[same]
+    return at, same
+
+
+def merge_arrays(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     """Least of each window over all parts, for each part's sorted distinct windows."""
-    all_cols, all_low = parts[0]
-    for cols, low in parts[1:]:
-        at, same = find_sorted(all_cols, cols)
-        all_low = all_low.copy()
-        np.minimum.at(all_low, at[same], low[same])
-        fresh = ~same
-        all_cols = [np.insert(a, at[fresh], c[fresh]) for a, c in zip(all_cols, cols, strict=True)]
-        all_low = np.insert(all_low, at[fresh], low[fresh])
-    return [all_low[find_sorted(all_cols, cols)[0]] for cols, _ in parts]
-
-
-def slice_leasts(data: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, least: np.ndarray, length: int, array_bytes: int = ARRAY_BYTES) -> list[np.ndarray]:
-    """For distinct slices: the least document of each of their windows, one array a slice."""
+    every, low = parts[0]
+    for have, mine in parts[1:]:
+        at, same = find_sorted(every, have)
+        low = low.copy()
+        np.minimum.at(low, at[same], mine[same])
+        every, low = np.insert(every, at[~same], have[~same]), np.insert(low, at[~same], mine[~same])
+    return [low[find_sorted(every, have)[0]] for have, _ in parts]
+
+
+def slice_leasts(data: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, least: np.ndarray, length: int, array_bytes: int = ARRAY_BYTES) -> np.ndarray:
+    """For distinct slices: the least document of each of their windows, one slice after the other."""
     windows = size - length + 1
     out = np.repeat(least, windows)
     first = np.cumsum(windows) - windows
@@ -285,7 +291,7 @@ def slice_leasts(data: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.
     _, which, count = np.unique(key, return_inverse=True, return_counts=True)
     rest = np.flatnonzero(count[which] > 1)
     if not len(rest):
-        return np.split(out, first[1:])
+        return out
     rest = rest[np.argsort(key[rest], kind="stable")]  # an anchor's slices side by side
     edge = np.searchsorted(np.cumsum(size[rest] + 1), np.arange(array_bytes, int((size[rest] + 1).sum()) + array_bytes, array_bytes), side="left") + 1
     edge = np.unique(np.append(0, np.minimum(edge, len(rest))))
@@ -297,15 +303,17 @@ def slice_leasts(data: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.
         head = np.append(True, group[1:] != group[:-1])[: len(group)]
         owner = np.searchsorted(at, place, side="right") - 1
         where.append((first[mine][owner] + place - at[owner], group))
-        parts.append((window_columns(text, place[head], length) if len(edge) > 2 else [], low))
+        parts.append((window_strings(text, place[head], length) if len(edge) > 2 else np.zeros(0, "S1"), low))
     lows = merge_arrays(parts) if len(parts) > 1 else [parts[0][1]]
     for (to, group), low in zip(where, lows, strict=True):
         out[to] = low[group]
-    return np.split(out, first[1:])
+    return out
 
 
 # --------------------------------------------------------------- the operator
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, array_bytes: int = ARRAY_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def suffix_dedup(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, array_bytes: int = ARRAY_BYTES, shard_bytes: int = SHARD_BYTES, hot_slices: int = HOT_SLICES,
+) -> DataFrame:
     """What stays of each document once bytes that repeat a smaller document are removed.
 
     Returns doc_id, n_bytes, n_removed, removed (array of (start, end) byte ranges,
@@ -323,17 +331,20 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, array_
     bits = bucket_bits(n_bytes * 2 // (length - gram + 2))
 
     def anchors(batch: Batch) -> Iterator[pa.RecordBatch]:
-        keys, _, twice = Slices(batch, length, gram).anchors(bits)
-        yield from key_rows(batch.batch_id, keys, twice, bits)
+        keys, which, twice = Slices(batch, length, gram).anchors(bits)
+        yield from counted_key_rows(batch.batch_id, keys, twice, np.bincount(which, minlength=len(keys)), bits)
 
-    shared = written(repeated_keys(batches.mapInArrow(batch_rows(anchors), KEY_SCHEMA)), "shared-anchors")
+    shared = written(repeated_keys(batches.mapInArrow(batch_rows(anchors), COUNTED_SCHEMA), hot_slices), "shared-anchors")
     # slices are about twice a window long; a quarter of all anchors in a plan is typical, more only fills shards more
     shards = max(1, -(-n_bytes // shard_bytes))
 
     def chosen(batch: Batch, answers: pa.Table) -> Slices:
         s = Slices(batch, length, gram)
         keys, which, _ = s.anchors(bits)
-        s.keep(read_answers(answers, keys, bits)[which])
+        shared_by, hot = (read_answers(answers, keys, bits, c)[which] for c in ("mask", "hot"))
+        s.select(shared_by)
+        s.scatter(hot[shared_by])
+        s.number()
         s.shard = (s.key[s.chosen] % U(shards)).astype(np.int64)
         return s
 
@@ -371,12 +382,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, array_
         pick = order[head]
         low = np.minimum.reduceat(least[order], np.flatnonzero(head))
         found = slice_leasts(data, begin[pick], size[pick], key[pick], low, length, array_bytes)
+        windows = size[pick] - length + 1
+        first = np.cumsum(windows) - windows
         out = {n: [] for n in ("batch_id", "bucket", "slices", "starts", "lengths", "least")}
         lo = 0
         for batch_id, ks in zip(col["batch_id"], keys, strict=True):
             mine = which[lo : lo + len(ks)]
             n = size[lo : lo + len(ks)] - length + 1
-            value = np.concatenate([found[i] for i in mine])
+            value = found[np.arange(int(n.sum())) + np.repeat(first[mine] - np.cumsum(n) + n, n)]
             owner = np.repeat(np.arange(len(ks)), n)
             # runs of windows with one least document, if some occurrence in the batch is of a greater one
             cut = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])))
@@ -394,13 +407,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, array_
         return pa.table({n: pa.array(v, kinds.get(n, pa.binary())) for n, v in out.items()})
 
     found = written(sent.groupBy("shard").applyInArrow(sort_shard, FOUND_SCHEMA), "least-documents")
-    both = shared.select("batch_id", "bucket", "mask", *[F.lit(None).cast("binary").alias(c) for c in ("slices", "starts", "lengths", "least")]).unionByName(
-        found.withColumn("mask", F.lit(None).cast("binary"))
+    both = shared.select("batch_id", "bucket", "mask", "hot", *[F.lit(None).cast("binary").alias(c) for c in ("slices", "starts", "lengths", "least")]).unionByName(
+        found.withColumns({c: F.lit(None).cast("binary") for c in ("mask", "hot")})
     )
 
     def remove(batch: Batch, answers: pa.Table) -> Iterator[pa.RecordBatch]:
         bucket = answers.column("bucket").to_numpy()
-        s = chosen(batch, answers.filter(pa.array(bucket >= 0)).select(["batch_id", "bucket", "mask"]))
+        s = chosen(batch, answers.filter(pa.array(bucket >= 0)).select(["batch_id", "bucket", "mask", "hot"]))
         runs = answers.filter(pa.array(bucket < 0))
         in_shard = np.argsort(s.shard, kind="stable")
         base = {int(k): int(a) for k, a in zip(*np.unique(s.shard[in_shard], return_index=True), strict=True)}

@@ -59,10 +59,21 @@ def test_binary_search_merge():
     rng = np.random.default_rng(1)
     parts, every = [], {}
     for _ in range(4):
-        rows = sorted({tuple(x) for x in rng.integers(0, 4, (50, 2)).tolist()})
+        rows = sorted({bytes(x) for x in rng.integers(0, 4, (50, 3)).astype(np.uint8)})
         low = rng.integers(0, 100, len(rows))
-        parts.append(([np.array([r[k] for r in rows], np.uint64) for k in (0, 1)], low))
+        parts.append((np.frombuffer(b"".join(rows), "S3"), low))
         for r, v in zip(rows, low.tolist(), strict=True):
             every[r] = min(every.get(r, 10**9), v)
-    for (cols, _), low in zip(parts, S.merge_arrays(parts), strict=True):
-        assert [every[(int(a), int(b))] for a, b in zip(*cols, strict=True)] == low.tolist()
+    for (have, _), low in zip(parts, S.merge_arrays(parts), strict=True):
+        assert [every[x.ljust(3, b"\0")] for x in have.tolist()] == low.tolist()
+
+
+def test_hot_anchors_fill_other_shards(spark):
+    """A phrase in every document with other text around it each time, at a bound that makes its anchors hot."""
+    phrase = "the quick brown fox jumps over"
+    rows = [(i, f"{i * 7919:>30} {phrase} {'abcdefgh'[i % 5] * 30} {i}", None, None, None) for i in range(200)] + corpus()[:40]
+    rows = [(i, r[1], None, None, None) for i, r in enumerate(rows)]
+    want = brute(rows, 50)
+    for hot in (1, 50):
+        got = as_dict(S.suffix_dedup(frame(spark, rows), hot_slices=hot, shard_bytes=2000))
+        assert {k: (r.n_bytes, r.n_removed, len(r.removed), bytes(r.kept)) for k, r in got.items()} == want

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import columns, table, written
+from orderloom.llm.common import columns, quoted, table, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -114,9 +114,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents that contain no item, all their columns kept."""
+    """The documents that contain no item, all their columns kept.
+
+    Null and empty texts and rows without an id stay; of a repeated id all rows go once
+    one of its texts contains an item; an empty benchmark keeps all, an empty table gives
+    no rows; extra columns of any name are kept.
+    """
     bad = written(contaminated(docs, benchmark, percent).select("doc_id").distinct(), "bench-bad")
-    return docs.join(bad.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bad.hint("merge"), "doc_id", "left_anti").select(*quoted(docs))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

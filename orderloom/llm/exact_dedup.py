@@ -40,7 +40,9 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest=sha256) -> DataFrame
     Returns doc_id, keep_id, group_size, kept, text_sha256: one row for each row
     of ``docs``, dropped ones too. Of equal texts the largest doc_id stays. Null
     text equals empty text; rows that repeat a doc_id each count in group_size and
-    share its ``kept``; an empty table gives no rows; extra columns are ignored.
+    share its ``kept``; a row without an id goes if its text has a row with one, and
+    where no row of a text has one all of them stay, as nothing tells them apart (keep_id
+    is null); an empty table gives no rows; extra columns are ignored.
     ``digest`` maps the text column to the digest that spreads the groups; a weak
     one (tests use it) costs time, never correctness.
     """
@@ -61,7 +63,7 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest=sha256) -> DataFrame
         out = out.unionByName(rows.join(clash.hint("merge"), ["digest", "text"]).drop("text"))
     return out.select(
         "doc_id", "keep_id", "group_size",
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256",
     )
 

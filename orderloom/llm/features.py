@@ -111,12 +111,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     """doc_id, n_chars, text, label of at most ``rows`` labelled rows outside the held-out fold.
 
     The rows are those with the least keyed hashes of their ids, the same on each
-    run and of any table size; the sample of labels is small and so is broadcast.
+    run and of any table size; the sample of labels is small and so is broadcast. Of a
+    repeated doc_id the longest text (on ties the greatest) stands for it.
     """
     known = columns(labels, "doc_id", label).filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = known.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(rows)
-    return columns(docs, "doc_id", "n_chars", "text").join(F.broadcast(chosen), "doc_id")
+    mine = columns(docs, "doc_id", "n_chars", "text").join(F.broadcast(chosen), "doc_id")
+    one = F.max(F.struct(F.octet_length("text").alias("size"), "text", "n_chars")).alias("d")
+    return mine.groupBy("doc_id", "label").agg(one).select("doc_id", "d.n_chars", "d.text", "label")
 
 
 def hash_bins(hashes: np.ndarray, bins: int) -> np.ndarray:

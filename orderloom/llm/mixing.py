@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import columns, table, written
+from orderloom.llm.common import columns, quoted, table, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -186,40 +186,51 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents: a row, with all columns, for each copy that is taken.
 
     A copy taken in part (where a source's target falls: one document a source) has
-    its first words, joined by one space, and their ``n_chars``. Rows that repeat a
-    doc_id are told apart by number; rows without an id stay if they are taken.
+    its first words, joined by one space, and their ``n_chars``. Rows come shard by
+    shard in the order of the mix (a copy where its first piece is). Rows that repeat a
+    doc_id are told apart by number; rows without an id stay if they are taken; null and
+    empty texts are never taken; an empty table gives no rows; extra columns of any name
+    are kept.
     """
     pieces, places = mix_sources(docs, **how)
-    took = pieces.groupBy("rank", "place", "copy").agg(F.sum("n_words").alias("n"))
-    mine = places.filter("size > 0").select("doc_id", "rank", "place", "size").join(took.hint("merge"), ["rank", "place"])
-    ids = columns(docs, "doc_id")
-    repeats = ids.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count() > 0
-    rows = docs.withColumnRenamed("doc_id", "__id").withColumn("__size", word_count(F.col("text")))
-    mine = mine.select(F.col("doc_id").alias("__id2"), F.col("size").alias("__size2"), "place", "rank", "copy", F.col("n").alias("__take"))
-    same = F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__size") == F.col("__size2"))
+    took = pieces.groupBy("rank", "place", "copy").agg(F.sum("n_words").alias("take"), F.min(F.struct("shard", "position")).alias("at"))
+    mine = places.filter("size > 0").select("doc_id", "source", "rank", "place", "size").join(took.hint("merge"), ["rank", "place"])
+    repeats = columns(docs, "doc_id").groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count() > 0
+    # a row travels as one struct, so that its columns can have any names
+    source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.struct(*quoted(docs)).alias("row"), F.col("doc_id").alias("id"), word_count(F.col("text")).alias("words"), source.alias("from"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("words") == F.col("size"))
     if repeats:
-        source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
-        rows = rows.withColumn("__no", F.row_number().over(Window.partitionBy("__id", "__size", source).orderBy("text")))
-        rows = rows.withColumn("__rank_of", source)
-        names = places.select("rank", "source").distinct()
-        mine = mine.withColumn("__no2", F.dense_rank().over(Window.partitionBy("__id2", "__size2", "rank").orderBy("place")))
-        mine = mine.join(names.hint("merge"), "rank").withColumnRenamed("source", "__source2")
-        same = same & (F.col("__no") == F.col("__no2")) & F.col("__rank_of").eqNullSafe(F.col("__source2"))
+        rows = rows.withColumn("no", F.row_number().over(Window.partitionBy("id", "words", "from").orderBy("row.text")))
+        mine = mine.withColumn("nth", F.dense_rank().over(Window.partitionBy("doc_id", "size", "source").orderBy("place")))
+        same = same & (F.col("no") == F.col("nth")) & F.col("from").eqNullSafe(F.col("source"))
     out = rows.join(mine.hint("merge"), same)
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORDS), 0), 1, F.col("__take").cast("int")), " ")
-    out = out.withColumn("__text", F.when(F.col("__take") < F.col("__size"), cut).otherwise(F.col("text")))
-    fixed = {"doc_id": F.col("__id"), "text": F.col("__text"), "n_chars": F.when(F.col("__take") < F.col("__size"), F.length("__text").cast("long")).otherwise(F.col("n_chars") if "n_chars" in docs.columns else None)}
-    return out.select(*[fixed[c].alias(c) if c in fixed else F.col(f"`{c}`") for c in docs.columns])
+    old = {c: F.col("row").getField(c) for c in docs.columns}
+    cut = F.array_join(F.slice(F.regexp_extract_all(old["text"], F.lit(WORDS), 0), 1, F.col("take").cast("int")), " ")
+    out = out.withColumn("taken_text", F.when(F.col("take") < F.col("words"), cut).otherwise(old["text"]))
+    fixed = {"text": F.col("taken_text")}
+    if "n_chars" in docs.columns:
+        fixed["n_chars"] = F.when(F.col("take") < F.col("words"), F.length("taken_text").cast(docs.schema["n_chars"].dataType)).otherwise(old["n_chars"])
+    # the files hold the shards one after the other, each in the order of its blocks
+    dealt = out.repartitionByRange("at.shard").sortWithinPartitions("at.shard", "at.position")
+    return dealt.select(*[fixed.get(c, old[c]).alias(c) for c in docs.columns])
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every document."""
+    """doc_id, size, source_size, target, taken for every document, and where the mix has it:
+    pieces (runs of its words in blocks), shards, first_shard and first_position (null if none)."""
     pieces, places = mix_sources(docs, **how)
-    took = pieces.groupBy("rank", "place").agg(F.sum("n_words").alias("n")).select(F.col("rank").alias("r2"), F.col("place").alias("p2"), "n")
+    took = pieces.groupBy(F.col("rank").alias("r2"), F.col("place").alias("p2")).agg(
+        F.sum("n_words").alias("n"), F.count(F.lit(1)).alias("pieces"), F.count_distinct("shard").alias("shards"), F.min(F.struct("shard", "position")).alias("first")
+    )
     # a place on a source's line belongs to one document with words; those without take nothing
     mine = (places["rank"] == F.col("r2")) & (places["place"] == F.col("p2")) & (places["size"] > 0)
     out = places.join(took.hint("merge"), mine, "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0)).cast("long").alias("taken"))
+    zero = F.lit(0).cast("long")
+    return out.select(
+        "doc_id", "size", "source_size", "target", F.coalesce("n", zero).alias("taken"), F.coalesce("pieces", zero).alias("pieces"),
+        F.coalesce("shards", zero).alias("shards"), F.col("first.shard").alias("first_shard"), F.col("first.position").cast("long").alias("first_position"),
+    )
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

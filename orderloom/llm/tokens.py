@@ -206,7 +206,7 @@ def write_tokens(
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids from a data set."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids from a data set; no rows from an empty one."""
     tokens, manifest = spark.read.orc(f"{path}/tokens"), spark.read.orc(f"{path}/manifest")
     # one small row per file: broadcast while that is sure to be small, else merge
     base = manifest.select("part", "before").hint("broadcast" if manifest.count() <= 100_000 else "merge")
@@ -233,6 +233,10 @@ def ids_digest(tokens: DataFrame) -> DataFrame:
 
 
 def token_output(docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
+    """Writes the data set and reads back doc_id, start, n_tokens, ids_crc32, a row for each row of ``docs``.
+
+    Null and empty texts, repeated and null ids, empty tables and extra columns as in ``write_tokens``.
+    """
     spark = docs.sparkSession
     path = path or f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer or tokenizer_path())

@@ -402,19 +402,25 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score below ``threshold``, all their columns kept."""
+    """The documents that score below ``threshold``, all their columns kept.
+
+    Each row is judged by its own text, whatever its id; null and empty texts stay unless
+    an empty text itself scores that high; labels as in ``toxicity_scores``; an empty table
+    gives no rows; extra columns of any name are kept.
+    """
     model = train(docs, labels)
-    kinds = docs.schema
+    # columns travel by number, so that they can have any names
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = f"c{docs.columns.index('text')}"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-
         for part in parts:
-            data, offsets = utf8(part.column("text"))
+            data, offsets = utf8(part.column(text))
             for a, b in slices(offsets, 1 << 20):
                 t = Texts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield part.slice(a, b - a).filter(pa.array(model.score(t) < threshold))
 
-    return docs.mapInArrow(run, kinds)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
 writes as Parquet and reads back as the next stage's ``docs``.
+
+All stages take rows with nulls in any column, empty and very long texts, repeated and
+null ids, empty tables and extra columns of any name; what becomes of each is stated at
+the operator that the stage calls. Documents without text and documents without an id are
+clean; the mix takes no words from the former.
 """
 
 from __future__ import annotations

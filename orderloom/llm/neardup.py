@@ -202,12 +202,20 @@ def hinted(df: DataFrame, rows: int) -> DataFrame:
     return df.hint("broadcast" if rows <= BROADCAST_ROWS else "merge")
 
 
-def between(pairs: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
-    """The pairs (u, v, ...) whose documents are not of one class yet."""
-    r = hinted(roots.select("node", "root"), roots.count())
-    one = pairs.join(r.withColumnsRenamed({"node": "u", "root": "ru"}), "u", "left")
-    two = one.join(r.withColumnsRenamed({"node": "v", "root": "rv"}), "v", "left")
-    return written(two.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select(*pairs.columns), "near-between", parts=parts)
+def between(pairs: DataFrame, roots: DataFrame, parts: int, groups: DataFrame | None = None) -> DataFrame:
+    """The pairs (u, v, ...) whose documents are not of one class yet, without those that
+    ``groups`` (main, doc) have together, which have been compared there."""
+    known = roots.select("node", "root", F.lit(None).cast("long").alias("main"))
+    if groups is not None:
+        known = known.unionByName(groups.select(F.col("doc").alias("node"), F.lit(None).cast("long").alias("root"), "main"))
+    known = written(known.groupBy("node").agg(F.max("root").alias("root"), F.collect_set("main").alias("mains")), "near-known", parts=parts)  # a few nodes a document
+    r = hinted(known, known.count())
+    one = pairs.join(r.withColumnsRenamed({"node": "u", "root": "ru", "mains": "mu"}), "u", "left")
+    two = one.join(r.withColumnsRenamed({"node": "v", "root": "rv", "mains": "mv"}), "v", "left")
+    apart = (F.coalesce("ru", "u") != F.coalesce("rv", "v")) & ~F.coalesce(F.arrays_overlap("mu", "mv"), F.lit(False))
+    out = written(two.filter(apart).select(*pairs.columns), "near-between", parts=parts)
+    drop_written(known)
+    return out
 
 
 def classed(rows: DataFrame, roots: DataFrame, n_roots: int) -> DataFrame:
@@ -397,7 +405,7 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = PERCENT, tre
 
     # 4. candidates of small nodes: each document's likeliest first, then all that still lie between two classes
     order = Window.partitionBy("u").orderBy("d", "v")
-    left = between(found.groupBy("u", "v").agg(F.min("d").alias("d")), roots, parts)
+    left = between(found.groupBy("u", "v").agg(F.min("d").alias("d")), roots, parts, large)
     ranked = written(left.withColumn("place", F.row_number().over(order)), "near-ranked", parts=parts)
     links = links.unionByName(confirm(ranked.filter(f"place <= {LIKELIEST}").select("u", "v"), texts, words, percent, text_parts))
     rest = ranked.filter(f"place > {LIKELIEST}").select("u", "v")

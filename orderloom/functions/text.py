@@ -1,13 +1,16 @@
 """Text canonicalisation as native Column functions (ids T1-T14).
 
-Everything runs in the JVM; Unicode normal forms come from the Unicode library
-that Spark ships.
+Everything runs in the JVM but full normalisation of the few rows that need it. The
+table of accents is generated from ``unicodedata`` once per process.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,16 +47,29 @@ def needs_exact(c: Column) -> Column:
     return F.coalesce(c.rlike(_SETTLED), F.lit(False))
 
 
-def nfkc(c: Column) -> Column:
-    """Full NFKC, with composition and expansion, by the JVM's Unicode library; null stays null."""
-    exact = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
-    return F.when(needs_exact(c), exact).otherwise(c)
+def _full_nfkc(s: pd.Series) -> pd.Series:
+    return s.str.normalize("NFKC")
 
 
-def _nfd(c: Column) -> Column:
-    """Canonical decomposition of rows with other than ASCII characters."""
-    apart = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), c, F.lit(False))
-    return F.when(c.rlike(r"[^\x00-\x7F]"), apart).otherwise(c)
+def nfkc(c: Column) -> Column:
+    """Full NFKC, with composition and expansion; null stays null. Only rows that
+    ``needs_exact`` marks, which are rare, carry their text to Python, in Arrow batches."""
+    needs = needs_exact(c)
+    return F.when(needs, F.pandas_udf(_full_nfkc, "string")(F.when(needs, c))).otherwise(c)
+
+
+@cache
+def _accent_table() -> tuple[str, str]:
+    source, target = [], []
+    for code in range(0x80, 0x10000):
+        ch = chr(code)
+        if 0xD800 <= code < 0xE000:
+            continue
+        bare = "".join(x for x in unicodedata.normalize("NFD", ch) if unicodedata.category(x) != "Mn")
+        if len(bare) == 1 and bare != ch:
+            source.append(ch)
+            target.append(bare)
+    return "".join([*source, "đ", "Đ"]), "".join([*target, "d", "D"])
 
 
 def collapse_ws(c: Column) -> Column:
@@ -67,8 +83,11 @@ def compact_text(c: Column) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    """Marks removed, đ to d; null becomes empty. Composed and decomposed text agree."""
-    return F.translate(F.regexp_replace(_nfd(F.coalesce(c, F.lit(""))), r"\p{Mn}+", ""), "đĐ", "dD")
+    """Marks removed, đ to d; null becomes empty. Composed and decomposed text agree;
+    Hangul syllables, which hold no marks, stay whole."""
+    c = F.coalesce(c, F.lit(""))
+    bare = F.regexp_replace(F.translate(c, *_accent_table()), r"\p{Mn}+", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), bare).otherwise(c)
 
 
 def _key(low: Column, remove_admin_prefix: bool) -> Column:

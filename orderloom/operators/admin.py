@@ -132,9 +132,9 @@ def lookup_candidates(entries: DataFrame, full: DataFrame, short: DataFrame) ->
     """Candidates by full name, else by short name without its type; entries
     (entry_id, province_code, old_ward_name, district_hint) without any keep one null row."""
     keyed = entries.withColumn("key", place_name(F.col("old_ward_name")))
-    named = keyed.join(full, "key")
-    rest = keyed.join(full.select("key").distinct(), "key", "left_anti").withColumn("key", F.regexp_replace("key", WARD_PREFIX, ""))
-    return named.unionByName(rest.join(short, "key", "left")).drop("key")
+    named = keyed.hint("merge").join(full, "key")
+    rest = keyed.hint("merge").join(full.select("key").distinct(), "key", "left_anti").withColumn("key", F.regexp_replace("key", WARD_PREFIX, ""))
+    return named.unionByName(rest.hint("merge").join(short, "key", "left")).drop("key")
 
 
 def allowed_only(cands: DataFrame, merger: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def allowed_only(cands: DataFrame, merger: DataFrame) -> DataFrame:
     has = merger.select("province_code").distinct().withColumn("mapped", F.lit(True))
     ok = merger.select("province_code", F.col("old_province_key").alias("pk")).distinct().withColumn("allowed", F.lit(True))
     keyed = cands.withColumn("pk", place_name(F.coalesce("old_province_name", F.lit(""))))
-    out = keyed.join(has, "province_code", "left").join(ok, ["province_code", "pk"], "left")
+    out = keyed.join(has.hint("merge"), "province_code", "left").join(ok.hint("merge"), ["province_code", "pk"], "left")
     return out.withColumns({"mapped": F.coalesce("mapped", F.lit(False)), "allowed": F.coalesce("allowed", F.lit(False))}).drop("pk")
 
 
@@ -191,7 +191,7 @@ def infer_from_siblings(df: DataFrame, ward: str = "ward_code") -> DataFrame:
     top = counts.withColumns({"rn": F.row_number().over(order), "next": F.lead("n").over(order)}).filter("rn = 1 and n >= 2 and (next is null or n > next)")
     top = top.select(ward, F.col("old_district_name").alias("sd"), F.col("old_province_name").alias("sp"))
     fill = (F.col("conf") == "not_allowed") & F.col("sd").isNotNull()
-    return df.join(top, ward, "left").withColumns({
+    return df.join(top.hint("merge"), ward, "left").withColumns({
         "old_district_name": F.when(fill, F.col("sd")).otherwise(F.col("old_district_name")),
         "old_province_name": F.when(fill, F.col("sp")).otherwise(F.col("old_province_name")),
         "conf": F.when(fill, F.lit("inferred_from_siblings")).otherwise(F.col("conf")),

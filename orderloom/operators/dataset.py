@@ -58,8 +58,9 @@ def split_groups(df: DataFrame, ratio: float = 0.8, seed: int = 1, exact: bool =
     per = per.withColumn("base", F.coalesce(F.sum("b").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 4,096 buckets
     running = F.sum("n").over(Window.partitionBy("bucket").orderBy("__k"))
     total = per.agg(F.round(F.sum("b") * ratio).alias("goal"))
-    at = groups.withColumn("upto", running).join(per.select("bucket", "base"), "bucket").withColumn("upto", F.col("upto") + F.col("base"))
+    at = groups.withColumn("upto", running).join(per.select("bucket", "base").hint("broadcast"), "bucket").withColumn("upto", F.col("upto") + F.col("base"))
     train = at.join(F.broadcast(total), F.col("upto") <= F.col("goal"), "left_semi").select("__k")  # total: one row
+    train = train.hint("merge")
     return keyed.join(train, "__k", "left_semi").drop("__k"), keyed.join(train, "__k", "left_anti").drop("__k")
 
 
@@ -296,7 +297,7 @@ def generate(ids: DataFrame, old: DataFrame, new: DataFrame, seed: int = 1) -> D
     marked = marked.withColumn("no", F.when(n > 0, F.pmod(F.xxhash64(F.lit(seed + 1), i), n))).drop("n_old", "n_new")
     pool = numbered(old, "ord").withColumn("kind", F.lit("old")).unionByName(numbered(new, "ord").withColumn("kind", F.lit("new")))
     pool = pool.select("kind", F.col("no").cast("long").alias("no"), "ord", "province_name", "ward_name", "old_province_name", "old_district_name", "old_ward_name")
-    return marked.join(pool, ["kind", "no"], "left").drop("no")
+    return marked.join(pool.hint("merge"), ["kind", "no"], "left").drop("no")
 
 
 def curated(spark: SparkSession) -> DataFrame:

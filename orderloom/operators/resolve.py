@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from orderloom.functions.fuzzy import combined_score, field_score, may_reach
 from orderloom.functions.text import normalize_key, normalize_text_key
+from orderloom.sources.staging import staged
 
 # The two cities whose names can stand alone, by key.
 CITY_KEYS = ("ha noi", "ho chi minh")
@@ -25,21 +26,24 @@ def _hinted(df: DataFrame, rows: int) -> DataFrame:
     return df.hint("broadcast" if rows <= BROADCAST_ROWS else "merge")
 
 
-def flatten_admin(admin: DataFrame) -> DataFrame:
-    """One ``new`` record a ward and one ``old`` record a predecessor, with keys and ``ord``.
+def flatten_wards(wards: DataFrame) -> DataFrame:
+    """N1 on ward rows (province_code, province_name, pos, ward_code, ward_name, merged_from):
+    one ``new`` record a ward and one ``old`` record a predecessor, with keys and ``ord``.
 
-    ``ord`` is the place in the nested table, which breaks ties. The nested table
-    is one row per province (tens of rows), so ordering it costs nothing.
+    ``ord`` breaks ties: it orders by province, place in the province and place among
+    the predecessors (4,095 at most), without bringing the records together.
     """
-    provinces = admin.select("province_code", "province_name", F.posexplode("wards").alias("wpos", "w"))
-    base = provinces.select("province_code", "province_name", "wpos", "w.ward_code", "w.ward_name", F.col("w.merged_from").alias("olds"))
+    codes = wards.select("province_code").distinct()  # tens of provinces
+    codes = codes.withColumn("p_no", F.row_number().over(Window.orderBy("province_code")).cast("long")).hint("broadcast")
+    base = wards.join(codes, "province_code").withColumnRenamed("merged_from", "olds")
+    base = base.withColumn("base", F.shiftleft("p_no", 44) + F.shiftleft(F.col("pos").cast("long"), 12))
     new = base.select(
-        "province_code", "province_name", "ward_code", "ward_name", F.lit("new").alias("source"), "wpos", F.lit(-1).alias("opos"),
+        "province_code", "province_name", "ward_code", "ward_name", F.lit("new").alias("source"), F.col("base").alias("ord"),
         *[F.lit(None).cast("string").alias(c) for c in ("old_province_name", "old_district_name", "old_ward_name")],
         F.col("province_name").alias("p"), F.lit("").alias("d"), F.col("ward_name").alias("w"),
     )
     old = base.select("*", F.posexplode("olds").alias("opos", "o")).select(
-        "province_code", "province_name", "ward_code", "ward_name", F.lit("old").alias("source"), "wpos", "opos",
+        "province_code", "province_name", "ward_code", "ward_name", F.lit("old").alias("source"), (F.col("base") + F.col("opos") + 1).alias("ord"),
         "o.old_province_name", "o.old_district_name", "o.old_ward_name",
         F.coalesce(F.nullif("o.old_province_name", F.lit("")), "province_name").alias("p"), F.coalesce("o.old_district_name", F.lit("")).alias("d"),
         F.coalesce(F.nullif("o.old_ward_name", F.lit("")), "ward_name", F.lit("")).alias("w"),
@@ -47,8 +51,13 @@ def flatten_admin(admin: DataFrame) -> DataFrame:
     keys = {}
     for level, c in (("province", "p"), ("district", "d"), ("ward", "w")):
         keys[f"{level}_key"], keys[f"{level}_text_key"] = normalize_key(F.col(c)), normalize_text_key(F.col(c))
-    every = new.unionByName(old).withColumns(keys).drop("p", "d", "w")
-    return every.withColumn("ord", F.row_number().over(Window.orderBy("province_code", "wpos", "opos"))).drop("wpos", "opos")
+    return new.unionByName(old).withColumns(keys).drop("p", "d", "w")
+
+
+def flatten_admin(admin: DataFrame) -> DataFrame:
+    """N1 on the nested administrative table."""
+    wards = admin.select("province_code", "province_name", F.posexplode("wards").alias("pos", "w"))
+    return flatten_wards(wards.select("province_code", "province_name", "pos", "w.ward_code", "w.ward_name", "w.merged_from"))
 
 
 def unique_municipalities(records: DataFrame) -> DataFrame:
@@ -88,7 +97,7 @@ def infer_province(df: DataFrame, col: str, unique: DataFrame, out: str = "infer
     keyed = df.withColumn("__k", normalize_key(F.col(col)))
     keys = keyed.filter(F.coalesce(F.col(col), F.lit("")) != "").select(F.col("__k").alias("q")).distinct()
     pairs = key_pairs(keys, unique.select(F.col("key").alias("r")), min_score)
-    best = pairs.join(F.broadcast(unique.withColumnRenamed("key", "r")), "r").groupBy("q").agg(  # names of two cities: bounded
+    best = pairs.join(_hinted(unique.withColumnRenamed("key", "r"), unique.count()), "r").groupBy("q").agg(
         F.max_by("province_name", F.struct((F.col("q") == F.col("r")).alias("e"), "score", -F.col("ord"))).alias(out)
     )
     return keyed.join(best.withColumnRenamed("q", "__q").hint("merge"), F.col("__k") == F.col("__q"), "left").drop("__k", "__q")
@@ -107,28 +116,31 @@ def candidates(queries: DataFrame, records: DataFrame) -> DataFrame:
 
     A blank query key passes every record at 100; a blank record district is
     exempt from the limit and scores 0. A ward key left blank by prefix removal is
-    a branch of its own: it meets every record of its province and district.
+    a branch of its own: it meets the records of its province or, without one, of its
+    district; a triple that is blank throughout names no place and has no candidates.
     """
     q = queries.select(*[f"q{t}_{x}" for x in LIMITS for t in ("", "t")]).distinct()
     n = records.count()
-    scored = {}
+    pairs, rows = {}, {}
     for level, least in LIMITS.items():
-        scored[level] = key_pairs(q.select(F.col(f"q_{level}").alias("q")), records.select(F.col(f"{level}_key").alias("r")), least)
-    ward = scored["ward"].withColumnsRenamed({"q": "q_ward", "r": "ward_key", "score": "ward_score"})
+        # pairs grow with the queries: written, so that they are counted and not scored again
+        found = key_pairs(q.select(F.col(f"q_{level}").alias("q")), records.select(F.col(f"{level}_key").alias("r")), least)
+        pairs[level] = staged(found.withColumnsRenamed({"q": f"q_{level}", "r": f"{level}_key", "score": f"{level}_score"}), f"{level}-pairs")
+        rows[level] = pairs[level].count()
     rec = _hinted(records, n)
-    named = q.filter("q_ward <> ''").join(ward, "q_ward").join(rec, "ward_key")
-    blank = q.filter("q_ward = ''").withColumn("one", F.lit(1)).join(_hinted(records.withColumn("one", F.lit(1)), n), "one").drop("one").withColumn("ward_score", F.lit(100.0))
-    hit = named.unionByName(blank)
-    prov = scored["province"].withColumnsRenamed({"q": "pq", "r": "pr", "score": "ps"})
-    dist = scored["district"].withColumnsRenamed({"q": "dq", "r": "dr", "score": "ds"})
-    hit = hit.join(_hinted(prov, n), (F.col("q_province") == F.col("pq")) & (F.col("province_key") == F.col("pr")), "left")
-    hit = hit.filter("q_province = '' or ps is not null")
-    hit = hit.join(_hinted(dist, n), (F.col("q_district") == F.col("dq")) & (F.col("district_key") == F.col("dr")), "left")
-    hit = hit.filter("q_district = '' or district_key = '' or ds is not null")
-    d = F.when(F.col("q_district") == "", 100.0).otherwise(F.coalesce("ds", F.lit(0.0)))
-    p = F.when(F.col("q_province") == "", 100.0).otherwise(F.col("ps"))
+    named = q.filter("q_ward <> ''").join(_hinted(pairs["ward"], rows["ward"]), "q_ward").join(rec, "ward_key")
+    blank = q.filter("q_ward = ''").withColumn("ward_score", F.lit(100.0))
+    by_province = blank.filter("q_province <> ''").join(_hinted(pairs["province"].drop("province_score"), rows["province"]), "q_province").join(rec, "province_key")
+    by_district = blank.filter("q_province = '' and q_district <> ''").join(_hinted(pairs["district"].drop("district_score"), rows["district"]), "q_district").join(rec, "district_key")
+    hit = named.unionByName(by_province).unionByName(by_district)
+    hit = hit.join(_hinted(pairs["province"], rows["province"]), ["q_province", "province_key"], "left")
+    hit = hit.filter("q_province = '' or province_score is not null")
+    hit = hit.join(_hinted(pairs["district"], rows["district"]), ["q_district", "district_key"], "left")
+    hit = hit.filter("q_district = '' or district_key = '' or district_score is not null")
+    d = F.when(F.col("q_district") == "", 100.0).otherwise(F.coalesce("district_score", F.lit(0.0)))
+    p = F.when(F.col("q_province") == "", 100.0).otherwise(F.col("province_score"))
     hit = hit.withColumn("score", F.round(combined_score(p, d, F.col("ward_score"), F.col("q_province") != "", F.col("q_district") != ""), 2))
-    return tie_signals(hit.drop("pq", "pr", "ps", "dq", "dr", "ds", "ward_score"))
+    return tie_signals(hit.drop("province_score", "district_score", "ward_score"))
 
 
 def tie_signals(df: DataFrame) -> DataFrame:
@@ -201,4 +213,4 @@ def resolve_records(addresses: DataFrame, records: DataFrame, threshold: float =
 
 def normalize_addresses(addresses: DataFrame, admin: DataFrame, threshold: float = 84.0) -> DataFrame:
     """Addresses against the nested administrative table."""
-    return resolve_records(addresses, flatten_admin(admin).cache(), threshold)
+    return resolve_records(addresses, staged(flatten_admin(admin), "records"), threshold)

@@ -157,7 +157,7 @@ def error_rows(preds: DataFrame) -> DataFrame:
         "run", "id", "category", F.round("latency_seconds", 4).alias("latency_seconds"), "input",
         canonical_json(preds, "expected").alias("expected_all"), canonical_json(preds, "prediction").alias("prediction_all"),
     )
-    return cells.join(sides, ["run", "id"])
+    return cells.join(sides.hint("merge"), ["run", "id"])  # cells come from explode: no estimate
 
 
 def canonical_json(df: DataFrame, column: str) -> Column:
@@ -194,7 +194,7 @@ def examples(preds: DataFrame, rows: int = 6, fields: int = 4) -> DataFrame:
 def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of both runs by id (the last of a repeated id on the right) and the share of equal predictions."""
     r = right.groupBy("id").agg(F.max_by("prediction", "seq").alias("other"))
-    both = left.select("id", "prediction").join(r, "id")
+    both = left.select("id", "prediction").hint("merge").join(r, "id")
     same = F.to_json("prediction", {"ignoreNullFields": "false"}) == F.to_json("other", {"ignoreNullFields": "false"})
     out = both.agg(F.count(F.lit(1)).alias("shared"), F.count_if(same).alias("same"))
     return out.withColumn("same_ratio", F.round(_rate(F.col("same"), F.col("shared")), 4))
@@ -212,8 +212,11 @@ def best_runs(summary: DataFrame) -> DataFrame:
 
 def gains(summary: DataFrame, a: str, b: str) -> DataFrame:
     """Of run b against a: relative change of p95, absolute change of accuracy."""
-    x, y = (summary.filter(F.col("run") == r).select(F.col("p95").alias(f"p{i}"), F.col("accuracy").alias(f"a{i}"), F.lit(1).alias("one")) for i, r in ((0, a), (1, b)))
-    return x.join(y, "one").select(F.round((F.col("p0") - F.col("p1")) / F.col("p0"), 4).alias("p95_gain"), F.round(F.col("a1") - F.col("a0"), 4).alias("accuracy_gain"))
+    both = summary.filter(F.col("run").isin(a, b)).agg(*[
+        F.max(F.when(F.col("run") == r, F.col(c))).alias(f"{c}_{i}") for i, r in ((0, a), (1, b)) for c in ("p95", "accuracy")
+    ])
+    p95, accuracy = (F.col("p95_0") - F.col("p95_1")) / F.col("p95_0"), F.col("accuracy_1") - F.col("accuracy_0")
+    return both.select(F.round(p95, 4).alias("p95_gain"), F.round(accuracy, 4).alias("accuracy_gain"))
 
 
 def field_by_run(metrics: DataFrame, runs: list[str]) -> DataFrame:

@@ -103,7 +103,7 @@ def parse_messages(msgs: DataFrame, records: DataFrame, replies: DataFrame | Non
     order give an all-null row."""
     ruled = rule_pass(msgs)
     empty = F.lit(None).cast(EMPTY_ORDER)
-    ruled = ruled.join(replies, "msg_id", "left") if replies is not None else ruled.withColumn("model", empty)
+    ruled = ruled.join(replies.hint("merge"), "msg_id", "left") if replies is not None else ruled.withColumn("model", empty)
     blank = "named_struct('province', cast(null as string), 'district_hint', cast(null as string), 'ward', cast(null as string), 'street', cast(null as string), 'house_number', cast(null as string))"
     ruled = staged(ruled, "ruled")
     merged = apply_precedence(ruled.filter("is_order")).withColumn("phone", normalize_phone(F.col("phone")))

@@ -14,6 +14,7 @@ from orderloom.functions import extract, merge, phone, reply, text
 from orderloom.operators import admin, dataset, resolve, score
 from orderloom.plans import orders as plan
 from orderloom.plans.orders import read
+from orderloom.sources.staging import staged
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -380,17 +381,18 @@ def g10_name_index(spark, sf_dir):
 
 def classified(spark, sf_dir) -> DataFrame:
     """Predecessors of every new ward, matched against the old wards."""
-    old = admin.denormalize_old(*_old_files(spark, sf_dir)).cache()
+    old = staged(admin.denormalize_old(*_old_files(spark, sf_dir)), "old-wards")
     w = plan.admin_wards(spark, sf_dir)
     entries = w.select("ward_code", "province_code", F.posexplode(admin.parse_predecessors(F.col("merged_from_raw"), F.col("province_name"))).alias("pos", "e")).select(
         "ward_code", "province_code", "pos", "e.old_ward_name", F.when(F.pmod("pos", F.lit(2)) == 0, F.col("e.old_district_name")).alias("district_hint")
     )
     entries = admin.split_compound(entries).withColumn("entry_id", F.concat_ws("/", "ward_code", "pos", "sub"))
     merger = old.filter("old_province_name is not null").select(text.place_name(F.col("old_province_name")).alias("old_province_key")).distinct()
-    merger = merger.join(F.broadcast(w.select("province_code", text.place_name(F.col("province_name")).alias("old_province_key")).distinct()), "old_province_key")  # provinces: tens
+    provinces = w.select("province_code", text.place_name(F.col("province_name")).alias("old_province_key")).distinct()
+    merger = merger.hint("merge").join(provinces, "old_province_key")
     cands = admin.lookup_candidates(entries, admin.name_index(old, "full"), admin.name_index(old, "short"))
     tiers = admin.classify_matches(admin.allowed_only(cands, merger))
-    return admin.infer_from_siblings(tiers.join(entries.select("entry_id", "ward_code"), "entry_id"))
+    return admin.infer_from_siblings(tiers.hint("merge").join(entries.select("entry_id", "ward_code"), "entry_id"))
 
 
 @query()
@@ -415,7 +417,7 @@ def g18_not_found_audit(spark, sf_dir):
 
 # ---------------------------------------------------------------- resolution
 def records(spark, sf_dir) -> DataFrame:
-    return resolve.flatten_admin(plan.admin_table(spark, sf_dir))
+    return staged(resolve.flatten_wards(plan.admin_wards(spark, sf_dir)), "records")
 
 
 @query(f"WITH {SQL_OLD} SELECT 'new' AS source, province_name, count(DISTINCT ward_code) AS n FROM old GROUP BY province_name UNION ALL SELECT 'old', province_name, count(*) FROM old GROUP BY province_name")
@@ -452,7 +454,7 @@ def n6_unique_municipalities(spark, sf_dir):
 
 @query()
 def n7_infer_province(spark, sf_dir):
-    r = records(spark, sf_dir).cache()
+    r = records(spark, sf_dir)
     return resolve.infer_province(plan.old_wards(spark, sf_dir).select("ord", "old_district_name"), "old_district_name", resolve.unique_municipalities(r))
 
 
@@ -472,26 +474,26 @@ def addresses(spark, sf_dir) -> DataFrame:
 @query()
 def n8_n12_candidates(spark, sf_dir):
     q = resolve.query_keys(addresses(spark, sf_dir)).filter("ward is not null")
-    ranked = resolve.rank_candidates(resolve.candidates(q, records(spark, sf_dir).cache()))
+    ranked = resolve.rank_candidates(resolve.candidates(q, records(spark, sf_dir)))
     return ranked.filter("rank <= 5").select("q_province", "q_district", "q_ward", "qt_ward", "rank", "province_name", "ward_name", "source", "score", "exact_matches", F.round("tie_score", 4).alias("tie_score"))
 
 
 @query()
 def n14_normalize_addresses(spark, sf_dir):
-    out = resolve.normalize_addresses(addresses(spark, sf_dir), plan.admin_table(spark, sf_dir))
+    out = resolve.resolve_records(addresses(spark, sf_dir), records(spark, sf_dir))
     return out.select("addr_id", "resolved.province", "resolved.ward", "resolved.is_normalized", "resolved.confidence", "resolved.matched_by", F.array_join("resolved.warnings", ",").alias("warnings"), F.size("resolved.candidates").alias("n_candidates"))
 
 
 @query()
 def r6_r8_parse_messages(spark, sf_dir):
-    out = plan.parse_messages(plan.messages(spark, sf_dir), records(spark, sf_dir).cache())
+    out = plan.parse_messages(plan.messages(spark, sf_dir), records(spark, sf_dir))
     return out.select("msg_id", "recipient_name", "phone_number", "note", "address_raw", "address_new", "address_info.*")
 
 
 @query()
 def r6_r8_parse_with_replies(spark, sf_dir):
     model = replies(spark, sf_dir).select("msg_id", reply.reply_to_order(reply.recover_json(F.col("reply"))["order"]).alias("model"))
-    out = plan.parse_messages(plan.messages(spark, sf_dir), records(spark, sf_dir).cache(), model)
+    out = plan.parse_messages(plan.messages(spark, sf_dir), records(spark, sf_dir), model)
     return out.select("msg_id", "recipient_name", "phone_number", "note", "address_raw", "address_new", "address_info.*")
 
 

@@ -46,7 +46,7 @@ def _ends(c: Column) -> Column:
 
 def extract_name(c: Column) -> Column:
     """Form of address and the word after it."""
-    return let(_first(c, NAME, 1), lambda form: F.when(form.isNotNull(), F.concat(form, F.lit(" "), _first(c, NAME, 2))))
+    return F.concat(_first(c, NAME, 1), F.lit(" "), _first(c, NAME, 2))
 
 
 def extract_province(c: Column) -> Column:

@@ -61,13 +61,68 @@ msg AS (SELECT f.*, old.* FROM f, lim JOIN old ON old.ord = f.i % lim.n + lim.lo
 """
 
 
+def _short(c: str, pairs, otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN starts_with({c}, '{long}') THEN '{short}' || substr({c}, {len(long) + 1})" for long, short in pairs) + f" ELSE {otherwise} END"
+
+
+_TAIL_PARTS = (
+    f"CASE WHEN i % 2 = 0 THEN {_short('old_ward_name', (('Phường ', 'p. '), ('Xã ', 'x. '), ('Thị trấn ', 'tt. ')), 'old_ward_name')} ELSE old_ward_name END",
+    f"CASE WHEN i % 2 = 0 THEN {_short('old_district_name', (('Quận ', 'q. '), ('Huyện ', 'h. ')), 'old_district_name')} ELSE old_district_name END",
+    f"CASE WHEN i % 3 = 0 AND old_province_name LIKE '%Hà Nội' THEN 'HN' WHEN i % 3 = 0 AND old_province_name LIKE '%Hồ Chí Minh' THEN 'HCM' "
+    f"ELSE {_short('old_province_name', (('Thành phố ', 'TP. '), ('Tỉnh ', '')), 'old_province_name')} END",
+)
+_PHONE_TEXT = "CASE i % 4 WHEN 0 THEN a || '.' || b || '.' || c WHEN 1 THEN a || ' ' || b || ' ' || c WHEN 2 THEN '+84 ' || substr(phone, 2, 3) || ' ' || b || ' ' || c ELSE phone END"
+#: The rendered messages: i, text, with the fields and the place.
+SQL_TEXTS = f"""{SQL_PLACES},
+bits AS (SELECT *, {_PHONE_TEXT} AS pt, {_TAIL_PARTS[0]} AS pw, {_TAIL_PARTS[1]} AS pd, {_TAIL_PARTS[2]} AS pp, chr(10) AS nl FROM msg),
+line AS (SELECT *, pw || ', ' || pd || ', ' || pp AS tail FROM bits),
+texts AS (SELECT *, CASE i % 8
+  WHEN 0 THEN name || ' đặt 1 đơn' || nl || 'sđt ' || pt || nl || 'ship sn ' || house || ' ' || street || ', ' || tail || nl || 'note: ' || note
+  WHEN 1 THEN name || ' lấy 2 hộp, đt ' || pt || '. Giao về số ' || house || ' ' || street || ', ' || tail || '. ' || note
+  WHEN 2 THEN name || ' ' || pt || ' nhận ở chỗ mới. ĐC: ' || house || ' ' || street || ', ' || tail || '. ' || note
+  WHEN 3 THEN 'đơn cho ' || name || ', phone ' || pt || ', giao ' || house || ' ' || street || ', ' || pw || ' - ' || pd || ' - ' || pp || '; ghi chú ' || note
+  WHEN 4 THEN name || nl || pt || nl || 'địa chỉ: số ' || house || ', ' || street || ', ' || tail || nl || note
+  WHEN 5 THEN 'Shop nhận đơn của ' || name || ': ' || pt || '; gửi ' || house || ' ' || street || ', ' || tail || '; ghi chú: ' || note
+  WHEN 6 THEN name || ' mua 3 món' || nl || 'tel ' || pt || nl || 'giao ' || house || ' ' || street || ', ' || tail || nl || note
+  ELSE name || ' chốt đơn, sdt ' || pt || ', giao tới ' || tail || ', ' || street || ', số nhà ' || house || '; ' || note END AS text FROM line)
+"""
+
+
+def _re2(pattern: str) -> str:
+    """A pattern for SQL: its word breaks and word characters are those of all letters, and what it looks ahead for is read."""
+    out = pattern.replace("(?=", "(?:").replace(r"[\wÀ-ỹ]", r"[\p{L}\p{N}_À-ỹ]")
+    lead, tail = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+    parts = out.split(r"\b")
+    return "(?i)" + parts[0] + "".join((lead if k == 0 and not parts[0] else tail) + x for k, x in enumerate(parts[1:]))
+
+
+def _found(pattern: str, group: int = 1, c: str = "t") -> str:
+    return f"nullif(regexp_extract({c}, '{_re2(pattern)}', {group}), '')"
+
+
+_RAW = {"wr": _found(extract.WARD), "dr": _found(extract.DISTRICT), "pr": _found(extract.PROVINCE), "form": _found(extract.NAME), "called": _found(extract.NAME, 2)}
+#: The rule hints of the rendered messages: i, name, province, district_hint, ward, street, house_number, noted.
+SQL_HINTS = f"""{SQL_TEXTS},
+clean AS (SELECT i, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM texts),
+raw AS (SELECT i, t, {", ".join(f"trim({sql}) AS {n}" for n, sql in _RAW.items())} FROM clean),
+hints AS (SELECT i, form || ' ' || called AS name,
+  CASE WHEN regexp_matches(t, '{_re2(extract.HA_NOI)}') THEN 'Hà Nội' WHEN regexp_matches(t, '{_re2(extract.HO_CHI_MINH)}') THEN 'Hồ Chí Minh'
+    ELSE trim(regexp_replace(pr, '{_re2(extract.NOTE_LABEL)}.*', ''), ' ,;.') END AS province,
+  CASE WHEN starts_with(lower(dr), 'q') THEN 'Quận ' WHEN regexp_matches(lower(dr), '^(h\\.|huyện|huyen|h )') THEN 'Huyện ' ELSE 'Thị xã ' END || trim(regexp_replace(dr, '(?i){extract.DISTRICT_TYPE}', '')) AS district_hint,
+  CASE WHEN starts_with(lower(wr), 'p') THEN 'Phường ' WHEN regexp_matches(lower(wr), '^(x\\.|x |xã|xa)') THEN 'Xã ' ELSE 'Thị trấn ' END || trim(regexp_replace(wr, '(?i){extract.WARD_TYPE}', '')) AS ward,
+  nullif(trim(coalesce(trim({_found(extract.STREET)}) || ' ', '') || coalesce(trim({_found(extract.STREET, 2)}), '')), '') AS street,
+  coalesce({_found(extract.HOUSE)}, {_found(extract.LEADING_HOUSE)}) AS house_number,
+  regexp_matches(t, '{_re2(extract.LABELLED_NOTE)}') OR regexp_matches(t, '{_re2(extract.SIMPLE_NOTE)}') AS noted FROM raw)
+"""
+
+
 def _text(name: str, sql: str):
     """Folding of Vietnamese letters in SQL: DuckDB strips marks but keeps đ."""
     return f"replace(replace(strip_accents({sql}), 'đ', 'd'), 'Đ', 'D')"
 
 
 # ---------------------------------------------------------------- flagship
-@query()
+@query(f"WITH {SQL_HINTS} SELECT ward, count(*) AS orders, count(*) AS with_phone, count(*) FILTER (noted) AS with_note, count(house_number) AS with_house_number FROM hints GROUP BY ward")
 def entry_orders_by_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phone, name, note and address parts of every message, counted by ward."""
     ruled = plan.rule_pass(plan.messages(spark, sf_dir)).select("is_order", F.col("hints.ward").alias("ward"), "rule.phone", "rule.note", F.col("hints.house_number").alias("house"))
@@ -87,12 +142,20 @@ def t2_strip_accents(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.strip_accents(F.col("text")).alias("bare"))
 
 
-@query()
+def _key_sql(low: str) -> str:
+    """The key of a lowered text: runs of other than word characters are blanks, prefixes of two words and of one go."""
+    spaced = f"' ' || replace(trim(regexp_replace({low}, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+', ' ', 'g')), ' ', '  ') || ' '"
+    two = "|".join(p.replace(" ", "  ") for p in text.ADMIN_PREFIXES if " " in p)
+    words = f"string_split(regexp_replace({spaced}, ' (?:{two}) ', '  ', 'g'), ' ')"
+    return f"array_to_string(list_filter({words}, lambda w: w <> '' AND NOT list_contains({_list(text.ADMIN_PREFIXES)}, w)), ' ')"
+
+
+@query(f"SELECT doc_id, {_key_sql('lower(' + _text('', 'text') + ')')} AS key FROM documents")
 def t3_normalize_key(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.normalize_key(F.col("text")).alias("key"))
 
 
-@query()
+@query(f"SELECT doc_id, {_key_sql('lower(text)')} AS key FROM documents")
 def t4_normalize_text_key(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.normalize_text_key(F.col("text")).alias("key"))
 
@@ -182,18 +245,12 @@ def p4_mask_documents(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- extraction
-@query(f"WITH {SQL_FIELDS} SELECT i AS msg_id, CASE WHEN name LIKE '% %' THEN name END AS name FROM f WHERE i % 8 = 0 ")
+@query(f"WITH {SQL_HINTS} SELECT i AS msg_id, name FROM hints")
 def x1_extract_name(spark, sf_dir):
-    m = plan.messages(spark, sf_dir).filter(F.pmod("idx", F.lit(8)) == 0)
+    m = plan.messages(spark, sf_dir).select("msg_id", text.compact_text(F.col("text")).alias("text"))
     return m.select("msg_id", extract.extract_name(F.col("text")).alias("name"))
 
 
-@query()
-def x1_extract_name_all(spark, sf_dir):
-    """All messages; the SQL of x1_extract_name covers the first template alone."""
-    return plan.messages(spark, sf_dir).select("msg_id", extract.extract_name(F.col("text")).alias("name"))
-
-
 @query(f"""WITH {SQL_PLACES} SELECT i AS msg_id,
   CASE WHEN old_province_name LIKE '%Hà Nội%' THEN 'Hà Nội' WHEN old_province_name LIKE '%Hồ Chí Minh%' THEN 'Hồ Chí Minh' ELSE replace(old_province_name, 'Tỉnh ', '') END AS province FROM msg""")
 def x2_extract_province(spark, sf_dir):
@@ -221,15 +278,19 @@ def x7_extract_note(spark, sf_dir):
     return m.select("msg_id", extract.extract_note(F.concat("fields.name", F.lit(" nhận; ghi chú: "), "fields.note")).alias("note"))
 
 
-@query()
+@query(f"WITH {SQL_HINTS} SELECT i AS msg_id, name, province, district_hint, ward, street, house_number FROM hints")
 def x8_rule_hints(spark, sf_dir):
-    m = plan.messages(spark, sf_dir).select("msg_id", extract.rule_hints(text.compact_text(F.col("text"))).alias("h"))
-    return m.select("msg_id", "h.name", "h.address.*")
+    m = plan.messages(spark, sf_dir).select("msg_id", text.compact_text(F.col("text")).alias("text"))
+    return m.select("msg_id", extract.extract_name(F.col("text")).alias("name"), extract.address_hints(F.col("text")).alias("a")).select("msg_id", "name", "a.*")
 
 
-@query(f"WITH {SQL_FIELDS} SELECT i AS msg_id, true AS is_order FROM f")
+@query(f"WITH {SQL_FIELDS} SELECT i AS msg_id, i % 3 > 0 AS is_order FROM f")
 def x9_is_likely_order(spark, sf_dir):
-    return plan.rule_pass(plan.messages(spark, sf_dir)).select("msg_id", "is_order")
+    """Every third message is replaced by small talk about its street."""
+    m = plan.messages(spark, sf_dir)
+    chat = F.concat(F.lit("cảm ơn nhiều nhé, hẹn gặp lại lần "), F.col("idx").cast("string"))
+    said = F.when(F.pmod("idx", F.lit(3)) == 0, chat).otherwise(F.col("text"))
+    return plan.rule_pass(m.select("msg_id", said.alias("text"))).select("msg_id", "is_order")
 
 
 @query()
@@ -238,7 +299,8 @@ def x9_likely_conversations(spark, sf_dir):
     return c.select("conv_id", "turn", extract.is_likely_order(F.col("text"), phone.extract_phone(F.col("text")), F.col("h.address")).alias("is_order"))
 
 
-@query()
+@query(f"""WITH {SQL_HINTS}, n AS (SELECT *, (province IS NOT NULL)::INTEGER + (ward IS NOT NULL)::INTEGER + (street IS NOT NULL)::INTEGER + (house_number IS NOT NULL)::INTEGER AS signals FROM hints)
+  SELECT i AS msg_id, signals, name IS NOT NULL AND noted AND signals >= 2 AS skip_model FROM n""")
 def x10_x11_signals(spark, sf_dir):
     r = plan.rule_pass(plan.messages(spark, sf_dir))
     skip = extract.can_skip_model(F.col("rule.phone"), F.col("rule.name"), F.col("rule.note"), F.col("hints"), True)
@@ -520,25 +582,40 @@ ok AS (SELECT * FROM pred WHERE j % 11 > 0)
 """
 
 
-@query(f"""WITH {SQL_PRED} SELECT run, field, count(*) FILTER (e = p) AS exact_count, count(*) AS total FROM (
-  SELECT run, unnest([{{'field': 'name', 'e': lower(en), 'p': CASE WHEN j % 3 > 0 THEN lower(en) ELSE '' END}}, {{'field': 'phone', 'e': ep, 'p': CASE WHEN j % 5 > 0 THEN ep ELSE '0900000000' END}},
-    {{'field': 'note', 'e': lower(eo), 'p': CASE WHEN j % 4 > 0 THEN lower(eo) ELSE lower(eo) || ' nhé' END}}], recursive := true) FROM ok) GROUP BY run, field""")
+#: Each scored cell: run, field, both sides as the scorer sees them, and the words that they share.
+SQL_CELLS = f"""{SQL_PRED},
+cells AS (SELECT run, id, unnest([{{'field': 'name', 'e': lower(en), 'p': CASE WHEN j % 3 > 0 THEN lower(en) ELSE '' END}}, {{'field': 'phone', 'e': ep, 'p': CASE WHEN j % 5 > 0 THEN ep ELSE '0900000000' END}},
+  {{'field': 'note', 'e': lower(eo), 'p': CASE WHEN j % 4 > 0 THEN lower(eo) ELSE lower(eo) || ' nhé' END}}, {{'field': 'address.province', 'e': lower(pr), 'p': lower(pr)}}, {{'field': 'address.ward', 'e': lower(wa), 'p': lower(wa)}},
+  {{'field': 'address.street', 'e': lower(st), 'p': lower(st)}}, {{'field': 'address.house_number', 'e': lower(ho), 'p': lower(ho)}}], recursive := true) FROM ok),
+f1 AS (SELECT *, CASE WHEN e = p THEN 1.0 WHEN e = '' OR p = '' THEN 0.0 WHEN starts_with(p, e || ' ') THEN 2.0 * len(string_split(e, ' ')) / (len(string_split(e, ' ')) + len(string_split(p, ' '))) ELSE 0.0 END AS f FROM cells),
+counts AS (SELECT run, field, count(*) FILTER (e = p) AS exact_count, count(*) FILTER (e = p AND e <> '') AS tp, count(*) FILTER (e <> p AND p <> '') AS fp, count(*) FILTER (e <> p AND e <> '') AS fn, count(*) AS total, avg(f) AS tf FROM f1 GROUP BY run, field),
+rates AS (SELECT *, coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0) AS p, coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0) AS r FROM counts),
+metrics AS (SELECT run, field, round(exact_count / CAST(total AS DOUBLE), 4) AS exact_accuracy, round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1,
+  round(tf, 4) AS token_f1_avg, exact_count, total FROM rates)
+"""
+
+
+@query(f"WITH {SQL_CELLS} SELECT run, field, exact_count, total FROM counts")
 def e1_e3_exact_fields(spark, sf_dir):
-    f = score.to_fields(predictions(spark, sf_dir)).filter("ok and field in ('name', 'phone', 'note')")
+    f = score.to_fields(predictions(spark, sf_dir)).filter("ok")
     return f.groupBy("run", "field").agg(F.count_if(score.exact(F.col("expected"), F.col("predicted"))).alias("exact_count"), F.count(F.lit(1)).alias("total"))
 
 
-@query(f"""WITH {SQL_PRED} SELECT run, count(*) FILTER (j % 5 > 0) AS tp, count(*) FILTER (j % 5 = 0 AND ep <> '0900000000') AS fp, count(*) FILTER (j % 5 = 0 AND ep <> '0900000000') AS fn FROM ok GROUP BY run""")
+@query(f"WITH {SQL_CELLS} SELECT run, field, tp, fp, fn FROM counts")
 def e4_confusion(spark, sf_dir):
-    return score.confusion(score.to_fields(predictions(spark, sf_dir)).filter("ok and field = 'phone'"), "run").select("run", "tp", "fp", "fn")
+    return score.confusion(score.to_fields(predictions(spark, sf_dir)).filter("ok"), "run", "field").select("run", "field", "tp", "fp", "fn")
 
 
-@query()
+@query(f"WITH {SQL_CELLS} SELECT * FROM metrics")
 def e5_e7_field_metrics(spark, sf_dir):
     return score.field_metrics(predictions(spark, sf_dir))
 
 
-@query()
+@query("""WITH t AS (SELECT conv_id, turn, lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS s FROM conversations),
+p AS (SELECT a.conv_id, a.turn, list_filter(string_split(a.s, ' '), lambda w: w <> '') AS e, list_filter(string_split(b.s, ' '), lambda w: w <> '') AS p FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+ew AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(e) AS w FROM p) GROUP BY ALL), pw AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(p) AS w FROM p) GROUP BY ALL),
+c AS (SELECT conv_id, turn, sum(least(ew.n, pw.n)) AS shared FROM ew JOIN pw USING (conv_id, turn, w) GROUP BY ALL)
+SELECT p.conv_id, p.turn, round(CASE WHEN len(e) = 0 AND len(p) = 0 THEN 1.0 ELSE 2.0 * coalesce(shared, 0) / (len(e) + len(p)) END, 6) AS f1 FROM p LEFT JOIN c ON p.conv_id = c.conv_id AND p.turn = c.turn""")
 def e6_token_f1(spark, sf_dir):
     d, b = read(spark, sf_dir, "conversations"), read(spark, sf_dir, "conversations")
     nxt = b.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
@@ -619,12 +696,17 @@ def e18_mismatch_count(spark, sf_dir):
     return score.mismatch_count(predictions(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {SQL_PRED}, wrong AS (SELECT run, id, unnest(list_concat(CASE WHEN j % 3 = 0 THEN [{{'field': 'name', 'expected': en, 'predicted': NULL, 'k': 0}}] ELSE [] END,
+  CASE WHEN j % 5 = 0 AND ep <> '0900000000' THEN [{{'field': 'phone', 'expected': ep, 'predicted': '0900000000', 'k': 1}}] ELSE [] END,
+  CASE WHEN j % 4 = 0 THEN [{{'field': 'note', 'expected': eo, 'predicted': eo || ' nhé', 'k': 2}}] ELSE [] END), recursive := true) FROM pred),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY run ORDER BY id) AS row_rank, row_number() OVER (PARTITION BY run, id ORDER BY k) AS field_rank FROM wrong)
+SELECT run, id, field, expected, predicted, row_rank, field_rank FROM r WHERE row_rank <= 6 AND field_rank <= 4""")
 def e19_examples(spark, sf_dir):
     return score.examples(predictions(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {SQL_PRED}, c AS (SELECT count(*) AS shared, count(*) FILTER ((a.j % 3 > 0) = (b.j % 3 > 0) AND (a.j % 5 > 0) = (b.j % 5 > 0) AND (a.j % 4 > 0) = (b.j % 4 > 0)) AS same
+  FROM pred a JOIN pred b ON a.id = b.id AND a.run = 'a' AND b.run = 'b') SELECT *, round(same / CAST(shared AS DOUBLE), 4) AS same_ratio, same / CAST(shared AS DOUBLE) > 0.98 AS suspicious FROM c""")
 def e20_e21_compare_runs(spark, sf_dir):
     p = predictions(spark, sf_dir)
     return score.suspicious(score.compare_runs(p.filter("run = 'a'"), p.filter("run = 'b'")))
@@ -632,20 +714,24 @@ def e20_e21_compare_runs(spark, sf_dir):
 
 def _summary(spark, sf_dir) -> DataFrame:
     p = predictions(spark, sf_dir)
-    return score.latency_summary(p).join(score.full_exact(p), "run")
+    return score.latency_summary(p).hint("merge").join(score.full_exact(p), "run")
 
 
-@query()
+SQL_SUMMARY = f"""{SQL_PRED}, s AS (SELECT run, round(quantile_cont((j * 7919 % 5000) / 1000.0 + 0.5, 0.95), 4) AS p95,
+  round(count(*) FILTER (j % 3 > 0 AND j % 5 > 0 AND j % 4 > 0) / CAST(count(*) AS DOUBLE), 4) AS accuracy FROM ok GROUP BY run)"""
+
+
+@query(f"WITH {SQL_SUMMARY} SELECT (SELECT run FROM s ORDER BY p95, run LIMIT 1) AS fastest, (SELECT run FROM s ORDER BY accuracy DESC, run DESC LIMIT 1) AS most_exact")
 def e22_best_runs(spark, sf_dir):
     return score.best_runs(_summary(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {SQL_SUMMARY} SELECT round((a.p95 - b.p95) / a.p95, 4) AS p95_gain, round(b.accuracy - a.accuracy, 4) AS accuracy_gain FROM s a, s b WHERE a.run = 'a' AND b.run = 'b'")
 def e23_gains(spark, sf_dir):
     return score.gains(_summary(spark, sf_dir), "a", "b")
 
 
-@query()
+@query(f"WITH {SQL_CELLS} SELECT field, max(exact_accuracy) FILTER (run = 'a') AS a, max(exact_accuracy) FILTER (run = 'b') AS b FROM metrics GROUP BY field")
 def e24_field_by_run(spark, sf_dir):
     return score.field_by_run(score.field_metrics(predictions(spark, sf_dir)), ["a", "b"])
 

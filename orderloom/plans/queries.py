@@ -384,9 +384,22 @@ def r4_r5_format_address(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- administrative table
-@query(f"WITH {SQL_OLD} SELECT province_name, count(DISTINCT ward_code) AS wards, count(DISTINCT ward_code) AS merged, CAST(0 AS BIGINT) AS unchanged FROM old GROUP BY province_name")
-def g1_g2_g19_merge_totals(spark, sf_dir):
+SQL_NEW = f"""{SQL_OLD},
+new AS (SELECT province_code, province_name, ward_code, ward_name, min(ord) AS pos, count(*) AS entries FROM old GROUP BY ALL),
+state AS (SELECT *, pos % 5 > 0 AS is_merged FROM new)
+"""
+
+
+def partly_merged(spark, sf_dir) -> DataFrame:
+    """The new wards, of which every fifth (by its first predecessor) stays as it was."""
+    kept = F.pmod("pos", F.lit(5)) == 0
     w = plan.admin_wards(spark, sf_dir)
+    return w.withColumns({"is_merged": ~kept, "merged_from_raw": F.when(kept, F.when(F.pmod("pos", F.lit(2)) == 0, "Giữ nguyên hiện trạng")).otherwise(F.col("merged_from_raw"))})
+
+
+@query(f"WITH {SQL_NEW} SELECT province_name, count(*) AS wards, count(*) FILTER (is_merged) AS merged, count(*) FILTER (NOT is_merged) AS unchanged FROM state GROUP BY province_name")
+def g1_g2_g19_merge_totals(spark, sf_dir):
+    w = partly_merged(spark, sf_dir)
     p = w.select("province_code", "province_name").distinct()
     units = p.select(F.col("province_code").alias("ma"), F.lit("0").alias("magoc"), F.col("province_name").alias("ten"), F.lit(None).cast("string").alias("truocsapnhap"))
     wards = w.select(F.col("ward_code").alias("ma"), F.col("province_code").alias("magoc"), F.col("ward_name").alias("ten"), F.col("merged_from_raw").alias("truocsapnhap"))
@@ -406,20 +419,40 @@ def g4_g7_parse_predecessors(spark, sf_dir):
     return w.select("ward_code", F.explode(admin.parse_predecessors(F.col("merged_from_raw"), F.col("province_name"))).alias("e")).select("ward_code", "e.*")
 
 
-@query("""SELECT page_id, length(trim(t)) < 2 OR NOT regexp_matches(trim(t), '^\\p{L}') AS noise FROM (SELECT page_id, substr(html, 1 + page_id % 40, 12) AS t FROM pages)""")
+# Sample openings that name no unit, and names without a unit's type.
+VAGUE = ("Một phần diện tích", "phần còn lại của", "và phần", "toàn bộ", "12 ấp", "cùng", "hoặc ", "sau khi sắp xếp")
+
+
+def part_names(spark, sf_dir) -> DataFrame:
+    """(ord, part): the old wards' names: bare, with an opening before them, without a type, in small letters, or cut to one letter."""
+    i, name = F.pmod("ord", F.lit(5)), F.col("old_ward_name")
+    bare = F.regexp_replace(name, "^(Phường|Xã|Thị trấn) ", "")
+    part = F.when(i == 0, F.concat_ws(" ", plan._of(VAGUE, F.floor(F.col("ord") / 5)), name)).when(i == 1, bare).when(i == 2, F.lower(bare)).when(i == 3, F.substring(bare, 1, 1)).otherwise(name)
+    return plan.old_wards(spark, sf_dir).select("ord", part.alias("part"))
+
+
+@query(f"WITH {SQL_OLD} SELECT ord, ord % 5 IN (0, 3) AS noise FROM old")
 def g5_is_noise(spark, sf_dir):
-    t = F.expr("substr(html, 1 + page_id % 40, 12)")
-    return read(spark, sf_dir, "pages").select("page_id", admin.is_noise(t).alias("noise"))
+    return part_names(spark, sf_dir).select("ord", admin.is_noise(F.col("part")).alias("noise"))
+
+
+@query("SELECT doc_id, length(t) < 2 OR NOT regexp_matches(t, '^\\p{L}') OR regexp_matches(lower(t), '(?i)^(?:" + "|".join(admin.NOISE).replace("\\", "\\") + ")') AS noise FROM (SELECT doc_id, trim(coalesce(text, '')) AS t FROM documents)")
+def g5_noise_documents(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", admin.is_noise(F.col("text")).alias("noise"))
 
 
-@query(f"WITH {SQL_OLD} SELECT ord, true AS unit FROM old")
+@query(f"WITH {SQL_OLD} SELECT ord, ord % 5 IN (1, 4) AS unit FROM old")
 def g6_is_unit_name(spark, sf_dir):
-    return plan.old_wards(spark, sf_dir).select("ord", admin.is_unit_name(F.col("old_ward_name")).alias("unit"))
+    return part_names(spark, sf_dir).select("ord", admin.is_unit_name(F.col("part")).alias("unit"))
 
 
-@query(f"WITH {SQL_OLD} SELECT count(DISTINCT ward_code) AS wards, count(DISTINCT ward_code) AS merged, count(*) AS entries, CAST(0 AS BIGINT) AS merged_without_entries FROM old")
+@query(f"""WITH {SQL_NEW} SELECT count(*) AS wards, count(*) FILTER (is_merged) AS merged, CAST(sum(CASE WHEN is_merged AND pos % 7 > 0 THEN entries ELSE 0 END) AS BIGINT) AS entries,
+  count(*) FILTER (is_merged AND pos % 7 = 0) AS merged_without_entries FROM state""")
 def g8_reparse_totals(spark, sf_dir):
-    return admin.reparse(plan.admin_wards(spark, sf_dir))[1]
+    """Every seventh ward's text is a description without a unit's name."""
+    w = partly_merged(spark, sf_dir)
+    vague = F.when(F.pmod("pos", F.lit(7)) == 0, "phần còn lại của các xã, 12 ấp").otherwise(F.col("merged_from_raw"))
+    return admin.reparse(w.withColumn("merged_from_raw", vague))[1]
 
 
 def _old_files(spark, sf_dir):
@@ -448,6 +481,10 @@ def classified(spark, sf_dir) -> DataFrame:
     entries = w.select("ward_code", "province_code", F.posexplode(admin.parse_predecessors(F.col("merged_from_raw"), F.col("province_name"))).alias("pos", "e")).select(
         "ward_code", "province_code", "pos", "e.old_ward_name", F.when(F.pmod("pos", F.lit(2)) == 0, F.col("e.old_district_name")).alias("district_hint")
     )
+    # every eleventh old ward is asked for by a name that no file has
+    gone = plan.old_wards(spark, sf_dir).filter("ord % 11 = 0").select("ward_code", "old_ward_name", "ord").hint("merge")
+    entries = entries.join(gone, ["ward_code", "old_ward_name"], "left")
+    entries = entries.withColumn("old_ward_name", F.when(F.col("ord").isNotNull(), F.concat(F.lit("Xã Không Có "), F.col("ord").cast("string"))).otherwise(F.col("old_ward_name"))).drop("ord")
     entries = admin.split_compound(entries).withColumn("entry_id", F.concat_ws("/", "ward_code", "pos", "sub"))
     merger = old.filter("old_province_name is not null").select(text.place_name(F.col("old_province_name")).alias("old_province_key")).distinct()
     provinces = w.select("province_code", text.place_name(F.col("province_name")).alias("old_province_key")).distinct()
@@ -457,22 +494,51 @@ def classified(spark, sf_dir) -> DataFrame:
     return admin.infer_from_siblings(tiers.hint("merge").join(entries.select("entry_id", "ward_code"), "entry_id"))
 
 
-@query()
+def _place(c: str) -> str:
+    return _text("", f"lower(coalesce({c}, ''))")
+
+
+SQL_TIERS = f"""{SQL_OLD},
+known AS (SELECT ord, old_ward_name, CASE WHEN ord % 7 > 0 THEN old_district_name END AS d, CASE WHEN ord % 7 > 0 THEN old_province_name END AS p FROM old),
+entries AS (SELECT ward_code, province_code, pos, old_ward_name, ward_code || '/' || pos || '/0' AS entry_id, CASE WHEN pos % 2 = 0 THEN old_district_name END AS hint,
+  CASE WHEN ord % 11 = 0 THEN 'Xã Không Có ' || ord ELSE old_ward_name END AS asked FROM (SELECT *, row_number() OVER (PARTITION BY ward_code ORDER BY ord) - 1 AS pos FROM old)),
+mergers AS (SELECT DISTINCT province_code, {_place('province_name')} AS pk FROM old WHERE {_place('province_name')} IN (SELECT {_place('p')} FROM known WHERE p IS NOT NULL)),
+cand AS (SELECT e.*, k.ord, k.d, k.p, m.pk IS NOT NULL AS mapped_row, k.ord IS NOT NULL AND m.pk IS NOT NULL AND {_place('k.p')} = m.pk AS ok,
+  {_place('hint')} AS hk, {_place('k.d')} AS dk, coalesce(k.d, 'None') || ', ' || coalesce(k.p, 'None') AS label
+  FROM entries e LEFT JOIN known k ON {_place('e.asked')} = {_place('k.old_ward_name')} LEFT JOIN mergers m ON m.province_code = e.province_code),
+per AS (SELECT entry_id, ward_code, province_code, asked AS old_ward_name, hint AS district_hint, bool_or(mapped_row) AS mapped,
+  count(ord) AS na, count(*) FILTER (ok) AS nk, count(*) FILTER (ok AND hk <> '' AND dk = hk) AS nh,
+  arg_min({{'d': d, 'p': p}}, ord) AS fa, arg_min({{'d': d, 'p': p}}, ord) FILTER (ok) AS fk, arg_min({{'d': d, 'p': p}}, ord) FILTER (ok AND hk <> '' AND dk = hk) AS fh,
+  string_agg(label, '; ' ORDER BY ord) FILTER (ord IS NOT NULL) AS la, string_agg(label, '; ' ORDER BY ord) FILTER (ok) AS lk, string_agg(label, '; ' ORDER BY ord) FILTER (ok AND hk <> '' AND dk = hk) AS lh
+  FROM cand GROUP BY ALL),
+tier AS (SELECT *, CASE WHEN na = 0 THEN 'not_found' WHEN mapped AND nh = 1 THEN 'district_hint' WHEN mapped AND nh > 1 THEN 'ambiguous_district_hint' WHEN mapped AND na = 1 AND nk = 1 THEN 'exact'
+  WHEN mapped AND nk = 1 THEN 'filtered' WHEN mapped AND nk > 1 THEN 'ambiguous_region' WHEN mapped THEN 'not_allowed' WHEN na = 1 THEN 'exact' ELSE 'ambiguous' END AS c0 FROM per),
+pick AS (SELECT *, CASE WHEN c0 IN ('district_hint', 'ambiguous_district_hint') THEN fh WHEN mapped AND c0 <> 'not_allowed' THEN fk WHEN NOT mapped THEN fa END AS c,
+  coalesce(CASE WHEN c0 = 'ambiguous_district_hint' THEN lh WHEN c0 = 'ambiguous_region' THEN lk WHEN c0 IN ('not_allowed', 'ambiguous') THEN la END, '') AS all_options FROM tier),
+sure AS (SELECT ward_code, c.d AS sd, c.p AS sp, count(*) AS n FROM pick WHERE c0 IN {admin.SURE} AND c.d IS NOT NULL AND c.p IS NOT NULL GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER w AS rn, lead(n) OVER w AS nn FROM sure WINDOW w AS (PARTITION BY ward_code ORDER BY n DESC, sd, sp)) WHERE rn = 1 AND n >= 2 AND (nn IS NULL OR n > nn)),
+classified AS (SELECT entry_id, province_code, pick.ward_code, old_ward_name, district_hint, all_options, CASE WHEN c0 = 'not_allowed' AND sd IS NOT NULL THEN sd ELSE c.d END AS old_district_name,
+  CASE WHEN c0 = 'not_allowed' AND sd IS NOT NULL THEN sp ELSE c.p END AS old_province_name, CASE WHEN c0 = 'not_allowed' AND sd IS NOT NULL THEN 'inferred_from_siblings' ELSE c0 END AS conf
+  FROM pick LEFT JOIN top ON pick.ward_code = top.ward_code)
+"""
+
+
+@query(f"WITH {SQL_TIERS} SELECT * FROM classified")
 def g11_g15_classify_matches(spark, sf_dir):
     return classified(spark, sf_dir).withColumn("all_options", F.array_join("all_options", "; "))
 
 
-@query()
+@query(f"WITH {SQL_TIERS} SELECT conf, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 4) AS share FROM classified GROUP BY conf")
 def g16_tier_stats(spark, sf_dir):
     return admin.tier_stats(classified(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {SQL_TIERS} SELECT ward_code, old_ward_name, conf, CASE WHEN all_options = '' THEN 0 ELSE len(string_split(all_options, '; ')) END AS options FROM classified WHERE conf LIKE '%ambiguous%' OR conf = 'not_allowed'")
 def g17_ambiguous_audit(spark, sf_dir):
     return admin.ambiguous_audit(classified(spark, sf_dir)).select("ward_code", "old_ward_name", "conf", F.size("all_options").alias("options"))
 
 
-@query()
+@query(f"WITH {SQL_TIERS} SELECT ward_code, old_ward_name FROM classified WHERE conf = 'not_found'")
 def g18_not_found_audit(spark, sf_dir):
     return admin.not_found_audit(classified(spark, sf_dir)).select("ward_code", "old_ward_name")
 
@@ -487,19 +553,16 @@ def n1_flatten_admin(spark, sf_dir):
     return records(spark, sf_dir).groupBy("source", "province_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-_TINY = "WITH RECURSIVE p AS (SELECT a.n_name AS a, b.n_name AS b FROM nation a, nation b), "
-
-
-@query(_TINY + """
+@query(f"WITH RECURSIVE {SQL_OLD}, p AS (SELECT DISTINCT {_place('old_ward_name')} AS a, {_place('ward_name')} AS b FROM old)," + """
 cell AS (SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: 0) AS row FROM p
   UNION ALL SELECT a, b, i + 1, list_reduce(list_transform(range(1, length(b) + 1), lambda j: [CASE WHEN substr(a, i + 1, 1) = substr(b, CAST(j AS INTEGER), 1) THEN row[CAST(j AS INTEGER)] + 1 ELSE row[CAST(j + 1 AS INTEGER)] END]),
     lambda acc, v: list_append(acc, greatest(v[1], acc[len(acc)])), [0]) FROM cell WHERE i < length(a))
 SELECT a, b, round(200.0 * row[len(row)] / (length(a) + length(b)), 4) AS ratio FROM cell WHERE i = length(a)""")
 def n2_indel_ratio(spark, sf_dir):
+    """Names of old wards and of the new wards that took them in."""
     from orderloom.functions.fuzzy import indel_ratio
 
-    n = read(spark, sf_dir, "nation").select("n_name")
-    pairs = n.select(F.col("n_name").alias("a"), F.lit(1).alias("one")).join(n.select(F.col("n_name").alias("b"), F.lit(1).alias("one")).hint("merge"), "one")  # 25 x 25 names
+    pairs = plan.old_wards(spark, sf_dir).select(text.place_name(F.col("old_ward_name")).alias("a"), text.place_name(F.col("ward_name")).alias("b")).distinct()
     return pairs.select("a", "b", F.round(indel_ratio(F.col("a"), F.col("b")), 4).alias("ratio"))
 
 
@@ -819,6 +882,11 @@ def d13_synth_fields(spark, sf_dir):
     return plan.messages(spark, sf_dir).select("msg_id", "fields.phone", "fields.phone_text", "fields.house", "fields.street", "fields.name", "fields.note")
 
 
+@query(f"WITH {SQL_TEXTS} SELECT i AS msg_id, text FROM texts")
+def d14_render_order(spark, sf_dir):
+    return plan.messages(spark, sf_dir).select("msg_id", "text")
+
+
 @query(f"WITH {SQL_PLACES} SELECT i AS msg_id, house || ' ' || street || ', ' || ward_name || ', ' || province_name AS address_new FROM msg")
 def d14_d15_expected_order(spark, sf_dir):
     return plan.messages(spark, sf_dir).select("msg_id", "expected.address_new")
@@ -845,7 +913,7 @@ def d19_generate(spark, sf_dir):
     return dataset.generate(plan.messages(spark, sf_dir).select("idx"), *dataset.sampling_pools(records(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {SQL_TEXTS} SELECT i AS msg_id, trim(regexp_replace(regexp_replace(replace(text, pt, '[PHONE]'), '(?:sđt|đt|phone|tel|sdt) \\[PHONE\\]', '[PHONE]'), '\\s+', ' ', 'g')) AS input_masked FROM texts""")
 def d22_mask_record(spark, sf_dir):
     return dataset.mask_record(plan.messages(spark, sf_dir)).select("msg_id", "input_masked")
 

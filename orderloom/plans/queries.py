@@ -572,7 +572,15 @@ def n3_n4_field_scores(spark, sf_dir):
     return resolve.key_pairs(r.select(F.col("k").alias("q")), r.select(F.col("k").alias("r")), 72.0).withColumn("score", F.round("score", 4))
 
 
-@query()
+SQL_RECORDS = f"""{SQL_OLD},
+rec AS (SELECT province_name, province_name AS p, '' AS d, ward_name AS w FROM old UNION SELECT province_name, old_province_name, old_district_name, old_ward_name FROM old),
+keyed AS (SELECT province_name, {_key_sql("lower(" + _text('', 'p') + ")")} AS pk, {_key_sql("lower(" + _text('', 'd') + ")")} AS dk, {_key_sql("lower(" + _text('', 'w') + ")")} AS wk FROM rec)
+"""
+
+
+@query(f"""WITH {SQL_RECORDS}, lv AS (SELECT dk AS key, 0 AS level, count(DISTINCT pk) AS n, bool_or(pk IN ('ha noi', 'ho chi minh')) AS city, min(province_name) AS province_name FROM keyed WHERE dk <> '' GROUP BY dk
+  UNION ALL SELECT wk, 1, count(DISTINCT pk), bool_or(pk IN ('ha noi', 'ho chi minh')), min(province_name) FROM keyed WHERE wk <> '' GROUP BY wk)
+  SELECT key, arg_min(province_name, level) AS province_name FROM lv WHERE n = 1 AND city GROUP BY key""")
 def n6_unique_municipalities(spark, sf_dir):
     return resolve.unique_municipalities(records(spark, sf_dir)).select("key", "province_name")
 

@@ -20,9 +20,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | StructType) -> Data
     return spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
-def read_admin_json(spark: SparkSession, path: str) -> DataFrame:
-    """The nested administrative table, one JSON array."""
-    return spark.read.schema(ADMIN).option("multiLine", True).json(path)
+def read_admin_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The nested administrative table, one JSON array; ``lines``: a province a line, as write_admin_json has it."""
+    return spark.read.schema(ADMIN).option("multiLine", not lines).json(path)
 
 
 def read_code_map(spark: SparkSession, path: str, value: str) -> DataFrame:

@@ -5,23 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` and read back.
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder in ``spark.checkpoint.dir``.
 
-    Steps that use repaired values many times would otherwise be inlined into each
-    other until the plan no longer fits the driver; a written table also spares a
-    lost executor the recomputation. Without the setting local sessions take a fresh
-    folder, others one in the warehouse.
+    Without the setting local sessions take a fresh folder, others one in the warehouse.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         local = spark.sparkContext.master.startswith("local[")
         root = "file://" + tempfile.mkdtemp(prefix="checkpoints-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh path and read back.
+
+    Steps that use repaired values many times would otherwise be inlined into each
+    other until the plan no longer fits the driver; a written table also spares a
+    lost executor the recomputation.
+    """
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,10 +6,10 @@ from orderloom.llm.decontam import OP9_SQL, op9_decontaminate
 from orderloom.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from orderloom.llm.licences import op6_license_scan
 from orderloom.llm.mixing import op3_mix_sources
-from orderloom.llm.neardup import op10_near_dedup
+from orderloom.llm.neardup import OP10_SQL, op10_near_dedup
 from orderloom.llm.quality import op5_quality_classifier
 from orderloom.llm.substring import OP7_SQL, op7_substring_dedup
-from orderloom.llm.suffix import op2_suffix_dedup
+from orderloom.llm.suffix import OP2_SQL, op2_suffix_dedup
 from orderloom.llm.tokens import op8_token_output
 from orderloom.llm.toxicity import op1_toxicity
 
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLE_SQL = {"op4_exact_dedup": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL}
+ORACLE_SQL = {"op2_suffix_dedup": OP2_SQL, "op10_near_dedup": OP10_SQL, "op4_exact_dedup": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL}

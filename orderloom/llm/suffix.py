@@ -468,3 +468,18 @@ def byte_rows(batch: Batch, gone: np.ndarray) -> pa.RecordBatch:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, p, substr(x, 2 * p - 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(1, len(x) // 2 - 48)) AS p FROM h WHERE len(x) >= 100)),
+m AS (SELECT s, min(doc_id) AS d FROM w GROUP BY s),
+hit AS (SELECT doc_id, p FROM w JOIN m USING (s) WHERE d < doc_id),
+edge AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 50, true) AS fresh FROM hit),
+run AS (SELECT doc_id, r, min(p) AS a, max(p) + 50 AS b FROM (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM edge) GROUP BY doc_id, r),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS lo, a AS hi FROM run UNION ALL SELECT doc_id, max(b), NULL FROM run GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * lo - 1, 2 * (coalesce(hi, len(x) // 2 + 1) - lo)), '' ORDER BY lo) AS k FROM gap JOIN h USING (doc_id) GROUP BY doc_id),
+cut AS (SELECT doc_id, sum(b - a) AS n, count(*) AS spans FROM run GROUP BY doc_id)
+SELECT h.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM h LEFT JOIN kept ON h.doc_id = kept.doc_id LEFT JOIN cut ON h.doc_id = cut.doc_id
+"""

@@ -144,12 +144,14 @@ class Voters:
             return
         after = letter[2:] | (sign[2:] & np.append(letter[3:], False))
         for i in np.flatnonzero(letter[:-2] & sign[1:-1] & after).tolist():
+            row = int(np.searchsorted(t.offsets, i, side="right") - 1)
+            if i + (3 if letter[i + 2] else 4) > t.offsets[row + 1]:
+                continue  # the next text's beginning
             a, b = i, i + 3
             while a > 0 and i - a < 16 and (letter[a - 1] or sign[a - 1]):
                 a -= 1
             while b < len(d) and b - i < 19 and (letter[b] or sign[b]):
                 b += 1
-            row = int(np.searchsorted(t.offsets, i, side="right") - 1)
             yield row, d[max(a, t.offsets[row]) : min(b, t.offsets[row + 1])].tobytes().translate(_UNMASK).decode("ascii").lower()
 
     @staticmethod

@@ -110,3 +110,60 @@ def test_features():
     t = texts("Ab ab éa", "", "x")
     assert t.hash[0] == t.hash[1] == word_key("AB") and t.bounds.tolist() == [0, 3, 3, 4]
     assert structure(t).shape == (3, len(STRUCTURE)) and np.isfinite(structure(t)).all()
+
+
+def plain_votes(text, mined):
+    """The voters in plain Python."""
+    import re
+
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    said = re.findall(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+", text)
+    words = re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", low)
+    out = [any(w in of for w in words) for _, of in toxicity.LEXICON]
+    insults = {w for _, of in toxicity.LEXICON[:-5] for w in of}
+    at = [i for i, w in enumerate(words) if w in insults]
+    table = dict(toxicity.DISGUISE)
+    masked, spelled = set(), set()
+    for m in re.finditer(r"[A-Za-z013457@$!]+", text):
+        run = m[0]
+        if re.search(r"[A-Za-z][013457@$!](?:[A-Za-z]|[013457@$!][A-Za-z])", run):
+            masked.add("".join(table.get(c, c) for c in run).lower())
+    for m in re.finditer(r"(?:(?<=[^A-Za-z0-9])|^)(?:[a-z0-9][^A-Za-z0-9]+){3,}[a-z0-9](?![A-Za-z0-9])", low):
+        spelled.add("".join(re.findall("[a-z0-9]", m[0])))
+    for found in (masked, spelled):
+        known = [w for w in found if w in toxicity.WORD_VOTER]
+        for w in known:
+            out[toxicity.WORD_VOTER[w]] = True
+        out.append(bool(known))
+    out.append(any(said[i].isascii() and not re.search("[a-z{|}~]", said[i]) for i in at))
+    out.append(len(at) >= 2)
+    out.append(any(i >= gap and words[i - gap] in toxicity.ADDRESS for i in at for gap in (1, 2, 3)))
+    return out + [sum(w == m for w in words) >= least for m, least in mined]
+
+
+def test_votes_and_posteriors_against_plain_python():
+    rng = random.Random(11)
+    pool = [w for _, of in toxicity.LEXICON for w in of] + ["IDIOT", "Moron", "1d10t", "st4pid", "m0r0n", "l0s3r", "a", "b", "you", "your", "u"] + ["plain", "words", "here", "été"] * 12
+    rows = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for _ in range(400)] + ["m o r o n", "you are an idiot", "x i d i o t y", ""]
+    mined = [("plain", 2), ("here", 1)]
+    voters = toxicity.Voters([(int(word_key(w) >> np.uint64(1) << np.uint64(1)), n) for w, n in mined])
+    order = np.argsort([int(word_key(w) >> np.uint64(1) << np.uint64(1)) for w, _ in mined])
+    got = voters.votes(texts(*rows))
+    want = np.array([plain_votes(r, [mined[i] for i in order]) for r in rows])
+    assert got.shape == want.shape and (got == want).all(), [(rows[i], np.flatnonzero(got[i] != want[i])) for i in np.flatnonzero((got != want).any(axis=1))[:3]]
+    # the posterior of each text by Bayes' rule over the voters that fire, in plain Python
+    import math
+
+    j = voters.size
+    m = toxicity.LabelModel(0.1, np.linspace(0.2, 0.6, j), np.linspace(0.01, 0.05, j), np.linspace(0.5, 1.0, j), 0.9, 0.02)
+    label = np.array([rng.choice([-1, 0, 1]) for _ in rows])
+    for i, p in enumerate(m.posterior(got, label)):
+        one, zero = math.log(0.1), math.log(0.9)
+        for v in range(j):
+            if want[i, v]:
+                one += m.weight[v] * math.log(m.toxic[v])
+                zero += m.weight[v] * math.log(m.clean[v])
+        if label[i] >= 0:
+            one += math.log(0.9 if label[i] else 0.1)
+            zero += math.log(0.02 if label[i] else 0.98)
+        assert abs(p - 1 / (1 + math.exp(zero - one))) < 1e-9

@@ -134,11 +134,100 @@ modification, are permitted provided that the following conditions are met:
    this software without specific prior written permission.
 """
 
+LGPL21 = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+"""
+LGPL3 = GPL3.replace("GNU General", "GNU Lesser General")
+AGPL3 = GPL3.replace("GNU General", "GNU Affero General")
+ISC = """Copyright (c) 2020 Some One
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+"""
+EPL2 = """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/
+"""
+BSL1 = """Distributed under the Boost Software License, Version 1.0.
+(See accompanying file LICENSE_1_0.txt)
+"""
+
+
+def brute_rules(text):
+    """The rules over every run of lines and sentences, in plain Python: pieces end at marks; lines that no mark ends may go on."""
+    from orderloom.llm.licences import TABLE
+
+    known = {}
+    for s, i, place in TABLE:
+        known.setdefault(s, []).append((place, i))
+    soft = re.sub(r"(?<![.;!?\n\r])[\n\r]+", "\n\x01", text or "")
+    pieces, found = re.split(r"[.;!?]+(?:[ \t]+|$)|[.;!?]*[\n\r]+", soft), []
+    for a in range(len(pieces)):
+        for b in range(a + 1, len(pieces) + 1):
+            if b > a + 1 and not pieces[b - 1].startswith("\x01"):
+                break
+            for place, i in known.get(normalise_text(" ".join(pieces[a:b])), ()):
+                found.append((a, b, place, i))
+    # a form within a longer one of its identifier is one sentence with it
+    found = [f for f in found if not any(g[3] == f[3] and g != f and g[0] <= f[0] and f[1] <= g[1] for g in found)]
+    out = set()
+    for rule, _, _, ids in RULES:
+        last = (-1, 0)
+        for want in ids:
+            last = min(((a, p) for a, _, p, i in found if i == want and last and (a, p) > last), default=None)
+            if last is None:
+                break
+        if last:
+            out.add((rule, len({f[:2] for f in found if f[3] == ids[0]})))
+    return out
+
+
+def test_rules_against_brute_force(spark):
+    import random
+
+    rng, rows = random.Random(8), []
+    whole = [APACHE, MIT, GPL3, GPL2, BSD3, LGPL21, LGPL3, AGPL3, ISC, ZLIB, EPL2, BSL1]
+    single = [s + rng.choice([".", ";", "", "\n", ". "]) for _, s in SENTENCES]
+    for i in range(150):
+        bits = [rng.choice(whole) if rng.random() < 0.3 else rng.choice(single) if rng.random() < 0.7 else "some other words. And more" for _ in range(rng.randint(1, 6))]
+        text = rng.choice(["\n", " ", "\n\n", ". "]).join(bits)
+        if rng.random() < 0.3:
+            text = re.sub(r"(?<=[a-z]) (?=[a-z])", lambda m: rng.choice([" ", " ", "\n"]), text)
+        rows.append((i, text, None, None, None))
+    got = {}
+    for r in scan_licences(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).add((r.rule, r.matches))
+    for i, text, *_ in rows:
+        assert got.get(i, set()) == brute_rules(text), text
+
 
 def test_whole_licence_texts(spark):
     texts = {
         "apache": (APACHE, {"apache2-short", "apache2-header"}), "mit": (MIT, {"mit-full"}), "gpl3": (GPL3, {"gpl3-header"}),
         "gpl2": (GPL2, {"gpl2-header"}), "bsd": (BSD3, {"reserved-short", "bsd3-full", "bsd2-full"}),
+        "lgpl21": (LGPL21, {"lgpl21-header"}), "lgpl3": (LGPL3, {"lgpl3-header"}), "agpl3": (AGPL3, {"agpl3-header"}), "isc": (ISC, {"isc-full"}), "zlib": (ZLIB, {"zlib-full"}),
+        "epl2": (EPL2, {"epl2-short"}), "bsl1": (BSL1, {"bsl1-short"}),
     }
     rows, want = [], set()
     for k, (text, rules) in enumerate(texts.values()):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import U, columns, slices, utf8, written
+from orderloom.llm.common import U, columns, lean, slices, utf8, written
 
 BATCH_BYTES = 4 << 20
 KEYS_PER_BUCKET = 1 << 20
@@ -45,7 +45,7 @@ def make_batches(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
                 )
                 number += 1
 
-    return written(columns(docs, "doc_id", "text").mapInArrow(pack, BATCH_SCHEMA), "batches")
+    return written(columns(docs, "doc_id", "text").mapInArrow(lean(pack), BATCH_SCHEMA), "batches")
 
 
 class Batch:
@@ -71,7 +71,7 @@ def batch_rows(fn: Callable[[Batch], Iterator[pa.RecordBatch]]):
             for row in range(part.num_rows):
                 yield from fn(Batch(part, row))
 
-    return run
+    return lean(run)
 
 
 def bucket_bits(keys: int, per_bucket: int = KEYS_PER_BUCKET) -> int:
@@ -158,7 +158,7 @@ def repeated_keys(keyed: DataFrame, hot: int | None = None) -> DataFrame:
             out["hot"] = pa.array([bits_of(often[i]) if often[i].any() else None for i in keep], pa.binary())
         return pa.table(out)
 
-    return keyed.groupBy("bucket").applyInArrow(merge, ANSWER_SCHEMA if hot is None else ANSWER_SCHEMA + ", hot binary")
+    return keyed.groupBy("bucket").applyInArrow(lean(merge), ANSWER_SCHEMA if hot is None else ANSWER_SCHEMA + ", hot binary")
 
 
 KEY_SCHEMA = "bucket int, batch_id long, width int, keys binary, twice binary"
@@ -197,7 +197,7 @@ def with_answers(batches: DataFrame, answers: DataFrame, fn: Callable[[Batch, pa
         out = [rb for row in range(left.num_rows) for rb in fn(Batch(left, row), right)]
         return pa.Table.from_batches(out).cast(want) if out else want.empty_table()
 
-    return batches.groupBy("batch_id").cogroup(answers.groupBy("batch_id")).applyInArrow(run, schema)
+    return batches.groupBy("batch_id").cogroup(answers.groupBy("batch_id")).applyInArrow(lean(run), schema)
 
 
 def total_bytes(batches: DataFrame) -> int:

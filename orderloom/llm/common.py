@@ -7,9 +7,12 @@ clash with internal names.
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +93,47 @@ def held_out(col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+# --------------------------------------------------------------- memory of workers
+def give_back() -> None:
+    """Returns freed memory to the system. Workers live on between tasks and two or more share
+    an executor's memory with Spark, so what one only keeps for later is missing there."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def lean(fn: Callable) -> Callable:
+    """The function of a task (of batches, of a group, of two groups) with ``give_back`` now and then and at its end."""
+    if inspect.isgeneratorfunction(fn):
+
+        def batches(parts):
+            last = time.monotonic()
+            for out in fn(parts):
+                yield out
+                del out
+                if time.monotonic() - last > 0.5:
+                    give_back()
+                    last = time.monotonic()
+            give_back()
+
+        return batches
+
+    def group(table):
+        try:
+            return fn(table)
+        finally:
+            give_back()
+
+    def groups(left, right):
+        try:
+            return fn(left, right)
+        finally:
+            give_back()
+
+    return group if len(inspect.signature(fn).parameters) == 1 else groups
+
+
 # --------------------------------------------------------------- Arrow buffers
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets of n+1) of a string or binary array; null reads as empty."""

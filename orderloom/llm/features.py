@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import LETTERS, LOWER, NOT_SPACE, U, byte_values, columns, held_out, mix, prefix_sums, range_hash, row_bounds, slices, utf8, word_spans
+from orderloom.llm.common import LETTERS, LOWER, NOT_SPACE, U, byte_values, columns, held_out, lean, mix, prefix_sums, range_hash, row_bounds, slices, utf8, word_spans
 
 #: Labelled rows that a classifier is fitted on, at most.
 SAMPLE_ROWS = 12_000
@@ -104,7 +104,7 @@ def mapped(docs: DataFrame, fn: Callable[[Texts], list[pa.Array]], schema: str,
                 t = Texts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([*(part.column(c).slice(a, b - a) for c in keep), *fn(t)], [*keep, *names])
 
-    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in keep), schema]))
+    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(lean(run), ", ".join([*(f"{c} {kinds[c]}" for c in keep), schema]))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import LOWER, NOT_SPACE, U, columns, drop_written, mix, quoted, row_bounds, slices, table, utf8, word_hashes, written
+from orderloom.llm.common import LOWER, NOT_SPACE, U, columns, drop_written, lean, mix, quoted, row_bounds, slices, table, utf8, word_hashes, written
 from orderloom.llm.graph import components
 
 TOKENS = 64
@@ -44,7 +44,7 @@ SMALL_NODE = 256
 #: A large node is compared in blocks once so few of its documents lie outside its largest class.
 FEW = 512
 #: Shingles of a block's documents, and of the documents that are compared with a block at once.
-BLOCK_SHINGLES, ASKED_SHINGLES = 1 << 21, 1 << 18
+BLOCK_SHINGLES, ASKED_SHINGLES = 1 << 20, 1 << 18
 MAX_LEVELS = 5
 #: Distinct sets for each task that makes a table of numbers that are few, one of sets, and one that joins texts.
 SETS_PER_TASK, ROWS_PER_TASK, TEXTS_PER_TASK = 50_000, 20_000, 5_000
@@ -121,7 +121,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                     [f.split()[0] for f in META.split(", ")],
                 )
 
-    return columns(docs, "doc_id", "text").mapInArrow(run, META)
+    return columns(docs, "doc_id", "text").mapInArrow(lean(run), META)
 
 
 def children(node: np.ndarray, elements: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +182,7 @@ def branch(rows: DataFrame, levels: int, trees: int, percent: int) -> DataFrame:
                     take = pa.array(row)
                     yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(p.column(c).take(take) for c in ("doc", "n", "s1", "s2"))], ["node", "doc", "n", "s1", "s2"])
 
-    return rows.mapInArrow(run, "node long, doc long, n long, s1 long, s2 long")
+    return rows.mapInArrow(lean(run), "node long, doc long, n long, s1 long, s2 long")
 
 
 def alike(a: str, b: str, percent: int, bits: int = SKETCH_BITS):
@@ -243,7 +243,7 @@ def set_rows(texts: DataFrame, words: int) -> DataFrame:
                 each = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(bounds * 8), pa.py_buffer(sets)])
                 yield pa.RecordBatch.from_arrays([part.column("doc").slice(a, b - a), each.cast(pa.binary())], ["doc", "shingles"])
 
-    return texts.mapInArrow(run, "doc long, shingles binary")
+    return texts.mapInArrow(lean(run), "doc long, shingles binary")
 
 
 def block_links(rows: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK_SHINGLES, asked: int = ASKED_SHINGLES) -> DataFrame:
@@ -293,7 +293,7 @@ def block_links(rows: DataFrame, sets: DataFrame, percent: int, block: int = BLO
         u, v = np.concatenate(links, axis=1)
         return pa.table({"u": u, "v": v})
 
-    return asks.unionByName(held).groupBy("main", "f", "b").applyInArrow(compare, "u long, v long")
+    return asks.unionByName(held).groupBy("main", "f", "b").applyInArrow(lean(compare), "u long, v long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
@@ -318,7 +318,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, parts:
                 mask = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([part.column(c).slice(lo, hi - lo).filter(mask) for c in ("u", "v")], ["u", "v"])
 
-    out = written(two.mapInArrow(run, "u long, v long"), "links", parts=parts)
+    out = written(two.mapInArrow(lean(run), "u long, v long"), "links", parts=parts)
     drop_written(ids)
     return out
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import columns, held_out, slices, table, utf8
+from orderloom.llm.common import columns, held_out, lean, slices, table, utf8
 from orderloom.llm.features import SAMPLE_ROWS, STRUCTURE, Texts, hash_bins, mapped, structure, training_sample
 
 WORD_BINS = 1 << 14
@@ -165,7 +165,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
                 raw = machine.raw(row[order], idx, val, t.n)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(a, b - a), pa.array(1 / (1 + np.exp(-raw)))], ["doc_id", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, score double")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:

@@ -22,7 +22,7 @@ from orderloom.llm.batches import (
     ANSWER_SCHEMA, KEY_SCHEMA, Batch, batch_rows, bits_of, bucket_bits, by_bucket, flags, low, make_batches,
     read_answers, repeated_keys, short, total_bytes, with_answers,
 )
-from orderloom.llm.common import NOT_SPACE, U, powers, range_hash, row_bounds, table, word_hashes, written
+from orderloom.llm.common import NOT_SPACE, U, lean, powers, range_hash, row_bounds, table, word_hashes, written
 
 WINDOW = 35
 PROBE_SCHEMA = "bucket int, batch_id long, blocks binary, probes binary, twice binary"
@@ -92,7 +92,7 @@ def probe_index(probed: DataFrame) -> DataFrame:
             "mask": pa.array([bits_of(masks[i]) for i in keep], pa.binary()),
         })
 
-    return probed.groupBy("bucket").applyInArrow(look_up, ANSWER_SCHEMA)
+    return probed.groupBy("bucket").applyInArrow(lean(look_up), ANSWER_SCHEMA)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from orderloom.llm.batches import (
     COUNTED_SCHEMA, Batch, batch_rows, bucket_bits, counted_key_rows, make_batches, read_answers, repeated_keys, short, total_bytes, with_answers,
 )
-from orderloom.llm.common import U, byte_values, mix, powers, prefix_sums, range_hash, table, written
+from orderloom.llm.common import U, byte_values, lean, mix, powers, prefix_sums, range_hash, table, written
 
 LENGTH = 50
 GRAM = 20
@@ -406,7 +406,7 @@ def suffix_dedup(
         kinds = {"batch_id": pa.int64(), "bucket": pa.int32()}
         return pa.table({n: pa.array(v, kinds.get(n, pa.binary())) for n, v in out.items()})
 
-    found = written(sent.groupBy("shard").applyInArrow(sort_shard, FOUND_SCHEMA), "least-documents")
+    found = written(sent.groupBy("shard").applyInArrow(lean(sort_shard), FOUND_SCHEMA), "least-documents")
     both = shared.select("batch_id", "bucket", "mask", "hot", *[F.lit(None).cast("binary").alias(c) for c in ("slices", "starts", "lengths", "least")]).unionByName(
         found.withColumns({c: F.lit(None).cast("binary") for c in ("mask", "hot")})
     )

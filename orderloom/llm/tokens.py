@@ -22,12 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import checkpoint_dir, columns, slices, table, utf8
+from orderloom.llm.common import checkpoint_dir, columns, lean, slices, table, utf8
 
 END_ID = 1
 FILE_BYTES = 48 << 20
 #: Text that is encoded at once, and parts of words that a worker remembers.
-ENCODE_BYTES, CACHE_PARTS = 8 << 20, 500_000
+ENCODE_BYTES, CACHE_PARTS = 4 << 20, 300_000
 #: Words that the tokenizer splits into their letters and the signs after them (no apostrophe, which may begin
 #: an ending, and no <, which may begin a special token).
 PLAIN = (
@@ -78,8 +78,11 @@ class WordEncoder:
         self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.used = np.zeros(1, np.int64)
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, texts: list[str], at_once: int) -> Iterator[np.ndarray]:
+        """The ids of each text; the library's results, which are large, live for ``at_once`` texts."""
+        for i in range(0, len(texts), at_once):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False):
+                yield np.asarray(e.ids, np.uint32)
 
     def remember(self, parts: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts)), strict=True))
@@ -90,13 +93,13 @@ class WordEncoder:
     def learn(self, parts: list[str], together: bool) -> None:
         """``together``: each is one part to the tokenizer, so many go in one text and word ends tell them apart."""
         if together:
-            ids = np.concatenate(self.ids([" ".join(parts[i : i + 256]) for i in range(0, len(parts), 256)]))
+            ids = np.concatenate(list(self.ids([" ".join(parts[i : i + 256]) for i in range(0, len(parts), 256)], 16)))
             last = np.flatnonzero(self.ends[ids])
             if len(last) != len(parts):
                 raise ValueError("a part that was taken for one is several")
             self.remember(parts, ids, np.diff(last, prepend=-1))
         else:
-            each = self.ids(parts)
+            each = list(self.ids(parts, 4096))
             self.remember(parts, np.concatenate(each), np.array([len(x) for x in each], np.int64))
 
     def forget(self) -> None:
@@ -121,7 +124,7 @@ class WordEncoder:
     def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end id after each; number of ids of each)."""
         if not self.cuts:
-            each = [np.append(x, np.uint32(end_id)) for x in self.ids(texts.to_pylist())]
+            each = [np.append(x, np.uint32(end_id)) for x in self.ids(texts.to_pylist(), 16)]
             return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(x) for x in each], np.int64)
         if len(self.known) > CACHE_PARTS:
             self.forget()
@@ -193,7 +196,7 @@ def write_tokens(
                 )
                 start += int(ends[-1])
 
-    coded = ordered.mapInArrow(encode, f"part int, doc_id {dict(rows.dtypes)['doc_id']}, local_start long, n_tokens long, ids array<int>")
+    coded = ordered.mapInArrow(lean(encode), f"part int, doc_id {dict(rows.dtypes)['doc_id']}, local_start long, n_tokens long, ids array<int>")
     coded.write.options(**{
         "compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
         "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": str(row_stride), "orc.create.index": "true",
@@ -229,7 +232,7 @@ def ids_digest(tokens: DataFrame) -> DataFrame:
             sums = [zlib.crc32(flat[off[i] : off[i + 1]].data) for i in range(len(lists))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(crc, f"doc_id {dict(tokens.dtypes)['doc_id']}, start long, n_tokens long, ids_crc32 long")
+    return tokens.mapInArrow(lean(crc), f"doc_id {dict(tokens.dtypes)['doc_id']}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import U, columns, drop_written, held_out, mix, range_hash, slices, table, utf8, written
+from orderloom.llm.common import U, columns, drop_written, held_out, lean, mix, range_hash, slices, table, utf8, written
 from orderloom.llm.features import SAMPLE_ROWS, Texts, mapped, training_sample, word_key
 
 THRESHOLD = 0.3
@@ -325,7 +325,7 @@ def mine(sample: DataFrame, limit: int = MAX_MARKS) -> list[tuple[int, int]]:
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return []
-    counts = sample.select("text", "label").mapInArrow(run, "key long, ones long, n long").groupBy("key").agg(F.sum("ones").alias("k1"), F.sum("n").alias("n"))
+    counts = sample.select("text", "label").mapInArrow(lean(run), "key long, ones long, n long").groupBy("key").agg(F.sum("ones").alias("k1"), F.sum("n").alias("n"))
     telling = counts.filter((F.col("k1") >= MIN_SUPPORT) & (F.col("k1") / F.col("n") > 2.0 * n1 / (n1 + n0))).toPandas()  # bounded as the sample is
     k1 = telling["k1"].to_numpy(np.float64)
     ratio = llr(k1, telling["n"].to_numpy(np.float64) - k1, n1, n0)
@@ -422,7 +422,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
                 t = Texts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield part.slice(a, b - a).filter(pa.array(model.score(t) < threshold))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*docs.columns)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

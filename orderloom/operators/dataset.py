@@ -201,6 +201,29 @@ def render_order(f: Column, place: Column, idx: Column) -> Column:
     )
 
 
+def render_tuning_order(f: Column, address: Column, idx: Column) -> Column:
+    """D14 for tuning sets: the message of fields and one address line, thirteen templates (own
+    wording): name first, address first, labelled, and phone first. A missing note leaves its
+    part out; a missing phone is empty, or said to be missing where it has a label."""
+    name, phone = F.coalesce(f["name"], F.lit("")), F.coalesce(f["phone_text"], F.lit(""))
+    told = F.coalesce(f["phone_text"], F.lit("chưa có"))
+
+    def say(*bits: object, note: str) -> Column:
+        known = F.coalesce(F.concat(F.lit(note), f["note"]), F.lit(""))
+        return F.concat(*[F.lit(b) if isinstance(b, str) else b for b in bits], known)
+
+    return _pick(
+        idx,
+        say(name, " đt ", phone, " về ", address, note=" note: "), say("đơn của ", name, ", phone ", phone, ", nhận ở ", address, note="; ghi chú "),
+        say(name, "\n", phone, "\nđịa chỉ ", address, note="\n"), say("Shop gửi giúp ", name, ": ", phone, "; tới ", address, note="; ghi chú: "),
+        say(name, " xin đổi chỗ nhận. ĐC: ", address, ". ", phone, note=". "), say(name, " lấy thêm 1 hộp\nsđt ", phone, "\nship ", address, note="\nnote: "),
+        say("giao về ", address, ", cho ", name, ", sđt ", phone, note=", ghi chú: "), say("nơi nhận: ", address, "\nkhách: ", name, "\ngọi: ", phone, note="\nnote: "),
+        say("gửi ", address, " | ", name, " | ", phone, note=" | "), say("ĐC ", address, " - ", name, " - ", phone, note=" - "),
+        say("Tên: ", name, " | ĐT: ", told, " | Nơi nhận: ", address, note=" | Ghi chú: "), say("Họ tên: ", name, "\nSĐT: ", told, "\nNơi nhận: ", address, note="\nGhi chú: "),
+        say(phone, " - ", name, " - ", address, note=" - "),
+    )
+
+
 def expected_order(f: Column, place: Column) -> Column:
     """What a parse of the rendered message should give."""
     first = F.concat_ws(" ", f["house"], f["street"])
@@ -311,6 +334,41 @@ def curated(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "category string, input string, expected_phone string")
 
 
+# Sample places of edge cases (own wording): buildings, estates, landmarks, and districts for them.
+BUILDINGS = ("căn 7C tòa Hoa Lan", "căn 1503 tháp Đông", "block B căn 21", "căn 09 tòa Sen", "tầng 5 nhà A2")
+ESTATES = ("lô 5 KĐT Bờ Sông", "dãy N3 KĐT Đồi Xanh", "LK7 KĐT Hồ Tây Nhỏ")
+LANDMARKS = ("cổng trường Hoa Mai", "quầy lễ tân khách sạn Biển", "chợ Đầu Mối", "bến xe Phía Nam")
+AREAS = ("Quận 7", "Hà Đông", "Thủ Đức", "Đống Đa", "Tân Bình", "Long Biên", "Quận 1")
+EDGES = ("apartment", "urban_area", "landmark", "district_only", "phone_like_code", "short_phone", "two_phones", "emoji")
+
+
+def edge_records(ids: DataFrame) -> DataFrame:
+    """D20 at any size: for each idx an edge case of one of eight kinds: category, input and
+    what of it a parse should find (name, phone, note, ward, house_number)."""
+    i = F.col("idx")
+    n = F.floor(i / len(EDGES))
+    f, other = synth_fields(n), synth_fields(n + 3)
+    area, none = _of(AREAS, n), F.lit(None).cast("string")
+
+    def say(*bits: object) -> Column:
+        return F.concat(*[F.lit(b) if isinstance(b, str) else b for b in bits])
+
+    home, lot, spot = _of(BUILDINGS, n), _of(ESTATES, n), _of(LANDMARKS, n)
+    name, phone, note = f["name"], f["phone"], f["note"]
+    cases = [  # text, name, phone, note, ward, house number
+        (say(name, " ", f["phone_text"], " giao ", home, ", ", area, ", note: ", note), name, phone, note, area, home),
+        (say(name, " ", f["phone_text"], " ship số nhà ", lot, ", ", area), name, phone, none, area, lot),
+        (say(name, " ", f["phone_text"], " nhận ở ", spot, ", ", area, ", ", note), name, phone, note, area, spot),
+        (say(name, ", ", f["phone_text"], ", ", area), name, phone, none, area, none),
+        (say("mã đơn: ", phone, ", giao ", f["house"], " ", f["street"]), none, none, none, none, f["house"]),
+        (say(name, " ", F.substring(phone, 1, 9), " giao ", f["house"], " ", f["street"], ", ", area), name, none, none, area, f["house"]),
+        (say("2 số: ", name, " ", phone, ", không gọi được thì ", other["phone"], ", giao ", f["house"], " ", f["street"]), name, phone, none, none, f["house"]),
+        (say(name, " 🙂 :v ship ", f["house"], " ", f["street"], " ", phone), name, phone, none, none, f["house"]),
+    ]
+    fields = ("input", "name", "phone", "note", "ward", "house_number")
+    return ids.select("idx", _of(EDGES, i).alias("category"), *[_pick(i, *[c[k] for c in cases]).alias(x) for k, x in enumerate(fields)])
+
+
 def dataset_summary(train: DataFrame, valid: DataFrame) -> DataFrame:
     """The extended profile of both splits."""
     return profile_extended(train).withColumn("split", F.lit("train")).unionByName(profile_extended(valid).withColumn("split", F.lit("valid")))

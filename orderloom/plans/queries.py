@@ -895,6 +895,48 @@ def d14_render_order(spark, sf_dir):
     return plan.messages(spark, sf_dir).select("msg_id", "text")
 
 
+_TUNED = (
+    ("name || ' đt ' || ph || ' về ' || ad", " note: "), ("'đơn của ' || name || ', phone ' || ph || ', nhận ở ' || ad", "; ghi chú "), ("name || nl || ph || nl || 'địa chỉ ' || ad", "\n"),
+    ("'Shop gửi giúp ' || name || ': ' || ph || '; tới ' || ad", "; ghi chú: "), ("name || ' xin đổi chỗ nhận. ĐC: ' || ad || '. ' || ph", ". "), ("name || ' lấy thêm 1 hộp' || nl || 'sđt ' || ph || nl || 'ship ' || ad", "\nnote: "),
+    ("'giao về ' || ad || ', cho ' || name || ', sđt ' || ph", ", ghi chú: "), ("'nơi nhận: ' || ad || nl || 'khách: ' || name || nl || 'gọi: ' || ph", "\nnote: "), ("'gửi ' || ad || ' | ' || name || ' | ' || ph", " | "),
+    ("'ĐC ' || ad || ' - ' || name || ' - ' || ph", " - "), ("'Tên: ' || name || ' | ĐT: ' || told || ' | Nơi nhận: ' || ad", " | Ghi chú: "), ("'Họ tên: ' || name || nl || 'SĐT: ' || told || nl || 'Nơi nhận: ' || ad", "\nGhi chú: "),
+    ("ph || ' - ' || name || ' - ' || ad", " - "),
+)
+
+
+@query(f"""WITH {SQL_TEXTS}, tuned AS (SELECT i, name, nl, house || ' ' || street || ', ' || tail AS ad, CASE WHEN i % 7 > 0 THEN pt ELSE '' END AS ph, CASE WHEN i % 7 > 0 THEN pt ELSE 'chưa có' END AS told, CASE WHEN i % 4 > 0 THEN note END AS note FROM texts)
+  SELECT i AS msg_id, CASE i % 13 {" ".join(f"WHEN {k} THEN {t} || coalesce('{n}' || note, '')" for k, (t, n) in enumerate(_TUNED))} END AS text FROM tuned""")
+def d14_render_tuning_order(spark, sf_dir):
+    """Every seventh message lacks the phone, every fourth the note."""
+    m, f, i = plan.messages(spark, sf_dir), F.col("fields"), F.col("idx")
+    tail = F.concat_ws(", ", text.short_ward(F.col("place.ward"), i), text.short_district(F.col("place.district"), i), text.short_province(F.col("place.province"), i))
+    some = F.struct(f["name"].alias("name"), F.when(F.pmod(i, F.lit(7)) > 0, f["phone_text"]).alias("phone_text"), F.when(F.pmod(i, F.lit(4)) > 0, f["note"]).alias("note"))
+    address = F.concat(f["house"], F.lit(" "), f["street"], F.lit(", "), tail)
+    return m.select("msg_id", "idx", some.alias("some"), address.alias("address")).select("msg_id", dataset.render_tuning_order(F.col("some"), F.col("address"), F.col("idx")).alias("text"))
+
+
+_EDGE_SQL = (
+    "name || ' ' || pt || ' giao ' || home || ', ' || area || ', note: ' || note", "name || ' ' || pt || ' ship số nhà ' || lot || ', ' || area", "name || ' ' || pt || ' nhận ở ' || spot || ', ' || area || ', ' || note",
+    "name || ', ' || pt || ', ' || area", "'mã đơn: ' || phone || ', giao ' || house || ' ' || street", "name || ' ' || substr(phone, 1, 9) || ' giao ' || house || ' ' || street || ', ' || area",
+    "'2 số: ' || name || ' ' || phone || ', không gọi được thì ' || phone2 || ', giao ' || house || ' ' || street", "name || ' 🙂 :v ship ' || house || ' ' || street || ' ' || phone",
+)
+
+
+@query(f"""WITH {SQL_FIELDS.replace('SELECT o_orderkey AS i FROM orders', 'SELECT DISTINCT o_orderkey // 8 AS i FROM orders')},
+e AS (SELECT o_orderkey AS idx, o_orderkey % 8 AS k, f.*, {_PHONE_TEXT.replace('i % 4', 'f.i % 4')} AS pt, {_of(dataset.AREAS, 'f.i')} AS area, {_of(dataset.BUILDINGS, 'f.i')} AS home, {_of(dataset.ESTATES, 'f.i')} AS lot, {_of(dataset.LANDMARKS, 'f.i')} AS spot,
+  '09' || lpad(CAST((f.i + 3) % 100 AS VARCHAR), 2, '0') || lpad(CAST(((f.i + 3) * 37 + 123456) % 1000000 AS VARCHAR), 6, '0') AS phone2 FROM orders JOIN f ON f.i = o_orderkey // 8)
+SELECT idx, {_of(dataset.EDGES, 'idx')} AS category, CASE k {" ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(_EDGE_SQL))} END AS input, CASE WHEN k <> 4 THEN name END AS name, CASE WHEN k NOT IN (4, 5) THEN phone END AS phone,
+  CASE WHEN k IN (0, 2) THEN note END AS note, CASE WHEN k IN (0, 1, 2, 3, 5) THEN area END AS ward, CASE k WHEN 0 THEN home WHEN 1 THEN lot WHEN 2 THEN spot WHEN 3 THEN NULL ELSE house END AS house_number FROM e""")
+def d20_edge_records(spark, sf_dir):
+    return dataset.edge_records(plan.messages(spark, sf_dir).select("idx"))
+
+
+@query(f"""WITH {SQL_FIELDS} SELECT i AS idx, CASE WHEN i % 8 NOT IN (4, 5) THEN '09' || lpad(CAST((i // 8) % 100 AS VARCHAR), 2, '0') || lpad(CAST(((i // 8) * 37 + 123456) % 1000000 AS VARCHAR), 6, '0') END AS phone FROM f""")
+def d20_edge_phones(spark, sf_dir):
+    """The phones that extraction finds in the edge cases."""
+    return dataset.edge_records(plan.messages(spark, sf_dir).select("idx")).select("idx", phone.extract_phone(F.col("input")).alias("phone"))
+
+
 @query(f"WITH {SQL_PLACES} SELECT i AS msg_id, house || ' ' || street || ', ' || ward_name || ', ' || province_name AS address_new FROM msg")
 def d14_d15_expected_order(spark, sf_dir):
     return plan.messages(spark, sf_dir).select("msg_id", "expected.address_new")

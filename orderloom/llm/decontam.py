@@ -19,6 +19,8 @@ from orderloom.llm.common import columns, quoted, table, written
 
 SHINGLE = 5
 PERCENT = 80
+#: Items, and documents, for each task that makes a small table of them.
+ROWS_PER_TASK = 20_000
 BROADCAST_ROWS = 500_000
 
 
@@ -80,8 +82,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     give no rows; extra columns are ignored.
     """
     rows = columns(docs, "doc_id", "text")
-    items = written(item_shingles(benchmark, shingle), "bench-items")
-    sketch = written(sketches(items, percent), "bench-sketches")
+    few = max(6, benchmark.select("item_id").count() // ROWS_PER_TASK)
+    items = written(item_shingles(benchmark, shingle), "bench-items", parts=few)
+    sketch = written(sketches(items, percent), "bench-sketches", parts=few)
     sizes = [r["n"] for r in items.select("n").distinct().collect()]  # at most ``shingle`` values
     n_sketch = sketch.count()
 
@@ -98,7 +101,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     pairs = hits.groupBy("doc_id", "body", "item_id", "need", "h").agg(F.first("n").alias("n")).groupBy("doc_id", "body", "item_id").agg(
         F.count(F.lit(1)).alias("got"), F.first("need").alias("need")
     ).filter("got >= need").select("doc_id", "body", "item_id")
-    pairs = written(pairs, "bench-pairs")
+    pairs = written(pairs, "bench-pairs", parts=max(6, rows.select("doc_id").count() // ROWS_PER_TASK))
 
     # exact check: each candidate's document once, its items' shingles beside it
     texts = rows.withColumn("body", F.xxhash64("text")).join(pairs.select("doc_id", "body").distinct().hint("merge"), ["doc_id", "body"], "left_semi")
@@ -120,7 +123,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
     one of its texts contains an item; an empty benchmark keeps all, an empty table gives
     no rows; extra columns of any name are kept.
     """
-    bad = written(contaminated(docs, benchmark, percent).select("doc_id").distinct(), "bench-bad")
+    bad = written(contaminated(docs, benchmark, percent).select("doc_id").distinct(), "bench-bad", parts=max(6, docs.select("doc_id").count() // ROWS_PER_TASK))
     return docs.join(bad.hint("merge"), "doc_id", "left_anti").select(*quoted(docs))
 
 

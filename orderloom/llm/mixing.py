@@ -143,12 +143,12 @@ def mix_sources(
     source). An empty table gives empty results. Extra columns are ignored.
     """
     spark = docs.sparkSession
-    sizes = written(sized(docs), "mix-sizes")
-    n_rows = sizes.count()
+    n_rows = docs.select("doc_id").count()
+    sizes = written(sized(docs), "mix-sizes", parts=max(6, n_rows // 5_000))
     targets = written(source_targets(sizes, weights, max_epochs), "mix-targets")
     placed = line_places(sizes, n_rows, seed)
     t = targets.select(F.col("source").alias("s2"), "rank", "source_size", "target").hint("merge")
-    placed = written(placed.join(t, placed["source"].eqNullSafe(F.col("s2"))).drop("s2"), "mix-places")
+    placed = written(placed.join(t, placed["source"].eqNullSafe(F.col("s2"))).drop("s2"), "mix-places", parts=max(6, n_rows // ROWS_PER_BUCKET))
 
     # one number per source: the summary that every task of the tree starts from
     quota_rows = targets.select("rank", F.ceil(F.round("target") / block_words).cast("long").alias("q")).orderBy("rank").collect()

@@ -46,7 +46,7 @@ FEW = 512
 #: Shingles of a block's documents, and of the documents that are compared with a block at once.
 BLOCK_SHINGLES, ASKED_SHINGLES = 1 << 20, 1 << 18
 MAX_LEVELS = 5
-#: Distinct sets for each task that makes a table of numbers that are few, one of sets, and one that joins texts.
+#: Distinct sets for each task that makes a table of numbers that are few, one of sets or nodes, and one that reads texts.
 SETS_PER_TASK, ROWS_PER_TASK, TEXTS_PER_TASK = 50_000, 20_000, 5_000
 #: Rows of two or three numbers up to which a counted table is broadcast.
 BROADCAST_ROWS = 300_000
@@ -340,6 +340,7 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = PERCENT, tre
     """
     docs = columns(docs, "doc_id", "text")
     ids = docs.select("doc_id").filter("doc_id is not null")
+    n_rows = docs.select("doc_id").count()
     if ids.count() > ids.distinct().count():
         longest = F.max(F.struct(F.octet_length("text").alias("size"), "text")).alias("t")
         stands = written(docs.filter("doc_id is not null").groupBy("doc_id").agg(longest).select("doc_id", "t.text"), "near-texts")
@@ -347,20 +348,19 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = PERCENT, tre
         every = describe(docs, words).select("doc_id", "n_shingles")
         out = every.join(written(of, "near-of").hint("merge"), "doc_id", "left")
         return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    meta = written(describe(docs, words), "near-meta")
-    n_rows = meta.count()
+    meta = written(describe(docs, words), "near-meta", parts=max(6, n_rows // TEXTS_PER_TASK))
     keyed = meta.filter("doc_id is not null and n_shingles > 0")
     least = keyed.groupBy("sig1", "sig2", "n_shingles").agg(F.min(F.struct("doc_id", "mins", "s1", "s2")).alias("r"))
     reps = written(
         least.select(F.col("r.doc_id").alias("doc"), F.col("n_shingles").alias("n"), "r.s1", "r.s2", "r.mins", "sig1", "sig2"), "near-reps", parts=max(6, n_rows // ROWS_PER_TASK)
     )
     n = reps.count()
-    parts, text_parts = max(6, n // SETS_PER_TASK), max(6, n // TEXTS_PER_TASK)
+    parts, node_parts, text_parts = (max(6, n // per) for per in (SETS_PER_TASK, ROWS_PER_TASK, TEXTS_PER_TASK))
     levels = max(1, ceil(log(max(1, n / 64)) / log(16)))
     trees, copies = plan_trees(levels, percent, trees)
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
 
-    nodes = written(branch(reps.drop("sig1", "sig2"), levels, trees, percent), "near-nodes")
+    nodes = written(branch(reps.drop("sig1", "sig2"), levels, trees, percent), "near-nodes", parts=text_parts)
 
     # 1. every document against the least one of each of its nodes: at most one candidate a document
     heads = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "n", "s1", "s2")).alias("p")).filter("c > 1")
@@ -374,7 +374,7 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = PERCENT, tre
     found, large, deep = None, None, 0
     while True:
         mixed = written(mixed_nodes(classed(nodes, roots, n_roots)), "near-mixed", parts=parts)
-        open_ = written(classed(nodes.join(mixed.hint("merge"), "node"), roots, n_roots), "near-open")
+        open_ = written(classed(nodes.join(mixed.hint("merge"), "node"), roots, n_roots), "near-open", parts=node_parts)
         last = deep >= MAX_LEVELS
         small = open_.filter(f"c <= {small_node}")
         pairs = small.alias("a").hint("merge").join(small.alias("b"), "node").filter(F.expr("a.doc > b.doc and a.class <> b.class") & alike("a", "b", percent))
@@ -386,7 +386,7 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = PERCENT, tre
         big = open_.filter(f"c > {small_node} and outside > {FEW}").select("node", "doc")
         done = last or big.isEmpty()
         if not done:
-            deeper = written(branch(big.hint("merge").join(reps.drop("sig1", "sig2"), "doc"), 1, 1 if deep else copies, percent), "near-nodes")
+            deeper = written(branch(big.hint("merge").join(reps.drop("sig1", "sig2"), "doc"), 1, 1 if deep else copies, percent), "near-nodes", parts=node_parts)
         drop_written(nodes, mixed, open_)
         if done:
             break
@@ -397,7 +397,7 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = PERCENT, tre
     large = written(large.distinct(), "near-groups", parts=parts)
     if not large.isEmpty():
         ids = written(large.select("doc").distinct(), "near-ids", parts=parts)
-        sets = written(set_rows(texts.join(hinted(ids, ids.count()), "doc", "left_semi"), words), "near-sets")
+        sets = written(set_rows(texts.join(hinted(ids, ids.count()), "doc", "left_semi"), words), "near-sets", parts=text_parts)
         more = written(block_links(large, sets, percent).distinct(), "links", parts=parts)
         drop_written(sets, ids)
         links = links.unionByName(more)
@@ -427,7 +427,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = PERCENT) ->
     Documents without words or without an id stay, and so do all rows of a repeated id
     whose document stays. Extra columns of any name are kept; an empty table gives no rows.
     """
-    gone = written(near_components(docs, words, percent).filter("not kept").select("doc_id").distinct(), "near-gone")
+    gone = written(near_components(docs, words, percent).filter("not kept").select("doc_id").distinct(), "near-gone", parts=max(6, docs.select("doc_id").count() // SETS_PER_TASK))
     return docs.join(hinted(gone, gone.count()), "doc_id", "left_anti").select(*quoted(docs))
 
 

@@ -361,8 +361,8 @@ def apart(chosen: list[tuple[int, int]], sample: DataFrame, limit: int = MINED)
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Linear:
     """The classifier: marks and weights come from at most ``sample_rows`` labelled
     rows, the label model from all documents, both outside the held-out fold."""
-    sample = written(training_sample(docs, labels, "toxic", sample_rows), "toxic-sample")
-    unlike = written(one_of_each(sample), "toxic-unlike")
+    sample = written(training_sample(docs, labels, "toxic", sample_rows), "toxic-sample", parts=6)
+    unlike = written(one_of_each(sample), "toxic-unlike", parts=6)
     chosen = mine(unlike)
     voters = Voters(apart(chosen, unlike))
     model = moments(docs, labels, voters)

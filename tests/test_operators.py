@@ -165,7 +165,7 @@ def test_entry():
 
 
 def test_names_of_all_templates(spark, data):
-    got = {r.msg_id: r.name for r in queries.QUERIES["x1_extract_name_all"](spark, data).collect()}
+    got = {r.msg_id: r.name for r in queries.QUERIES["x1_extract_name"](spark, data).collect()}
     rows = plan.messages(spark, data).select("msg_id", "idx", "text", "fields.name").collect()
     assert len(got) == len(rows) == plan.read(spark, data, "orders").count() and {r.idx % 8 for r in rows} == set(range(8))
     for r in rows:

@@ -850,7 +850,16 @@ def d5_drop_leakage(spark, sf_dir):
     return dataset.drop_leakage(d.filter(~valid), d.filter(valid), "text").select("doc_id")
 
 
-@query()
+SQL_MASKED = f"""{SQL_TEXTS},
+masked AS (SELECT *, trim(regexp_replace(regexp_replace(replace(text, pt, '[PHONE]'), '(?:sđt|đt|phone|tel|sdt) \\[PHONE\\]', '[PHONE]'), '\\s+', ' ', 'g')) AS said FROM texts),
+sft AS (SELECT *, regexp_replace(name, '^(chị|anh|cô|bạn|chú) ', '') AS who FROM masked UNION ALL SELECT *, regexp_replace(name, '^(chị|anh|cô|bạn|chú) ', '') FROM masked WHERE i % 9 = 0)
+"""
+_STYLES = ", ".join(f"count(*) FILTER (regexp_matches(said, '{_re2(chr(92) + 'b' + x + '(?:' + chr(92) + '.|' + chr(92) + 's)')}')) AS {x}_dot_or_space_inputs" for x in "xhpq")
+
+
+@query(f"""WITH {SQL_MASKED} SELECT count(*) AS records, count(*) FILTER (contains(said, '[PHONE]')) AS masked_phone_records, count(*) FILTER (i % 6 = 0) AS recipient_name_null, count(*) FILTER (i % 4 = 0) AS note_null,
+  CAST(0 AS BIGINT) AS address_raw_null, {_STYLES}, count(*) AS neighborhood_null, CAST(0 AS BIGINT) AS municipality_null, CAST(0 AS BIGINT) AS sub_region_null, CAST(0 AS BIGINT) AS street_null,
+  CAST(0 AS BIGINT) AS address_number_null, count(DISTINCT i) AS unique_records, count(*) - count(DISTINCT i) AS duplicate_rows FROM sft""")
 def d6_profile(spark, sf_dir):
     return dataset.profile(sft(spark, sf_dir))
 
@@ -867,7 +876,9 @@ def d8_chat_roles(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), said.alias("m")).select("conv_id", "turns", F.array_join(F.transform("m", lambda x: x["role"]), ",").alias("roles"))
 
 
-@query()
+@query(f"""WITH {SQL_MASKED} SELECT CAST(3 AS INTEGER) AS n, said AS user, '{{"recipient_name":' || CASE WHEN i % 6 > 0 THEN '"' || who || '"' ELSE 'null' END || ',"phone_number":"[PHONE]","note":' || CASE WHEN i % 4 > 0 THEN '"' || note || '"' ELSE 'null' END
+  || ',"address_raw":"' || house || ' ' || street || ', ' || ward_name || ', ' || province_name || '","address_info":{{"address_number":"' || house || '","street":"' || street || '","neighborhood":null,"municipality":"' || ward_name
+  || '","sub_region":"' || province_name || '","country":"VNM"}}}}' AS assistant FROM sft""")
 def d8_to_chat(spark, sf_dir):
     return dataset.to_chat(sft(spark, sf_dir), "Trích xuất đơn hàng.").select(F.size("messages").alias("n"), F.col("messages")[1]["content"].alias("user"), F.col("messages")[2]["content"].alias("assistant"))
 
@@ -942,18 +953,52 @@ def d14_d15_expected_order(spark, sf_dir):
     return plan.messages(spark, sf_dir).select("msg_id", "expected.address_new")
 
 
-@query()
+def _abbreviated(c: str, dotted: bool) -> str:
+    return _short(c, tuple((long, dot if dotted else bare) for long, dot, bare in text.SHORT_FORMS), c)
+
+
+def _line(*parts: str, sep: str = ", ") -> str:
+    return f" || '{sep}' || ".join(parts)
+
+
+_DOT, _BARE = ({c: _abbreviated(c, dotted) for c in ("w", "d", "p")} for dotted in (True, False))
+_WAYS = (
+    _line("a", "w", "d", "p"), _line("a", _DOT["w"], _DOT["d"], _DOT["p"]), _line("a", _BARE["w"], _BARE["d"], _BARE["p"]), _line("a", "w", "p"), _line("a", "d", "p"), _line("a", "w", "d"),
+    f"lower({_line('a', 'w', 'd', 'p')})", _text("", _line("a", "w", "d", "p")), f"lower({_text('', _line('a', _BARE['w'], _BARE['d'], 'p'))})", _line("p", "d", "w", "a"),
+    _line("a", "w", "d", "p", sep=" - "), _line("a", "w", "d", "p", sep=" "), _line("a", _DOT["w"], "d", "p"), _line("a", "w", _DOT["d"], "p"), _line("w", "d", "p"), _line("a", _DOT["w"], _BARE["p"]),
+)
+
+
+@query(f"""WITH {SQL_PLACES}, parts AS (SELECT i, house || ' ' || street AS a, old_ward_name AS w, old_district_name AS d, old_province_name AS p FROM msg),
+ways AS (SELECT i, CASE i % 16 {" ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_WAYS))} END AS t FROM parts)
+SELECT i AS msg_id, CASE WHEN i % 20 = 14 THEN upper(t) ELSE t END AS address_text FROM ways""")
 def d16_perturb_address(spark, sf_dir):
     m = plan.messages(spark, sf_dir).select("msg_id", "idx", "fields.house", "fields.street", "place.ward", "place.district", "place.province")
     return dataset.perturb_address(m).select("msg_id", "address_text")
 
 
-@query()
+_ROLES = (  # text with its phone as [PHONE], and who receives
+    ("who || ' ơi ship cho mình tới ' || a || ', số [PHONE]'", "NULL"), ("who || ' ơi em chốt đơn này, giao ' || a || ' [PHONE]'", "NULL"), ("'shop ' || who || ' gửi giúp tới ' || other || ' [PHONE], ' || a", "bare"),
+    ("'nhân viên chốt đơn là ' || who || ', khách ' || other || ' [PHONE], ' || a", "bare"), ("'liên hệ shop ' || who || ' nếu cần, giao ' || a || ' [PHONE]'", "NULL"),
+    ("who || ' ơi giao hộ cho ' || other || ' ở ' || a || ' [PHONE]'", "bare"), ("'người gửi ' || who || ', người nhận ' || other || ' [PHONE], ' || a", "bare"), ("who || ' sale, ship cho ' || other || ' [PHONE] về ' || a", "bare"),
+    ("who || ' ơi giao cho ' || other || ' số [PHONE] tại ' || a", "bare"), ("who || ' ơi ship cho ' || other || ' ' || a || ' [PHONE]'", "bare"), ("who || ' ơi đi giao giúp đơn [PHONE] ' || a", "NULL"),
+    ("who || ' ơi đến ' || a || ' giao giúp'", "NULL"), ("'đơn của ' || other || ' [PHONE], ' || who || ' giao nhé, ' || a", "bare"),
+)
+
+
+@query(f"""WITH {SQL_FIELDS}, r AS (SELECT i, name AS who, {_of(dataset.NAMES, 'i + 4')} AS other, house || ' ' || street AS a FROM f), b AS (SELECT *, regexp_replace(other, '^(chị|anh|cô|bạn|chú) ', '') AS bare FROM r),
+t AS (SELECT i, CASE i % 13 {" ".join(f"WHEN {k} THEN {x}" for k, (x, _) in enumerate(_ROLES))} END AS said, CASE i % 13 {" ".join(f"WHEN {k} THEN {n}" for k, (_, n) in enumerate(_ROLES))} END AS recipient_name FROM b)
+SELECT i AS idx, said AS input_masked, recipient_name, contains(said, '[PHONE]') AS has_phone FROM t""")
 def d17_role_records(spark, sf_dir):
     return dataset.role_records(plan.messages(spark, sf_dir).select("idx"))
 
 
-@query()
+_LATER = SQL_FIELDS.replace("m AS (SELECT o_orderkey AS i", "m2 AS (SELECT o_orderkey + 11 AS i").replace("f0 AS", "g0 AS").replace("FROM m)", "FROM m2)").replace("f AS (SELECT *", "g AS (SELECT *").replace("FROM f0)", "FROM g0)")
+
+
+@query(f"""WITH {SQL_FIELDS}, {_LATER}, c AS (SELECT f.i AS i, f.name AS n, f.house || ' ' || f.street AS old, g.house || ' ' || g.street AS fresh FROM f JOIN g ON g.i = f.i + 11)
+SELECT i AS idx, CASE i % 5 WHEN 0 THEN n || ' [PHONE] đổi từ ' || old || ' sang ' || fresh WHEN 1 THEN 'không giao ' || old || ' nữa, giao ' || fresh || ' cho ' || n || ' [PHONE]' WHEN 2 THEN n || ' [PHONE], địa chỉ cũ ' || old || '; địa chỉ mới ' || fresh
+  WHEN 3 THEN 'sửa giúp ' || n || ' [PHONE]: ' || fresh || ' (trước là ' || old || ')' ELSE '[PHONE] ' || n || ' chuyển về ' || fresh || ', bỏ ' || old END AS input_masked, regexp_replace(n, '^(chị|anh|cô|bạn|chú) ', '') AS recipient_name, fresh AS address_raw FROM c""")
 def d18_correction_records(spark, sf_dir):
     return dataset.correction_records(plan.messages(spark, sf_dir).select("idx"))
 

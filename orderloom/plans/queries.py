@@ -566,18 +566,43 @@ def n2_indel_ratio(spark, sf_dir):
     return pairs.select("a", "b", F.round(indel_ratio(F.col("a"), F.col("b")), 4).alias("ratio"))
 
 
-@query()
-def n3_n4_field_scores(spark, sf_dir):
-    r = records(spark, sf_dir).select(F.col("ward_key").alias("k"))
-    return resolve.key_pairs(r.select(F.col("k").alias("q")), r.select(F.col("k").alias("r")), 72.0).withColumn("score", F.round("score", 4))
-
-
 SQL_RECORDS = f"""{SQL_OLD},
 rec AS (SELECT province_name, province_name AS p, '' AS d, ward_name AS w FROM old UNION SELECT province_name, old_province_name, old_district_name, old_ward_name FROM old),
 keyed AS (SELECT province_name, {_key_sql("lower(" + _text('', 'p') + ")")} AS pk, {_key_sql("lower(" + _text('', 'd') + ")")} AS dk, {_key_sql("lower(" + _text('', 'w') + ")")} AS wk FROM rec)
 """
 
 
+def _bare_key(c: str) -> str:
+    return _key_sql("lower(" + _text("", f"coalesce({c}, '')") + ")")
+
+
+def _said_key(c: str) -> str:
+    return _key_sql(f"lower(coalesce({c}, ''))")
+
+
+def _mix_sql(p: str, d: str, w: str, hp: str, hd: str) -> str:
+    """The weighted score of three levels."""
+    return f"CASE WHEN {hp} AND {hd} THEN {p} * 0.42e0 + {d} * 0.28e0 + {w} * 0.30e0 WHEN {hp} THEN {p} * 0.55e0 + {w} * 0.45e0 WHEN {hd} THEN {d} * 0.38e0 + {w} * 0.62e0 ELSE {w} END"
+
+
+_SORTED = "array_to_string(list_sort(string_split({}, ' ')), ' ')"
+#: Ratios of pairs ``b`` (q, r) by the longest common subsequence: of the keys, and of their sorted words once that is 60.
+SQL_SCORES = f"""
+jobs AS (SELECT q AS x, r AS y FROM b UNION SELECT {_SORTED.format('q')}, {_SORTED.format('r')} FROM b),
+cell AS (SELECT x, y, 0 AS i, list_transform(range(0, length(y) + 1), lambda v: 0) AS row FROM jobs
+  UNION ALL SELECT x, y, i + 1, list_reduce(list_transform(range(1, length(y) + 1), lambda j: [CASE WHEN substr(x, i + 1, 1) = substr(y, CAST(j AS INTEGER), 1) THEN row[CAST(j AS INTEGER)] + 1 ELSE row[CAST(j + 1 AS INTEGER)] END]),
+    lambda acc, v: list_append(acc, greatest(v[1], acc[len(acc)])), [0]) FROM cell WHERE i < length(x)),
+ratios AS (SELECT x, y, 200e0 * row[len(row)] / (length(x) + length(y)) AS v FROM cell WHERE i = length(x)),
+sc AS (SELECT q, r, CASE WHEN q = r THEN 100e0 WHEN one.v >= 60 THEN two.v ELSE one.v END AS s FROM b JOIN ratios one ON one.x = q AND one.y = r JOIN ratios two ON two.x = {_SORTED.format('q')} AND two.y = {_SORTED.format('r')})
+"""
+
+
+@query(f"WITH RECURSIVE {SQL_RECORDS}, k AS (SELECT DISTINCT wk FROM keyed WHERE wk <> ''), b AS (SELECT a.wk AS q, c.wk AS r FROM k a, k c), {SQL_SCORES} SELECT q, r, round(s, 4) AS score FROM sc WHERE s >= 72")
+def n3_n4_field_scores(spark, sf_dir):
+    r = records(spark, sf_dir).select(F.col("ward_key").alias("k"))
+    return resolve.key_pairs(r.select(F.col("k").alias("q")), r.select(F.col("k").alias("r")), 72.0).withColumn("score", F.round("score", 4))
+
+
 @query(f"""WITH {SQL_RECORDS}, lv AS (SELECT dk AS key, 0 AS level, count(DISTINCT pk) AS n, bool_or(pk IN ('ha noi', 'ho chi minh')) AS city, min(province_name) AS province_name FROM keyed WHERE dk <> '' GROUP BY dk
   UNION ALL SELECT wk, 1, count(DISTINCT pk), bool_or(pk IN ('ha noi', 'ho chi minh')), min(province_name) FROM keyed WHERE wk <> '' GROUP BY wk)
   SELECT key, arg_min(province_name, level) AS province_name FROM lv WHERE n = 1 AND city GROUP BY key""")
@@ -604,14 +629,48 @@ def addresses(spark, sf_dir) -> DataFrame:
     )
 
 
-@query()
+_LEVELS = ("p", "d", "w")
+#: Every distinct address key against every record, ranked: qp, qd, qw, tp, td, tw (keys), the record, score, ties, rank.
+SQL_RANKED = f"""RECURSIVE {SQL_PLACES},
+pool AS (SELECT *, min(ord) OVER (PARTITION BY ward_code) AS pos, row_number() OVER (PARTITION BY ward_code ORDER BY ord) AS opos FROM old),
+rec0 AS (SELECT DISTINCT 'new' AS source, province_name, ward_name, CAST(NULL AS VARCHAR) AS od, province_code, pos, 0 AS opos, province_name AS p, '' AS d, ward_name AS w FROM pool
+  UNION ALL SELECT 'old', province_name, ward_name, old_district_name, province_code, pos, opos, old_province_name, old_district_name, old_ward_name FROM pool),
+rec AS (SELECT *, row_number() OVER (ORDER BY province_code, pos, opos) AS no, {", ".join(f"{_bare_key(c)} AS r{c}, {_said_key(c)} AS rt{c}" for c in _LEVELS)} FROM rec0),
+addr AS (SELECT i, CASE WHEN i % 7 <> 3 THEN old_province_name END AS p, CASE WHEN i % 7 <> 4 THEN old_district_name END AS d,
+  CASE i % 7 WHEN 1 THEN {_text('', 'old_ward_name')} WHEN 2 THEN substr(old_ward_name, 1, 4) || substr(old_ward_name, 6, 100) WHEN 5 THEN NULL ELSE old_ward_name END AS w FROM msg),
+asked AS (SELECT i, p, d, w, {", ".join(f"{_bare_key(c)} AS q{c}, {_said_key(c)} AS t{c}" for c in _LEVELS)} FROM addr),
+q AS (SELECT DISTINCT qp, tp, qd, td, qw, tw FROM asked WHERE w IS NOT NULL),
+b AS ({" UNION ".join(f"SELECT {x}{c} AS q, {y}{c} AS r FROM (SELECT DISTINCT {x}{c} FROM q WHERE {x}{c} <> ''), (SELECT DISTINCT {y}{c} FROM rec WHERE {y}{c} <> '')" for c in _LEVELS for x, y in (("q", "r"), ("t", "rt")))}),
+{SQL_SCORES},
+hit AS (SELECT q.*, rec.*, CASE WHEN qp = '' THEN 100e0 ELSE sp.s END AS ps, CASE WHEN qd = '' THEN 100e0 ELSE coalesce(sd.s, 0e0) END AS ds, sw.s AS ws
+  FROM q JOIN sc sw ON sw.q = qw AND sw.s >= 72 JOIN rec ON rw = sw.r LEFT JOIN sc sp ON sp.q = qp AND sp.r = rp LEFT JOIN sc sd ON sd.q = qd AND sd.r = rd
+  WHERE (qp = '' OR sp.s >= 78) AND (qd = '' OR rd = '' OR sd.s >= 72)),
+tied AS (SELECT hit.*, round({_mix_sql('ps', 'ds', 'ws', "qp <> ''", "qd <> ''")}, 2) AS score, (tp = rtp)::INTEGER + CASE WHEN td <> '' THEN (td = rtd)::INTEGER ELSE 0 END + (tw = rtw)::INTEGER AS exact_matches,
+  {", ".join(f"CASE WHEN t{c} = '' OR t{c} = rt{c} THEN 100e0 WHEN rt{c} = '' THEN 0e0 ELSE x{c}.s END AS z{c}" for c in _LEVELS)}
+  FROM hit {" ".join(f"LEFT JOIN sc x{c} ON x{c}.q = t{c} AND x{c}.r = rt{c}" for c in _LEVELS)}),
+full_ AS (SELECT *, {_mix_sql('zp', 'zd', 'zw', "tp <> ''", "td <> ''")} AS tie_score FROM tied),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qp, tp, qd, td, qw, tw ORDER BY score DESC, exact_matches DESC, tie_score DESC, od IS NULL, source <> 'new', no) AS rank FROM full_)
+"""
+
+
+@query(f"""WITH {SQL_RANKED} SELECT qp AS q_province, qd AS q_district, qw AS q_ward, tw AS qt_ward, CAST(rank AS INTEGER) AS rank, province_name, ward_name, source, score, exact_matches, round(tie_score, 4) AS tie_score FROM ranked WHERE rank <= 5""")
 def n8_n12_candidates(spark, sf_dir):
     q = resolve.query_keys(addresses(spark, sf_dir)).filter("ward is not null")
     ranked = resolve.rank_candidates(resolve.candidates(q, records(spark, sf_dir)))
     return ranked.filter("rank <= 5").select("q_province", "q_district", "q_ward", "qt_ward", "rank", "province_name", "ward_name", "source", "score", "exact_matches", F.round("tie_score", 4).alias("tie_score"))
 
 
-@query()
+@query(f"""WITH {SQL_RANKED}, top AS (SELECT * FROM ranked WHERE rank <= 5), best AS (SELECT * FROM top WHERE rank = 1),
+others AS (SELECT b.qp, b.tp, b.qd, b.td, b.qw, b.tw, count(*) AS n, bool_or(t.rank > 1 AND t.score >= b.score - 0.01 AND (t.province_name <> b.province_name OR t.ward_name <> b.ward_name)) AS vague
+  FROM best b JOIN top t USING (qp, tp, qd, td, qw, tw) GROUP BY ALL),
+f1 AS (SELECT i, house FROM msg),
+j AS (SELECT asked.*, f1.house, b.province_name AS bp, b.ward_name AS bw, b.score, b.source, o.n, o.vague, b.score IS NOT NULL AS found FROM asked JOIN f1 USING (i)
+  LEFT JOIN best b ON asked.w IS NOT NULL AND b.qp = asked.qp AND b.tp = asked.tp AND b.qd = asked.qd AND b.td = asked.td AND b.qw = asked.qw AND b.tw = asked.tw
+  LEFT JOIN others o ON asked.w IS NOT NULL AND o.qp = asked.qp AND o.tp = asked.tp AND o.qd = asked.qd AND o.td = asked.td AND o.qw = asked.qw AND o.tw = asked.tw)
+SELECT i AS addr_id, CASE WHEN found THEN bp ELSE p END AS province, CASE WHEN found THEN bw ELSE w END AS ward, found AND score >= 84 AND NOT vague AS is_normalized, CASE WHEN found THEN round(score / 100, 4) ELSE 0e0 END AS confidence,
+  CASE WHEN found THEN CASE source WHEN 'new' THEN 'new_address' ELSE 'old_address_mapping' END END AS matched_by,
+  array_to_string(list_filter([CASE WHEN w IS NULL THEN 'missing_ward' END, CASE WHEN w IS NOT NULL AND NOT found THEN 'admin_normalization_not_found' END, CASE WHEN found AND score < 84 THEN 'low_admin_match_confidence' END,
+    CASE WHEN found AND vague THEN 'ambiguous_admin_match' END, CASE WHEN found AND i % 7 = 6 THEN 'missing_house_number' END], lambda x: x IS NOT NULL), ',') AS warnings, CAST(coalesce(n, 0) AS INTEGER) AS n_candidates FROM j""")
 def n14_normalize_addresses(spark, sf_dir):
     out = resolve.resolve_records(addresses(spark, sf_dir), records(spark, sf_dir))
     return out.select("addr_id", "resolved.province", "resolved.ward", "resolved.is_normalized", "resolved.confidence", "resolved.matched_by", F.array_join("resolved.warnings", ",").alias("warnings"), F.size("resolved.candidates").alias("n_candidates"))

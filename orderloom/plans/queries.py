@@ -918,7 +918,8 @@ _STYLES = ", ".join(f"count(*) FILTER (regexp_matches(said, '{_re2(chr(92) + 'b'
 
 @query(f"""WITH {SQL_MASKED} SELECT count(*) AS records, count(*) FILTER (contains(said, '[PHONE]')) AS masked_phone_records, count(*) FILTER (i % 6 = 0) AS recipient_name_null, count(*) FILTER (i % 4 = 0) AS note_null,
   CAST(0 AS BIGINT) AS address_raw_null, {_STYLES}, count(*) AS neighborhood_null, CAST(0 AS BIGINT) AS municipality_null, CAST(0 AS BIGINT) AS sub_region_null, CAST(0 AS BIGINT) AS street_null,
-  CAST(0 AS BIGINT) AS address_number_null, count(DISTINCT i) AS unique_records, count(*) - count(DISTINCT i) AS duplicate_rows FROM sft""")
+  CAST(0 AS BIGINT) AS address_number_null, count(DISTINCT record) AS unique_records, count(*) - count(DISTINCT record) AS duplicate_rows
+  FROM (SELECT *, concat_ws('|', said, CASE WHEN i % 6 > 0 THEN who ELSE '' END, CASE WHEN i % 4 > 0 THEN note ELSE '' END, house, street, ward_name, province_name) AS record FROM sft)""")
 def d6_profile(spark, sf_dir):
     return dataset.profile(sft(spark, sf_dir))
 

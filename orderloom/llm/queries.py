@@ -8,6 +8,7 @@ from orderloom.llm.licences import op6_license_scan
 from orderloom.llm.mixing import op3_mix_sources
 from orderloom.llm.neardup import OP10_SQL, op10_near_dedup
 from orderloom.llm.quality import op5_quality_classifier
+from orderloom.llm.runs import OP12_SQL, op12_periodic_runs
 from orderloom.llm.simhash import op13_simhash_dedup
 from orderloom.llm.substring import OP7_SQL, op7_substring_dedup
 from orderloom.llm.suffix import OP2_SQL, op2_suffix_dedup
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_decontaminate": op9_decontaminate,
     "op10_near_dedup": op10_near_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_simhash_dedup": op13_simhash_dedup,
 }
 
-ORACLE_SQL = {"op2_suffix_dedup": OP2_SQL, "op10_near_dedup": OP10_SQL, "op4_exact_dedup": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL}
+ORACLE_SQL = {"op2_suffix_dedup": OP2_SQL, "op10_near_dedup": OP10_SQL, "op4_exact_dedup": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL, "op12_periodic_runs": OP12_SQL}

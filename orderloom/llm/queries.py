@@ -14,6 +14,7 @@ from orderloom.llm.substring import OP7_SQL, op7_substring_dedup
 from orderloom.llm.suffix import OP2_SQL, op2_suffix_dedup
 from orderloom.llm.tokens import op8_token_output
 from orderloom.llm.toxicity import op1_toxicity
+from orderloom.llm.trie import OP11_SQL, op11_prefix_trie
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_decontaminate": op9_decontaminate,
     "op10_near_dedup": op10_near_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_simhash_dedup": op13_simhash_dedup,
 }
 
-ORACLE_SQL = {"op2_suffix_dedup": OP2_SQL, "op10_near_dedup": OP10_SQL, "op4_exact_dedup": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL, "op12_periodic_runs": OP12_SQL}
+ORACLE_SQL = {"op2_suffix_dedup": OP2_SQL, "op10_near_dedup": OP10_SQL, "op4_exact_dedup": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op9_decontaminate": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_periodic_runs": OP12_SQL}

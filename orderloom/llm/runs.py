@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import NOT_SPACE, U, columns, lean, mix, prefix_sums, range_hash, slices, table, utf8, word_hashes
+from orderloom.llm.common import CRC32_SQL, NOT_SPACE, U, columns, lean, mix, prefix_sums, range_hash, slices, table, utf8, word_hashes
 
 LEAST_WORDS, EXPONENT = 24, 3
 RUN = "struct<start:long,length:long,period:long>"
@@ -349,12 +349,6 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: crc32 of a text's bytes in SQL; 3988292384 is the reversed polynomial.
-CRC32_SQL = (
-    "xor(list_reduce(list_transform(string_split({0}, ''), lambda c: ascii(c)::UBIGINT), lambda s, b: "
-    "list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::UBIGINT[], lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::UBIGINT) ELSE r >> 1 END, xor(s, b)), 4294967295::UBIGINT), 4294967295::UBIGINT)::BIGINT"
-)
-
 OP12_SQL = rf"""
 WITH h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {CRC32_SQL.format("doc_id::VARCHAR")} AS h FROM documents),
 g AS (SELECT doc_id, w, len(w)::BIGINT AS n, h, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM h),

@@ -1,13 +1,19 @@
 """Mixing sources to target weights with a multivariate-hypergeometric tree.
 
-The words of a source, in a permuted order of its documents and repeated at most
-``max_epochs`` times, form a line; the mix takes the line's first ``target``
-words. The line is cut into blocks, and a binary tree over the output shards
-splits each source's exact block quota: at a node the left half receives a
-multivariate hypergeometric draw of the node's quotas, the right half the rest.
-A draw depends on the seed and the node alone, so each task redraws the few nodes
-it needs: nothing is broadcast, and a lost task gives the same answer again.
-The blocks of a shard are then ordered by a keyed hash within it.
+The documents of a source, in the order of a keyed hash, form a line of blocks of about
+``block_words`` words. As many whole times as its target holds a source is taken with all
+its blocks; of the part of a time that is left, blocks are drawn. A binary tree over the
+output shards splits the exact numbers of blocks of each source, those to be taken whole,
+those to be drawn and those to be spared: at a node the left half receives a multivariate
+hypergeometric draw of what the node has, the right half the rest. Each source's blocks
+are permuted; a shard has the next ones of the permuted order, as many as its numbers say,
+and draws the first of those that may be drawn. The blocks of a shard are ordered by a
+keyed hash within it.
+
+Blocks hold whole documents and so differ in words: drawn ones are taken in permuted order,
+then spared ones, until the target is met to the word; one document a source is cut there.
+A draw depends on the seed and the node alone, so tasks draw again what they need: nothing
+is broadcast, and a lost task gives the same answer again.
 """
 
 from __future__ import annotations
@@ -19,14 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import columns, quoted, table, written
+from orderloom.llm.common import U, columns, lean, mix, quoted, table, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 BLOCK_WORDS = 1024
-SHARD_WORDS = 4_000_000
+#: Words of a shard, and the least number of shards.
+SHARD_WORDS, SHARDS = 16_000_000, 8
 ROWS_PER_BUCKET = 20_000
+#: Blocks of the drawing order whose words are summed before the sums are.
+BLOCKS_PER_BUCKET = 4096
+#: Blocks of all sources up to which a draw stays within the generator's range; beyond, blocks grow.
+MOST_BLOCKS = 500_000_000
 
 
 def word_count(text):
@@ -86,11 +97,31 @@ def line_places(sizes: DataFrame, n_rows: int, seed: int) -> DataFrame:
     )
 
 
+def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where ``index`` goes in a permutation of range(size), by its key: a Feistel network, walked on until it is inside."""
+    out, todo = index.astype(U), np.arange(len(index))
+    half = ((np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64) + 1) // 2).astype(U)
+    mask = (U(1) << half) - U(1)
+    size, key = size.astype(U), mix(key.astype(U))
+    while len(todo):
+        h, m, k = half[todo], mask[todo], key[todo]
+        left, right = out[todo] >> h, out[todo] & m
+        for step in range(4):
+            left, right = right, left ^ (mix(right + k + U(step)) & m)
+        out[todo] = (left << h) | right
+        todo = todo[out[todo] >= size[todo]]
+    return out.astype(np.int64)
+
+
 class QuotaTree:
-    """Exact quotas (blocks of each source) divided among ``shards`` leaves."""
+    """Exact numbers of blocks of each source divided among ``shards`` leaves.
+
+    ``whole``, ``drawn``, ``spare``: of each source, blocks that are taken whatever
+    is drawn, that are to be drawn, and that are to be left.
+    """
 
-    def __init__(self, quotas: list[int], shards: int, seed: int):
-        self.quotas, self.shards, self.seed = np.asarray(quotas, np.int64), shards, seed
+    def __init__(self, whole: list[int], drawn: list[int], spare: list[int], shards: int, seed: int):
+        self.have, self.shards, self.seed = np.array([whole, drawn, spare], np.int64), shards, seed
         self._left: dict[tuple[int, int], np.ndarray] = {}
 
     def left(self, lo: int, hi: int, have: np.ndarray) -> np.ndarray:
@@ -98,51 +129,64 @@ class QuotaTree:
         if (lo, hi) not in self._left:
             mid, total = (lo + hi) // 2, int(have.sum())
             rng = np.random.Generator(np.random.PCG64([self.seed, lo, hi]))
-            draw, left_total = np.zeros_like(have), round(total * (mid - lo) / (hi - lo))
+            draw, left_total = np.zeros(have.size, np.int64), round(total * (mid - lo) / (hi - lo))
             rest = total
-            for s, good in enumerate(have.tolist()):  # a multivariate draw is a chain of plain ones
+            for s, good in enumerate(have.ravel().tolist()):  # a multivariate draw is a chain of plain ones
                 rest -= good
                 if good and left_total:
                     draw[s] = rng.hypergeometric(good, rest, left_total) if rest else left_total
                 left_total -= int(draw[s])
-            self._left[lo, hi] = draw
+            self._left[lo, hi] = draw.reshape(have.shape)
         return self._left[lo, hi]
 
-    def shard_of(self, source: np.ndarray, block: np.ndarray) -> np.ndarray:
-        """The leaf that owns each (source, block number below the source's quota)."""
-        out = np.zeros(len(block), np.int64)
-        todo = [(0, self.shards, self.quotas, np.zeros_like(self.quotas), np.arange(len(block)))]
+    def place(self, source: np.ndarray, last: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf, taken) of blocks by their number ``at`` in their source's permuted order:
+        among those taken whole, or with ``last`` among those to be drawn and left."""
+        leaf, taken = np.zeros(len(at), np.int64), ~last
+        none = np.zeros(self.have.shape[1], np.int64)
+        todo = [(0, self.shards, self.have, none, none, np.arange(len(at)))]
         while todo:
-            lo, hi, have, start, rows = todo.pop()
+            lo, hi, have, whole, draws, rows = todo.pop()
             if not len(rows):
                 continue
+            of, is_last = source[rows], last[rows]
             if hi - lo == 1:
-                out[rows] = lo
+                leaf[rows] = lo
+                taken[rows] |= at[rows] < (draws + have[1])[of]
                 continue
             got, mid = self.left(lo, hi, have), (lo + hi) // 2
-            goes = block[rows] < (start + got)[source[rows]]
-            todo += [(lo, mid, got, start, rows[goes]), (mid, hi, have - got, start + got, rows[~goes])]
-        return out
+            ends = whole + got[0], draws + got[1] + got[2]
+            goes = at[rows] < np.where(is_last, ends[1][of], ends[0][of])
+            todo += [(lo, mid, got, whole, draws, rows[goes]), (mid, hi, have - got, *ends, rows[~goes])]
+        return leaf, taken
+
+
+def block_plan(size: int, target: int, block: int) -> tuple[int, int, int]:
+    """(whole, drawn, spare) blocks of a source of ``size`` words."""
+    times, rest = divmod(target, size) if size else (0, 0)
+    blocks = -(-size // block)
+    drawn = min(blocks, (2 * rest + block) // (2 * block))
+    return times * blocks, drawn, blocks - drawn
 
 
 def mix_sources(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS,
-    block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = 7,
+    block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, shards: int = SHARDS, seed: int = 7,
 ) -> tuple[DataFrame, DataFrame]:
     """(pieces, places).
 
     pieces: shard, position (order in the shard), source, rank, place, doc_id, copy
-    (0-based), first_word, n_words - a run of words of one document that the mix
-    takes; (rank, place) tells rows apart, whatever their ids.
+    (0-based), n_words - the first words of a copy of a document, nearly always all, that
+    the mix takes; (rank, place) tells rows apart, whatever their ids.
     places: doc_id, source, rank, place, size, source_size, target for every row.
 
     A document without words gives no piece and target rows all the same; no
     document is taken more than ``max_epochs`` times; equal seeds give equal mixes;
     rows that repeat a doc_id are separate documents that tie in the permuted
     order (which of them a cut falls in is then open; both have the same id and
-    source). An empty table gives empty results. Extra columns are ignored.
+    source). An empty table gives empty results. Extra columns are ignored. ``shards``:
+    the least number of shards, which are more where they would pass ``shard_words``.
     """
-    spark = docs.sparkSession
     n_rows = docs.select("doc_id").count()
     sizes = written(sized(docs), "mix-sizes", parts=max(6, n_rows // 5_000))
     targets = written(source_targets(sizes, weights, max_epochs), "mix-targets")
@@ -150,35 +194,45 @@ def mix_sources(
     t = targets.select(F.col("source").alias("s2"), "rank", "source_size", "target").hint("merge")
     placed = written(placed.join(t, placed["source"].eqNullSafe(F.col("s2"))).drop("s2"), "mix-places", parts=max(6, n_rows // ROWS_PER_BUCKET))
 
-    # one number per source: the summary that every task of the tree starts from
-    quota_rows = targets.select("rank", F.ceil(F.round("target") / block_words).cast("long").alias("q")).orderBy("rank").collect()
-    total = sum(r["q"] for r in quota_rows)
-    unit = max(1, -(-total // 500_000_000))  # blocks grow so that a draw stays within the generator's range
-    block = block_words * unit
-    quotas = [-(-r["q"] // unit) for r in quota_rows]
-    shards = max(1, -(-total * block_words // shard_words))
-
-    copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
-    copies = copies.withColumn("begin", F.col("copy") * F.col("source_size") + F.col("place"))
-    copies = copies.withColumn("end", F.least(F.col("begin") + F.col("size"), F.round("target").cast("long"))).filter("end > begin")
-    cut = copies.withColumn("block", F.explode(F.expr(f"sequence(begin div {block}, (end - 1) div {block})")))
-    cut = cut.select(
-        "source", "rank", "place", "doc_id", "copy", "block",
-        (F.greatest("begin", F.col("block") * block) - F.col("begin")).alias("first_word"),
-        (F.least("end", (F.col("block") + 1) * block) - F.greatest("begin", F.col("block") * block)).alias("n_words"),
-    )
-
-    def place_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = QuotaTree(quotas, shards, seed)
+    # two numbers per source: the summary that every task of the tree starts from
+    want = F.round("target").cast("long")
+    known = targets.select("rank", "source_size", want.alias("want")).orderBy("rank").collect()
+    blocks = sum(-(-r["want"] // block_words) for r in known)
+    block = block_words * max(1, -(-blocks // MOST_BLOCKS))
+    plans = [block_plan(r["source_size"], r["want"], block) for r in known]
+    leaves = max(shards, -(-blocks * block_words // shard_words))
+
+    worded = placed.filter("size > 0").withColumn("want", want).withColumns({"times": F.expr("want div source_size"), "block": F.expr(f"place div {block}")})
+    copies = worded.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), "times")))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = QuotaTree(*([p[k] for p in plans] for k in range(3)), leaves, seed)
+        line = np.array([-(-r["source_size"] // block) for r in known], np.int64)
+        whole = np.array([p[0] for p in plans], np.int64)
         for batch in batches:
-            rank, at = batch.column("rank").to_numpy(), batch.column("block").to_numpy()
-            yield batch.append_column("shard", pa.array(tree.shard_of(rank, at)))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
-    dealt = cut.mapInArrow(place_blocks, f"{schema}, shard long")
-    order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "rank", "block"), "rank", "block", "place", "copy")
-    pieces = dealt.withColumn("position", F.row_number().over(order))
-    pieces = pieces.select("shard", "position", "source", "rank", "place", "doc_id", "copy", "first_word", "n_words")
+            source, at, copy, times = (batch.column(c).to_numpy() for c in ("rank", "block", "copy", "times"))
+            last = copy == times
+            number = np.where(last, at, copy * line[source] + at)
+            turn = permuted(number, np.where(last, line[source], whole[source]), 2 * source + last + 1000 * seed)
+            leaf, taken = tree.place(source, last, turn)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(taken), pa.array(turn)], [*batch.schema.names, "shard", "drawn", "turn"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in copies.schema)
+    dealt = written(copies.mapInArrow(lean(deal), f"{schema}, shard long, drawn boolean, turn long"), "mix-dealt", parts=max(6, n_rows // ROWS_PER_BUCKET))
+
+    # of the last time: drawn blocks in permuted order, then the others, as far as the target goes
+    part = dealt.filter("copy = times").withColumn("bucket", F.expr(f"turn div {BLOCKS_PER_BUCKET}"))
+    per = part.groupBy("rank", "drawn", "bucket").agg(F.sum("size").alias("words"))
+    per = per.withColumn("base", F.sum("words").over(Window.partitionBy("rank").orderBy(F.desc("drawn"), "bucket")) - F.col("words")).drop("words")
+    inner = Window.partitionBy("rank", "drawn", "bucket").orderBy("turn", "place").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(per.hint("merge"), ["rank", "drawn", "bucket"])
+    left = F.col("want") - F.col("times") * F.col("source_size") - F.col("base") - F.col("inner")
+    cols = ("shard", "source", "rank", "place", "doc_id", "copy", "block", "n_words")
+    part = part.withColumn("n_words", F.least("size", left)).filter("n_words > 0").select(*cols)
+    taken = dealt.filter("copy < times").withColumn("n_words", F.col("size")).select(*cols).unionByName(part)
+    order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "rank", "copy", "block"), "rank", "copy", "block", "place")
+    pieces = taken.withColumn("position", F.row_number().over(order))
+    pieces = pieces.select("shard", "position", "source", "rank", "place", "doc_id", "copy", "n_words")
     return pieces, placed.select("doc_id", "source", "rank", "place", "size", "source_size", "target")
 
 
@@ -218,7 +272,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document, and where the mix has it:
-    pieces (runs of its words in blocks), shards, first_shard and first_position (null if none)."""
+    pieces (copies, the last one often in part), shards, first_shard and first_position (null if none)."""
     pieces, places = mix_sources(docs, **how)
     took = pieces.groupBy(F.col("rank").alias("r2"), F.col("place").alias("p2")).agg(
         F.sum("n_words").alias("n"), F.count(F.lit(1)).alias("pieces"), F.count_distinct("shard").alias("shards"), F.min(F.struct("shard", "position")).alias("first")

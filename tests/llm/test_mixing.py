@@ -3,7 +3,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from orderloom.llm.mixing import QuotaTree, mix_report, mix_sources, mixed_documents, sized, source_targets
+from orderloom.llm.mixing import QuotaTree, block_plan, mix_report, mix_sources, mixed_documents, op3_mix_sources, permuted, sized, source_targets
 from tests.llm.helpers import DOCS, corpus, frame, words
 
 
@@ -51,33 +51,94 @@ def test_report(spark):
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
 
 
-def test_pieces_are_disjoint_and_shards_hold_their_quotas(spark):
+def test_each_copy_is_taken_once_and_shards_hold_their_quotas(spark):
     pieces, _ = mix_sources(frame(spark, corpus(6)), block_words=16, shard_words=500)
     rows = pieces.collect()
-    per, spans = defaultdict(int), defaultdict(list)
+    per = defaultdict(int)
     for p in rows:
         per[p.shard] += p.n_words
-        spans[p["rank"], p.place, p.copy].append((p.first_word, p.first_word + p.n_words))
-    for s in spans.values():
-        s.sort()
-        assert all(a[1] <= b[0] for a, b in zip(s, s[1:], strict=False))
+    assert len({(p["rank"], p.place, p.copy) for p in rows if p.n_words}) == len(rows)
     for shard in per:
         at = sorted(p.position for p in rows if p.shard == shard)
         assert at == list(range(1, len(at) + 1))
-    assert max(per.values()) <= 2 * min(per.values())
+    assert len(per) > 8
+
+
+def test_permutations():
+    for n in (1, 2, 3, 7, 64, 1000):
+        a = permuted(np.arange(n), np.full(n, n), np.full(n, 5))
+        b = permuted(np.arange(n), np.full(n, n), np.full(n, 6))
+        assert sorted(a.tolist()) == sorted(b.tolist()) == list(range(n))
+        assert n < 64 or (a != b).any() and (a != np.arange(n)).any()
 
 
 def test_tree_divides_exact_quotas():
-    tree = QuotaTree([100, 0, 37, 900], 7, seed=3)
-    total = np.zeros(4, int)
-    seen = defaultdict(list)
-    for s, q in enumerate([100, 0, 37, 900]):
-        shard = tree.shard_of(np.full(q, s), np.arange(q))
-        assert (np.diff(shard) >= 0).all()  # each shard has one run of a source's blocks
-        total[s] = len(shard)
-        for x in shard.tolist():
-            seen[x].append(s)
-    assert total.tolist() == [100, 0, 37, 900] and sorted(map(len, seen.values())) == [148, 148, 148, 148, 148, 148, 149]
+    whole, drawn, spare = [100, 0, 37, 900], [10, 5, 0, 200], [3, 0, 60, 100]
+    tree = QuotaTree(whole, drawn, spare, 7, seed=3)
+    load = np.zeros(7, int)
+    for s in range(4):
+        n = whole[s]
+        leaf, taken = tree.place(np.full(n, s), np.zeros(n, bool), np.arange(n))
+        assert taken.all()
+        load += np.bincount(leaf, minlength=7)
+        n = drawn[s] + spare[s]
+        leaf, taken = tree.place(np.full(n, s), np.ones(n, bool), np.arange(n))
+        assert taken.sum() == drawn[s]
+        assert 0 < np.diff(taken.astype(int)).__abs__().sum() or min(drawn[s], spare[s]) == 0  # each shard draws from its own
+        load += np.bincount(leaf, minlength=7)
+    assert load.sum() == 1415 and load.max() - load.min() <= 1
+
+
+def model(rows, h, block, leaves, seed=7):
+    """doc_id -> words taken, without Spark but for the hash that orders a source's documents."""
+    by = defaultdict(list)
+    for r in rows:
+        by[r[3]].append(r)
+    want = brute_targets({s: sum(len(words(r[1])) for r in rs) for s, rs in by.items()})
+    names = sorted((s for s in by if s is not None)) + ([None] if None in by else [])
+    size = [sum(len(words(r[1])) for r in by[s]) for s in names]
+    plans = [block_plan(n, round(want[s]), block) for n, s in zip(size, names, strict=True)]
+    tree = QuotaTree(*([p[k] for p in plans] for k in range(3)), leaves, seed)
+    out = {}
+    for k, s in enumerate(names):
+        at, blocks = 0, defaultdict(list)
+        for r in sorted(by[s], key=lambda r: (h[r[0]], r[0])):
+            blocks[at // block].append(r)
+            at += len(words(r[1]))
+        times, left = divmod(round(want[s]), size[k]) if size[k] else (0, 0)
+        n = -(-size[k] // block)
+        turn = permuted(np.arange(n), np.full(n, n), np.full(n, 2 * k + 1 + 1000 * seed))
+        _, taken = tree.place(np.full(n, k), np.ones(n, bool), turn)
+        for r in by[s]:
+            out[r[0]] = times * len(words(r[1]))
+        for b in sorted(range(n), key=lambda b: (not taken[b], turn[b])):
+            for r in blocks[b]:
+                got = min(left, len(words(r[1])))
+                out[r[0]] += got
+                left -= got
+    return out
+
+
+def hashes(spark, rows, seed=7):
+    ids = spark.createDataFrame([(r[0],) for r in rows], "doc_id long")
+    return {r.doc_id: r.h for r in ids.select("doc_id", F.xxhash64(F.lit(seed), "doc_id").alias("h")).collect()}
+
+
+def test_words_taken_of_each_document(spark):
+    """The mix against a model of it; another tree takes other words."""
+    rows = corpus(6)
+    h, got = hashes(spark, rows), {}
+    for leaves in (8, 11):
+        got[leaves] = {r.doc_id: r.taken for r in mix_report(frame(spark, rows), block_words=64, shards=leaves).collect()}
+        assert got[leaves] == model(rows, h, 64, leaves)
+    assert got[8] != got[11]
+
+
+def test_query(spark, data):
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    got = op3_mix_sources(spark, data).collect()
+    assert {r.doc_id: r.taken for r in got} == model(rows, hashes(spark, rows), 1024, 8)
+    assert len({r.first_shard for r in got} - {None}) == 8
 
 
 def test_documents_of_the_mix(spark):

@@ -53,12 +53,9 @@ def written(df: DataFrame, name: str, fmt: str = "parquet", parts: int | None =
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        (df.coalesce(parts) if parts else df).write.format(fmt).option("compression", "zstd").save(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
+    if spark.conf.get(CLEANUP, "false") != "true":
+        spark.conf.set(CLEANUP, "true")  # once a session, so that queries that run side by side agree
+    (df.coalesce(parts) if parts else df).write.format(fmt).option("compression", "zstd").save(path)
     out = spark.read.schema(df.schema).format(fmt).load(path)
     out._scratch_path = path
     return out

@@ -77,54 +77,75 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
 
     Containment is the share of the item's distinct shingles that occur in the
     document. Words are runs of letters and digits in lower case. Null and empty
-    texts match nothing on either side; equal items are separate rows; rows that
-    repeat a doc_id are searched each for itself and reported once; empty tables
-    give no rows; extra columns are ignored.
+    texts match nothing on either side; equal items are separate rows; of two texts
+    under one item_id the one that is contained most counts; rows that
+    repeat a doc_id are searched each for itself and reported once, by the text that holds
+    most of the item; rows without an id are reported with a null, once for each different text;
+    empty tables give no rows; extra columns are ignored.
     """
-    rows = columns(docs, "doc_id", "text")
+    found = contained_rows(docs, benchmark, percent, shingle)
+    by = ("no_id", "id", "item_id")
+    nameless = F.when(F.col("no_id"), F.col("body"))
+    best = found.groupBy(*by, nameless.alias("own")).agg(F.max(F.struct((F.col("shared") / F.col("item_shingles")).alias("c"), "item_shingles", "shared")).alias("b"))
+    return best.select(
+        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "item_id", "b.item_shingles", "b.shared", F.round(F.col("b.shared") / F.col("b.item_shingles"), 4).alias("containment")
+    )
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """Adds what tells rows apart in joins: whether the id is missing, the id (0 then), the hash of the text."""
+    return docs.withColumns({"no_id": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)), "body": F.xxhash64("text")})
+
+
+KEYS = ["no_id", "id", "body"]
+
+
+def contained_rows(docs: DataFrame, benchmark: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """KEYS of rows of ``docs`` with item_id, item_shingles and shared of each item text that they contain."""
+    rows = row_keys(columns(docs, "doc_id", "text")).select(*KEYS, "text")
     few = max(6, benchmark.select("item_id").count() // ROWS_PER_TASK)
     items = written(item_shingles(benchmark, shingle), "bench-items", parts=few)
     sketch = written(sketches(items, percent), "bench-sketches", parts=few)
     sizes = [r["n"] for r in items.select("n").distinct().collect()]  # at most ``shingle`` values
     n_sketch = sketch.count()
 
-    worded = rows.select("doc_id", F.xxhash64("text").alias("body"), words_of(F.col("text")).alias("words"))
+    worded = rows.select(*KEYS, words_of(F.col("text")).alias("words"))
     hits = None
     for n in sorted(sizes):
-        probe = worded.select("doc_id", "body", F.explode(shingle_hashes(F.col("words"), n)).alias("h"))
+        probe = worded.select(*KEYS, F.explode(shingle_hashes(F.col("words"), n)).alias("h"))
         found = probe.join(small(sketch.filter(F.col("n") == n), n_sketch), "h")
         hits = found if hits is None else hits.unionByName(found)
-    none = "doc_id long, item_id long, item_shingles int, shared int, containment double"
+    none = "no_id boolean, id long, body long, item_id long, item_shingles int, shared int"
     if hits is None:
         return docs.sparkSession.createDataFrame([], none)
     # (document, sketch shingle) pairs are few; the partial aggregate removes repeats where they arise
-    pairs = hits.groupBy("doc_id", "body", "item_id", "need", "h").agg(F.first("n").alias("n")).groupBy("doc_id", "body", "item_id").agg(
-        F.count(F.lit(1)).alias("got"), F.first("need").alias("need")
-    ).filter("got >= need").select("doc_id", "body", "item_id")
-    pairs = written(pairs, "bench-pairs", parts=max(6, rows.select("doc_id").count() // ROWS_PER_TASK))
+    pairs = hits.groupBy(*KEYS, "item_id", "need", "h").agg(F.first("n").alias("n")).groupBy(*KEYS, "item_id").agg(
+        F.count(F.lit(1)).alias("got"), F.min("need").alias("need")
+    ).filter("got >= need").select(*KEYS, "item_id")
+    pairs = written(pairs, "bench-pairs", parts=max(6, rows.select("id").count() // ROWS_PER_TASK))
 
     # exact check: each candidate's document once, its items' shingles beside it
-    texts = rows.withColumn("body", F.xxhash64("text")).join(pairs.select("doc_id", "body").distinct().hint("merge"), ["doc_id", "body"], "left_semi")
-    grams = texts.withColumn("words", words_of(F.col("text"))).select(
-        "doc_id", "body", *[shingle_texts(F.col("words"), n).alias(f"grams{n}") for n in sorted(sizes)]
-    )
-    both = pairs.hint("merge").join(grams, ["doc_id", "body"]).join(small(items, items.count(), 20_000), "item_id")
+    texts = rows.join(pairs.select(*KEYS).distinct().hint("merge"), KEYS, "left_semi")
+    grams = texts.withColumn("words", words_of(F.col("text"))).select(*KEYS, *[shingle_texts(F.col("words"), n).alias(f"grams{n}") for n in sorted(sizes)])
+    both = pairs.hint("merge").join(grams, KEYS).join(small(items, items.count(), 20_000), "item_id")
     have = F.coalesce(*[F.when(F.col("n") == n, F.col(f"grams{n}")) for n in sorted(sizes)])
-    shared = both.select("doc_id", "item_id", F.col("m").alias("item_shingles"), F.size(F.array_intersect("grams", have)).alias("shared"))
-    return shared.filter(F.col("shared") * 100 >= F.col("item_shingles") * percent).groupBy("doc_id", "item_id").agg(
-        F.max("item_shingles").alias("item_shingles"), F.max("shared").alias("shared")
-    ).withColumn("containment", F.round(F.col("shared") / F.col("item_shingles"), 4))
+    shared = both.select(*KEYS, "item_id", F.col("m").alias("item_shingles"), F.size(F.array_intersect("grams", have)).alias("shared"))
+    return shared.filter(F.col("shared") * 100 >= F.col("item_shingles") * percent)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that contain no item, all their columns kept.
 
-    Null and empty texts and rows without an id stay; of a repeated id all rows go once
-    one of its texts contains an item; an empty benchmark keeps all, an empty table gives
-    no rows; extra columns of any name are kept.
+    Null and empty texts stay; of a repeated id all rows go once one of its texts contains
+    an item; of rows without an id those whose own text does; an empty benchmark keeps all,
+    an empty table gives no rows; extra columns of any name are kept.
     """
-    bad = written(contaminated(docs, benchmark, percent).select("doc_id").distinct(), "bench-bad", parts=max(6, docs.select("doc_id").count() // ROWS_PER_TASK))
-    return docs.join(bad.hint("merge"), "doc_id", "left_anti").select(*quoted(docs))
+    found = contained_rows(docs, benchmark, percent, SHINGLE)
+    key = F.struct("no_id", F.when(F.col("no_id"), F.col("body")).otherwise(F.col("id")).alias("k"))
+    bad = written(found.select(key.alias("key")).distinct(), "bench-bad", parts=max(6, docs.select("doc_id").count() // ROWS_PER_TASK))
+    whole = docs.select(F.struct(*quoted(docs)).alias("row"), F.col("doc_id"), F.col("text"))
+    left = row_keys(whole).withColumn("key", key).join(bad.hint("merge"), "key", "left_anti")
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -272,7 +272,11 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document, and where the mix has it:
-    pieces (copies, the last one often in part), shards, first_shard and first_position (null if none)."""
+    pieces (copies, the last one often in part), shards, first_shard and first_position (null if none).
+
+    Documents without words and rows without or with repeated ids as in ``mix_sources``, one row for
+    each row of ``docs``; an empty table gives no rows; extra columns are ignored.
+    """
     pieces, places = mix_sources(docs, **how)
     took = pieces.groupBy(F.col("rank").alias("r2"), F.col("place").alias("p2")).agg(
         F.sum("n_words").alias("n"), F.count(F.lit(1)).alias("pieces"), F.count_distinct("shard").alias("shards"), F.min(F.struct("shard", "position")).alias("first")

@@ -149,13 +149,13 @@ def recall(trees: int, levels: int, copies: int, deeper: int, percent: int = PER
     return total
 
 
-def plan_trees(levels: int, percent: int = PERCENT, least: int = TREES) -> tuple[int, int]:
-    """(trees, copies): trees for SHARED at depth ``levels``, copies of its nodes for RECALL at MAX_LEVELS below."""
+def plan_trees(levels: int, percent: int = PERCENT, least: int = TREES, deeper: int = MAX_LEVELS) -> tuple[int, int]:
+    """(trees, copies): trees for SHARED at depth ``levels``, copies of its nodes for RECALL at ``deeper`` levels below."""
     trees = least
     while recall(trees, levels, 1, 0, percent) < SHARED:
         trees += 1
     copies = 1
-    while recall(trees, levels, copies, MAX_LEVELS, percent) < RECALL:
+    while recall(trees, levels, copies, deeper, percent) < RECALL:
         copies += 1
     return trees, copies
 
@@ -323,7 +323,10 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, parts:
     return out
 
 
-def near_components(docs: DataFrame, words: int = 2, percent: int = PERCENT, trees: int = TREES, small_node: int = SMALL_NODE) -> DataFrame:
+def near_components(
+    docs: DataFrame, words: int = 2, percent: int = PERCENT, trees: int = TREES, small_node: int = SMALL_NODE,
+    few: int = FEW, max_levels: int = MAX_LEVELS, sketch_bits: int = SKETCH_BITS,
+) -> DataFrame:
     """Classes of near-duplicate documents.
 
     Returns doc_id, n_shingles, component_id (least doc_id reachable over links),
@@ -337,6 +340,14 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = PERCENT, tre
     are ignored. Links are exact; a link at the threshold is found
     with probability over 0.99 (higher similarity: more), and usually there are
     several ways to connect a class.
+
+    Which pairs meet depends on these. ``trees``: the least number of trees; as many are
+    taken as the recall needs. ``small_node``: documents of a node whose pairs are compared
+    one by one on sketches, of which those that differ in more than ``sketch_bits`` of 128 bits
+    are no candidates (at the threshold 12.8 differ on the average; at the default one pair in
+    50,000 is lost, well within what the recall leaves; 128 confirms every pair). Larger
+    nodes branch again while more than ``few`` of their documents lie outside the largest class,
+    at most ``max_levels`` times; what is left is compared exactly, in blocks.
     """
     docs = columns(docs, "doc_id", "text")
     ids = docs.select("doc_id").filter("doc_id is not null")
@@ -344,7 +355,7 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = PERCENT, tre
     if ids.count() > ids.distinct().count():
         longest = F.max(F.struct(F.octet_length("text").alias("size"), "text")).alias("t")
         stands = written(docs.filter("doc_id is not null").groupBy("doc_id").agg(longest).select("doc_id", "t.text"), "near-texts")
-        of = near_components(stands, words, percent, trees, small_node).select("doc_id", "component_id")
+        of = near_components(stands, words, percent, trees, small_node, few, max_levels, sketch_bits).select("doc_id", "component_id")
         every = describe(docs, words).select("doc_id", "n_shingles")
         out = every.join(written(of, "near-of").hint("merge"), "doc_id", "left")
         return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -357,7 +368,7 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = PERCENT, tre
     n = reps.count()
     parts, node_parts, text_parts = (max(6, n // per) for per in (SETS_PER_TASK, ROWS_PER_TASK, TEXTS_PER_TASK))
     levels = max(1, ceil(log(max(1, n / 64)) / log(16)))
-    trees, copies = plan_trees(levels, percent, trees)
+    trees, copies = plan_trees(levels, percent, trees, max_levels)
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
 
     nodes = written(branch(reps.drop("sig1", "sig2"), levels, trees, percent), "near-nodes", parts=text_parts)
@@ -365,7 +376,7 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = PERCENT, tre
     # 1. every document against the least one of each of its nodes: at most one candidate a document
     heads = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "n", "s1", "s2")).alias("p")).filter("c > 1")
     heads = heads.select("node", "p.*").withColumnRenamed("doc", "head")
-    first = nodes.alias("a").join(heads.hint("merge").alias("b"), "node").filter(F.expr("a.doc > b.head") & alike("a", "b", percent))
+    first = nodes.alias("a").join(heads.hint("merge").alias("b"), "node").filter(F.expr("a.doc > b.head") & alike("a", "b", percent, sketch_bits))
     star = confirm(written(first.groupBy(F.col("a.doc").alias("u")).agg(F.min("b.head").alias("v")), "near-star", parts=parts), texts, words, percent, text_parts)
     roots = written(components(star, parts), "near-roots", parts=parts)
     n_roots = roots.count()
@@ -375,15 +386,15 @@ def near_components(docs: DataFrame, words: int = 2, percent: int = PERCENT, tre
     while True:
         mixed = written(mixed_nodes(classed(nodes, roots, n_roots)), "near-mixed", parts=parts)
         open_ = written(classed(nodes.join(mixed.hint("merge"), "node"), roots, n_roots), "near-open", parts=node_parts)
-        last = deep >= MAX_LEVELS
+        last = deep >= max_levels
         small = open_.filter(f"c <= {small_node}")
-        pairs = small.alias("a").hint("merge").join(small.alias("b"), "node").filter(F.expr("a.doc > b.doc and a.class <> b.class") & alike("a", "b", percent))
+        pairs = small.alias("a").hint("merge").join(small.alias("b"), "node").filter(F.expr("a.doc > b.doc and a.class <> b.class") & alike("a", "b", percent, sketch_bits))
         pairs = written(pairs.select(F.col("a.doc").alias("u"), F.col("b.doc").alias("v"), distance("a", "b").alias("d")).distinct(), "near-pairs", parts=parts)
         found = pairs if found is None else found.unionByName(pairs)
-        kept = open_.filter(f"c > {small_node}" if last else f"c > {small_node} and outside <= {FEW}").select("main", "doc", "n", "class").distinct()
+        kept = open_.filter(f"c > {small_node}" if last else f"c > {small_node} and outside <= {few}").select("main", "doc", "n", "class").distinct()
         kept = written(kept, "near-large", parts=parts)
         large = kept if large is None else large.unionByName(kept)
-        big = open_.filter(f"c > {small_node} and outside > {FEW}").select("node", "doc")
+        big = open_.filter(f"c > {small_node} and outside > {few}").select("node", "doc")
         done = last or big.isEmpty()
         if not done:
             deeper = written(branch(big.hint("merge").join(reps.drop("sig1", "sig2"), "doc"), 1, 1 if deep else copies, percent), "near-nodes", parts=node_parts)

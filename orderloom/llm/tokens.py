@@ -95,8 +95,8 @@ class WordEncoder:
         if together:
             ids = np.concatenate(list(self.ids([" ".join(parts[i : i + 256]) for i in range(0, len(parts), 256)], 16)))
             last = np.flatnonzero(self.ends[ids])
-            if len(last) != len(parts):
-                raise ValueError("a part that was taken for one is several")
+            if len(last) != len(parts):  # a part that was taken for one is several
+                return self.learn(parts, False)
             self.remember(parts, ids, np.diff(last, prepend=-1))
         else:
             each = list(self.ids(parts, 4096))
@@ -217,12 +217,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def find_document(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
-    """One document; stripes that cannot hold it are skipped by ranges and Bloom filters."""
+    """The rows of one document (all that repeat its id; none if it is not there); stripes that
+    cannot hold it are skipped by ranges and Bloom filters."""
     return read_tokens(spark, path).filter(F.col("doc_id") == doc_id)
 
 
 def ids_digest(tokens: DataFrame) -> DataFrame:
-    """Replaces ids by ids_crc32 of them as little-endian unsigned 32-bit integers."""
+    """Replaces ids by ids_crc32 of them as little-endian unsigned 32-bit integers, row by row: null and
+    repeated doc_ids stay as they are, an empty table gives no rows, other columns are dropped."""
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

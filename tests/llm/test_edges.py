@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from orderloom.llm.common import table
-from orderloom.llm.decontam import contaminated
+from orderloom.llm.decontam import contaminated, decontaminate
 from orderloom.llm.exact_dedup import exact_dedup
 from orderloom.llm.licences import scan_licences
 from orderloom.llm.neardup import near_components
@@ -87,3 +87,11 @@ def test_decontamination_without_items(spark, data):
     assert contaminated(docs, table(spark, data, "benchmark").limit(0)).count() == 0
     items = spark.createDataFrame([(1, None), (2, ""), (3, SAME)], "item_id long, text string")
     assert sorted(r.doc_id for r in contaminated(docs, items).collect()) == [1, 2, 6]
+
+
+def test_decontamination_of_rows_without_ids_and_items_of_two_texts(spark):
+    rows = [(None, "so " + SAME, None, None, None), (None, SAME, None, None, None), (None, "a clean text of some more words", None, None, None), (8, SAME, None, None, None), (0, "a clean text of some more words", None, None, None)]
+    items = spark.createDataFrame([(3, "quite other words that are nowhere to be found " * 2), (3, SAME)], "item_id long, text string")
+    found = sorted((str(r.doc_id), r.item_id, r.item_shingles, r.shared) for r in contaminated(odd(spark, rows), items).collect())
+    assert found == [("8", 3, 5, 5), ("None", 3, 5, 5), ("None", 3, 5, 5)]
+    assert sorted(str(r.doc_id) for r in decontaminate(odd(spark, rows), items).collect()) == ["0", "None"]

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_UNSET: dict[str, str] = {}
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that one numpy step works on; bounds a Python worker's memory.
 SLICE_BYTES = 2 << 20
@@ -36,12 +37,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        known = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-    else:
-        known = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    spark.conf.set("spark.checkpoint.dir", known)
-    return known
+    app = spark.sparkContext.applicationId  # the setting cannot be changed in a running session
+    if app not in _UNSET:
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        _UNSET[app] = "file://" + tempfile.mkdtemp(prefix="checkpoints-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return _UNSET[app]
 
 
 def written(df: DataFrame, name: str, fmt: str = "parquet", parts: int | None = None) -> DataFrame:

@@ -2,31 +2,66 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Pairs that are compared side by side; those of one chunk are of like lengths.
+LANES = 4096
 
-def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel on one integer (Hyyro)."""
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    state = full
-    for ch in b:
-        hit = state & masks.get(ch, 0)
-        state = ((state + hit) | (state - hit)) & full
-    return len(a) - state.bit_count()
 
+def _signs(keys: np.ndarray, pad: int) -> np.ndarray:
+    """Code points of strings, a row each, filled up with ``pad``."""
+    wide = max(1, keys.dtype.itemsize // 4)
+    points = keys.view(np.uint32).reshape(len(keys), wide)
+    return np.where(points == 0, np.uint32(pad), points)
 
-def ratio(a: str, b: str) -> float:
-    total = len(a) + len(b)
-    return 200.0 * lcs_length(a, b) / total if total else 100.0
+
+def lcs_lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each pair of strings (numpy ``U`` arrays).
+
+    Bit-parallel (Hyyro), one lane of 64-bit words for each pair: a bit for each sign of
+    ``a``, taken through the signs of ``b`` all lanes at once; keys of more than 64
+    signs take several words with carries. U+0000 is not expected in keys.
+    """
+    la, lb = np.char.str_len(a), np.char.str_len(b)
+    out = np.zeros(len(a), np.int64)
+    order = np.lexsort((lb, la))
+    for at in range(0, len(a), LANES):
+        rows = order[at : at + LANES]
+        wide, deep = max(1, int(la[rows].max())), int(lb[rows].max())
+        words = -(-wide // 64)
+        left = _signs(a[rows].astype(f"U{wide}"), 0x110000)
+        right = _signs(b[rows].astype(f"U{max(1, deep)}"), 0x110001)
+        bits = np.zeros((len(rows), words * 64), bool)
+        bits[:, :wide] = np.arange(wide) < la[rows, None]
+        full = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        state = full.copy()
+        for j in range(deep):
+            bits[:, :wide] = left == right[:, j, None]
+            same = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+            carry = np.zeros(len(rows), np.uint64)
+            for w in range(words):
+                x = state[:, w]
+                hit = x & same[:, w]
+                total = x + hit
+                over = total < x
+                total = total + carry
+                carry = (over | (total < carry)).astype(np.uint64)
+                state[:, w] = total | (x - hit)
+        out[rows] = la[rows] - np.bitwise_count(state & full).sum(axis=1)
+    return out
+
+
+def ratios(a: pd.Series, b: pd.Series) -> np.ndarray:
+    x, y = (np.array(s.tolist(), dtype=str) if len(s) else np.zeros(0, "U1") for s in (a, b))
+    total = np.char.str_len(x) + np.char.str_len(y)
+    return np.where(total > 0, 200.0 * lcs_lengths(x, y) / np.maximum(total, 1), 100.0)
 
 
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(ratios(a, b))
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
@@ -45,17 +80,14 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
 
 
 def _guarded(a: pd.Series, b: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.Series:
-    out = []
-    for x, y, sx, sy in zip(a, b, sa, sb, strict=True):
-        if not x or x == y:
-            out.append(100.0)
-        elif not y:
-            out.append(0.0)
-        else:
-            plain = ratio(x, y)
-            # the boost for other word order needs likeness to begin with
-            out.append(ratio(sx, sy) if plain >= 60 else plain)
-    return pd.Series(out, dtype="float64")
+    out = pd.Series(np.where((a == "") | (a == b), 100.0, 0.0))
+    ask = ((a != "") & (a != b) & (b != "")).to_numpy()
+    plain = ratios(a[ask], b[ask])
+    # the boost for other word order needs likeness to begin with
+    turned = ((sa[ask] != a[ask]) | (sb[ask] != b[ask])).to_numpy() & (plain >= 60)
+    plain[turned] = ratios(sa[ask][turned], sb[ask][turned])
+    out[ask] = plain
+    return out
 
 
 def field_score(q: Column, r: Column) -> Column:
@@ -65,20 +97,22 @@ def field_score(q: Column, r: Column) -> Column:
     return F.pandas_udf(_guarded, "double")(q, r, token_sorted(q), token_sorted(r))
 
 
-def may_reach(q: Column, r: Column, least: float) -> Column:
-    """Native necessary condition for a ratio of ``least``: lengths, then shared letters.
+def grams(c: Column, size: int) -> Column:
+    """The parts of ``size`` signs of a key, each with how often it has occurred so far: a multiset as a set."""
+    at = F.sequence(F.lit(1), F.length(c) - (size - 1))
+    parts = F.when(F.length(c) >= size, F.transform(at, lambda i: F.substring(c, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(parts, lambda p, i: F.concat(p, F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda x: x == p)).cast("string")))
 
-    The common subsequence is no longer than the shorter key nor than the multiset
-    of shared letters; sorting words permutes letters, so both bounds hold for N3.
+
+def shared_grams(la: Column, lb: Column, least: Column) -> tuple[Column, Column]:
+    """(pairs, letters): pairs of signs, and letters, that keys of these lengths share at a ratio of ``least``.
+
+    The common subsequence has L >= least * (la + lb) / 200 letters. Of the pairs of signs of a
+    key, a letter outside it breaks two at most, and one of the other key one at most.
     """
-    total = F.length(q) + F.length(r)
-    by_length = F.least(F.length(q), F.length(r)) * 200 >= total * least
-    letters = F.array_distinct(F.split(q, ""))
-    shared = F.aggregate(
-        letters, F.lit(0),
-        lambda acc, ch: acc + F.when(ch == "", 0).otherwise(F.least(F.length(q) - F.length(F.replace(q, ch, F.lit(""))), F.length(r) - F.length(F.replace(r, ch, F.lit(""))))),
-    )
-    return by_length & (shared * 200 >= total * least)
+    common = F.ceil(least * (la + lb) / 200 - 1e-9).cast("int")
+    pairs = F.greatest(la - 1 - 2 * (la - common) - (lb - common), lb - 1 - 2 * (lb - common) - (la - common))
+    return pairs, common
 
 
 def combined_score(p: Column, d: Column, w: Column, has_p: Column, has_d: Column) -> Column:

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from orderloom.functions.text import let
+
 # What a number looks like, what blocks it when directly before it, and its labels.
 NUMBER = r"(?<!\d)\(?(?:\+?84|0)(?:[\s.\-()]*\d){9}\)?(?!\d)"
 CONTEXT = r"(?:mã\s*đơn|ma\s*don|nhà\s*số|nha\s*so|số\s*nhà|so\s*nha)\s*[:#-]?\s*"
 LABEL = r"(?:sđt|sdt|đt|dt|phone|tel|điện\s*thoại|dien\s*thoai)\s*[:：#-]?\s*(?=\[PHONE\])"
 MOBILE = r"^0[35789]\d{8}$"
 FOUND = rf"(?iU)(?:{CONTEXT})?{NUMBER}"
-MARK = "\u0001"
+#: The core of every number, which most texts lack; found without going back.
+DIGITS = r"(?U)\d(?:[\s.\-()]*+\d){9}"
 
 
 def normalize_phone(c: Column) -> Column:
@@ -28,7 +31,8 @@ def phone_blocked(match: Column) -> Column:
 
 def all_phones(c: Column) -> Column:
     """Every valid, unblocked number in order; an empty array for none or null."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(FOUND), F.lit(0))
+    none = F.array().cast("array<string>")
+    found = let(F.coalesce(c, F.lit("")), lambda t: F.when(t.rlike(DIGITS), F.regexp_extract_all(t, F.lit(FOUND), F.lit(0))).otherwise(none))
     valid = F.transform(F.filter(found, lambda m: ~phone_blocked(m)), normalize_phone)
     return F.filter(valid, lambda p: p.isNotNull())
 
@@ -39,10 +43,14 @@ def extract_phone(c: Column) -> Column:
 
 
 def _replaced(c: Column, token: str) -> Column:
-    # matches stand at odd places between marks
-    parts = F.split(F.regexp_replace(F.coalesce(c, F.lit("")), rf"({FOUND})", f"{MARK}$1{MARK}"), MARK)
-    done = F.transform(parts, lambda p, i: F.when((i % 2 == 1) & ~phone_blocked(p) & normalize_phone(p).isNotNull(), F.lit(token)).otherwise(p))
-    return F.array_join(done, "")
+    def body(t: Column) -> Column:
+        # what lies between matches, and the matches, one fewer
+        between, found = F.split(t, FOUND, -1), F.regexp_extract_all(t, F.lit(FOUND), F.lit(0))
+        done = F.transform(found, lambda m: F.when(~phone_blocked(m) & normalize_phone(m).isNotNull(), F.lit(token)).otherwise(m))
+        both = F.zip_with(between, done, lambda b, d: F.concat(b, F.coalesce(d, F.lit(""))))
+        return F.when(t.rlike(DIGITS), F.array_join(both, "")).otherwise(t)
+
+    return let(F.coalesce(c, F.lit("")), body)
 
 
 def drop_phone_label(c: Column) -> Column:

@@ -25,11 +25,10 @@ NOT_NAMES = (
     "nhé", "nha", "nhe", "nhỉ", "nhi", "ạ", "à", "ư", "ừ", "ha", "hả", "nhờ", "nho", "vậy", "vay", "thôi", "thoi",
     "được", "duoc", "ok", "oke", "okay", "rồi", "roi", "xong",
 )
-# Administrative types and their short forms, dotted and bare.
+# Administrative types and their short forms, dotted and bare; the first that fits counts.
 SHORT_FORMS = (
-    ("Thành phố ", "TP. ", "TP "), ("Thành Phố ", "TP. ", "TP "), ("Tỉnh ", "T. ", "T "), ("Quận ", "q. ", "q "), ("Huyện ", "h. ", "h "),
-    ("Thị xã ", "tx. ", "tx "), ("Thị Xã ", "tx. ", "tx "), ("Phường ", "p. ", "p "), ("Xã ", "x. ", "x "), ("Thị trấn ", "tt. ", "tt "),
-    ("Thị Trấn ", "tt. ", "tt "),
+    ("Thành Phố ", "tp. ", "tp "), ("Thành phố ", "tp. ", "tp "), ("Thủ Đô ", "", ""), ("Thủ đô ", "", ""), ("Thị trấn ", "tt. ", "tt "), ("Thị xã ", "tx. ", "tx "),
+    ("Phường ", "p. ", "p "), ("Huyện ", "h. ", "h "), ("Quận ", "q. ", "q "), ("Tỉnh ", "tỉnh ", ""), ("Xã ", "x.", "x "),
 )
 
 
@@ -150,12 +149,11 @@ def recipient_name(c: Column) -> Column:
 
 
 def abbreviate_admin(c: Column, dotted: Column) -> Column:
-    """The administrative type at the start in its short form."""
-    out = c
-    for long, dot, bare in reversed(SHORT_FORMS):
-        rest = F.substring(c, len(long) + 1, 1 << 20)
-        out = F.when(c.startswith(long), F.concat(F.when(dotted, F.lit(dot)).otherwise(F.lit(bare)), rest)).otherwise(out)
-    return out
+    """The administrative type at the start in its short form; null and empty give null."""
+    long = F.regexp_extract(c, f"^(?:{'|'.join(x for x, _, _ in SHORT_FORMS)})", 0)
+    tables = (F.create_map(*[F.lit(x) for form in SHORT_FORMS for x in (form[0], form[k])]) for k in (1, 2))
+    short = F.when(dotted, F.try_element_at(next(tables), long)).otherwise(F.try_element_at(next(tables), long))
+    return F.nullif(F.concat(F.coalesce(short, F.lit("")), F.substring(c, F.length(long) + 1, F.length(c))), F.lit(""))
 
 
 def _swap(c: Column, pairs: tuple[tuple[str, str], ...], otherwise: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderloom.functions.phone import mask_phone
 from orderloom.functions.text import abbreviate_admin, collapse_ws, compact_text, short_district, short_province, short_ward, strip_accents, strip_honorific
-from orderloom.operators.score import canonical_json
+from orderloom.functions.jsontext import row_text
+from orderloom.operators.order import greedy_fill, hinted, numbered
+from orderloom.sources.staging import staged
 
 RESPONSE = (
     "struct<recipient_name:string,phone_number:string,note:string,address_raw:string,"
@@ -29,10 +31,9 @@ NOTES = ("gọi trước khi giao", "giao giờ hành chính", "để hàng ở
 
 
 def canonical_key(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """JSON of the row with sorted keys; equal rows have equal keys."""
-    cols = sorted(columns or df.columns)
-    parts = {c: (canonical_json(df, c) if hasattr(df.schema[c].dataType, "names") else F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"})) for c in cols}
-    return F.concat_ws(",", *[F.concat(F.lit(f'"{c}":'), F.coalesce(parts[c], F.lit("null"))) for c in cols])
+    """JSON of the row with sorted keys at every level, as Python's ``json.dumps`` writes it
+    (nested structs, arrays and maps included); equal rows have equal keys."""
+    return row_text(df.schema, columns, ordered=True)
 
 
 def duplicate_stats(df: DataFrame) -> DataFrame:
@@ -41,26 +42,32 @@ def duplicate_stats(df: DataFrame) -> DataFrame:
     return key.agg(F.count(F.lit(1)).alias("records"), F.count_distinct("k").alias("unique_records")).withColumn("duplicate_rows", F.col("records") - F.col("unique_records"))
 
 
+def seeded(key: Column, seed: int) -> Column:
+    """A number of 60 bits from a key and a seed, by SHA-256, so that other engines draw alike."""
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256), 1, 15), 16, 10).cast("long")
+
+
+#: Groups of a bucket whose sizes are summed one by one.
+GROUPS_PER_BUCKET = 100_000
+
+
 def split_groups(df: DataFrame, ratio: float = 0.8, seed: int = 1, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """D3: (train, valid); equal records stay together.
 
     The default sends a record to train by a hash of its key: no shuffle, ratio
-    approximate. ``exact`` orders the groups by that hash and fills train up to
-    round(n * ratio) rows by running sums over hash buckets; a group that does not
-    fit goes to valid, and so do all after it.
+    approximate. ``exact`` takes the groups of equal records in the order of that hash and
+    fills train up to round(n * ratio) rows; a group that does not fit goes to valid, and
+    later, smaller ones are still tried.
     """
-    keyed = df.withColumn("__k", F.xxhash64(F.lit(seed), canonical_key(df)))
-    place = F.shiftrightunsigned("__k", 11) / F.lit(float(1 << 53))
+    keyed = df.withColumn("__k", seeded(canonical_key(df), seed))
     if not exact:
-        return keyed.filter(place < ratio).drop("__k"), keyed.filter(place >= ratio).drop("__k")
-    groups = keyed.groupBy("__k").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.shiftright("__k", 52))
-    per = groups.groupBy("bucket").agg(F.sum("n").alias("b"))
-    per = per.withColumn("base", F.coalesce(F.sum("b").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 4,096 buckets
-    running = F.sum("n").over(Window.partitionBy("bucket").orderBy("__k"))
-    total = per.agg(F.round(F.sum("b") * ratio).alias("goal"))
-    at = groups.withColumn("upto", running).join(per.select("bucket", "base").hint("broadcast"), "bucket").withColumn("upto", F.col("upto") + F.col("base"))
-    train = at.join(F.broadcast(total), F.col("upto") <= F.col("goal"), "left_semi").select("__k")  # total: one row
-    train = train.hint("merge")
+        first = F.col("__k") / F.lit(float(1 << 60)) < ratio
+        return keyed.filter(first).drop("__k"), keyed.filter(~first).drop("__k")
+    groups = staged(keyed.groupBy(F.col("__k").alias("k")).agg(F.count(F.lit(1)).alias("n")), "split-groups")
+    count, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bits = max(0, (count // GROUPS_PER_BUCKET).bit_length())
+    fits = greedy_fill(groups.withColumn("bucket", F.shiftright("k", 60 - bits)), round(total * ratio))
+    train = groups.filter(fits).select(F.col("k").alias("__k")).hint("merge")
     return keyed.join(train, "__k", "left_semi").drop("__k"), keyed.join(train, "__k", "left_anti").drop("__k")
 
 
@@ -88,9 +95,10 @@ def profile(df: DataFrame) -> DataFrame:
     counts += [F.count_if(r[f].isNull()).alias(f"{f}_null") for f in ("recipient_name", "note", "address_raw")]
     counts += [F.count_if(_has(rf"\b{x}(?:\.|\s)")).alias(f"{x}_dot_or_space_inputs") for x in "xhpq"]
     counts += [F.count_if(r["address_info"][f].isNull()).alias(f"{f}_null") for f in INFO]
-    # counted by record first, so that a record's key is made once and the distinct count needs no second copy of each row
-    per = df.groupBy(F.sha2(canonical_key(df), 256).alias("key")).agg(*counts)
-    total = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in per.columns[1:]], F.count(F.lit(1)).alias("unique_records"))
+    # counts in one plain aggregate; distinct records apart, on 16 bytes each
+    keys = df.select(F.unhex(F.md5(canonical_key(df).cast("binary"))).alias("key")).distinct().agg(F.count(F.lit(1)).alias("unique_records"))
+    parts = df.agg(*counts).unionByName(keys, allowMissingColumns=True)  # two rows
+    total = parts.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in parts.columns])
     return total.withColumn("duplicate_rows", F.col("records") - F.col("unique_records"))
 
 
@@ -138,13 +146,13 @@ def sampling_pools(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def stratified_pick(df: DataFrame, n_by_stratum: dict[str, int], seed: int = 1, stratum: str = "stratum", key: str = "id") -> DataFrame:
-    """So many rows of each stratum by seeded hash, in seeded order (``place``)."""
+    """So many rows of each stratum by seeded hash, in seeded order (``place``, from 1)."""
     limit = F.lit(0)
     for s, n in n_by_stratum.items():
         limit = F.when(F.col(stratum) == s, n).otherwise(limit)
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), key), key))
-    picked = df.withColumn("__r", rank).filter(F.col("__r") <= limit).drop("__r")
-    return picked.withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed + 1), key), key)))  # the pick is small
+    ranked = numbered(df.withColumn("__h", seeded(F.col(key), seed)), "__h", key, by=stratum, out="__r")
+    picked = ranked.filter(F.col("__r") < limit).drop("__r", "__h")
+    return numbered(picked.withColumn("__h", seeded(F.col(key), seed + 1)), "__h", key, out="place").drop("__h").withColumn("place", F.col("place") + 1)
 
 
 def _of(values: tuple[str, ...], idx: Column) -> Column:
@@ -259,6 +267,16 @@ def perturb_address(df: DataFrame, idx: str = "idx") -> DataFrame:
     return df.withColumn("address_text", F.when(_mod(i, 20) == 14, F.upper(text)).otherwise(text))
 
 
+def answer(name: Column, phone: Column, note: Column, raw: Column, house: Column, street: Column, neighborhood: Column, municipality: Column, sub_region: Column) -> Column:
+    """The response of a tuning record; ``phone``: whether the text has one."""
+    info = F.struct(
+        house.alias("address_number"), street.alias("street"), neighborhood.alias("neighborhood"), municipality.alias("municipality"), sub_region.alias("sub_region"),
+        F.when(F.coalesce(raw, F.lit("")) != "", F.lit("VNM")).alias("country"),
+    )
+    said = F.struct(strip_honorific(name).alias("recipient_name"), F.when(phone, F.lit("[PHONE]")).alias("phone_number"), note.alias("note"), raw.alias("address_raw"), info.alias("address_info"))
+    return said.cast(RESPONSE)
+
+
 def role_records(ids: DataFrame, strict_compat: bool = False) -> DataFrame:
     """Messages in which a shop or courier is spoken to, so that no name is the
     recipient's or another one is; ``has_phone`` follows the text unless strict_compat."""
@@ -281,16 +299,18 @@ def role_records(ids: DataFrame, strict_compat: bool = False) -> DataFrame:
     none = F.lit(None).cast("string")
     text = _pick(i, *[t for t, _ in styles])
     name = _pick(i, *[none if n is None else strip_honorific(n) for _, n in styles])
-    masked = compact_text(mask_phone(text))
-    has = F.lit(True) if strict_compat else masked.contains("[PHONE]")
-    return ids.select("idx", masked.alias("input_masked"), name.alias("recipient_name"), has.alias("has_phone"))
+    said = _pick(i, *[none if n is None else n for _, n in styles])
+    known = ids.select("idx", compact_text(mask_phone(text)).alias("input_masked"), name.alias("recipient_name"), said.alias("said"), at.alias("at"), f.alias("f"))
+    has = F.lit(True) if strict_compat else F.col("input_masked").contains("[PHONE]")
+    full = answer(F.col("said"), has, none, F.col("at"), F.col("f.house"), F.col("f.street"), none, none, none)
+    return known.select("idx", "input_masked", "recipient_name", has.alias("has_phone"), full.alias("response"))
 
 
 def correction_records(ids: DataFrame) -> DataFrame:
     """Messages that give an old address and then the right one, five styles (own wording)."""
     i = F.col("idx")
     a, b = synth_fields(i), synth_fields(i + 11)
-    old, new = F.concat_ws(" ", a["house"], a["street"]), F.concat_ws(" ", b["house"], b["street"])
+    old, new, none = F.concat_ws(" ", a["house"], a["street"]), F.concat_ws(" ", b["house"], b["street"]), F.lit(None).cast("string")
 
     def say(*bits: object) -> Column:
         return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in bits])
@@ -300,27 +320,63 @@ def correction_records(ids: DataFrame) -> DataFrame:
         say(a["name"], " ", a["phone_text"], ", địa chỉ cũ ", old, "; địa chỉ mới ", new), say("sửa giúp ", a["name"], " ", a["phone_text"], ": ", new, " (trước là ", old, ")"),
         say(a["phone_text"], " ", a["name"], " chuyển về ", new, ", bỏ ", old),
     )
-    return ids.select("idx", compact_text(mask_phone(text)).alias("input_masked"), strip_honorific(a["name"]).alias("recipient_name"), new.alias("address_raw"))
+    return ids.select("idx", compact_text(mask_phone(text)).alias("input_masked"), strip_honorific(a["name"]).alias("recipient_name"), new.alias("address_raw"), answer(a["name"], F.lit(True), none, new, b["house"], b["street"], none, none, none).alias("response"))
+
+
+def generated_records(entries: DataFrame) -> DataFrame:
+    """D19's address records: (idx, input_masked, response) of rows (idx, neighborhood, municipality,
+    sub_region), of which sixteen styles shorten, lower, strip or leave out parts; every
+    twentieth index from 14 on is in accentless capitals."""
+    i = F.col("idx")
+    f, style = synth_fields(i), _mod(i, 16)
+    dotted, bare, low = style.isin(1, 7, 13), style.isin(2, 8), style.isin(3, 14)
+
+    def stripped(c: Column) -> Column:
+        return F.when(c.isNotNull(), strip_accents(c))
+
+    def part(name: str, gone: tuple[int, ...], also_bare: tuple[int, ...] = ()) -> Column:
+        c = F.col(name)
+        short = F.when(dotted, abbreviate_admin(c, F.lit(True))).when(bare | style.isin(*also_bare), abbreviate_admin(c, F.lit(False)))
+        return F.when(style.isin(*gone), F.lit(None)).otherwise(F.coalesce(short, F.when(low, F.lower(c)).when(style == 12, stripped(c)).otherwise(c)))
+
+    street = F.when(style == 9, F.lit(None)).when(style == 12, stripped(f["street"])).otherwise(f["street"])
+    house = F.when(style == 10, f["house"]).otherwise(F.concat(F.when(style == 12, F.lit("so ")).otherwise(F.lit("số ")), f["house"]))
+    parts = entries.select("idx", f.alias("f"), street.alias("street"), F.concat_ws(" ", house, street).alias("front"), part("neighborhood", (4,)).alias("n"), part("municipality", (5,), (11, 15)).alias("m"), part("sub_region", (6, 15), (11,)).alias("p"))
+    gap = style.isin(3, 10, 11)
+    lines = {sep: F.when(style.isin(13, 14), F.concat_ws(sep, "p", "m", "n", "front")).otherwise(F.concat_ws(sep, "front", "n", "m", "p")) for sep in (" ", ", ")}
+    said = parts.withColumn("raw", F.when(gap, lines[" "]).otherwise(lines[", "]))
+    said = said.withColumn("text", render_tuning_order(F.col("f"), F.col("raw"), i))
+    masked = compact_text(mask_phone(F.when(_mod(i, 20) == 14, F.upper(strip_accents(F.col("text")))).otherwise(F.col("text"))))
+    return said.select("idx", masked.alias("input_masked"), answer(F.col("f.name"), F.lit(True), F.col("f.note"), F.col("raw"), F.col("f.house"), F.col("street"), F.col("n"), F.col("m"), F.col("p")).alias("response"))
 
 
-def numbered(pool: DataFrame, by: str) -> DataFrame:
-    """The pool with ``no`` from 0 in the order of ``by``; a pool is an administrative table's size."""
-    return pool.withColumn("no", F.row_number().over(Window.orderBy(by)) - 1)
+#: Share of the addresses, the first in order, that come from old entries.
+OLD_SHARE = 0.7
 
 
 def generate(ids: DataFrame, old: DataFrame, new: DataFrame, seed: int = 1) -> DataFrame:
-    """For each idx a kind (role on every tenth, correction on every twentieth from
-    5, else 70 % old and 30 % new) and, for addresses, an entry drawn with replacement."""
-    i = F.col("idx")
-    draw = F.pmod(F.xxhash64(F.lit(seed), i), F.lit(1000))
-    kind = F.when(_mod(i, 10) == 0, "role").when(_mod(i, 20) == 5, "correction").when(draw < 700, "old").otherwise("new")
-    sizes = old.agg(F.count(F.lit(1)).alias("n_old")).join(F.broadcast(new.agg(F.count(F.lit(1)).alias("n_new"))))  # one row each
-    marked = ids.withColumn("kind", kind).join(F.broadcast(sizes))
-    n = F.when(F.col("kind") == "old", F.col("n_old")).when(F.col("kind") == "new", F.col("n_new"))
-    marked = marked.withColumn("no", F.when(n > 0, F.pmod(F.xxhash64(F.lit(seed + 1), i), n))).drop("n_old", "n_new")
-    pool = numbered(old, "ord").withColumn("kind", F.lit("old")).unionByName(numbered(new, "ord").withColumn("kind", F.lit("new")))
-    pool = pool.select("kind", F.col("no").cast("long").alias("no"), "ord", "province_name", "ward_name", "old_province_name", "old_district_name", "old_ward_name")
-    return marked.join(pool.hint("merge"), ["kind", "no"], "left").drop("no")
+    """Whole records (idx, kind, input_masked, response) for rows with distinct ``idx``.
+
+    By place in the order of idx: every tenth is a role record, every twentieth from the sixth a
+    correction; of the others the first 70 % have an old entry's address, the rest a new
+    one's, drawn by a seeded hash with replacement. Entries are records as ``sampling_pools``
+    gives them; without any of a kind its records are left out.
+    """
+    placed = numbered(ids.select("idx"), "idx", out="offset")
+    at = F.col("offset")
+    kind = F.when(_mod(at, 10) == 0, "role").when(_mod(at, 20) == 5, "correction").when(at < int(placed.count() * OLD_SHARE), "old").otherwise("new")
+    placed = placed.withColumn("kind", kind)
+    out = role_records(placed.filter("kind = 'role'").select("idx")).select("idx", F.lit("role").alias("kind"), "input_masked", "response")
+    out = out.unionByName(correction_records(placed.filter("kind = 'correction'").select("idx")).select("idx", F.lit("correction").alias("kind"), "input_masked", "response"))
+    for name, pool, names in (("old", old, ("old_ward_name", "old_district_name", "old_province_name")), ("new", new, (None, "ward_name", "province_name"))):
+        known = numbered(pool, "ord")
+        n = known.count()
+        if n:
+            parts = [(F.col(c) if c else F.lit(None).cast("string")).alias(x) for c, x in zip(names, ("neighborhood", "municipality", "sub_region"), strict=True)]
+            drawn = placed.filter(F.col("kind") == name).withColumn("no", F.pmod(seeded(at, seed), F.lit(n)))
+            drawn = drawn.join(hinted(known.select("no", *parts), n), "no")
+            out = out.unionByName(generated_records(drawn).select("idx", F.lit(name).alias("kind"), "input_masked", "response"))
+    return out
 
 
 def curated(spark: SparkSession) -> DataFrame:

@@ -1,18 +1,21 @@
 """Address resolution: a blocked, ranked fuzzy join (ids N1, N6-N14).
 
-No step pairs all addresses with all records. Addresses and records are reduced to
-their distinct keys per level; distinct keys are blocked by length and by shared letters,
-scored once, and joined back by equality. Records are the administrative table: its
-keys number a few ten thousand however many addresses there are, so its side of a
-key join is broadcast behind a check of its row count.
+No step pairs all addresses with all records. Addresses are reduced to their distinct
+spellings, spellings and records to their distinct keys per level; keys meet in an index
+of the pairs of signs that they must share to be as like as asked, are scored once, and
+joined back by equality. Records are the administrative table: its keys number a few ten
+thousand however many addresses there are, so its side of a join is broadcast behind a
+check of its row count.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderloom.functions.fuzzy import combined_score, field_score, may_reach
+from orderloom.functions.fuzzy import combined_score, field_score, grams, indel_ratio, shared_grams, token_sorted
 from orderloom.functions.text import normalize_key, normalize_text_key
 from orderloom.sources.staging import staged
 
@@ -20,6 +23,9 @@ from orderloom.sources.staging import staged
 CITY_KEYS = ("ha noi", "ho chi minh")
 LIMITS = {"province": 78.0, "district": 72.0, "ward": 72.0}
 BROADCAST_ROWS = 200_000
+#: Spellings with up to five candidates each, up to which they are broadcast.
+BROADCAST_SPELLINGS = 20_000
+TRIPLE = [f"q{t}_{x}" for x in LIMITS for t in ("", "t")]
 
 
 def _hinted(df: DataFrame, rows: int) -> DataFrame:
@@ -33,10 +39,10 @@ def flatten_wards(wards: DataFrame) -> DataFrame:
     ``ord`` breaks ties: it orders by province, place in the province and place among
     the predecessors (4,095 at most), without bringing the records together.
     """
-    codes = wards.select("province_code").distinct()  # tens of provinces
-    codes = codes.withColumn("p_no", F.row_number().over(Window.orderBy("province_code")).cast("long")).hint("broadcast")
-    base = wards.join(codes, "province_code").withColumnRenamed("merged_from", "olds")
-    base = base.withColumn("base", F.shiftleft("p_no", 44) + F.shiftleft(F.col("pos").cast("long"), 12))
+    codes = sorted(r["province_code"] for r in wards.select("province_code").filter("province_code is not null").distinct().collect())  # tens of provinces
+    p_no = F.array_position(F.array(*[F.lit(c) for c in codes]).cast("array<string>"), F.col("province_code"))
+    base = wards.withColumnRenamed("merged_from", "olds")
+    base = base.withColumn("base", F.shiftleft(F.coalesce(p_no, F.lit(0)).cast("long"), 44) + F.shiftleft(F.col("pos").cast("long"), 12))
     new = base.select(
         "province_code", "province_name", "ward_code", "ward_name", F.lit("new").alias("source"), F.col("base").alias("ord"),
         *[F.lit(None).cast("string").alias(c) for c in ("old_province_name", "old_district_name", "old_ward_name")],
@@ -75,28 +81,48 @@ def unique_municipalities(records: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(F.min_by("province_name", "level").alias("province_name"), F.min_by("ord", "level").alias("ord"))
 
 
-def key_pairs(queries: DataFrame, keys: DataFrame, least: float) -> DataFrame:
-    """(q, r, score) of distinct non-blank query and record keys whose field score is ``least`` or more.
+def _tokens(keys: DataFrame, side: str, plain: bool) -> DataFrame:
+    """(level, key, side, n, kind, gram): the pairs of signs (kind 2) and letters (kind 1) of each key."""
+    form = F.col("key") if plain else token_sorted(F.col("key"))
+    formed = keys.select("level", "key", form.alias("form"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), grams(F.col("form"), k).alias("grams")) for k in (2, 1)])
+    each = formed.select("level", "key", F.length("form").alias("n"), F.explode(kinds).alias("g")).select("level", "key", "n", "g.kind", F.explode("g.grams").alias("gram"))
+    return each.withColumn("side", F.lit(side))
+
+
+def key_pairs(queries: DataFrame, keys: DataFrame, least: dict[str, float], plain: bool = False) -> DataFrame:
+    """(level, q, r, score) of distinct non-blank query keys (level, q) and record keys (level, r)
+    whose field score, or ``plain`` ratio, is ``least`` of the level or more.
 
-    Blocking: a ratio bounds how far lengths differ, so keys meet on length; shared
-    letters bound the ratio natively before the Arrow function scores what is left.
+    An index with prefix filter: a score bounds from below how many pairs of signs two keys
+    share (of short keys: how many letters), so of each key's n pairs, rarest first, only n less
+    that bound and one more need be looked up. The field score reaches 72 and more
+    by the sorted words alone, so those are what is indexed.
     """
-    q = queries.filter("q <> ''").distinct()
-    r = keys.filter("r <> ''").distinct()
-    n = r.count()
-    # a ratio of t bounds the lengths: |r| lies between |q| * t / (200 - t) and |q| * (200 - t) / t
-    band = F.explode(F.sequence(F.floor(F.length("q") * least / (200 - least)).cast("int"), F.ceil(F.length("q") * (200 - least) / least).cast("int")))
-    blocked = q.withColumn("len", band).join(_hinted(r.withColumn("len", F.length("r")), n), "len").drop("len")
-    near = blocked.filter((F.col("q") == F.col("r")) | may_reach(F.col("q"), F.col("r"), least))
-    return near.withColumn("score", field_score(F.col("q"), F.col("r"))).filter(F.col("score") >= least)
+    q = queries.filter("q <> ''").distinct().withColumnRenamed("q", "key")
+    r = keys.filter("r <> ''").distinct().withColumnRenamed("r", "key")
+    tokens = staged(_tokens(q, "q", plain).unionByName(_tokens(r, "r", plain)), "key-grams")
+    often = tokens.groupBy("level", "kind", "gram").agg(F.count(F.lit(1)).alias("often"))
+    ranked = tokens.join(often.hint("merge"), ["level", "kind", "gram"])
+    ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("level", "side", "key", "kind").orderBy("often", "gram")))  # a key's own grams
+    ranked = staged(ranked.select("level", "side", "key", "n", "kind", "gram", "k"), "key-index")
+    a, b = (ranked.filter(F.col("side") == x).select("level", "kind", "gram", F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("k").alias(f"k{x}")) for x in ("q", "r"))
+    need = F.coalesce(*[F.when(F.col("level") == level, F.lit(float(x))) for level, x in least.items()])
+    pairs, letters = shared_grams(F.col("nq"), F.col("nr"), need)
+    by_pairs = (F.col("kind") == 2) & (pairs >= 1) & (F.col("kq") <= F.col("nq") - pairs) & (F.col("kr") <= F.col("nr") - pairs)
+    by_letters = (F.col("kind") == 1) & (pairs < 1) & (F.col("kq") <= F.col("nq") - letters + 1) & (F.col("kr") <= F.col("nr") - letters + 1)
+    met = a.join(b.hint("merge"), ["level", "kind", "gram"]).filter((letters <= F.least("nq", "nr")) & (by_pairs | by_letters))
+    near = met.select("level", "q", "r").distinct()
+    score = indel_ratio(F.col("q"), F.col("r")) if plain else field_score(F.col("q"), F.col("r"))
+    return near.withColumn("score", score).filter(F.col("score") >= need)
 
 
 def infer_province(df: DataFrame, col: str, unique: DataFrame, out: str = "inferred", min_score: float = 88.0) -> DataFrame:
     """Adds ``out``: the city that a municipality names, by equal key, else by the best
-    likeness of ``min_score`` or more (the first record on ties)."""
+    plain ratio of ``min_score`` or more (the first record on ties)."""
     keyed = df.withColumn("__k", normalize_key(F.col(col)))
-    keys = keyed.filter(F.coalesce(F.col(col), F.lit("")) != "").select(F.col("__k").alias("q")).distinct()
-    pairs = key_pairs(keys, unique.select(F.col("key").alias("r")), min_score)
+    keys = keyed.filter(F.coalesce(F.col(col), F.lit("")) != "").select(F.lit("any").alias("level"), F.col("__k").alias("q")).distinct()
+    pairs = key_pairs(keys, unique.select(F.lit("any").alias("level"), F.col("key").alias("r")), {"any": min_score}, plain=True)
     best = pairs.join(_hinted(unique.withColumnRenamed("key", "r"), unique.count()), "r").groupBy("q").agg(
         F.max_by("province_name", F.struct((F.col("q") == F.col("r")).alias("e"), "score", -F.col("ord"))).alias(out)
     )
@@ -115,27 +141,37 @@ def candidates(queries: DataFrame, records: DataFrame) -> DataFrame:
     """For each distinct key triple the records that pass all limits, scored.
 
     A blank query key passes every record at 100; a blank record district is
-    exempt from the limit and scores 0. A ward key left blank by prefix removal is
-    a branch of its own: it meets the records of its province or, without one, of its
-    district; a triple that is blank throughout names no place and has no candidates.
+    exempt from the limit and scores 0. A ward key left blank by prefix removal meets
+    the records of its province; without one, those of its district and those without a
+    district, of all provinces; a triple that is blank throughout meets every record. Such
+    keys are few words (administrative types), whatever the number of addresses.
     """
-    q = queries.select(*[f"q{t}_{x}" for x in LIMITS for t in ("", "t")]).distinct()
+    q = staged(queries.select(*TRIPLE).distinct(), "triples")
     n = records.count()
-    pairs, rows = {}, {}
-    for level, least in LIMITS.items():
-        # pairs grow with the queries: written, so that they are counted and not scored again
-        found = key_pairs(q.select(F.col(f"q_{level}").alias("q")), records.select(F.col(f"{level}_key").alias("r")), least)
-        pairs[level] = staged(found.withColumnsRenamed({"q": f"q_{level}", "r": f"{level}_key", "score": f"{level}_score"}), f"{level}-pairs")
-        rows[level] = pairs[level].count()
+    asked, known = (
+        functools.reduce(DataFrame.unionByName, [df.select(F.lit(x).alias("level"), F.col(f"{head}{x}{tail}").alias(name)) for x in LIMITS])
+        for df, head, tail, name in ((q, "q_", "", "q"), (records, "", "_key", "r"))
+    )
+    # pairs grow with the queries: written, so that they are counted and not scored again
+    found = staged(key_pairs(asked, known, LIMITS), "pairs")
+    rows = {r["level"]: r["n"] for r in found.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}  # three levels
+    pairs = {x: _hinted(found.filter(F.col("level") == x).select(F.col("q").alias(f"q_{x}"), F.col("r").alias(f"{x}_key"), F.col("score").alias(f"{x}_score")), rows.get(x, 0)) for x in LIMITS}
     rec = _hinted(records, n)
-    named = q.filter("q_ward <> ''").join(_hinted(pairs["ward"], rows["ward"]), "q_ward").join(rec, "ward_key")
+    named = q.filter("q_ward <> ''").join(pairs["ward"], "q_ward").join(rec, "ward_key")
     blank = q.filter("q_ward = ''").withColumn("ward_score", F.lit(100.0))
-    by_province = blank.filter("q_province <> ''").join(_hinted(pairs["province"].drop("province_score"), rows["province"]), "q_province").join(rec, "province_key")
-    by_district = blank.filter("q_province = '' and q_district <> ''").join(_hinted(pairs["district"].drop("district_score"), rows["district"]), "q_district").join(rec, "district_key")
-    hit = named.unionByName(by_province).unionByName(by_district)
-    hit = hit.join(_hinted(pairs["province"], rows["province"]), ["q_province", "province_key"], "left")
+    by_province = blank.filter("q_province <> ''").join(pairs["province"].drop("province_score"), "q_province").join(rec, "province_key")
+    hit = named.unionByName(by_province)
+    anywhere = blank.filter("q_province = ''")
+    if not anywhere.isEmpty():
+        by_district = anywhere.filter("q_district <> ''").join(pairs["district"].drop("district_score"), "q_district").join(rec, "district_key")
+        codes = [r["province_key"] for r in records.select("province_key").distinct().collect()]  # tens of provinces
+        every = anywhere.withColumn("province_key", F.explode(F.array(*[F.lit(c) for c in codes])))
+        free = every.filter("q_district = ''").join(rec, "province_key").unionByName(
+            every.filter("q_district <> ''").join(_hinted(records.filter("district_key = ''"), n), "province_key"))
+        hit = hit.unionByName(by_district).unionByName(free)
+    hit = hit.join(pairs["province"], ["q_province", "province_key"], "left")
     hit = hit.filter("q_province = '' or province_score is not null")
-    hit = hit.join(_hinted(pairs["district"], rows["district"]), ["q_district", "district_key"], "left")
+    hit = hit.join(pairs["district"], ["q_district", "district_key"], "left")
     hit = hit.filter("q_district = '' or district_key = '' or district_score is not null")
     d = F.when(F.col("q_district") == "", 100.0).otherwise(F.coalesce("district_score", F.lit(0.0)))
     p = F.when(F.col("q_province") == "", 100.0).otherwise(F.col("province_score"))
@@ -153,9 +189,6 @@ def tie_signals(df: DataFrame) -> DataFrame:
     }).drop(*[f"__{x}" for x in LIMITS])
 
 
-TRIPLE = [f"q{t}_{x}" for x in LIMITS for t in ("", "t")]
-
-
 def rank_candidates(df: DataFrame) -> DataFrame:
     """Adds ``rank`` within each key triple."""
     order = [F.desc("score"), F.desc("exact_matches"), F.desc("tie_score"), F.col("old_district_name").isNull(), F.col("source") != "new", F.asc("ord")]
@@ -204,11 +237,30 @@ def verdict(df: DataFrame, threshold: float = 84.0) -> DataFrame:
     ))
 
 
-def resolve_records(addresses: DataFrame, records: DataFrame, threshold: float = 84.0) -> DataFrame:
-    """N14 on flattened records: each address with ``resolved``."""
-    keyed = query_keys(addresses)
+def resolve_spellings(spellings: DataFrame, records: DataFrame) -> DataFrame:
+    """(province, district_hint, ward, q_ward, candidates) of distinct spellings."""
+    keyed = staged(query_keys(spellings), "spellings")
     top = top_candidates(rank_candidates(candidates(keyed.filter(F.coalesce("ward", F.lit("")) != ""), records)))
-    return verdict(keyed.join(top.hint("merge"), TRIPLE, "left"), threshold).drop(*TRIPLE, "candidates")
+    return keyed.join(top.hint("merge"), TRIPLE, "left").select(*SPELLING, "q_ward", "candidates")
+
+
+SPELLING = ["province", "district_hint", "ward"]
+
+
+def joined_spellings(addresses: DataFrame, resolved: DataFrame, threshold: float) -> DataFrame:
+    """Addresses with ``resolved`` from what their spellings have."""
+    n = resolved.count()
+    other = resolved.withColumnsRenamed({c: f"__{c}" for c in SPELLING})
+    other = other.hint("broadcast" if n <= BROADCAST_SPELLINGS else "merge")  # up to five candidates a row
+    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in SPELLING])
+    return verdict(addresses.join(other, same, "left"), threshold).drop(*[f"__{c}" for c in SPELLING], "q_ward", "candidates")
+
+
+def resolve_records(addresses: DataFrame, records: DataFrame, threshold: float = 84.0) -> DataFrame:
+    """N14 on flattened records: each address with ``resolved``. Keys are made and
+    scored once for each distinct spelling of province, district and ward."""
+    spellings = addresses.select(*SPELLING).distinct()
+    return joined_spellings(addresses, staged(resolve_spellings(spellings, records), "resolved-spellings"), threshold)
 
 
 def normalize_addresses(addresses: DataFrame, admin: DataFrame, threshold: float = 84.0) -> DataFrame:

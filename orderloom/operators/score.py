@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderloom.functions.text import export_text, let, score_text
+from orderloom.functions.jsontext import json_text
+from orderloom.functions.text import eval_text, export_text, let, score_text
+from orderloom.operators.order import percentiles_by
 
 # The scored fields and the paths of their public form.
 FIELDS = {
@@ -92,30 +96,32 @@ def field_metrics(preds: DataFrame) -> DataFrame:
 
 
 def full_exact(preds: DataFrame) -> DataFrame:
-    """Per run the successful rows of which all fields are equal."""
+    """Per run the successful rows of which all fields are equal; zeros for a run without any."""
     same = [exact(field_value(preds, "expected", f), field_value(preds, "prediction", f)) for f in FIELDS]
     every = same[0]
     for s in same[1:]:
         every = every & s
-    done = preds.filter("ok").groupBy("run").agg(F.count_if(every).alias("exact_count"), F.count(F.lit(1)).alias("total"))
-    return done.withColumn("accuracy", F.round(F.col("exact_count") / F.col("total"), 4))
+    done = preds.groupBy("run").agg(F.count_if(F.col("ok") & every).alias("exact_count"), F.count_if("ok").alias("total"))
+    return done.withColumn("accuracy", F.round(_rate(F.col("exact_count"), F.col("total")), 4))
 
 
-def percentiles(c: Column, pcts: tuple[float, ...] = (50.0, 95.0, 99.0)) -> Column:
-    """Exact percentiles by linear interpolation, as an array."""
-    return F.percentile(c, F.array(*[F.lit(p / 100) for p in pcts]))
+def percentiles(preds: DataFrame, pcts: tuple[float, ...] = (50.0, 95.0, 99.0)) -> DataFrame:
+    """Per run exact latency percentiles by linear interpolation, over successful rows."""
+    return percentiles_by(preds.filter("ok"), "run", "latency_seconds", "id", pcts)
 
 
 def latency_summary(preds: DataFrame) -> DataFrame:
-    """Per run over successful rows: mean, p50, p95, p99, min, max."""
-    x = F.col("latency_seconds")
-    s = preds.filter("ok").groupBy("run").agg(F.avg(x).alias("mean"), percentiles(x).alias("p"), F.min(x).alias("min"), F.max(x).alias("max"))
-    return s.select("run", *[F.round(c, 4).alias(n) for n, c in (("mean", F.col("mean")), ("p50", F.col("p")[0]), ("p95", F.col("p")[1]), ("p99", F.col("p")[2]), ("min", F.col("min")), ("max", F.col("max")))])
+    """Per run over successful rows: mean, p50, p95, p99, min, max; zeros for a run without any."""
+    x = F.when(F.col("ok"), F.col("latency_seconds"))
+    s = preds.groupBy("run").agg(F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"))
+    p = percentiles(preds).withColumnRenamed("run", "of")  # a row a run
+    both = s.join(p.hint("merge"), F.col("run").eqNullSafe(F.col("of")), "left")
+    return both.select("run", *[F.round(F.coalesce(n, F.lit(0.0)), 4).alias(n) for n in ("mean", "p50", "p95", "p99", "min", "max")])
 
 
 def throughput(preds: DataFrame, wall_seconds: float | None = None) -> DataFrame:
-    """Per run orders a minute by summed latency, and by wall time where it is given."""
-    ok = preds.filter("ok").groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.sum("latency_seconds").alias("s"))
+    """Per run orders a minute by summed latency, and by wall time where it is given; zeros for a run without a success."""
+    ok = preds.groupBy("run").agg(F.count_if("ok").alias("n"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("latency_seconds"))), F.lit(0.0)).alias("s"))
     wall = F.lit(None).cast("double") if wall_seconds is None else F.round(F.col("n") / F.lit(wall_seconds) * 60, 4)
     return ok.select("run", F.round(_rate(F.col("n") * 60, F.col("s")), 4).alias("orders_per_minute"), wall.alias("orders_per_minute_wall"))
 
@@ -132,14 +138,30 @@ def json_valid_rate(df: DataFrame, parsed: str = "parsed") -> DataFrame:
 
 def null_outcomes(fields: DataFrame) -> DataFrame:
     """Per field (columns field, expected, predicted): exact, hallucinated (nothing
-    expected), missed (nothing predicted); null-aware on trimmed lower case."""
-    e, p = F.lower(F.trim("expected")), F.lower(F.trim("predicted"))
+    expected), missed (nothing predicted); null-aware on the evaluation's form (T6)."""
+    e, p = eval_text(F.col("expected")), eval_text(F.col("predicted"))
     return fields.groupBy("field").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(e.eqNullSafe(p)).alias("exact"), F.count_if(e.isNull() & p.isNotNull()).alias("hallucinated"),
         F.count_if(e.isNotNull() & p.isNull()).alias("missed"),
     ).withColumn("accuracy", F.round(F.col("exact") / F.col("total"), 4))
 
 
+# The fields of the null-aware evaluation, in the public form.
+EVAL_FIELDS = (
+    "recipient_name", "phone_number", "note", "address_raw", "address_info.address_number", "address_info.street", "address_info.neighborhood",
+    "address_info.municipality", "address_info.sub_region", "address_info.country",
+)
+
+
+def to_eval_fields(df: DataFrame, truth: str = "response", prediction: str = "prediction") -> DataFrame:
+    """(field, expected, predicted) of all ten fields; rows without a prediction at all,
+    whose reply could not be read, are not scored."""
+    cells = F.array(*[
+        F.struct(F.lit(f).alias("field"), field_value(df, truth, f).alias("expected"), field_value(df, prediction, f).alias("predicted")) for f in EVAL_FIELDS
+    ])
+    return df.filter(F.col(prediction).isNotNull()).select(F.explode(cells).alias("c")).select("c.*")
+
+
 def micro_average(outcomes: DataFrame) -> DataFrame:
     """All fields together."""
     return outcomes.agg(F.sum("exact").alias("exact"), F.sum("total").alias("total"), F.round(F.sum("exact") / F.sum("total"), 4).alias("accuracy"))
@@ -161,20 +183,14 @@ def error_rows(preds: DataFrame) -> DataFrame:
 
 
 def canonical_json(df: DataFrame, column: str) -> Column:
-    """JSON of a struct with its keys sorted at every level and nulls kept."""
-
-    def ordered(c: Column, kind) -> Column:
-        if hasattr(kind, "names"):
-            return F.when(c.isNotNull(), F.struct(*[ordered(c[n], kind[n].dataType).alias(n) for n in sorted(kind.names)]))
-        return c
-
-    return F.to_json(ordered(F.col(column), df.schema[column].dataType), {"ignoreNullFields": "false"})
+    """JSON of a column with keys sorted at every level, also in arrays and maps, and nulls kept."""
+    return json_text(F.col(column), df.schema[column].dataType, ordered=True)
 
 
 def mismatch_count(preds: DataFrame) -> DataFrame:
-    """Per run the rows with any wrong field."""
-    wrong = to_fields(preds).filter(export_text(F.col("expected")) != export_text(F.col("predicted")))
-    return wrong.groupBy("run").agg(F.count_distinct("id").alias("mismatches"))
+    """Per run the rows with any wrong field, none included."""
+    cells = [export_text(field_value(preds, "expected", f)) != export_text(field_value(preds, "prediction", f)) for f in FIELDS]
+    return preds.groupBy("run").agg(F.count_if(functools.reduce(Column.__or__, cells)).alias("mismatches"))
 
 
 def examples(preds: DataFrame, rows: int = 6, fields: int = 4) -> DataFrame:
@@ -192,10 +208,12 @@ def examples(preds: DataFrame, rows: int = 6, fields: int = 4) -> DataFrame:
 
 
 def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of both runs by id (the last of a repeated id on the right) and the share of equal predictions."""
-    r = right.groupBy("id").agg(F.max_by("prediction", "seq").alias("other"))
-    both = left.select("id", "prediction").hint("merge").join(r, "id")
-    same = F.to_json("prediction", {"ignoreNullFields": "false"}) == F.to_json("other", {"ignoreNullFields": "false"})
+    """Rows of both runs by id (the last of a repeated id on the right) and the share of equal
+    predictions, compared as JSON with sorted keys; two missing ones are equal."""
+    sides = [df.withColumn("said", canonical_json(df, "prediction")) for df in (left, right)]
+    r = sides[1].groupBy("id").agg(F.max_by("said", "seq").alias("other"))
+    both = sides[0].select("id", "said").hint("merge").join(r, "id")
+    same = F.col("said").eqNullSafe(F.col("other"))
     out = both.agg(F.count(F.lit(1)).alias("shared"), F.count_if(same).alias("same"))
     return out.withColumn("same_ratio", F.round(_rate(F.col("same"), F.col("shared")), 4))
 

@@ -38,6 +38,46 @@ def s8_spaced_jsonl(spark, sf_dir):
     return spark.read.text(path)
 
 
+@query(r"""SELECT conv_id, md5('{"conv_id": ' || conv_id || ', "said": [' || string_agg('{"who": "' || role || '", "x": {"text": "' || repeat('\"a, b: \\ c\" ', 40) || '", "none": null}}', ', ' ORDER BY turn) || ']}') AS line FROM conversations GROUP BY conv_id""")
+def s8_spaced_nested(spark, sf_dir):
+    """Nested rows whose strings hold quotes, separators and backslashes."""
+    path = fresh_path(spark, "spaced-nested")
+    odd = F.lit('"a, b: \\ c" ' * 40)
+    said = F.sort_array(F.collect_list(F.struct("turn", "role")))  # turns of one conversation
+    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(said.alias("t"))
+    rows = rows.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("who"), F.struct(odd.alias("text"), F.lit(None).cast("string").alias("none")).alias("x"))).alias("said"))
+    io.write_jsonl(rows, path, compact=False)
+    lines = spark.read.text(path)
+    return lines.select(F.get_json_object("value", "$.conv_id").cast("long").alias("conv_id"), F.md5("value").alias("line"))
+
+
+def touch(spark, path: str, text: str) -> None:
+    """A small file of a given name, through Spark's file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+_RUN_FILES = "r AS (SELECT n_nationkey AS k, 'model-' || n_regionkey || CASE WHEN n_nationkey % 6 = 1 THEN '(q8)' ELSE '' END AS folder, 'run ' || n_nationkey AS run FROM nation)"
+
+
+@query(f"WITH {_RUN_FILES} SELECT folder, run, contains(folder, '(q8)') OR contains(run, ' 1') AS chosen FROM r WHERE k % 5 > 0")
+def s7_discover_runs(spark, sf_dir):
+    """A pair of files for each nation, some in one folder; every fifth lacks its predictions. Besides, a
+    folder ``smoke``, which is left out, below a root whose name only begins so."""
+    root = fresh_path(spark, "smoketest-runs")
+    for n in read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect():  # 25 rows
+        k, folder = n.n_nationkey, f"model-{n.n_regionkey}{'(q8)' if n.n_nationkey % 6 == 1 else ''}"
+        touch(spark, f"{root}/{folder}/run {k}_summary.json", "{}")
+        if k % 5:
+            touch(spark, f"{root}/{folder}/run {k}_predictions.jsonl", "{}")
+    for kind in ("summary.json", "predictions.jsonl"):
+        touch(spark, f"{root}/smoke/run 3_{kind}", "{}")
+    chosen = io.discover_runs(spark, root, include=("(q8)", "/run 1")).select("folder", "run", F.lit(True).alias("chosen"))
+    return io.discover_runs(spark, root).select("folder", "run").join(chosen.hint("merge"), ["folder", "run"], "left").select("folder", "run", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
 @query(f"""WITH {SQL_NEW} SELECT province_code, ward_code, ward_name, is_merged, CAST(entries AS INTEGER) AS entries, row_number() OVER (PARTITION BY province_code ORDER BY pos) - 1 AS place FROM state""")
 def s2_s11_admin_json(spark, sf_dir):
     path = fresh_path(spark, "admin")

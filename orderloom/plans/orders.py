@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,10 +99,13 @@ def rule_pass(msgs: DataFrame) -> DataFrame:
     )
 
 
-def parse_messages(msgs: DataFrame, records: DataFrame, replies: DataFrame | None = None, threshold: float = 84.0) -> DataFrame:
+def parse_messages(
+    msgs: DataFrame, records: DataFrame, replies: DataFrame | None = None, threshold: float = 84.0, resolve: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Messages (msg_id, text) to parsed orders. ``replies`` (msg_id, model) are model
     orders where a model was asked; without them rules alone decide. Texts that are no
-    order give an all-null row."""
+    order give an all-null row. ``resolve``: what adds ``resolved`` to addresses, in place of
+    resolution against ``records``."""
     ruled = rule_pass(msgs)
     empty = F.lit(None).cast(EMPTY_ORDER)
     ruled = ruled.join(replies.hint("merge"), "msg_id", "left") if replies is not None else ruled.withColumn("model", empty)
@@ -114,7 +119,8 @@ def parse_messages(msgs: DataFrame, records: DataFrame, replies: DataFrame | Non
     raw = format_address(join_street(a["house_number"], a["street"]), a["ward"], a["district_hint"], a["province"])
     fixed = fixed.withColumn("address_raw", F.coalesce(F.nullif("said", F.lit("")), raw)).drop("said")
     keys = fixed.select("address.province", "address.district_hint", "address.ward", "address.street", "address.house_number", "msg_id")
-    resolved = staged(resolve_records(keys, records, threshold).select("msg_id", "resolved"), "resolved")
+    known = resolve(keys) if resolve else resolve_records(keys, records, threshold)
+    resolved = staged(known.select("msg_id", "resolved"), "resolved")
     resolved = fixed.join(resolved.hint("merge"), "msg_id")
     trusted = staged(trust_resolved(resolved), "trusted")
     unique = unique_municipalities(records)

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from orderloom.functions.jsontext import row_text
 from orderloom.functions.text import place_name
 
 ADMIN = (
     "province_code string, province_name string, wards array<struct<ward_code:string,ward_name:string,is_merged:boolean,merged_from_raw:string,"
     "merged_from:array<struct<old_ward_name:string,old_district_name:string,old_province_name:string>>>>"
 )
+#: Files of a run at most.
+FILES_PER_RUN = 32
 UNIT = "ma string, magoc string, ten string, malk string, truocsapnhap string"
 
 
@@ -55,30 +60,35 @@ def split_province_reply(df: DataFrame, column: str) -> DataFrame:
 
 
 def discover_runs(spark: SparkSession, root: str, include: tuple[str, ...] = (), latest: int | None = None) -> DataFrame:
-    """Run folders with both a predictions and a summary file, newest first; smoke
-    runs are left out, and those whose name has none of ``include``."""
+    """Pairs of files ``x_summary.json`` and ``x_predictions.jsonl`` one folder below ``root``.
+
+    Returns folder, run (x), summary, predictions (paths), modified and recency (1: the newest,
+    of equal times the last path). Left out are runs with a path component ``smoke``, and with
+    ``include`` those whose path holds none of its tokens, as they are written. With
+    ``latest`` the newest so many. Only names and times of files are read.
+    """
 
     def files(suffix: str, name: str) -> DataFrame:
         found = spark.read.format("binaryFile").load(f"{root}/*/*{suffix}").select("path", "modificationTime")
-        return found.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("run"), F.col("path").alias(name), F.col("modificationTime").alias(f"{name}_time"))
+        stem = rf"([^/]+)/([^/]+)\Q{suffix}\E$"
+        return found.select(
+            F.regexp_extract("path", stem, 1).alias("folder"), F.regexp_extract("path", stem, 2).alias("run"), F.col("path").alias(name), F.col("modificationTime").alias(f"{name}_time")
+        )
 
-    runs = files("_predictions.jsonl", "predictions").join(files("_summary.json", "summary"), "run")
-    runs = runs.filter(~F.lower("predictions").contains("smoke"))
+    runs = files("_summary.json", "summary").withColumnRenamed("summary_time", "modified").join(files("_predictions.jsonl", "predictions").drop("predictions_time"), ["folder", "run"])
+    runs = runs.filter(~F.array_contains(F.split("summary", "/"), "smoke"))
     if include:
-        runs = runs.filter(F.lower("run").rlike("|".join(t.lower() for t in include)))
-    runs = runs.withColumn("recency", F.row_number().over(Window.orderBy(F.desc("predictions_time"), "run")))
-    return runs.filter(F.col("recency") <= latest) if latest else runs
+        runs = runs.filter(functools.reduce(Column.__or__, [F.col("summary").contains(token) for token in include]))
+    runs = runs.withColumn("recency", F.row_number().over(Window.orderBy(F.desc("modified"), F.desc("summary"))))  # a row a run
+    return runs.filter(F.col("recency") <= latest) if latest and latest > 0 else runs
 
 
 def write_jsonl(df: DataFrame, path: str, compact: bool = True) -> None:
-    """One object a line, nulls written; spaced puts a blank after : and , between members."""
+    """One object a line, nulls written; spaced puts a blank after : and , between members, at every level."""
     if compact:
         df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
-        return
-    line = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    # outside strings only: a separator is followed by a quote or value and preceded by one
-    spaced = F.regexp_replace(line, r'(?<=["\d\]}el])([:,])(?=["\d\[{tfn-])(?=(?:[^"\\]*(?:\\.[^"\\]*)*"[^"\\]*(?:\\.[^"\\]*)*")*[^"]*$)', "$1 ")
-    df.select(spaced.alias("value")).write.mode("overwrite").text(path)
+    else:
+        df.select(row_text(df.schema).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_summary(df: DataFrame, path: str) -> None:
@@ -87,8 +97,9 @@ def write_summary(df: DataFrame, path: str) -> None:
 
 
 def write_errors(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Error rows, a folder for each run."""
-    df.repartition("run").write.mode("overwrite").partitionBy("run").format(fmt).save(path)
+    """Error rows, a folder for each run; a run of many rows has several files there."""
+    dealt = df.repartition("run", F.pmod(F.xxhash64("id"), F.lit(FILES_PER_RUN)))
+    dealt.write.mode("overwrite").partitionBy("run").format(fmt).save(path)
 
 
 def nest_admin(wards: DataFrame) -> DataFrame:

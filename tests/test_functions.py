@@ -1,6 +1,8 @@
 """Column functions against plain-Python models and written cases."""
 
 import random
+
+import numpy as np
 import re
 import unicodedata
 
@@ -104,24 +106,58 @@ def test_merge(spark):
     assert values(spark, ["A", " a ,", None], merge.format_address(F.col("s"), F.lit("a"), F.lit("B"))) == [("A, B",), ("a, B",), ("a, B",)]
 
 
-def test_ratio_and_its_bound(spark):
-    def lcs(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            prev = 0
-            for j, y in enumerate(b, 1):
-                prev, row[j] = row[j], prev + 1 if x == y else max(row[j], row[j - 1])
-        return row[-1]
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        prev = 0
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], prev + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_lanes_against_the_scalar_form():
+    rng = random.Random(2)
+
+    def word(n):
+        return "".join(rng.choice("abcdeê \U0001F600đ") for _ in range(n))
 
+    pairs = [(word(rng.randint(0, 14)), word(rng.randint(0, 14))) for _ in range(6000)]
+    for n in (63, 64, 65, 128, 129, 200):  # several words, carries between them
+        for _ in range(20):
+            x = word(n)
+            pairs += [(x, word(rng.randint(50, 210))), (x, x[: n // 2] + "z" + x[n // 2 :]), (x, "")]
+    a, b = (np.array(side, dtype=str) for side in zip(*pairs, strict=True))
+    assert fuzzy.lcs_lengths(a, b).tolist() == [lcs(str(x), str(y)) for x, y in zip(a, b, strict=True)]
+    assert fuzzy.lcs_lengths(a[:0], b[:0]).tolist() == []
+
+
+def test_ratio_and_its_bound(spark):
     rng = random.Random(1)
-    pairs = [("".join(rng.choice("abc dđ") for _ in range(rng.randint(0, 12))).strip(), "".join(rng.choice("abc dđ") for _ in range(rng.randint(0, 12))).strip()) for _ in range(400)]
+
+    def near(a):
+        w = list(a)
+        for _ in range(rng.randint(0, 4)):
+            i = rng.randint(0, len(w))
+            w[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "đ"])
+        return "".join(w).strip()
+
+    one = ["".join(rng.choice("abc dđ") for _ in range(rng.randint(0, 16))).strip() for _ in range(600)]
+    pairs = [(a, near(a) if i % 2 else rng.choice(one)) for i, a in enumerate(one)]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
-    out = df.select("i", fuzzy.indel_ratio(F.col("a"), F.col("b")).alias("r"), fuzzy.may_reach(F.col("a"), F.col("b"), 72.0).alias("m"), fuzzy.field_score(F.col("a"), F.col("b")).alias("s")).orderBy("i").collect()
-    for (a, b), r in zip(pairs, out, strict=True):
+    cols = [fuzzy.indel_ratio(F.col("a"), F.col("b")).alias("r"), fuzzy.field_score(F.col("a"), F.col("b")).alias("s")]
+    cols += [F.size(F.array_intersect(fuzzy.grams(F.col("a"), k), fuzzy.grams(F.col("b"), k))).alias(f"g{k}") for k in (1, 2)]
+    need = {t: fuzzy.shared_grams(F.length("a"), F.length("b"), F.lit(float(t))) for t in (72, 78, 88)}
+    cols += [c.alias(f"{n}{t}") for t, both in need.items() for n, c in zip(("p", "l"), both, strict=True)]
+    some = 0
+    for (a, b), r in zip(pairs, df.select("i", *cols).orderBy("i").collect(), strict=True):
         want = 200.0 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
         assert abs(r.r - want) < 1e-9
-        assert r.m or want < 72
         assert not a or b or r.s == 0
+        for t in need:  # what is looked up in the index is necessary
+            if want >= t:
+                some += 1
+                assert r.g2 >= r[f"p{t}"] and r.g1 >= r[f"l{t}"]
+    assert some > 200
 
 
 def test_decomposed_messages_parse_like_composed_ones(spark):

@@ -2,18 +2,27 @@
 
 import random
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from orderloom.functions import extract
-from orderloom.functions.fuzzy import ratio
 from orderloom.operators import admin, dataset, resolve, score
 from orderloom.plans import orders as plan
 from orderloom.plans import queries
-from orderloom.sources import io
+from orderloom.sources import io, staging
 from orderloom.streaming import stream
 
 
+def ratio(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        prev = 0
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], prev + 1 if x == y else max(row[j], row[j - 1])
+    return 200.0 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+
 def test_resolution_against_a_scan(spark, data):
     records = resolve.flatten_admin(plan.admin_table(spark, data)).cache()
     recs = records.orderBy("ord").collect()
@@ -116,11 +125,23 @@ def test_files(spark, tmp_path):
     assert [(r.code, r.name, r.parent_code) for r in rows] == [("7", "X", "1"), ("3", "Y", None)]
     bad = io.split_province_reply(spark.createDataFrame([('{"ma":"1"}.synt.[{"ten":"A"}]',), ("junk",)], "s string"), "s").collect()
     assert (bad[0].province.ma, bad[0].wards[0].ten, bad[1].province, bad[1].wards) == ("1", "A", None, [])
-    for run, names in (("r1", ("x_predictions.jsonl", "x_summary.json")), ("r2", ("x_predictions.jsonl",)), ("r3", ("smoke_predictions.jsonl", "smoke_summary.json"))):
-        (tmp_path / "runs" / run).mkdir(parents=True)
-        for n in names:
-            (tmp_path / "runs" / run / n).write_text("{}")
-    assert [r.run for r in io.discover_runs(spark, f"{tmp_path}/runs").collect()] == ["r1"]
+    import os
+
+    pairs = {"r1": ("x", "y"), "r2": (), "smoke": ("x",), "smoketest (q8": ("smoke",)}
+    for k, (folder, stems) in enumerate(pairs.items()):
+        (tmp_path / "runs" / folder).mkdir(parents=True)
+        (tmp_path / "runs" / folder / "z_predictions.jsonl").write_text("{}")
+        for j, stem in enumerate(stems):
+            for kind in ("predictions.jsonl", "summary.json"):
+                at = tmp_path / "runs" / folder / f"{stem}_{kind}"
+                at.write_text("{}")
+                os.utime(at, (10_000 + 100 * k + j, 10_000 + 100 * k + j))
+
+    def runs(**how):
+        return [(r.folder, r.run) for r in io.discover_runs(spark, f"{tmp_path}/runs", **how).orderBy("recency").collect()]
+
+    assert runs() == [("smoketest (q8", "smoke"), ("r1", "y"), ("r1", "x")]
+    assert runs(latest=1) == [("smoketest (q8", "smoke")] and runs(include=("(q8", "none")) == [("smoketest (q8", "smoke")] and runs(include=("(Q8",)) == []
 
 
 def test_admin_json_round_trip(spark, data, tmp_path):
@@ -137,6 +158,40 @@ def test_streams(spark, data, tmp_path):
     source = spark.readStream.schema("msg_id long, text string").parquet(f"{tmp_path}/in")
     stream.parse_stream(source, records, f"{tmp_path}/out", f"{tmp_path}/ck", once=True).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 40
+
+
+def test_stream_scores_spellings_once(spark, data, tmp_path, monkeypatch):
+    records = resolve.flatten_admin(plan.admin_table(spark, data)).cache()
+    msgs = plan.messages(spark, data).select("msg_id", "text").orderBy("msg_id").limit(30).collect()
+    asked, scored = stream.resolve_spellings, []
+    monkeypatch.setattr(stream, "resolve_spellings", lambda s, r: (scored.append(s.count()), asked(s, r))[1])
+    root = spark.conf.get("spark.checkpoint.dir", None)
+
+    def run(rows):
+        spark.createDataFrame(rows, "msg_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema("msg_id long, text string").parquet(f"{tmp_path}/in")
+        stream.parse_stream(source, records, f"{tmp_path}/out", f"{tmp_path}/ck", once=True).awaitTermination()
+
+    def staged_folders():
+        at = Path((root or next(iter(staging._UNSET.values()), "file:///none")).removeprefix("file://"))
+        return sorted(x.name for x in at.iterdir()) if at.exists() else []
+
+    before = staged_folders()
+    run(msgs[:10])
+    run(msgs[:10])  # nothing new
+    assert len(scored) == 1
+    for k in (10, 20):
+        run(msgs[k : k + 10])
+    assert len(list((tmp_path / "ck-spellings").iterdir())) <= 2 and len(scored) <= 3
+    assert staged_folders() == before
+    cols = ["msg_id", "recipient_name", "phone_number", "note", "address_raw", "address_new"]
+    whole = plan.parse_messages(spark.createDataFrame(msgs[:30], "msg_id long, text string"), records)
+    want = {str(r) for r in whole.select(*cols, "address_info").collect()}
+    got = [str(r) for r in spark.read.parquet(f"{tmp_path}/out").select(*cols, "address_info").collect()]
+    assert set(got) == want and len(got) == 40
+
+
+def test_other_streams(spark, data, tmp_path):
     events = spark.readStream.schema(spark.read.parquet(f"{data}/events.parquet").schema).parquet(f"{data}/events.parqu*t")
     q = stream.orders_per_minute(events).writeStream.format("memory").queryName("minutes").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/ck2").start()
     q.awaitTermination()
@@ -154,6 +209,7 @@ def test_generated_records(spark, data):
     roles = dataset.role_records(ids).collect()
     assert all(r.has_phone == ("[PHONE]" in r.input_masked) for r in roles) and any(r.recipient_name is None for r in roles)
     assert all("[PHONE]" in r.input_masked for r in dataset.correction_records(ids).collect())
+    assert all(r.response.recipient_name == r.recipient_name and (r.response.phone_number is not None) == r.has_phone for r in roles)
     assert dataset.curated(spark).count() == 10
 
 

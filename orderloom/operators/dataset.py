@@ -277,11 +277,18 @@ def answer(name: Column, phone: Column, note: Column, raw: Column, house: Column
     return said.cast(RESPONSE)
 
 
+def with_fields(df: DataFrame, by: Column | None = None, prefix: str = "") -> DataFrame:
+    """Adds the fields of an index as columns of a step of their own, so that what names one often does not repeat how it is made."""
+    f = synth_fields(F.col("idx") if by is None else by)
+    return df.select("*", *[f[x].alias(prefix + x) for x in ("phone", "phone_text", "house", "street", "name", "note")])
+
+
 def role_records(ids: DataFrame, strict_compat: bool = False) -> DataFrame:
     """Messages in which a shop or courier is spoken to, so that no name is the
     recipient's or another one is; ``has_phone`` follows the text unless strict_compat."""
     i = F.col("idx")
-    f = synth_fields(i)
+    ids = with_fields(ids.select("idx"))
+    f = {x: F.col(x) for x in ids.columns}
     who, other = _of(NAMES, i), _of(NAMES, i + 4)
     at = F.concat_ws(" ", f["house"], f["street"])
 
@@ -300,16 +307,18 @@ def role_records(ids: DataFrame, strict_compat: bool = False) -> DataFrame:
     text = _pick(i, *[t for t, _ in styles])
     name = _pick(i, *[none if n is None else strip_honorific(n) for _, n in styles])
     said = _pick(i, *[none if n is None else n for _, n in styles])
-    known = ids.select("idx", compact_text(mask_phone(text)).alias("input_masked"), name.alias("recipient_name"), said.alias("said"), at.alias("at"), f.alias("f"))
+    known = ids.select("idx", text.alias("text"), name.alias("recipient_name"), said.alias("said"), at.alias("at"), "house", "street")
+    known = known.withColumn("input_masked", compact_text(mask_phone(F.col("text"))))
     has = F.lit(True) if strict_compat else F.col("input_masked").contains("[PHONE]")
-    full = answer(F.col("said"), has, none, F.col("at"), F.col("f.house"), F.col("f.street"), none, none, none)
+    full = answer(F.col("said"), has, none, F.col("at"), F.col("house"), F.col("street"), none, none, none)
     return known.select("idx", "input_masked", "recipient_name", has.alias("has_phone"), full.alias("response"))
 
 
 def correction_records(ids: DataFrame) -> DataFrame:
     """Messages that give an old address and then the right one, five styles (own wording)."""
     i = F.col("idx")
-    a, b = synth_fields(i), synth_fields(i + 11)
+    ids = with_fields(with_fields(ids.select("idx")), i + 11, "later_")
+    a, b = ({x: F.col(head + x) for x in ("phone_text", "house", "street", "name")} for head in ("", "later_"))
     old, new, none = F.concat_ws(" ", a["house"], a["street"]), F.concat_ws(" ", b["house"], b["street"]), F.lit(None).cast("string")
 
     def say(*bits: object) -> Column:
@@ -320,7 +329,9 @@ def correction_records(ids: DataFrame) -> DataFrame:
         say(a["name"], " ", a["phone_text"], ", địa chỉ cũ ", old, "; địa chỉ mới ", new), say("sửa giúp ", a["name"], " ", a["phone_text"], ": ", new, " (trước là ", old, ")"),
         say(a["phone_text"], " ", a["name"], " chuyển về ", new, ", bỏ ", old),
     )
-    return ids.select("idx", compact_text(mask_phone(text)).alias("input_masked"), strip_honorific(a["name"]).alias("recipient_name"), new.alias("address_raw"), answer(a["name"], F.lit(True), none, new, b["house"], b["street"], none, none, none).alias("response"))
+    known = ids.select("idx", text.alias("text"), "name", new.alias("address_raw"), F.col("later_house").alias("house"), F.col("later_street").alias("street"))
+    full = answer(F.col("name"), F.lit(True), none, F.col("address_raw"), F.col("house"), F.col("street"), none, none, none)
+    return known.select("idx", compact_text(mask_phone(F.col("text"))).alias("input_masked"), strip_honorific(F.col("name")).alias("recipient_name"), "address_raw", full.alias("response"))
 
 
 def generated_records(entries: DataFrame) -> DataFrame:
@@ -328,7 +339,8 @@ def generated_records(entries: DataFrame) -> DataFrame:
     sub_region), of which sixteen styles shorten, lower, strip or leave out parts; every
     twentieth index from 14 on is in accentless capitals."""
     i = F.col("idx")
-    f, style = synth_fields(i), _mod(i, 16)
+    entries = with_fields(entries.select("idx", "neighborhood", "municipality", "sub_region"))
+    f, style = {x: F.col(x) for x in entries.columns}, _mod(i, 16)
     dotted, bare, low = style.isin(1, 7, 13), style.isin(2, 8), style.isin(3, 14)
 
     def stripped(c: Column) -> Column:
@@ -341,13 +353,15 @@ def generated_records(entries: DataFrame) -> DataFrame:
 
     street = F.when(style == 9, F.lit(None)).when(style == 12, stripped(f["street"])).otherwise(f["street"])
     house = F.when(style == 10, f["house"]).otherwise(F.concat(F.when(style == 12, F.lit("so ")).otherwise(F.lit("số ")), f["house"]))
-    parts = entries.select("idx", f.alias("f"), street.alias("street"), F.concat_ws(" ", house, street).alias("front"), part("neighborhood", (4,)).alias("n"), part("municipality", (5,), (11, 15)).alias("m"), part("sub_region", (6, 15), (11,)).alias("p"))
+    parts = entries.select("idx", "name", "phone_text", "note", "house", street.alias("street"), house.alias("front_house"), part("neighborhood", (4,)).alias("n"), part("municipality", (5,), (11, 15)).alias("m"), part("sub_region", (6, 15), (11,)).alias("p"))
+    parts = parts.withColumn("front", F.concat_ws(" ", "front_house", "street"))
     gap = style.isin(3, 10, 11)
     lines = {sep: F.when(style.isin(13, 14), F.concat_ws(sep, "p", "m", "n", "front")).otherwise(F.concat_ws(sep, "front", "n", "m", "p")) for sep in (" ", ", ")}
     said = parts.withColumn("raw", F.when(gap, lines[" "]).otherwise(lines[", "]))
-    said = said.withColumn("text", render_tuning_order(F.col("f"), F.col("raw"), i))
-    masked = compact_text(mask_phone(F.when(_mod(i, 20) == 14, F.upper(strip_accents(F.col("text")))).otherwise(F.col("text"))))
-    return said.select("idx", masked.alias("input_masked"), answer(F.col("f.name"), F.lit(True), F.col("f.note"), F.col("raw"), F.col("f.house"), F.col("street"), F.col("n"), F.col("m"), F.col("p")).alias("response"))
+    said = said.withColumn("text", render_tuning_order(f, F.col("raw"), i))
+    said = said.withColumn("text", F.when(_mod(i, 20) == 14, F.upper(strip_accents(F.col("text")))).otherwise(F.col("text")))
+    full = answer(F.col("name"), F.lit(True), F.col("note"), F.col("raw"), F.col("house"), F.col("street"), F.col("n"), F.col("m"), F.col("p"))
+    return said.select("idx", compact_text(mask_phone(F.col("text"))).alias("input_masked"), full.alias("response"))
 
 
 #: Share of the addresses, the first in order, that come from old entries.

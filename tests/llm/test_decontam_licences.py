@@ -1,7 +1,7 @@
 import re
 
 from orderloom.llm.decontam import contaminated, decontaminate
-from orderloom.llm.licences import KNOWN, MARKS, RULES, SENTENCES, normalise_text, scan_licences
+from orderloom.llm.licences import KNOWN, MARKS, RULES, SENTENCES, TABLE, normalise_text, scan_licences
 from tests.llm.helpers import DOCS, corpus, frame
 
 ITEMS = "item_id long, text string"
@@ -56,7 +56,7 @@ def test_known_sentences_survive_the_breaks():
         assert len([x for x in re.split(BREAK, s) if x]) == 1, s
         assert any(m in s.lower() for m in MARKS), s
         assert normalise_text(s) in KNOWN
-    assert {i for _, _, _, ids in RULES for i in ids} <= {i for i, _ in SENTENCES}
+    assert {i for _, _, _, ids in RULES for i in ids} <= {i for _, i, _ in TABLE}
 
 
 def test_licence_rules(spark):
@@ -176,7 +176,6 @@ BSL1 = """Distributed under the Boost Software License, Version 1.0.
 
 def brute_rules(text):
     """The rules over every run of lines and sentences, in plain Python: pieces end at marks; lines that no mark ends may go on."""
-    from orderloom.llm.licences import TABLE
 
     known = {}
     for s, i, place in TABLE:
@@ -236,3 +235,14 @@ def test_whole_licence_texts(spark):
         rows += [(100 * k + i, f, None, None, None) for i, f in enumerate(forms)]
         want |= {(100 * k + i, r, 1) for i in range(len(forms)) for r in rules}
     assert {(r.doc_id, r.rule, r.matches) for r in scan_licences(frame(spark, rows)).collect()} == want
+
+
+def test_short_references_and_tags(spark):
+    said = {
+        "SPDX-License-Identifier: MIT": "mit-short", "// SPDX-License-Identifier: GPL-3.0-or-later": "gpl3-later-short", "The MIT License (MIT)": "mit-short", "Licensed under the Apache License 2.0.": "apache2-short",
+        "Licensed under the GPL v3.": "gpl3-short", "Licensed under CC BY 3.0.": "cc-by3-short", "This work is licensed under CC-BY-SA-4.0.": "cc-by-sa4-short", "This file is released under the MIT license, see LICENSE.": "mit-short",
+        "Some code. This software is distributed\nunder the BSD 3-Clause License. More code": "bsd3-short", "License: ISC": "isc-short", "We like the MIT campus and its license plates.": None, "Licensed under the moon": None,
+    }
+    rows = [(i, t, None, None, None) for i, t in enumerate(said)]
+    got = {r.doc_id: r.rule for r in scan_licences(frame(spark, rows)).collect()}
+    assert got == {i: r for i, r in enumerate(said.values()) if r}

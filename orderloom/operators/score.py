@@ -41,6 +41,21 @@ def to_fields(preds: DataFrame) -> DataFrame:
     return preds.select("run", "id", "category", "ok", F.explode(cells).alias("c")).select("run", "id", "category", "ok", "c.*")
 
 
+def json_fields(preds: DataFrame) -> DataFrame:
+    """E2 where ``expected`` and ``prediction`` are JSON text of either shape, row by row: as to_fields.
+
+    Each text is parsed once, to a variant; a field is looked up by its path, then by its
+    alias. Text that is no JSON has no fields; numbers and booleans are read as text.
+    """
+    parsed = preds.select("run", "id", "category", "ok", *[F.try_parse_json(c).alias(c) for c in ("expected", "prediction")])
+
+    def value(side: str, field: str) -> Column:
+        return F.coalesce(*[F.try_variant_get(F.col(side), f"$.{p}", "string") for p in (field, FIELDS[field])])
+
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), value("expected", f).alias("expected"), value("prediction", f).alias("predicted")) for f in FIELDS])
+    return parsed.select("run", "id", "category", "ok", F.explode(cells).alias("c")).select("run", "id", "category", "ok", "c.*")
+
+
 def exact(e: Column, p: Column) -> Column:
     """Equal in the scorer's form."""
     return score_text(e) == score_text(p)

@@ -791,6 +791,18 @@ def e1_e3_exact_fields(spark, sf_dir):
     return f.groupBy("run", "field").agg(F.count_if(score.exact(F.col("expected"), F.col("predicted"))).alias("exact_count"), F.count(F.lit(1)).alias("total"))
 
 
+@query(f"WITH {SQL_CELLS} SELECT run, field, exact_count, total FROM counts")
+def e1_mixed_shapes(spark, sf_dir):
+    """Predictions as JSON text, in the public shape or, for every other message, in the internal one."""
+    p = predictions(spark, sf_dir)
+    said, info = F.col("prediction"), F.col("prediction.address_info")
+    place = F.struct(info["sub_region"].alias("province"), info["municipality"].alias("ward"), info["street"].alias("street"), info["address_number"].alias("house_number"))
+    inner = F.struct(said["recipient_name"].alias("name"), said["phone_number"].alias("phone"), said["note"].alias("note"), place.alias("address"))
+    text = F.when(F.pmod("id", F.lit(2)) == 0, F.to_json(inner)).otherwise(F.to_json(said))
+    f = score.json_fields(p.withColumns({"expected": F.to_json("expected"), "prediction": text})).filter("ok")
+    return f.groupBy("run", "field").agg(F.count_if(score.exact(F.col("expected"), F.col("predicted"))).alias("exact_count"), F.count(F.lit(1)).alias("total"))
+
+
 @query(f"WITH {SQL_CELLS} SELECT run, field, tp, fp, fn FROM counts")
 def e4_confusion(spark, sf_dir):
     return score.confusion(score.to_fields(predictions(spark, sf_dir)).filter("ok"), "run", "field").select("run", "field", "tp", "fp", "fn")

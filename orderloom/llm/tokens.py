@@ -27,7 +27,7 @@ from orderloom.llm.common import checkpoint_dir, columns, lean, slices, table, u
 END_ID = 1
 FILE_BYTES = 48 << 20
 #: Text that is encoded at once, and parts of words that a worker remembers.
-ENCODE_BYTES, CACHE_PARTS = 4 << 20, 300_000
+ENCODE_BYTES, CACHE_PARTS = 2 << 20, 200_000
 #: Words that the tokenizer splits into their letters and the signs after them (no apostrophe, which may begin
 #: an ending, and no <, which may begin a special token).
 PLAIN = (

@@ -230,3 +230,14 @@ def test_names_of_all_templates(spark, data):
         assert got[r.msg_id] == want, r.text
         if " " in r.name:
             assert got[r.msg_id] == r.name, r.text
+
+
+def test_take_of_events_against_its_sql(spark):
+    """The events alone, without the rows of the run that fails throughout: row 0 would stand there twice."""
+    import duckdb
+
+    sf_dir = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
+    want = con.execute(queries.SQL["e25_take"]).fetchall()
+    assert [tuple(r) for r in queries.e25_take(spark, sf_dir).collect()] == want

@@ -183,7 +183,7 @@ LINES = 2 * max(len(s.split()) for s, _, _ in TABLE)
 #: The first two words of a known sentence, or the first at the end of a line.
 STARTS = "(?i)^[^a-z0-9]*(?:" + "|".join(sorted({"{}(?:[^a-z0-9]+{}(?![a-z0-9])|[^a-z0-9]*$)".format(*s.split()[:2]) for s, _, _ in TABLE})) + ")"
 #: Every known sentence holds one of these words.
-MARKS = ("license", "copyright", "software", "warranty", "rights", "redistribution")
+MARKS = ("license", "copyright", "software", "warranty", "rights", "redistribution", "released", "distributed")
 
 
 def normalise(sentence):

@@ -246,3 +246,10 @@ def test_short_references_and_tags(spark):
     rows = [(i, t, None, None, None) for i, t in enumerate(said)]
     got = {r.doc_id: r.rule for r in scan_licences(frame(spark, rows)).collect()}
     assert got == {i: r for i, r in enumerate(said.values()) if r}
+
+
+def test_every_known_sentence_passes_the_filter_of_documents(spark):
+    assert [s for s, _, _ in TABLE if not any(m in s for m in MARKS)] == []
+    said = {"Released under MIT.": "mit-short", "This code is distributed under the GPLv3.": "gpl3-short", "This work is released\nunder CC BY 4.0": "cc-by4-short"}
+    rows = [(i, t, None, None, None) for i, t in enumerate(said)]
+    assert {r.doc_id: r.rule for r in scan_licences(frame(spark, rows)).collect()} == dict(enumerate(said.values()))

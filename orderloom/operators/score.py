@@ -214,12 +214,10 @@ def examples(preds: DataFrame, rows: int = 6, fields: int = 4) -> DataFrame:
     number = F.lit(0)
     for i, f in enumerate(FIELDS):
         number = F.when(F.col("field") == f, i).otherwise(number)
-    wrong = wrong.withColumn("field_no", number)
-    ranked = wrong.withColumns({
-        "row_rank": F.dense_rank().over(Window.partitionBy("run").orderBy("id")),
-        "field_rank": F.row_number().over(Window.partitionBy("run", "id").orderBy("field_no")),
-    })
-    return ranked.filter((F.col("row_rank") <= rows) & (F.col("field_rank") <= fields)).drop("field_no", "category", "ok")
+    # the filter on this rank alone lets each task keep its own first rows before any of a run meet
+    ranked = wrong.withColumn("row_rank", F.dense_rank().over(Window.partitionBy("run").orderBy("id"))).filter(F.col("row_rank") <= rows)
+    ranked = ranked.withColumn("field_no", number).withColumn("field_rank", F.row_number().over(Window.partitionBy("run", "id").orderBy("field_no")))
+    return ranked.filter(F.col("field_rank") <= fields).drop("field_no", "category", "ok")
 
 
 def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:

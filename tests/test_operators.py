@@ -241,3 +241,24 @@ def test_take_of_events_against_its_sql(spark):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
     want = con.execute(queries.SQL["e25_take"]).fetchall()
     assert [tuple(r) for r in queries.e25_take(spark, sf_dir).collect()] == want
+
+
+def test_split_sides_read_a_written_table(spark, data):
+    """A filter on the key of a record must not carry all that makes the record into both sides."""
+    train, valid = dataset.split_groups(queries.sft(spark, data), 0.8)
+    for side in (train, valid):
+        made = side._jdf.queryExecution().optimizedPlan().toString()
+        assert "Relation" in made and "pythonUDF" not in made and "Generate" not in made
+
+
+def test_messages_are_spread_over_tasks(spark):
+    """The keys of orders are few bytes, one split, but many messages."""
+    assert plan.messages(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == 3
+
+
+def test_examples_let_tasks_keep_their_own_first_rows(spark):
+    rows = [(run, i, "c", True, (None, "x"), (str(i), "x")) for run in "ab" for i in range(50)]
+    preds = spark.createDataFrame(rows, "run string, id long, category string, ok boolean, expected struct<name:string,phone:string>, prediction struct<name:string,phone:string>")
+    got = score.examples(preds, rows=6)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.run, r.id, r.field, r.row_rank, r.field_rank) for r in got.collect()) == [(run, i, "name", i + 1, 1) for run in "ab" for i in range(6)]

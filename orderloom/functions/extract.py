@@ -35,9 +35,20 @@ WARD_TYPE = r"^(phường|phuong|thị trấn|thi tran|p\.?|x\.?|xã|xa|tt\.?)\s
 DISTRICT_TYPE = r"^(quận|quan|huyện|huyen|thị xã|thi xa|q\.?|h\.?|tx\.?)\s*"
 
 
+#: The letters and signs that a match of each pattern can begin with: a look at one sign spares most places the whole pattern.
+LEADS = {
+    NAME: "[abc]", HOUSE: "[s]", LEADING_HOUSE: "[0-9]", WARD: "[ptx]", DISTRICT: "[qht]", STREET: "[nhkđdp]", LABELLED_NOTE: "[ng]", SIMPLE_NOTE: "[gstcđd]",
+    PROVINCE: "[t]", HA_NOI: "[h]", HO_CHI_MINH: "[hts]", ORDER_WORDS: "[gsđdptc]",
+}
+
+
+def led(pattern: str) -> str:
+    return f"(?={LEADS[pattern]}){pattern}"
+
+
 def _first(c: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null without a match; no pattern's group can match nothing."""
-    return F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), f"(?iU){pattern}", group), F.lit(""))
+    return F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), f"(?iU){led(pattern)}", group), F.lit(""))
 
 
 def _ends(c: Column) -> Column:
@@ -46,14 +57,14 @@ def _ends(c: Column) -> Column:
 
 def extract_name(c: Column) -> Column:
     """Form of address and the word after it."""
-    return F.concat(_first(c, NAME, 1), F.lit(" "), _first(c, NAME, 2))
+    return F.regexp_replace(_first(c, NAME, 0), r"(?U)^(\S+)\s+", "$1 ")
 
 
 def extract_province(c: Column) -> Column:
     """The two large cities by alias, else the phrase after a province word, cut at a note."""
     low = F.lower(F.coalesce(c, F.lit("")))
-    named = F.get(F.split(_first(c, PROVINCE), f"(?iU){NOTE_LABEL}", 2), F.lit(0))
-    return F.when(low.rlike(f"(?U){HA_NOI}"), F.lit("Hà Nội")).when(low.rlike(f"(?U){HO_CHI_MINH}"), F.lit("Hồ Chí Minh")).otherwise(_ends(named))
+    named = F.regexp_replace(_first(c, PROVINCE), f"(?isU){NOTE_LABEL}.*", "")
+    return F.when(low.rlike(f"(?U){led(HA_NOI)}"), F.lit("Hà Nội")).when(low.rlike(f"(?U){led(HO_CHI_MINH)}"), F.lit("Hồ Chí Minh")).otherwise(_ends(named))
 
 
 def extract_district(c: Column, strict_compat: bool = False) -> Column:
@@ -85,8 +96,11 @@ def extract_ward(c: Column) -> Column:
 
 def extract_street(c: Column) -> Column:
     """Optional alley part, then the street."""
-    alley, street = F.trim(_first(c, STREET, 1)), F.trim(_first(c, STREET, 2))
-    return F.nullif(F.trim(F.concat_ws(" ", alley, street)), F.lit(""))
+
+    def parts(whole: Column) -> Column:  # the match alone, a short text, is parted once more
+        return F.nullif(F.trim(F.concat_ws(" ", *[F.trim(_first(whole, STREET, k)) for k in (1, 2)])), F.lit(""))
+
+    return let(_first(c, STREET, 0), parts)
 
 
 def extract_house_number(c: Column) -> Column:
@@ -97,7 +111,7 @@ def extract_house_number(c: Column) -> Column:
 def extract_note(c: Column) -> Column:
     """The labelled note, else all simple notes, each spelling-insensitively once."""
     labelled = _ends(_first(c, LABELLED_NOTE))
-    found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"(?iU){SIMPLE_NOTE}"), F.lit(1)), _ends)
+    found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"(?iU){led(SIMPLE_NOTE)}"), F.lit(1)), _ends)
     once = F.aggregate(
         found, F.array().cast("array<string>"),
         lambda acc, n: F.when(F.exists(acc, lambda have: F.lower(have) == F.lower(n)), acc).otherwise(F.concat(acc, F.array(n))),
@@ -105,12 +119,16 @@ def extract_note(c: Column) -> Column:
     return F.coalesce(labelled, F.when(F.size(once) > 0, F.array_join(once, ", ")))
 
 
+def address_parts(c: Column) -> dict[str, Column]:
+    """The five address parts that the rules find."""
+    return {
+        "province": extract_province(c), "district_hint": extract_district(c), "ward": extract_ward(c), "street": extract_street(c), "house_number": extract_house_number(c),
+    }
+
+
 def address_hints(c: Column) -> Column:
     """The five address parts that the rules find, as a struct."""
-    return F.struct(
-        extract_province(c).alias("province"), extract_district(c).alias("district_hint"), extract_ward(c).alias("ward"),
-        extract_street(c).alias("street"), extract_house_number(c).alias("house_number"),
-    )
+    return F.struct(*[part.alias(x) for x, part in address_parts(c).items()])
 
 
 def rule_hints(c: Column) -> Column:
@@ -118,10 +136,10 @@ def rule_hints(c: Column) -> Column:
     return F.struct(extract_name(c).alias("name"), address_hints(c).alias("address"))
 
 
-def is_likely_order(text: Column, phone: Column, addr: Column) -> Column:
+def is_likely_order(text: Column, phone: Column, addr: Column | dict[str, Column]) -> Column:
     """A phone, an address hint or an order word; such rows are parsed, others stay empty."""
     hints = addr["province"].isNotNull() | addr["ward"].isNotNull() | addr["street"].isNotNull()
-    return phone.isNotNull() | hints | F.coalesce(text, F.lit("")).rlike(f"(?iU){ORDER_WORDS}")
+    return phone.isNotNull() | hints | F.coalesce(text, F.lit("")).rlike(f"(?iU){led(ORDER_WORDS)}")
 
 
 def address_signals(addr: Column) -> Column:

@@ -12,7 +12,10 @@ NUMBER = r"(?<!\d)\(?(?:\+?84|0)(?:[\s.\-()]*\d){9}\)?(?!\d)"
 CONTEXT = r"(?:mã\s*đơn|ma\s*don|nhà\s*số|nha\s*so|số\s*nhà|so\s*nha)\s*[:#-]?\s*"
 LABEL = r"(?:sđt|sdt|đt|dt|phone|tel|điện\s*thoại|dien\s*thoai)\s*[:：#-]?\s*(?=\[PHONE\])"
 MOBILE = r"^0[35789]\d{8}$"
-FOUND = rf"(?iU)(?:{CONTEXT})?{NUMBER}"
+#: Led by a look at the one sign that a context or a number can begin with.
+FOUND = rf"(?iU)(?=[mns(+80])(?:{CONTEXT})?{NUMBER}"
+#: What lies before the next number, or before the end.
+BEFORE = rf"(?s)(.*?)(?:{FOUND}|\z)"
 #: The core of every number, which most texts lack; found without going back.
 DIGITS = r"(?U)\d(?:[\s.\-()]*+\d){9}"
 
@@ -44,8 +47,8 @@ def extract_phone(c: Column) -> Column:
 
 def _replaced(c: Column, token: str) -> Column:
     def body(t: Column) -> Column:
-        # what lies between matches, and the matches, one fewer
-        between, found = F.split(t, FOUND, -1), F.regexp_extract_all(t, F.lit(FOUND), F.lit(0))
+        # what lies between matches, up to the end, and the matches; a split would compile its pattern for each text
+        between, found = F.regexp_extract_all(t, F.lit(BEFORE), F.lit(1)), F.regexp_extract_all(t, F.lit(FOUND), F.lit(0))
         done = F.transform(found, lambda m: F.when(~phone_blocked(m) & normalize_phone(m).isNotNull(), F.lit(token)).otherwise(m))
         both = F.zip_with(between, done, lambda b, d: F.concat(b, F.coalesce(d, F.lit(""))))
         return F.when(t.rlike(DIGITS), F.array_join(both, "")).otherwise(t)
@@ -55,7 +58,7 @@ def _replaced(c: Column, token: str) -> Column:
 
 def drop_phone_label(c: Column) -> Column:
     """P5: labels directly before [PHONE] removed."""
-    return F.regexp_replace(c, f"(?iU){LABEL}", "")
+    return F.regexp_replace(c, f"(?iU)(?=[dđpst]){LABEL}", "")
 
 
 def mask_phone(c: Column, token: str = "[PHONE]") -> Column:

@@ -262,3 +262,22 @@ def test_examples_let_tasks_keep_their_own_first_rows(spark):
     got = score.examples(preds, rows=6)
     assert "WindowGroupLimit" in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.run, r.id, r.field, r.row_rank, r.field_rank) for r in got.collect()) == [(run, i, "name", i + 1, 1) for run in "ab" for i in range(6)]
+
+
+def test_rule_parts_are_found_once(spark, data):
+    """The gate reads the parts that were found; it does not find them anew."""
+    ruled = plan.rule_pass(plan.messages(spark, data)).select("msg_id", "hints", "is_order")
+    assert ruled._jdf.queryExecution().optimizedPlan().toString().count(extract.WARD) == 1
+
+
+def test_leads_and_parts_between_numbers_change_no_match(spark):
+    from orderloom.functions import phone
+
+    said = ["Chị Mai NGÕ 3 Đường Lê Lợi, p. 7, Q 1, HN", "sđt: 0912 345 678, 0912345678", "mã đơn: 0912345678 +84 912345678", "(0912345678)", "", "x", "Thu COD 5k. Ghi chú: a; b", "tp.hcm h Củ Chi Kiệt 3 phố Huế", "số nhà 5 12/3 hẻm"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string")
+    for pattern in extract.LEADS:
+        pair = [F.regexp_extract_all("t", F.lit(f"(?iU){p}"), F.lit(0)) for p in (pattern, extract.led(pattern))]
+        assert df.filter(~pair[0].eqNullSafe(pair[1])).count() == 0, pattern
+    found = df.select("t", F.split("t", phone.FOUND, -1).alias("want"), F.regexp_extract_all("t", F.lit(phone.BEFORE), F.lit(1)).alias("got")).collect()
+    for r in found:  # a text that ends with a number may give one more empty part
+        assert r.got[: len(r.want)] == r.want and not any(r.got[len(r.want):]), r

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 
+#: What JSON text has escapes for; U+FFFD stands for bytes that are no UTF-8.
+_ESCAPED = r'["\\\x00-\x1F\x{FFFD}]'
+
+
 def json_text(c: Column, kind: DataType, ordered: bool = False) -> Column:
     """A value as JSON with a blank after : and , between members, nulls written.
 
@@ -34,7 +38,9 @@ def json_text(c: Column, kind: DataType, ordered: bool = False) -> Column:
         text = F.concat(F.lit("{"), F.array_join(F.transform(entries, member), ", "), F.lit("}"))
     else:
         whole = F.to_json(F.array(c), {"ignoreNullFields": "false"})
-        return F.substring(whole, F.lit(2), F.length(whole) - 2)
+        text = F.substring(whole, F.lit(2), F.length(whole) - 2)
+        if isinstance(kind, StringType):  # few texts need the JSON writer
+            text = F.when(c.rlike(_ESCAPED), text).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
     return F.when(c.isNotNull(), text).otherwise("null")
 
 

@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from orderloom.functions.text import let
+from orderloom.functions.text import begins, let
 
 # What a number looks like, what blocks it when directly before it, and its labels.
 NUMBER = r"(?<!\d)\(?(?:\+?84|0)(?:[\s.\-()]*\d){9}\)?(?!\d)"
 CONTEXT = r"(?:mã\s*đơn|ma\s*don|nhà\s*số|nha\s*so|số\s*nhà|so\s*nha)\s*[:#-]?\s*"
 LABEL = r"(?:sđt|sdt|đt|dt|phone|tel|điện\s*thoại|dien\s*thoai)\s*[:：#-]?\s*(?=\[PHONE\])"
-MOBILE = r"^0[35789]\d{8}$"
-#: Led by a look at the one sign that a context or a number can begin with.
-FOUND = rf"(?iU)(?=[mns(+80])(?:{CONTEXT})?{NUMBER}"
+MOBILE = r"^(?:84|0)([35789]\d{8})$"
+#: Led by a look at the one or two signs that a context or a number can begin with.
+FOUND = rf"(?iU){begins('(+80', 'm ãa', 'n h', 's ốo')}(?:{CONTEXT})?{NUMBER}"
 #: What lies before the next number, or before the end.
 BEFORE = rf"(?s)(.*?)(?:{FOUND}|\z)"
 #: The core of every number, which most texts lack; found without going back.
 DIGITS = r"(?U)\d(?:[\s.\-()]*+\d){9}"
 
 
+def _digits(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)\D", "")
+
+
 def normalize_phone(c: Column) -> Column:
     """Ten digits of a mobile number (84 becomes 0), else null."""
-    digits = F.regexp_replace(c, r"(?U)\D", "")
-    local = F.when(digits.rlike(r"^84\d{9}$"), F.concat(F.lit("0"), F.substring(digits, 3, 9))).otherwise(digits)
-    return F.when(local.rlike(MOBILE), local)
+    return F.concat(F.lit("0"), F.nullif(F.regexp_extract(_digits(c), MOBILE, 1), F.lit("")))
 
 
 def phone_blocked(match: Column) -> Column:
@@ -46,19 +48,30 @@ def extract_phone(c: Column) -> Column:
 
 
 def _replaced(c: Column, token: str) -> Column:
-    def body(t: Column) -> Column:
+    def good(m: Column) -> Column:
+        return ~phone_blocked(m) & _digits(m).rlike(MOBILE)
+
+    def some(t: Column, found: Column) -> Column:
         # what lies between matches, up to the end, and the matches; a split would compile its pattern for each text
-        between, found = F.regexp_extract_all(t, F.lit(BEFORE), F.lit(1)), F.regexp_extract_all(t, F.lit(FOUND), F.lit(0))
-        done = F.transform(found, lambda m: F.when(~phone_blocked(m) & normalize_phone(m).isNotNull(), F.lit(token)).otherwise(m))
-        both = F.zip_with(between, done, lambda b, d: F.concat(b, F.coalesce(d, F.lit(""))))
-        return F.when(t.rlike(DIGITS), F.array_join(both, "")).otherwise(t)
+        between, done = F.regexp_extract_all(t, F.lit(BEFORE), F.lit(1)), F.transform(found, lambda m: F.when(good(m), F.lit(token)).otherwise(m))
+        return F.array_join(F.zip_with(between, done, lambda b, d: F.concat(b, F.coalesce(d, F.lit("")))), "")
 
-    return let(F.coalesce(c, F.lit("")), body)
+    def body(s: Column) -> Column:
+        # most texts have no number, or one, which stands there once; only others need a look at what lies between
+        t, found = s["t"], s["found"]
+        one = found[0]
+        once = (F.size(found) == 1) & (F.length(F.replace(t, one, F.lit(""))) + F.length(one) == F.length(t))
+        return F.when(F.size(F.filter(found, good)) <= 0, t).when(once, F.replace(t, one, F.lit(token))).otherwise(some(t, found))
+
+    t = F.coalesce(c, F.lit(""))
+    none = F.array().cast("array<string>")
+    found = F.when(t.rlike(DIGITS), F.regexp_extract_all(t, F.lit(FOUND), F.lit(0))).otherwise(none)
+    return let(F.struct(t.alias("t"), found.alias("found")), body)
 
 
 def drop_phone_label(c: Column) -> Column:
     """P5: labels directly before [PHONE] removed."""
-    return F.regexp_replace(c, f"(?iU)(?=[dđpst]){LABEL}", "")
+    return F.regexp_replace(c, f"(?iU){begins('s đd', 'đd ti', 'p h', 't e')}{LABEL}", "")
 
 
 def mask_phone(c: Column, token: str = "[PHONE]") -> Column:

@@ -342,3 +342,21 @@ def test_numbers_are_masked_one_by_one(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert [r[0] for r in df.select(compact_text(mask_phone(F.col("t")))).collect()] == list(cases.values())
+
+
+def test_triples_meet_one_record_of_each_class(spark, data, monkeypatch):
+    known = resolve.flatten_admin(plan.admin_table(spark, data))
+    records = staging.staged(known.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(6)))).withColumn("ord", F.col("ord") * 7 + F.col("copy")).drop("copy"), "copies")
+    spellings = plan.old_wards(spark, data).filter("ord % 7 = 0").select(
+        F.when(F.col("ord") % 4 > 0, F.col("old_province_name")).alias("province"), F.when(F.col("ord") % 5 > 0, F.col("old_district_name")).alias("district_hint"),
+        F.when(F.col("ord") % 3 > 0, F.col("old_ward_name")).otherwise("Phường").alias("ward"),
+    ).distinct()
+    keyed = staging.staged(resolve.query_keys(spellings), "keyed")
+    columns = [*resolve.TRIPLE, "rank", "ord", "ward_code", "score", "exact_matches", "tie_score"]
+    every = resolve.rank_candidates(resolve.candidates(keyed, records)).filter("rank <= 5").select(columns).collect()
+    met, candidates = [], resolve.candidates
+    monkeypatch.setattr(resolve, "candidates", lambda q, r: (met.append(r.count()), candidates(q, r))[1])
+    first = resolve.first_candidates(keyed, records).select(columns).collect()
+    assert len(every) > len(spellings.collect()) and sorted(map(tuple, first), key=str) == sorted(map(tuple, every), key=str)
+    resolve.resolve_spellings(spellings, records).count()
+    assert met[0] == met[1] <= known.count()

@@ -261,6 +261,13 @@ def test_messages_are_spread_over_tasks(spark):
     assert plan.messages(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == 3
 
 
+def test_documents_of_one_row_group_are_dealt_over_tasks(spark):
+    """A scan reads a row group in one task, however many documents it holds."""
+    keys = queries.t4_normalize_text_key(spark, "/root/testdata/sf0.01")
+    assert keys.rdd.getNumPartitions() == 4
+    assert keys.count() == spark.read.parquet("/root/testdata/sf0.01/documents.parquet").count()
+
+
 def test_examples_let_tasks_keep_their_own_first_rows(spark):
     rows = [(run, i, "c", True, (None, "x"), (str(i), "x")) for run in "ab" for i in range(50)]
     preds = spark.createDataFrame(rows, "run string, id long, category string, ok boolean, expected struct<name:string,phone:string>, prediction struct<name:string,phone:string>")

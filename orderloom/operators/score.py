@@ -133,15 +133,24 @@ def field_metrics(preds: DataFrame) -> DataFrame:
     )
 
 
-def full_exact(preds: DataFrame) -> DataFrame:
-    """Per run the successful rows of which all fields are equal; zeros for a run without any."""
+def exact_rows(preds: DataFrame, *keep: str) -> DataFrame:
+    """(run, ok, *keep, same): whether all fields of a row are equal in the scorer's form."""
     same = [exact(field_value(preds, "expected", f), field_value(preds, "prediction", f)) for f in FIELDS]
     # through an array, as one method with all comparisons and the counts would be too long to be compiled
-    rows = preds.select("run", "ok", F.forall(F.array(*same), lambda s: s).alias("same"))
+    return preds.select("run", "ok", *keep, F.forall(F.array(*same), lambda s: s).alias("same"))
+
+
+def count_exact(rows: DataFrame) -> DataFrame:
+    """Per run the successful rows of exact_rows that are the same; zeros for a run without any."""
     done = rows.groupBy("run").agg(F.count_if(F.col("ok") & F.col("same")).alias("exact_count"), F.count_if("ok").alias("total"))
     return done.withColumn("accuracy", F.round(_rate(F.col("exact_count"), F.col("total")), 4))
 
 
+def full_exact(preds: DataFrame) -> DataFrame:
+    """Per run the successful rows of which all fields are equal; zeros for a run without any."""
+    return count_exact(exact_rows(preds))
+
+
 def percentiles(preds: DataFrame, pcts: tuple[float, ...] = (50.0, 95.0, 99.0)) -> DataFrame:
     """Per run exact latency percentiles by linear interpolation, over successful rows."""
     return percentiles_by(preds.filter("ok"), "run", "latency_seconds", "id", pcts)

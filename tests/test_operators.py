@@ -288,6 +288,13 @@ def test_many_wards_are_looked_up_where_messages_are_dealt(spark, monkeypatch):
     assert sorted(many.collect()) == few
 
 
+def test_run_summary_makes_predictions_once(spark, data):
+    """Latencies and full matches read one written table, not messages made anew for each."""
+    made = queries._summary(spark, data)
+    assert "orders.parquet" not in "".join(made.inputFiles())
+    assert {(r.run, r.accuracy) for r in made.collect()} == {(r.run, r.accuracy) for r in queries.e8_full_exact(spark, data).collect()}
+
+
 def test_examples_let_tasks_keep_their_own_first_rows(spark):
     rows = [(run, i, "c", True, (None, "x"), (str(i), "x")) for run in "ab" for i in range(50)]
     preds = spark.createDataFrame(rows, "run string, id long, category string, ok boolean, expected struct<name:string,phone:string>, prediction struct<name:string,phone:string>")

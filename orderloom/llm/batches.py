@@ -21,12 +21,18 @@ from orderloom.llm.common import U, columns, lean, slices, utf8, written
 
 BATCH_BYTES = 4 << 20
 KEYS_PER_BUCKET = 1 << 20
-BATCH_SCHEMA = "batch_id long, ids array<long>, offsets binary, data binary"
+#: Batches of a Parquet row group.
+GROUP_BATCHES = 2
+BATCH_SCHEMA = "batch_id long, n_bytes long, ids array<long>, offsets binary, data binary"
 ANSWER_SCHEMA = "batch_id long, bucket int, mask binary"
 
 
 def make_batches(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """Batches of whole documents, written; null text is empty, ids may be null or repeat."""
+    """Batches of whole documents, written; null text is empty, ids may be null or repeat.
+
+    ``data`` is zstd over ``n_bytes`` of text, so that scans, exchanges and sorts of the
+    JVM hold a third of it; only the task that works on a batch unpacks it.
+    """
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -38,14 +44,14 @@ def make_batches(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
             for a, b in slices(offsets, batch_bytes):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([number], pa.int64()), pa.array([ids.slice(a, b - a).to_pylist()], pa.list_(pa.int64())),
-                        pa.array([(offsets[a : b + 1] - offsets[a]).tobytes()], pa.binary()), pa.array([data[offsets[a] : offsets[b]].tobytes()], pa.binary()),
+                        pa.array([number], pa.int64()), pa.array([offsets[b] - offsets[a]], pa.int64()), pa.array([ids.slice(a, b - a).to_pylist()], pa.list_(pa.int64())),
+                        pa.array([(offsets[a : b + 1] - offsets[a]).tobytes()], pa.binary()), pa.array([pa.compress(data[offsets[a] : offsets[b]].tobytes(), "zstd", asbytes=True)], pa.binary()),
                     ],
-                    ["batch_id", "ids", "offsets", "data"],
+                    ["batch_id", "n_bytes", "ids", "offsets", "data"],
                 )
                 number += 1
 
-    return written(columns(docs, "doc_id", "text").mapInArrow(lean(pack), BATCH_SCHEMA), "batches")
+    return written(columns(docs, "doc_id", "text").mapInArrow(lean(pack), BATCH_SCHEMA), "batches", group_rows=GROUP_BATCHES)
 
 
 class Batch:
@@ -59,8 +65,8 @@ class Batch:
         self.known = ~np.asarray(raw.is_null())
         self.raw_ids = raw
         self.offsets = np.frombuffer(table.column(at["offsets"])[row].as_buffer(), np.int64)
-        body = table.column(at["data"])[row].as_buffer()
-        self.data = np.frombuffer(body, np.uint8) if body.size else np.zeros(0, np.uint8)
+        size = table.column(at["n_bytes"])[row].as_py()
+        self.data = np.frombuffer(pa.decompress(table.column(at["data"])[row].as_buffer(), size, "zstd"), np.uint8) if size else np.zeros(0, np.uint8)
 
 
 def batch_rows(fn: Callable[[Batch], Iterator[pa.RecordBatch]]):
@@ -201,4 +207,4 @@ def with_answers(batches: DataFrame, answers: DataFrame, fn: Callable[[Batch, pa
 
 
 def total_bytes(batches: DataFrame) -> int:
-    return batches.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    return batches.agg(F.sum("n_bytes")).first()[0] or 0

@@ -8,9 +8,9 @@ around the other anchors go, once per batch and content, to the shard that the
 anchor's hash names. An anchor that has the same bytes around it everywhere is
 settled by its least document. For the rest the shard sorts all suffixes of its
 distinct slices (Larsson-Sadakane refinement in numpy), finds equal windows from
-Kasai's common prefixes, and gives each window its least document. A shard too
-large for one array is cut into several whose sorted windows are merged by binary
-search. The windows around an anchor that very many slices have (a phrase that a third
+Kasai's common prefixes, and gives each window its least document. Arrays hold
+whole anchors; an anchor too large for one array is cut into several whose sorted
+windows are merged by binary search. The windows around an anchor that very many slices have (a phrase that a third
 of all documents hold) go to shards by their own hashes instead. Each batch then
 removes the windows that start in a smaller document.
 """
@@ -27,11 +27,10 @@ from pyspark.sql import functions as F
 from orderloom.llm.batches import (
     COUNTED_SCHEMA, Batch, batch_rows, bucket_bits, counted_key_rows, make_batches, read_answers, repeated_keys, short, total_bytes, with_answers,
 )
-from orderloom.llm.common import U, byte_values, lean, mix, powers, prefix_sums, range_hash, table, written
+from orderloom.llm.common import BLOCK, U, byte_values, content_hashes, lean, mix, powers, prefix_sums, table, written
 
 LENGTH = 50
 GRAM = 20
-BLOCK = 1 << 18
 #: Bytes of slices in one suffix array.
 ARRAY_BYTES = 2 << 20
 #: Slices around one anchor from which on their windows go to shards of their own.
@@ -114,7 +113,7 @@ class Slices:
         at = np.flatnonzero(hot)
         n = self.windows[at]
         first = np.arange(int(n.sum())) + np.repeat(self.first[at] - np.cumsum(n) + n, n)
-        key = mix(content_hashes(self.batch.data, first, first + self.length) + U(1))
+        key = mix(content_hashes(self.batch.data, first, first + self.length, 1) + U(1))
         row, doc = np.repeat(self.row[at], n), np.repeat(self.doc[at], n)
         rest = ~hot
         first = np.append(self.first[rest], first)
@@ -128,7 +127,7 @@ class Slices:
 
     def number(self) -> None:
         """Numbers the distinct contents by (key, content)."""
-        self.content = content_hashes(self.batch.data, self.first, self.first + self.windows + self.length - 1)
+        self.content = content_hashes(self.batch.data, self.first, self.first + self.windows + self.length - 1, 1)
         order = np.lexsort((self.content, self.key))
         k, c = self.key[order], self.content[order]
         head = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))[: len(k)]
@@ -140,16 +139,6 @@ class Slices:
         np.maximum.at(self.most, self.slice_of, self.doc)
 
 
-def content_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(start), U)
-    for b in range(0, len(data), BLOCK):
-        a, z = np.searchsorted(start, [b, b + BLOCK])
-        if a < z:
-            top = int(end[a:z].max())
-            out[a:z] = range_hash(prefix_sums(byte_values(data[b:top], 1), 1), start[a:z] - b, end[a:z] - b, 1)
-    return out
-
-
 def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(the ranges' bytes one after the other with ``gap`` separators after each, where each begins)."""
     begin = np.cumsum(size + gap) - size - gap
@@ -293,23 +282,42 @@ def slice_leasts(data: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.
     if not len(rest):
         return out
     rest = rest[np.argsort(key[rest], kind="stable")]  # an anchor's slices side by side
-    edge = np.searchsorted(np.cumsum(size[rest] + 1), np.arange(array_bytes, int((size[rest] + 1).sum()) + array_bytes, array_bytes), side="left") + 1
-    edge = np.unique(np.append(0, np.minimum(edge, len(rest))))
-    parts, where = [], []
-    for a, z in zip(edge[:-1], edge[1:], strict=True):
-        mine = rest[a:z]
-        text, at = gather(data, begin[mine], size[mine], gap=1)
-        place, group, low = least_by_window(text, at, windows[mine], least[mine], length)
-        head = np.append(True, group[1:] != group[:-1])[: len(group)]
-        owner = np.searchsorted(at, place, side="right") - 1
-        where.append((first[mine][owner] + place - at[owner], group))
-        parts.append((window_strings(text, place[head], length) if len(edge) > 2 else np.zeros(0, "S1"), low))
-    lows = merge_arrays(parts) if len(parts) > 1 else [parts[0][1]]
-    for (to, group), low in zip(where, lows, strict=True):
-        out[to] = low[group]
+    for edge in array_edges(key[rest], size[rest] + 1, array_bytes):
+        parts, where = [], []
+        for a, z in zip(edge[:-1], edge[1:], strict=True):
+            mine = rest[a:z]
+            text, at = gather(data, begin[mine], size[mine], gap=1)
+            place, group, low = least_by_window(text, at, windows[mine], least[mine], length)
+            head = np.append(True, group[1:] != group[:-1])[: len(group)]
+            owner = np.searchsorted(at, place, side="right") - 1
+            where.append((first[mine][owner] + place - at[owner], group))
+            parts.append((window_strings(text, place[head], length) if len(edge) > 2 else np.zeros(0, "S1"), low))
+        lows = merge_arrays(parts) if len(parts) > 1 else [parts[0][1]]
+        for (to, group), low in zip(where, lows, strict=True):
+            out[to] = low[group]
     return out
 
 
+def array_edges(key: np.ndarray, size: np.ndarray, array_bytes: int) -> list[np.ndarray]:
+    """For slices sorted by anchor: the edges of arrays that have to be merged, set by set.
+
+    An array holds whole anchors, and as equal windows have equal anchors it shares no
+    window with others; only an anchor larger than an array is cut, into a set of its own.
+    """
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    end = np.cumsum(size)
+    start = (end - size)[head]
+    large = np.diff(np.append(start, end[-1])) > array_bytes
+    number = start // array_bytes
+    new = np.append(True, (number[1:] != number[:-1]) | large[1:] | large[:-1])
+    sets = []
+    for a, z, many in zip(head[new], np.append(head[new][1:], len(key)), large[new], strict=True):
+        inner = end[a:z] - (end[a] - size[a])
+        cut = a + 1 + np.searchsorted(inner, np.arange(array_bytes, int(inner[-1]), array_bytes)) if many else []
+        sets.append(np.unique(np.concatenate([[a], np.minimum(cut, z), [z]]).astype(np.int64)))
+    return sets
+
+
 # --------------------------------------------------------------- the operator
 def suffix_dedup(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, array_bytes: int = ARRAY_BYTES, shard_bytes: int = SHARD_BYTES, hot_slices: int = HOT_SLICES,
@@ -374,7 +382,7 @@ def suffix_dedup(
         data = np.frombuffer(b"".join(col["data"]), np.uint8)
         begin = np.cumsum(size) - size
         # equal slices of several batches become one with the least document
-        content = content_hashes(data, begin, begin + size)
+        content = content_hashes(data, begin, begin + size, 1)
         order = np.lexsort((content, key))
         head = np.append(True, (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1]))
         which = np.empty(len(key), np.int64)

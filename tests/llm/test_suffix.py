@@ -1,6 +1,10 @@
+import glob
+
 import numpy as np
+import pyarrow.parquet as pq
 
 from orderloom.llm import suffix as S
+from orderloom.llm.batches import GROUP_BATCHES, Batch, make_batches
 from tests.llm.helpers import DOCS, as_dict, corpus, frame
 
 
@@ -77,3 +81,41 @@ def test_hot_anchors_fill_other_shards(spark):
     for hot in (1, 50):
         got = as_dict(S.suffix_dedup(frame(spark, rows), hot_slices=hot, shard_bytes=2000))
         assert {k: (r.n_bytes, r.n_removed, len(r.removed), bytes(r.kept)) for k, r in got.items()} == want
+
+
+def test_batches_are_packed_in_small_row_groups(spark):
+    """A reader holds a row group whole: it has few batches, however many its file has, and their text is packed."""
+    texts = [None, "", *("some words again and again " * 40 + str(i) for i in range(60))]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS).coalesce(1)
+    batches = make_batches(docs, batch_bytes=2000)
+    files = [pq.ParquetFile(f) for f in glob.glob(f"{batches._scratch_path.removeprefix('file://')}/*.parquet")]
+    rows = [f.metadata.row_group(g).num_rows for f in files for g in range(f.metadata.num_row_groups)]
+    assert sum(rows) > 5 * GROUP_BATCHES and max(rows) <= GROUP_BATCHES
+    stored = batches.toArrow()
+    assert sum(len(x) for x in stored.column("data").to_pylist()) < sum(stored.column("n_bytes").to_pylist()) / 2
+    got = {}
+    for row in range(stored.num_rows):
+        b = Batch(stored, row)
+        got |= {int(k): b.data[i:j].tobytes().decode() for k, i, j in zip(b.ids, b.offsets[:-1], b.offsets[1:], strict=True)}
+    assert got == {i: t or "" for i, t in enumerate(texts)}
+
+
+def test_only_arrays_of_one_anchor_are_merged(monkeypatch):
+    merged = []
+    monkeypatch.setattr(S, "merge_arrays", lambda parts, f=S.merge_arrays: merged.append(len(parts)) or f(parts))
+    rng = np.random.default_rng(2)
+    bodies = [rng.integers(97, 100, 60).astype(np.uint8) for _ in range(40)]
+    size = np.full(40, 60)
+    for key, sets in ((np.arange(40) // 2, 0), (np.where(np.arange(40) < 20, 99, np.arange(40) // 2), 1)):
+        merged.clear()
+        out = S.slice_leasts(np.concatenate(bodies), np.arange(40) * 60, size, key.astype(np.uint64), np.arange(40), 6, array_bytes=300)
+        assert len(merged) == sets  # 20 slices of one anchor need several arrays, pairs do not
+        least = {}
+        for i, b in enumerate(bodies):
+            for k in range(55):
+                w = (int(key[i]), b[k : k + 6].tobytes())
+                least[w] = min(least.get(w, 99), i)
+        # windows of other anchors may be equal in this table; arrays may tell, but need not
+        for i, b in enumerate(bodies):
+            for k in range(55):
+                assert out[i * 55 + k] <= least[int(key[i]), b[k : k + 6].tobytes()]

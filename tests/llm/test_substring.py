@@ -1,8 +1,11 @@
 import hashlib
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from orderloom.llm.common import byte_values, prefix_sums, range_hash, word_hashes
 from orderloom.llm.substring import substring_dedup
 from tests.llm.helpers import DOCS, as_dict, corpus, frame, words
 
@@ -40,3 +43,19 @@ def test_empty_table_and_digest(spark):
     assert substring_dedup(spark.createDataFrame([], DOCS)).count() == 0
     out = substring_dedup(spark.createDataFrame([(None, "a", None, None, 1)], DOCS)).withColumn("d", F.sha2(F.encode("kept_text", "utf-8"), 256))
     assert out.first().d == hashlib.sha256(b"a").hexdigest()
+
+
+def test_word_hashes_are_made_block_by_block():
+    """A batch's words cost memory by their number, not eight bytes and more for each byte of text at a time."""
+    rng = np.random.default_rng(3)
+    data = rng.choice(np.frombuffer(b"abcdefgh  ", np.uint8), 2_000_000)
+    data[300_000:900_000] = 120  # a word longer than a block
+    offsets = np.array([0, 7, 7, 250_000, 2_000_000])
+    for which in (0, 1):
+        word_hashes(data[:1000], np.array([0, 1000]), which=which)
+        tracemalloc.start()
+        hashes, row, start, end = word_hashes(data, offsets, which=which)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (hashes == range_hash(prefix_sums(byte_values(data, which), which), start, end, which)).all()
+        assert peak < 32 * len(data)

@@ -78,12 +78,11 @@ def probe_index(probed: DataFrame) -> DataFrame:
         index = np.unique(np.concatenate(blocks))
         seen = np.zeros(len(index), np.int64)
         for raw, twice in zip(group.column("probes").to_pylist(), group.column("twice").to_pylist(), strict=True):
+            # probes look into the index, not the other way: each is looked up once, however many batches there are
             probes = np.frombuffer(raw, np.uint32)
-            at = np.searchsorted(probes, index)
-            inside = at < len(probes)
-            hit = np.zeros(len(index), bool)
-            hit[inside] = probes[at[inside]] == index[inside]
-            seen[hit] += 1 + flags(twice, len(probes))[at[hit]]
+            at = np.minimum(np.searchsorted(index, probes), max(0, len(index) - 1))
+            hit = index[at] == probes if len(index) else np.zeros(len(probes), bool)
+            seen[at[hit]] += 1 + flags(twice, len(probes))[hit]
         masks = [seen[np.searchsorted(index, b)] >= 2 for b in blocks]
         keep = [i for i, m in enumerate(masks) if m.any()]
         return pa.table({

@@ -151,10 +151,11 @@ def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray, gap: int = 0)
 # --------------------------------------------------------------- suffix arrays
 def words8(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each place as a big-endian number, zeros past the end."""
-    padded = np.concatenate([text, np.zeros(7, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([text, np.zeros(7, np.uint8)])
     out = np.zeros(len(text), U)
     for k in range(8):
-        out |= padded[k : k + len(text)] << U(56 - 8 * k)
+        out <<= U(8)
+        out |= padded[k : k + len(text)]
     return out
 
 
@@ -167,10 +168,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     word = words8(text)
     # the end of the text sorts before any byte, a zero byte included
-    short_by = np.maximum(0, np.arange(n) + 8 - n)
+    short_by = np.zeros(n, np.int8)
+    short_by[max(0, n - 7) :] = np.arange(8 - min(n, 7), 8)
     sa = np.lexsort((-short_by, word)) if n and text[-8:].min() == 0 else np.argsort(word)
-    head = np.append(True, (word[sa][1:] != word[sa][:-1]) | (short_by[sa][1:] != short_by[sa][:-1]))[:n]
-    rank = np.zeros(n + 1, np.int64)
+    word, short_by = word[sa], short_by[sa]
+    head = np.append(True, (word[1:] != word[:-1]) | (short_by[1:] != short_by[:-1]))[:n]
+    del word, short_by
+    rank = np.zeros(n + 1, np.uint32)
     rank[sa] = np.flatnonzero(head)[np.cumsum(head) - 1] + 1  # 0 is the rank of the empty suffix
     h = 8
     while True:
@@ -185,6 +189,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         sa[at] = suffix
         head[at[1:]] |= key[1:] != key[:-1]
         rank[suffix] = np.flatnonzero(head)[(np.cumsum(head) - 1)[at]] + 1
+        del key, order, suffix
         h *= 2
 
 
@@ -200,15 +205,16 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, lanes: int = 819
     stretches of the text at once.
     """
     n = len(text)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     if n < 2:
         return out
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.arange(n)
-    before = np.full(n, n, np.int64)
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.arange(n, dtype=np.int32)
+    before = np.full(n, n, np.int32)
     before[sa[1:]] = sa[:-1]
-    word = np.concatenate([words8(text), np.zeros(cap + 16, U)])
-    end = np.concatenate([np.minimum(n - np.arange(n), cap), np.zeros(1, np.int64)])
+    word = words8(np.concatenate([text, np.zeros(cap + 16, np.uint8)]))
+    end = np.full(n + 1, cap, np.int32)
+    end[max(0, n - cap) :] = np.arange(min(n, cap), -1, -1)
     step = -(-n // lanes)
     lane = np.arange(0, n, step)
     h = np.zeros(len(lane), np.int64)
@@ -233,9 +239,10 @@ def least_by_window(text: np.ndarray, begin: np.ndarray, windows: np.ndarray, le
     """For slices laid out in ``text``: (places of the windows, sorted by content; group of each; least of each group)."""
     sa = suffix_array(text)
     lcp = common_prefixes(text, sa, length)
-    owner = np.full(len(text), -1, np.int64)
+    owner = np.full(len(text), -1, np.int32)
     at = np.arange(int(windows.sum())) + np.repeat(begin - (np.cumsum(windows) - windows), windows)
-    owner[at] = np.repeat(np.arange(len(begin)), windows)
+    owner[at] = np.repeat(np.arange(len(begin), dtype=np.int32), windows)
+    del at
     new = lcp < length
     # suffixes between two windows of a group share at least as much, so a group is never broken
     is_window = owner[sa] >= 0
@@ -379,7 +386,7 @@ def suffix_dedup(
         keys, sizes = [np.frombuffer(x, U) for x in col["anchors"]], [np.frombuffer(x, np.uint32).astype(np.int64) for x in col["sizes"]]
         key, size = np.concatenate(keys), np.concatenate(sizes)
         least, most = (np.concatenate([np.frombuffer(x, np.int64) for x in col[c]]) for c in ("least", "most"))
-        data = np.frombuffer(b"".join(col["data"]), np.uint8)
+        data = np.frombuffer(b"".join(col.pop("data")), np.uint8)
         begin = np.cumsum(size) - size
         # equal slices of several batches become one with the least document
         content = content_hashes(data, begin, begin + size, 1)

@@ -1,4 +1,5 @@
 import glob
+import tracemalloc
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -119,3 +120,18 @@ def test_only_arrays_of_one_anchor_are_merged(monkeypatch):
         for i, b in enumerate(bodies):
             for k in range(55):
                 assert out[i * 55 + k] <= least[int(key[i]), b[k : k + 6].tobytes()]
+
+
+def test_memory_of_an_array():
+    """Bytes held at a time for each byte of a suffix array's text; several workers share an executor."""
+    rng = np.random.default_rng(4)
+    bodies = rng.integers(97, 123, 1_000_000).astype(np.uint8)
+    size = np.full(10_000, 100)
+    windows, begin = size - 49, np.arange(10_000) * 101
+    text, at = S.gather(bodies, np.arange(10_000) * 100, size, gap=1)
+    assert (at == begin).all()
+    tracemalloc.start()
+    S.least_by_window(text, at, windows, np.arange(10_000), 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 * len(text), peak / len(text)
